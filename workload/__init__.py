@@ -1,6 +1,6 @@
 """The registered queries over the given tables, each beside its SQL equivalent."""
 
-from workload import event_queries, frame_queries  # noqa: F401
+from workload import event_queries, frame_queries, telemetry_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
