@@ -28,11 +28,18 @@ def spans(events: DataFrame) -> DataFrame:
 
 
 def gauge_points(events: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
-    """One raw point per event and metric, named ``<prefix><metric>``."""
-    exploded = events.select("*", F.explode("metrics").alias("_metric", "_value"))
-    return exploded.filter(F.col("_value").isNotNull()).select(
-        "event_id", F.concat(F.lit(prefix), F.col("_metric")).alias("name"),
-        otlp.data_point(F.col("_value")).alias("record"),
+    """One raw point per event and metric, named ``<prefix><metric>``.
+
+    The attribute list is built once per event, below the explode.
+    """
+    shared = events.select(
+        "event_id", "metrics", otlp.unix_nanos().alias("nanos"),
+        otlp.signal_attributes().alias("shared"),
+    )
+    points = shared.select("*", F.explode("metrics").alias("metric", "value"))
+    return points.filter(F.col("value").isNotNull()).select(
+        "event_id", F.concat(F.lit(prefix), F.col("metric")).alias("name"),
+        otlp.data_point(F.col("value"), F.col("nanos"), F.col("shared")).alias("record"),
     )
 
 
