@@ -1,6 +1,8 @@
 """The registered queries over the given tables, each beside its SQL equivalent."""
 
-from workload import event_queries, frame_queries, telemetry_queries  # noqa: F401
+from workload import (  # noqa: F401
+    box_queries, document_queries, event_queries, frame_queries, report_queries, telemetry_queries,
+)
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -192,7 +192,7 @@ SQL = {
                CAST(n_nationkey // 5 * 40 AS DOUBLE) AS y0 FROM nation""",
     "docs": """
         SELECT CAST(label AS VARCHAR) || '-' || lpad(CAST(vec_id AS VARCHAR),
-                   greatest(4, length(CAST(vec_id AS VARCHAR))), '0') AS id,
+                   greatest(4, length(CAST(vec_id AS VARCHAR)))::INT, '0') AS id,
                CAST(label AS VARCHAR) AS account_id, vec_id AS frame_number, embedding AS vector
         FROM embeddings""",
     "cells": """
