@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospark.operators.components import connected_components
-from aerospark.scale import durable
+from aerospark.scale import broadcast_if_small, durable, fits
 
 # Fixed defaults.
 EPS = 50.0
 MIN_SAMPLES = 5
+# A group up to this many points is clustered as one array.
+FOLD_POINTS = 256
 REACH = range(-2, 3)
 # One of each pair of opposite offsets.
 FORWARD = [(dx, dy) for dx in REACH for dy in REACH if (dx, dy) > (0, 0)]
@@ -123,14 +125,77 @@ def _linked_cells(core: DataFrame, keys: list[str], eps: float) -> DataFrame:
 
 def cluster_points(
     points: DataFrame, keys: list[str], ident: str = "det_seq",
-    eps: float = EPS, min_samples: int = MIN_SAMPLES,
+    eps: float = EPS, min_samples: int = MIN_SAMPLES, fold_points: int = FOLD_POINTS,
 ) -> DataFrame:
     """``points`` with ``cluster``: 0, 1, ... inside each key group, -1 for noise.
 
-    Columns ``x, y`` place a point.  A point with at least ``min_samples`` points
-    within ``eps``, itself included, is a core point; clusters are chains of core
-    points; any other point within ``eps`` of a core point joins the lowest such
-    cluster.  Clusters are numbered by their first core point in ``ident`` order.
+    Columns ``x, y`` place a point and ``ident`` names it inside its group.  A
+    point with at least ``min_samples`` points within ``eps``, itself included,
+    is a core point; clusters are chains of core points; any other point within
+    ``eps`` of a core point joins the lowest such cluster.  Clusters are numbered
+    by their first core point in ``ident`` order.
+
+    Groups of ordinary size, such as frames, are clustered in one bounded array
+    after a single shuffle.  Larger ones are solved by joins on a grid.
+    """
+    crowded = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    crowded = crowded.filter(F.col("n") > fold_points).select(*keys)
+    if fits(crowded, 0):
+        return _fold_clusters(points, keys, ident, eps, min_samples)
+    marked = broadcast_if_small(crowded)
+    ordinary = points.join(marked, keys, "left_anti").select(*points.columns)
+    large = points.join(marked, keys, "left_semi").select(*points.columns)
+    return _fold_clusters(ordinary, keys, ident, eps, min_samples).unionByName(
+        _grid_clusters(large, keys, ident, eps, min_samples)
+    )
+
+
+def _fold_clusters(
+    points: DataFrame, keys: list[str], ident: str, eps: float, min_samples: int
+) -> DataFrame:
+    """Clusters of small groups: core points are added one by one to the clusters they touch."""
+    rest = [name for name in points.columns if name not in keys]
+    ordered = [ident, *[name for name in rest if name != ident]]
+    gathered = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("all"))
+
+    def near(a: Column, b: Column) -> Column:
+        return _close(a["x"], a["y"], b["x"], b["y"], eps)
+
+    cored = gathered.withColumn(
+        "core",
+        F.filter("all", lambda p: F.size(F.filter("all", lambda q: near(p, q))) >= min_samples),
+    )
+
+    def touches(cluster: Column, point: Column) -> Column:
+        return F.exists(cluster, lambda member: near(member, point))
+
+    def add(clusters: Column, point: Column) -> Column:
+        apart = F.filter(clusters, lambda c: ~touches(c, point))
+        joined = F.flatten(F.filter(clusters, lambda c: touches(c, point)))
+        return F.concat(apart, F.array(F.concat(joined, F.array(point))))
+
+    none = F.slice(F.array(F.col("core")), 1, 0)
+    formed = cored.withColumn("clusters", F.aggregate("core", none, add))
+    # Members compare by ident first, so a cluster's least member leads it.
+    numbered = formed.withColumn(
+        "clusters",
+        F.array_sort(F.transform("clusters", lambda c: F.array_sort(c))),
+    )
+
+    def label(point: Column) -> Column:
+        hits = F.transform("clusters", lambda c: touches(c, point))
+        return (F.array_position(hits, True) - 1).cast("int")
+
+    labelled = numbered.select(
+        *keys, F.explode(F.transform("all", lambda p: F.struct(p.alias("p"), label(p).alias("cluster")))).alias("r")
+    )
+    return labelled.select(*keys, "r.p.*", "r.cluster").select(*points.columns, "cluster")
+
+
+def _grid_clusters(
+    points: DataFrame, keys: list[str], ident: str, eps: float, min_samples: int
+) -> DataFrame:
+    """Clusters of large groups.
 
     Points at the same place count as one place with a weight.  Grid cells are
     so small that all points of a cell are neighbours: a cell with
