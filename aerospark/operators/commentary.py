@@ -173,7 +173,7 @@ def frame_events(described: DataFrame, complete=None, generated_by: str = "echo"
     failed = F.col("error").isNotNull()
     routine = F.col("routine")
     text = commentary_text(described.columns)
-    answer = F.lit(None).cast("string") if complete is None else complete(prompt_text())
+    answer = F.lit(None).cast("string") if complete is None else complete(F.when(~failed, prompt_text()))
     modelled = answer.isNotNull() & ~failed
     names = F.col("labels.label")
     model_attributes = _json(generated_by=F.lit(generated_by), labels=names)

@@ -19,10 +19,6 @@ def build_session(app: str = "aerospark", master: str | None = None, **conf: str
         # A hot key splits a join only when the shuffle it needs anyway is kept.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # The streaming tracker keeps its per-video state in RocksDB.
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
         **conf,
     }
     builder = SparkSession.builder.appName(app)

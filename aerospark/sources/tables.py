@@ -31,11 +31,14 @@ def ingest(
     spark: SparkSession, path: str, table: str, fmt: str = "json", mode: str = "append",
     multiline: bool = True, schema: str | None = None, table_format: str = "parquet",
     incremental: bool = False, checkpoint_location: str | None = None,
+    location: str | None = None,
 ) -> DataFrame | StreamingQuery:
     """Files into a table: at once, or as a stream that picks up new files.
 
     The stream needs a checkpoint and, like every file stream, a schema.
+    ``location`` places the table's files in a folder of its own.
     """
+    placed = {"path": location} if location else {}
     if incremental:
         from aerospark.streaming.inference import file_stream
 
@@ -43,13 +46,13 @@ def ingest(
             raise ValueError("incremental ingest needs a checkpoint_location")
         stream = file_stream(spark, path, schema, fmt, multiline=multiline)
         return (
-            stream.writeStream.format(table_format)
+            stream.writeStream.format(table_format).options(**placed)
             .option("checkpointLocation", checkpoint_location)
             .trigger(availableNow=True)
             .toTable(table)
         )
     source = read_files(spark, path, fmt, schema, multiline)
-    source.write.format(table_format).mode(mode).saveAsTable(table)
+    source.write.format(table_format).mode(mode).options(**placed).saveAsTable(table)
     return source
 
 

@@ -117,23 +117,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each 64-value vector is an 8 by 8 patch; blue and red read the vector further on."""
+    """Each 64-value vector is an 8 by 8 patch; blue and red read the vector further on.
+
+    The values leave one generator, so no later expression repeats their making.
+    """
     level = "cast(floor((cast({} AS double) + 0.6D) * 200) AS int)"
-    return (
-        table(spark, sf_dir, "embeddings")
-        .selectExpr("label", "vec_id", "embedding", "posexplode(embedding) AS (pos, el)")
-        .selectExpr(
-            "cast(label AS bigint) AS video_id",
-            "vec_id AS frame_index",
-            "pos % 8 AS x",
-            "pos div 8 AS y",
-            level.format("embedding[(pos + 21) % 64]") + " AS b",
-            level.format("el") + " AS g",
-            level.format("embedding[(pos + 42) % 64]") + " AS r",
-        )
-        .selectExpr(
-            "video_id", "frame_index", "cast(x AS int) AS x", "cast(y AS int) AS y", "b", "g", "r"
-        )
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "cast(label AS bigint) AS video_id",
+        "vec_id AS frame_index",
+        "inline(transform(embedding, (el, pos) -> named_struct("
+        "'x', pos % 8, 'y', cast(pos div 8 AS int), "
+        f"'b', {level.format('embedding[(pos + 21) % 64]')}, 'g', {level.format('el')}, "
+        f"'r', {level.format('embedding[(pos + 42) % 64]')})))",
     )
 
 
