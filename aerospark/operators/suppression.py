@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospark.functions.boxes import iou
@@ -14,7 +14,9 @@ AGNOSTIC_IOU = 0.45
 PER_LABEL_IOU = 0.5
 # A frame (or one label of a frame) up to this many boxes is folded as one array.
 FOLD_BOXES = 512
-CELL = 128
+# Sides of the fine grid, in pixels, and of the coarse one, in large boxes.
+CELL = 64
+COARSE_BOXES = 16
 
 
 def suppress(
@@ -76,15 +78,41 @@ def _covered_cells(cell: int) -> Column:
     )
 
 
+def _leading(boxes: Column, threshold: float) -> Column:
+    """The undecided and kept boxes among the best of one cell, best first.
+
+    A box under one that is surely kept is left out.  A box is ``free`` when no
+    better box of the cell, sure or not, covers it; it is sure when it also lies
+    in this cell alone.
+    """
+
+    def entry(e: Column, free: Column) -> Column:
+        return F.struct(
+            e["b"].alias("b"), e["n"].alias("n"), free.alias("free"), (free & (e["n"] == 1)).alias("sure")
+        )
+
+    def step(open_: Column, e: Column) -> Column:
+        def covers(k: Column) -> Column:
+            return iou(k["b"], e["b"]) >= threshold
+
+        gone = F.exists(open_, lambda k: k["sure"] & covers(k))
+        free = ~F.exists(open_, lambda k: ~k["sure"] & covers(k))
+        return F.when(gone, open_).otherwise(F.concat(open_, F.array(entry(e, free))))
+
+    none = F.slice(F.transform(boxes, lambda e: entry(e, e["n"] == 0)), 1, 0)
+    return F.aggregate(boxes, none, step)
+
+
 def _rounds(detections: DataFrame, threshold: float, group: list[str], cell: int = CELL) -> DataFrame:
     """Suppression of crowded frames without forming a frame in one place.
 
     Copies of a box are reduced to the best one first: it covers the others
-    entirely.  Then, in each round, a box that is the best open box of every cell
-    it touches is kept, since nothing open that overlaps it is better; it takes
-    out what it covers.  A cell has one leader, so a round emits at most one
-    candidate per box and cell.  In random score order few rounds are needed
-    (greedy independent sets have polylogarithmic depth).
+    entirely.  Then, round by round, every cell of a coarse grid folds its best
+    open boxes, a bounded number that each task cuts down before the shuffle.
+    Whatever is free in every cell it touches is kept, since nothing open that
+    overlaps it is better, and takes out the boxes it covers, found over a fine
+    grid.  The best open box of all is free, so each round decides some; the
+    grids only set how many.
     """
     ident = [*dict.fromkeys([*group, "det_seq"])]
     solid = detections.filter((F.col("w") > 0) & (F.col("h") > 0))
@@ -94,25 +122,36 @@ def _rounds(detections: DataFrame, threshold: float, group: list[str], cell: int
         solid.groupBy(*group, "x", "y", "w", "h")
         .agg(best)
         .select(*group, "x", "y", "w", "h", F.col("r.cost").alias("cost"), F.col("r.det_seq").alias("det_seq"))
-        .withColumn("cells", _covered_cells(cell))
     )
+    extent = pending.agg(F.percentile_approx(F.greatest("w", "h"), 0.95)).first()[0] or 1
+    coarse = max(cell, COARSE_BOXES * extent)
     kept: DataFrame | None = None
     while not fits(pending, 0):
-        cover = pending.select("*", F.explode("cells").alias("cell"))
-        lead = F.struct("cost", "det_seq", "x", "y", "w", "h", F.size("cells").alias("n"))
-        leaders = cover.groupBy(*group, "cell").agg(F.min(lead).alias("lead"))
-        winners = (
-            leaders.groupBy(*group, "lead")
-            .agg(F.count(F.lit(1)).alias("led"), F.collect_list("cell").alias("cells"))
-            .filter(F.col("led") == F.col("lead.n"))
+        spread = pending.withColumn("cells", _covered_cells(coarse)).select(
+            *group, F.struct("cost", "det_seq", "x", "y", "w", "h").alias("b"),
+            F.size("cells").alias("n"), F.explode("cells").alias("cell"),
+        )
+        order = Window.partitionBy(*group, "cell").orderBy("b")
+        best_open = spread.withColumn("rank", F.row_number().over(order)).filter(
+            F.col("rank") <= FOLD_BOXES
         )
-        winners = durable(winners.select(*group, "lead", "cells"))
-        ids = winners.select(*group, F.col("lead.det_seq").alias("det_seq"))
+        folded = best_open.groupBy(*group, "cell").agg(
+            F.array_sort(F.collect_list(F.struct("b", "n"))).alias("boxes")
+        )
+        free = folded.select(*group, F.inline(_leading(F.col("boxes"), threshold))).filter("free")
+        winners = durable(
+            free.groupBy(*group, "b", "n").agg(F.count(F.lit(1)).alias("cells"))
+            .filter(F.col("cells") == F.col("n")).select(*group, "b")
+        )
+        ids = winners.select(*group, F.col("b.det_seq").alias("det_seq"))
         kept = ids if kept is None else kept.unionByName(ids)
-        fronts = winners.select(*group, "lead", F.explode("cells").alias("cell"))
+        fronts = winners.select(*group, F.col("b").alias("front"), "b.*").select(
+            *group, "front", F.explode(_covered_cells(cell)).alias("cell")
+        )
         taken = (
-            cover.join(fronts, [*group, "cell"])
-            .filter(iou(F.col("lead"), F.struct("x", "y", "w", "h")) >= threshold)
+            pending.withColumn("cell", F.explode(_covered_cells(cell)))
+            .join(fronts, [*group, "cell"])
+            .filter(iou(F.col("front"), F.struct("x", "y", "w", "h")) >= threshold)
             .select(*ident)
             .distinct()
         )

@@ -87,8 +87,8 @@ def _boxes(footage: Footage) -> DataFrame:
 def zone_counting(footage: Footage) -> Outcome:
     boxes = _boxes(footage)
     counted = zones.zone_counts(footage.frames.select(*FRAME), boxes, footage.need("zones"))
-    entries = F.transform("zones", lambda z: F.struct(z["zone"], z["detections"].cast("double")))
-    total = F.array(F.struct(F.lit("total"), F.col("total").cast("double")))
+    entries = F.transform("zones", lambda z: F.struct(z["zone"].alias("key"), z["detections"].cast("double").alias("value")))
+    total = F.array(F.struct(F.lit("total").alias("key"), F.col("total").cast("double").alias("value")))
     return Outcome(
         counted.select(*FRAME, F.map_from_entries(F.concat(entries, total)).alias("summary")),
         boxes.select(*FRAME, *BOX_COLUMNS),
