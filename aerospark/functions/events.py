@@ -93,7 +93,10 @@ def numeric_only(values: Column) -> Column:
 
 
 def general_number(value: Column) -> Column:
-    """A number with six significant digits as C's ``%g`` writes it."""
+    """A number with six significant digits as C's ``%g`` writes it.
+
+    A number whose shortest form ends in a seventh digit 5 is rounded up.
+    """
     scientific = F.format_string("%.5e", F.abs(value))
     digits = F.replace(F.split(scientific, "e")[0], F.lit("."), F.lit(""))
     power = F.split(scientific, "e")[1].cast("int")
