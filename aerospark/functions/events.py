@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aerospark.functions.text import CAPTION_CHARS, WHITESPACE
+from aerospark.functions.text import BLANKS, CAPTION_CHARS
 
 # Fixed values of the event API.
 SCHEMA_VERSION = "1.0"
@@ -14,7 +14,7 @@ FILTERABLE = (
     "frame_index", "schema_version",
 )
 JSON_MAPS = ("attributes", "metadata")
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 
 def event_field(path: str, columns: list[str]) -> Column:
@@ -118,13 +118,10 @@ def general_number(value: Column) -> Column:
 
 
 def echo_completion(prompt: Column) -> Column:
-    """The deterministic stand-in for a text model: the first line that is not blank."""
-    lines = F.filter(
-        F.transform(
-            F.split(F.coalesce(prompt, F.lit("")), LINE_BREAK),
-            lambda line: F.regexp_replace(line, f"^{WHITESPACE}+|{WHITESPACE}+$", ""),
-        ),
-        lambda line: line != "",
-    )
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    """The deterministic stand-in for a text model: the first line that is not blank.
+
+    What follows the leading blanks is that line, so the rest is not looked at.
+    """
+    line = F.regexp_extract(F.coalesce(prompt, F.lit("")), f"^[{BLANKS}]*([^{LINE_BREAKS}]*)", 1)
+    first = F.regexp_replace(line, f"[{BLANKS}]+$", "")
     return F.substring(F.concat(F.lit("[echo] "), first), 1, CAPTION_CHARS)

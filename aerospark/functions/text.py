@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns and limits.
-WHITESPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 BRACE_BOX = r"\{x:\s*(\d+),\s*y:\s*(\d+),\s*w:\s*(\d+),\s*h:\s*(\d+)\}"
 PAREN_BOX = r"\(x:\s*(\d+),\s*y:\s*(\d+),\s*width:\s*(\d+),\s*height:\s*(\d+)\)"
@@ -19,9 +19,13 @@ FORMATS = {".onnx": "onnx", ".pt": "torch", ".pth": "torch", ".torchscript": "to
 
 
 def tags(description: Column) -> Column:
-    """The first eight words of a description, commas taken as blanks."""
-    words = F.split(F.replace(description, F.lit(","), F.lit(" ")), WHITESPACE + "+")
-    return F.slice(F.filter(words, lambda w: w != ""), 1, TAG_COUNT)
+    """The first eight words of a description, commas taken as blanks.
+
+    Splitting stops after the words asked for.
+    """
+    start = F.regexp_replace(description, f"^[{BLANKS},]+", "")
+    words = F.split(start, f"[{BLANKS},]+", TAG_COUNT + 1)
+    return F.slice(F.filter(F.slice(words, 1, TAG_COUNT), lambda w: w != ""), 1, TAG_COUNT)
 
 
 def labels(tag_list: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.scale import fits
+from aerospark.scale import broadcast_if_small, fits
 
 # Fixed weights and the size above which a frame counts as large.
 W_CLASSES = 3.0
@@ -19,16 +19,13 @@ MAX_MODELS = 10_000
 
 def _score(model: Column) -> Column:
     """Coverage of the classes asked for, then task, altitude and resolution."""
-    asked = F.array_distinct(F.transform("classes", F.lower))
+    asked = F.col("_want.classes")
     covered = F.size(F.array_intersect(asked, model["capabilities"]))
-    coverage = F.when(F.size("classes") > 0, F.lit(W_CLASSES) * (covered / F.size(asked)))
-    task = F.when(model["task"] == F.lower("task"), F.lit(W_TASK))
-    altitude = F.when(
-        (F.col("altitude") != "") & model["altitude"].isin(F.lower("altitude"), F.lit("any")),
-        F.lit(W_ALTITUDE),
-    )
-    large = F.greatest("width", "height") > LARGE_FRAME
-    tiled = model["tiled"]
+    coverage = F.when(F.size(asked) > 0, F.lit(W_CLASSES) * (covered / F.size(asked)))
+    task = F.when(model["task"] == F.col("_want.task"), F.lit(W_TASK))
+    altitude = F.when(model["altitude"].isin(F.col("_want.altitude"), F.lit("any")), F.lit(W_ALTITUDE))
+    altitude = F.when(F.col("_want.altitude") != "", altitude)
+    large, tiled = F.col("_want.large"), model["tiled"]
     resolution = F.when(large & tiled, F.lit(W_RESOLUTION)).when(
         ~large & ~tiled, F.lit(W_SMALL_UNTILED * W_RESOLUTION)
     )
@@ -42,8 +39,9 @@ def _score(model: Column) -> Column:
 def _ranked(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each request with the scored catalog as one sorted array.
 
-    A catalog is a small, checked table.  It travels as a single array value, so
-    requests are scored where they lie: no join, no shuffle.
+    Requests that want the same are scored once: their distinct wants are ranked
+    and joined back.  A catalog is a small, checked table and travels as a single
+    array value.
     """
     if not fits(catalog, MAX_MODELS):
         raise ValueError(f"the catalog holds more than {MAX_MODELS} models")
@@ -55,14 +53,20 @@ def _ranked(requests: DataFrame, catalog: DataFrame) -> DataFrame:
             )
         )
     ).scalar()
+    want = F.struct(
+        F.array_sort(F.array_distinct(F.transform("classes", F.lower))).alias("classes"),
+        F.lower("task").alias("task"), F.lower("altitude").alias("altitude"),
+        (F.greatest("width", "height") > LARGE_FRAME).alias("large"),
+    )
+    wanting = requests.withColumn("_want", want).withColumn("_key", F.to_json("_want"))
     scored = F.transform(
         F.col("_models"), lambda m: F.struct((-_score(m)).alias("cost"), m["id"].alias("id"))
     )
-    return (
-        requests.withColumn("_models", models)
-        .withColumn("_ranked", F.array_sort(scored))
-        .drop("_models")
+    distinct = wanting.groupBy("_key").agg(F.first("_want").alias("_want"))
+    ranked = distinct.withColumn("_models", models).select(
+        "_key", F.array_sort(scored).alias("_ranked")
     )
+    return wanting.drop("_want").join(broadcast_if_small(ranked), "_key").drop("_key")
 
 
 def rank_models(requests: DataFrame, catalog: DataFrame) -> DataFrame:
