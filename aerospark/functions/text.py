@@ -39,20 +39,24 @@ def caption(text: Column, description: Column) -> Column:
 
 
 def embedding(text: Column, dims: int) -> Column:
-    """A repeatable vector: SHA-256 of ``text:i``, read as little-endian 32-bit fractions."""
+    """A repeatable vector: SHA-256 of ``text:i``, read as little-endian 32-bit fractions.
 
-    def fractions(i: Column) -> Column:
-        digest = F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256)
+    Each digest is bound to a lambda variable, so a text is hashed once per block.
+    """
+    blocks = F.sequence(F.lit(0), F.lit((dims + 7) // 8 - 1))
+    digests = F.transform(blocks, lambda i: F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256))
 
-        def word(j: Column) -> Column:
-            part = F.substr(digest, j * 8 + 1, F.lit(8))
-            pairs = [F.substring(part, at, 2) for at in (7, 5, 3, 1)]
-            return F.conv(F.concat(*pairs), 16, 10).cast("double") / F.lit(4294967295.0)
+    def fraction(part: Column) -> Column:
+        pairs = [F.substring(part, at, 2) for at in (7, 5, 3, 1)]
+        return F.conv(F.concat(*pairs), 16, 10).cast("double") / F.lit(4294967295.0)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(7)), word)
+    def fractions(digest: Column) -> Column:
+        words = F.sequence(F.lit(0), F.lit(7))
+        return F.transform(
+            F.transform(words, lambda j: F.substr(digest, j * 8 + 1, F.lit(8))), fraction
+        )
 
-    blocks = F.sequence(F.lit(0), F.lit((dims + 7) // 8 - 1))
-    return F.slice(F.flatten(F.transform(blocks, fractions)), 1, dims)
+    return F.slice(F.flatten(F.transform(digests, fractions)), 1, dims)
 
 
 def fit_vector(vector: Column, dims: int) -> Column:

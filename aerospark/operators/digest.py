@@ -15,35 +15,61 @@ MAX_SOURCE_EVENTS = 5000
 MAX_CHILD_SPANS = 64
 
 
-def digest_events(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest per key: event count, sources, frames covered, and metric totals.
+def _items(extra: list[Column]) -> Column:
+    """What a digest counts in an event: its source, its frame, its metrics."""
+
+    def item(kind: str, name: Column, value: Column, text: Column | None = None) -> Column:
+        note = F.lit(None).cast("string") if text is None else text
+        return F.struct(
+            F.lit(kind).alias("kind"), name.cast("string").alias("name"),
+            value.cast("double").alias("value"), note.alias("text"),
+        )
+
+    frame = F.col("frame_index")
+    metrics = F.transform(
+        F.filter(F.map_entries("metrics"), lambda e: e["value"].isNotNull()),
+        lambda e: item("metric", e["key"], e["value"]),
+    )
+    own = [item("source", F.col("source"), F.lit(1)), F.when(frame.isNotNull(), item("frame", frame, frame))]
+    own += [F.when(present, item("span", name, F.lit(0), text)) for present, name, text in extra]
+    return F.concat(F.array_compact(F.array(*own)), F.coalesce(metrics, F.array()))
 
-    Each part is reduced by (key, source), (key, frame) or (key, metric) before
-    anything is collected, so the lists hold one entry per distinct name.
+
+def _digest(events: DataFrame, keys: list[str], extra: list[tuple] = ()) -> DataFrame:
+    """Digests from one pass: items are reduced by (key, kind, name), then by key.
+
+    Both steps combine before their shuffle; the lists hold one entry per
+    distinct name and the frames are only counted.
     """
-    sources = (
-        events.groupBy(*keys, "source")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("frame_index").alias("low"), F.max("frame_index").alias("high"),
-        )
-        .groupBy(*keys)
+    per_item = (
+        events.select(*keys, F.explode(_items(list(extra))).alias("item"))
+        .groupBy(*keys, "item.kind", "item.name")
         .agg(
-            F.sum("n").alias("event_count"),
-            F.min("low").alias("frame_min"), F.max("high").alias("frame_max"),
-            F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"),
+            F.count(F.lit(1)).alias("n"), F.sum("item.value").alias("total"),
+            F.min("item.value").alias("value"), F.max("item.text").alias("text"),
         )
     )
-    frames = events.groupBy(*keys).agg(F.count_distinct("frame_index").alias("frames_covered"))
-    totals = (
-        events.select(*keys, F.explode("metrics").alias("metric", "value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy(*keys, "metric")
-        .agg(F.sum("value").alias("total"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("metric", "total"))).alias("metric_totals"))
+
+    def only(kind: str, value: Column) -> Column:
+        return F.when(F.col("kind") == kind, value)
+
+    source = F.struct(F.col("name").alias("source"), "n")
+    metric = F.struct(F.col("name").alias("metric"), "total")
+    span = F.struct(F.col("name").cast("long").alias("rank"), F.col("text").alias("span_id"))
+    frame = only("frame", F.col("value"))
+    return per_item.groupBy(*keys).agg(
+        F.sum(only("source", F.col("n"))).alias("event_count"),
+        F.count(frame).alias("frames_covered"),
+        F.min(frame).cast("long").alias("frame_min"), F.max(frame).cast("long").alias("frame_max"),
+        F.array_sort(F.collect_list(only("source", source))).alias("sources"),
+        F.array_sort(F.collect_list(only("metric", metric))).alias("metric_totals"),
+        F.array_sort(F.collect_list(only("span", span))).alias("spans"),
     )
-    return sources.join(frames, keys).join(totals, keys, "left")
+
+
+def digest_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One digest per key: event count, sources, frames covered, and metric totals."""
+    return _digest(events, keys).drop("spans")
 
 
 def digest_text(digests: DataFrame) -> Column:
@@ -94,18 +120,15 @@ def summarize_scenes(
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
     )
-    first = F.struct("rank", "trace_id")
-    spans = (
-        chosen.filter(F.col("rank") <= MAX_CHILD_SPANS)
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("rank", "span_id"))).alias("children"),
-            F.min(first)["trace_id"].alias("first_trace"),
-        )
-        .withColumn("derived_from_spans", F.col("children.span_id"))
-        .drop("children")
+    # A span travels with its trace; the widths of both ids are fixed by no rule here.
+    child = F.concat_ws("|", F.col("span_id"), F.col("trace_id"))
+    span = (F.col("rank") <= MAX_CHILD_SPANS, F.col("rank"), child)
+    digests = _digest(chosen, keys, [span]).withColumns(
+        {
+            "derived_from_spans": F.transform("spans", lambda e: F.split_part(e["span_id"], F.lit("|"), F.lit(1))),
+            "first_trace": F.regexp_extract(F.get("spans.span_id", F.lit(0)), r"^[^|]*\|(.*)$", 1),
+        }
     )
-    digests = digest_events(chosen, keys).join(spans, keys)
     line = digest_text(digests)
     video = F.col("video_id") if "video_id" in keys else F.lit(None).cast("long")
     trace = F.col("trace_id") if "trace_id" in keys else F.col("first_trace")

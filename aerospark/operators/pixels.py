@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospark.functions.colours import gray, hsv, in_range
-from aerospark.operators.blobs import closed, find_blobs, frame_sizes, opened
+from aerospark.operators.blobs import cleaned, find_blobs, frame_sizes, opened
 from aerospark.operators.suppression import AGNOSTIC_IOU, suppress
 from aerospark.operators.tiles import to_frame
 from aerospark.scale import durable, fits
@@ -82,7 +82,7 @@ def detect_by_colour(
     """
     mask = _sized(colour_mask(pixels, lower, upper), pixels, FRAME)
     if kernel > 0:
-        mask = closed(opened(mask, FRAME, kernel), FRAME, kernel)
+        mask = cleaned(mask, FRAME, kernel)
     return _as_detections(find_blobs(mask, FRAME, min_area), label)
 
 
@@ -195,7 +195,7 @@ def sliced_detection(
         F.least(F.lit(tile[1]), F.col("height")).alias("height"),
     )
     if kernel > 0:
-        local = closed(opened(local, keys, kernel), keys, kernel)
+        local = cleaned(local, keys, kernel)
     blobs = find_blobs(local, keys, min_area)
     ordered = F.struct("tile_y", "tile_x", (-F.col("area")).alias("rank"), "y", "x")
     found = _as_detections(blobs.withColumn("det_seq", ordered), label)

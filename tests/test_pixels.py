@@ -85,7 +85,9 @@ def test_morphology_and_blobs_equal_an_image_loop(spark):
     marked = spark.createDataFrame(rows, "video_id long, frame_index long, x int, y int, width int, height int")
     keys = ["video_id", "frame_index"]
     raw = blobs.find_blobs(marked, keys, 1).collect()
-    neat = blobs.closed(blobs.opened(marked, keys, 3), keys, 3).select(*keys, "x", "y").distinct().collect()
+    stepwise = blobs.closed(blobs.opened(marked, keys, 3), keys, 3).select(*keys, "x", "y").distinct().collect()
+    neat = blobs.cleaned(marked, keys, 3).select(*keys, "x", "y").distinct().collect()
+    assert set(neat) == set(stepwise)
     for f, mask in enumerate(masks):
         got = sorted((int(b.area), b.x, b.y, b.w, b.h) for b in raw if b.frame_index == f)
         assert got == flood(mask)
