@@ -21,11 +21,11 @@ FORMATS = {".onnx": "onnx", ".pt": "torch", ".pth": "torch", ".torchscript": "to
 def tags(description: Column) -> Column:
     """The first eight words of a description, commas taken as blanks.
 
-    Splitting stops after the words asked for.
+    One match ends after the eighth word; only that piece is split.
     """
-    start = F.regexp_replace(description, f"^[{BLANKS},]+", "")
-    words = F.split(start, f"[{BLANKS},]+", TAG_COUNT + 1)
-    return F.slice(F.filter(F.slice(words, 1, TAG_COUNT), lambda w: w != ""), 1, TAG_COUNT)
+    gap, word = f"[{BLANKS},]", f"[^{BLANKS},]"
+    start = F.regexp_extract(description, f"^{gap}*((?:{word}+{gap}*){{0,{TAG_COUNT}}})", 1)
+    return F.filter(F.split(start, f"{gap}+"), lambda w: w != "")
 
 
 def labels(tag_list: Column) -> Column:

@@ -1,6 +1,8 @@
 """Run registered queries in Spark and their SQL in DuckDB and compare the rows.
 
     python tools/compare.py /root/testdata/sf0.01 [name part ...]
+
+With ``PLAIN_SESSION=1`` the session has none of the package's settings.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -77,14 +80,18 @@ def main() -> int:
     from workload import ORACLES, QUERIES
 
     sf_dir, parts = sys.argv[1], sys.argv[2:]
-    spark = build_session(
-        "compare", "local[8]",
-        **{
-            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-            "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false",
-            "spark.log.structuredLogging.enabled": "false",
-        },
-    )
+    settings = {
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false",
+        "spark.log.structuredLogging.enabled": "false",
+    }
+    if os.environ.get("PLAIN_SESSION"):
+        builder = SparkSession.builder.master("local[8]")
+        for key, value in settings.items():
+            builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    else:
+        spark = build_session("compare", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)
     bad = 0

@@ -50,7 +50,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commentary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide event per row of the event stream; a user is a video, a minute a frame."""
     minute = (
-        "timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
+        "timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))"
     )
     return (
         table(spark, sf_dir, "events")
@@ -62,7 +62,7 @@ def commentary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CASE WHEN event_id % 7 <> 0 "
             "THEN substr(md5(cast(event_id - event_id % 7 AS string)), 1, 16) END AS parent_span_id",
             "concat('video:', user_id, '|frame:', frame_index) AS correlation_key",
-            "ts AS timestamp",
+            "cast(ts AS timestamp_ntz) AS timestamp",
             "concat('routine:', event_type) AS source",
             "user_id AS video_id",
             "user_id * 10 AS analysis_id",
