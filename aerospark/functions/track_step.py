@@ -32,9 +32,9 @@ class Tracks:
         given = [-1] * len(xs)
         matched: set[int] = set()
         if len(xs) and self.ids:
-            gaps = np.hypot(
-                np.asarray(self.xs)[:, None] - xs[None, :], np.asarray(self.ys)[:, None] - ys[None, :]
-            )
+            across = np.asarray(self.xs)[:, None] - xs[None, :]
+            down = np.asarray(self.ys)[:, None] - ys[None, :]
+            gaps = np.sqrt(across * across + down * down)
             nearest, shortest = gaps.argmin(axis=1), gaps.min(axis=1)
             for row in np.argsort(shortest, kind="stable"):
                 column = int(nearest[row])

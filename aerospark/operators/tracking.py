@@ -33,7 +33,7 @@ def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFram
             )
         rows = rows.sort_values(["frame_index", "det_seq"])
         frames = rows["frame_index"].to_numpy()
-        present = rows["det_seq"].notna().to_numpy()
+        present = rows["present"].to_numpy(dtype=bool)
         xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
         ids = np.full(len(rows), -1, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
@@ -61,6 +61,14 @@ def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFram
     return run
 
 
+def marked_rows(rows: DataFrame) -> DataFrame:
+    """Rows without nulls in ``det_seq``: pandas would turn such a column to floats."""
+    return rows.select(
+        "video_id", "frame_index", F.coalesce("det_seq", F.lit(-1)).alias("det_seq"),
+        F.col("det_seq").isNotNull().alias("present"), "cx", "cy",
+    )
+
+
 def track_objects(
     frames: DataFrame, detections: DataFrame, max_distance: float = MAX_DISTANCE,
     max_disappeared: int = MAX_DISAPPEARED, chunk_frames: int = CHUNK_FRAMES,
@@ -76,10 +84,9 @@ def track_objects(
     videos up to ``chunk_frames`` frames long.
     """
     keys = ["video_id", "frame_index"]
-    rows = (
+    rows = marked_rows(
         frames.select(*keys).join(detections.select(*keys, "det_seq", "cx", "cy"), keys, "left")
-        .withColumn("_part", F.floor(F.col("frame_index") / chunk_frames))
-    )
+    ).withColumn("_part", F.floor(F.col("frame_index") / chunk_frames))
     parts = frames.select("video_id", F.floor(F.col("frame_index") / chunk_frames).alias("_part")).distinct()
     order = Window.partitionBy("video_id").orderBy("_part")
     numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
@@ -92,7 +99,7 @@ def track_objects(
         staged = durable(staged)
     tracked: DataFrame | None = None
     for number in range(rounds):
-        now = staged.filter(F.col("_round") == number).select(*keys, "det_seq", "cx", "cy")
+        now = staged.filter(F.col("_round") == number).select(*keys, "det_seq", "present", "cx", "cy")
         made = now.groupBy("video_id").cogroup(state.groupBy("video_id")).applyInPandas(work, OUTPUT)
         if rounds > 1:
             made = durable(made)

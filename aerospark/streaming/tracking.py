@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aerospark.functions.track_step import MAX_DISAPPEARED, MAX_DISTANCE, Tracks
+from aerospark.operators.tracking import marked_rows
 
 STATE = (
     "next_id long, last_frame long, ids array<long>, xs array<double>, ys array<double>, "
@@ -29,7 +30,7 @@ def _advance(max_distance: float, max_disappeared: int):
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame_index", "det_seq"])
         frames = rows["frame_index"].to_numpy()
         late = frames <= last
-        present = rows["det_seq"].notna().to_numpy()
+        present = rows["present"].to_numpy(dtype=bool)
         xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
         given = np.full(len(rows), -1, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
@@ -42,10 +43,9 @@ def _advance(max_distance: float, max_disappeared: int):
             )
             last = int(frames[begin])
         state.update((tracks.next_id, last, tracks.ids, tracks.xs, tracks.ys, tracks.missed))
-        found = rows.loc[present, ["video_id", "frame_index"]]
+        found = rows.loc[present, ["video_id", "frame_index", "det_seq"]]
         yield found.assign(
-            det_seq=rows.loc[present, "det_seq"].astype("int64"),
-            track_id=pd.array(given[present], dtype="Int64"), rejected=late[present],
+            track_id=pd.array(given[present], dtype="Int64"), rejected=late[present]
         ).assign(track_id=lambda d: d["track_id"].where(~d["rejected"]))
 
     return run
@@ -61,7 +61,7 @@ def stream_tracks(
     one is marked rejected.  State holds the live objects of a video only, and
     the source's cap on files per batch bounds what a task takes in.
     """
-    return rows.groupBy("video_id").applyInPandasWithState(
+    return marked_rows(rows).groupBy("video_id").applyInPandasWithState(
         _advance(max_distance, max_disappeared), outputStructType=OUTPUT, stateStructType=STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout,
     )

@@ -10,6 +10,8 @@ from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
 from aerospark.streaming.tracking import stream_tracks
 
+# Ids beyond the whole numbers a float can hold.
+BIG = 10**17
 BOX = "video_id long, frame_index long, det_seq long, cx double, cy double"
 
 
@@ -20,7 +22,7 @@ def plain_tracker(frames, max_distance, max_disappeared):
         claims = []
         for oid, (x, y, _) in objects.items():
             if points:
-                gaps = [math.hypot(x - px, y - py) for _, px, py in points]
+                gaps = [math.sqrt((x - px) ** 2 + (y - py) ** 2) for _, px, py in points]
                 best = min(range(len(points)), key=lambda i: (gaps[i], i))
                 claims.append((gaps[best], oid, best))
         taken, matched = {}, set()
@@ -55,7 +57,7 @@ def scene(seed):
             walker[0] += rng.gauss(0, 6)
             walker[1] += rng.gauss(0, 6)
             if rng.random() < 0.8 and frame not in (40, 42, 44, 46, 48):
-                points.append((i, walker[0], walker[1]))
+                points.append((BIG + i, walker[0], walker[1]))
         frames.append((frame, points))
     return frames
 

@@ -5,6 +5,7 @@ Each works in fresh folders under the session's shared folder.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from aerospark.operators.inference import run_inference, run_inference_batch, text_model
 from aerospark.scale import work_path
 from aerospark.sources import sinks, tables
-from aerospark.sources.clients import InClusterClient
+from aerospark.sources.clients import InClusterClient, RemoteClient
 from aerospark.streaming.inference import file_stream, stream_events, stream_inference
 from aerospark.streaming.tracking import stream_tracks
 from workload import views
+from workload.geometry_queries import TRACKS
 from workload.registry import query
 from workload.views import with_views
 
@@ -244,6 +246,72 @@ def restarted_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id")
 
 
+@query("t2_capped_file_stream", EVENTS_SQL)
+def capped_file_stream(spark, sf_dir):
+    """JSON lines in several files, one file per micro-batch."""
+    source, out = work_path(spark, "event-files"), work_path(spark, "stream-rows")
+    views.table(spark, sf_dir, "events").repartition(4).write.json(source)
+    stream = file_stream(spark, source, EVENT_FILE, "json", 1, multiline=False)
+    stream.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", work_path(spark, "checkpoint")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(*EVENT_COLUMNS)
+
+
+def flaky_endpoint():
+    """A remote client whose endpoint, a function, fails each context's first try."""
+    tried: set[str] = set()
+
+    def transport(url, payload, headers, timeout):
+        context = payload["context"]
+        seen = json.dumps(context)
+        if seen not in tried:
+            tried.add(seen)
+            return 503, ""
+        if context["query"] == "error":
+            return 404, ""
+        return 200, json.dumps({"detections": context["tracks"], "model": payload["model_name"]})
+
+    return RemoteClient("http://endpoint", transport=transport, sleep=lambda seconds: None)
+
+
+@query("u3_remote_inference_with_retries", RESULTS_SQL.replace("THEN 'boom' END", "THEN 'inference refused: HTTP status 404' END"))
+def remote_inference(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").selectExpr(*CONTEXT)
+    return run_inference(rows, "echo", flaky_endpoint)
+
+
+INSIGHTS = (
+    "concat('{\"videos\":[{\"insights\":{\"shots\":[{\"keyFrames\":[',"
+    "'{\"instances\":[{\"start\":\"', user_id, '\",\"end\":\"', event_id, '\"},{\"start\":\"x\",\"end\":\"y\"}]},',"
+    "'{\"instances\":[{\"start\":\"0\",\"end\":\"', user_id, '\"}]}]},{\"keyFrames\":[',"
+    "'{\"instances\":[{\"start\":\"', event_type, '\",\"end\":\"z\"}]}]}]}}]}')"
+)
+
+
+@query("g3_insight_segments", """
+    SELECT event_id AS video_id, 0 AS shot, 0 AS key_frame, user_id::VARCHAR AS starts, event_id::VARCHAR AS ends FROM events
+    UNION ALL SELECT event_id, 0, 1, '0', user_id::VARCHAR FROM events
+    UNION ALL SELECT event_id, 1, 0, event_type, 'z' FROM events""")
+def segments_of_insights(spark, sf_dir):
+    from aerospark.operators.insights import insight_segments
+
+    raw = views.table(spark, sf_dir, "events").selectExpr("event_id AS video_id", f"{INSIGHTS} AS insights")
+    return insight_segments(raw).select(
+        "video_id", "shot", "key_frame", F.col("start").alias("starts"), F.col("end").alias("ends")
+    )
+
+
+@query("g3_first_shot_ranges", """
+    SELECT event_id AS video_id, '{"videoId":"' || event_id || '","range":{"start":"' || user_id || '","end":"' || event_id || '"}}' AS range FROM events
+    UNION ALL SELECT event_id, '{"videoId":"' || event_id || '","range":{"start":"0","end":"' || user_id || '"}}' FROM events""")
+def ranges_of_first_shot(spark, sf_dir):
+    from aerospark.operators.insights import first_shot, insight_segments, video_range
+
+    raw = views.table(spark, sf_dir, "events").selectExpr("event_id AS video_id", f"{INSIGHTS} AS insights")
+    return first_shot(insight_segments(raw)).select("video_id", F.to_json(video_range()).alias("range"))
+
+
 @query("t4_stream_deduplication", STORED_SQL)
 def stream_deduplication(spark, sf_dir):
     path = work_path(spark, "stream-events")
@@ -257,7 +325,10 @@ def stream_deduplication(spark, sf_dir):
     return stored(spark, path)
 
 
-@query("t5_stream_tracks")
+@query(
+    "t5_stream_tracks",
+    with_views("frames detections", f"{TRACKS} SELECT video_id, frame_index, det_seq, track_id, false AS rejected FROM tracked"),
+)
 def streamed_tracks(spark, sf_dir):
     """Frames in three deliveries; the stream is restarted for each of them."""
     keys = ["video_id", "frame_index"]

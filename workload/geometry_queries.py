@@ -134,32 +134,40 @@ def suppressed_with_suppressor(spark, sf_dir):
 
 EPS, MIN_SAMPLES = 60.0, 3
 
-DENSITY = f"""
+def density_sql(points: str, eps: float, minimum: int, body: str) -> str:
+    """Clusters by definition over ``points(grp, id, x, y)``: pairs, core points, reach."""
+    return with_views("detections", f"""WITH RECURSIVE points AS ({points}),
     near AS (
-        SELECT a.video_id, a.frame_index, a.det_seq AS a, b.det_seq AS b
-        FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_index = b.frame_index
-         AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= {EPS} * {EPS}),
-    counts AS (SELECT video_id, frame_index, a, count(*) AS n FROM near GROUP BY ALL),
-    core AS (SELECT video_id, frame_index, a FROM counts WHERE n >= {MIN_SAMPLES}),
+        SELECT a.grp, a.id AS a, b.id AS b FROM points a JOIN points b ON a.grp = b.grp
+         AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps} * {eps}),
+    counts AS (SELECT grp, a, count(*) AS n FROM near GROUP BY ALL),
+    core AS (SELECT grp, a FROM counts WHERE n >= {minimum}),
     links AS (
-        SELECT n.* FROM near n JOIN core c ON c.video_id = n.video_id AND c.frame_index = n.frame_index AND c.a = n.a
-        JOIN core d ON d.video_id = n.video_id AND d.frame_index = n.frame_index AND d.a = n.b),
+        SELECT n.* FROM near n JOIN core c ON c.grp = n.grp AND c.a = n.a
+        JOIN core d ON d.grp = n.grp AND d.a = n.b),
     reach AS (
-        SELECT video_id, frame_index, a, a AS root FROM core
+        SELECT grp, a, a AS root FROM core
         UNION
-        SELECT l.video_id, l.frame_index, l.b, r.root FROM reach r JOIN links l
-          ON l.video_id = r.video_id AND l.frame_index = r.frame_index AND l.a = r.a),
-    rooted AS (SELECT video_id, frame_index, a, min(root) AS root FROM reach GROUP BY ALL),
-    numbered AS (
-        SELECT *, dense_rank() OVER (PARTITION BY video_id, frame_index ORDER BY root) - 1 AS cluster FROM rooted),
+        SELECT l.grp, l.b, r.root FROM reach r JOIN links l ON l.grp = r.grp AND l.a = r.a),
+    rooted AS (SELECT grp, a, min(root) AS root FROM reach GROUP BY ALL),
+    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY grp ORDER BY root) - 1 AS cluster FROM rooted),
     member AS (
-        SELECT n.video_id, n.frame_index, n.a, min(c.cluster) AS cluster
-        FROM near n JOIN numbered c ON c.video_id = n.video_id AND c.frame_index = n.frame_index AND c.a = n.b
+        SELECT n.grp, n.a, min(c.cluster) AS cluster FROM near n JOIN numbered c ON c.grp = n.grp AND c.a = n.b
         GROUP BY ALL),
     clustered AS (
-        SELECT d.*, CAST(coalesce(own.cluster, m.cluster, -1) AS INT) AS cluster FROM detections d
-        LEFT JOIN numbered own ON own.video_id = d.video_id AND own.frame_index = d.frame_index AND own.a = d.det_seq
-        LEFT JOIN member m ON m.video_id = d.video_id AND m.frame_index = d.frame_index AND m.a = d.det_seq)"""
+        SELECT p.*, CAST(coalesce(own.cluster, m.cluster, -1) AS INT) AS cluster FROM points p
+        LEFT JOIN numbered own ON own.grp = p.grp AND own.a = p.id
+        LEFT JOIN member m ON m.grp = p.grp AND m.a = p.id)
+    {body}""")
+
+
+BY_FRAME = """
+    SELECT video_id * 100000000 + frame_index AS grp, det_seq AS id, cx AS x, cy AS y,
+           video_id, frame_index, det_seq FROM detections"""
+
+
+def frame_density(body: str) -> str:
+    return density_sql(BY_FRAME, EPS, MIN_SAMPLES, body)
 
 
 def centres(spark, sf_dir):
@@ -168,9 +176,9 @@ def centres(spark, sf_dir):
 
 @query(
     "j10_neighbour_counts",
-    with_views("detections", f"""WITH RECURSIVE {DENSITY}
-        SELECT DISTINCT c.video_id, c.frame_index, d.cx AS x, d.cy AS y, c.n AS neighbours
-        FROM counts c JOIN detections d ON d.video_id = c.video_id AND d.frame_index = c.frame_index AND d.det_seq = c.a"""),
+    frame_density("""
+        SELECT DISTINCT p.video_id, p.frame_index, p.x, p.y, c.n AS neighbours
+        FROM counts c JOIN points p ON p.grp = c.grp AND p.id = c.a"""),
 )
 def neighbours(spark, sf_dir):
     side = EPS / 2
@@ -182,7 +190,7 @@ def neighbours(spark, sf_dir):
 
 @query(
     "m3_density_clusters",
-    with_views("detections", f"WITH RECURSIVE {DENSITY} SELECT video_id, frame_index, det_seq, cluster FROM clustered"),
+    frame_density("SELECT video_id, frame_index, det_seq, cluster FROM clustered"),
 )
 def density_clusters(spark, sf_dir):
     found = clustering.cluster_points(centres(spark, sf_dir), FRAME, "det_seq", EPS, MIN_SAMPLES)
@@ -191,8 +199,8 @@ def density_clusters(spark, sf_dir):
 
 @query(
     "a9_cluster_summary",
-    with_views("detections", f"""WITH RECURSIVE {DENSITY}
-        SELECT video_id, frame_index, cluster, count(*) AS size, round(avg(cx), 6) AS cx, round(avg(cy), 6) AS cy
+    frame_density("""
+        SELECT video_id, frame_index, cluster, count(*) AS size, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy
         FROM clustered WHERE cluster >= 0 GROUP BY ALL"""),
 )
 def cluster_summary(spark, sf_dir):
@@ -203,7 +211,7 @@ def cluster_summary(spark, sf_dir):
 
 @query(
     "a9_cluster_totals",
-    with_views("detections", f"""WITH RECURSIVE {DENSITY}
+    frame_density("""
         SELECT video_id, frame_index, count(*) AS n_points, max(cluster) + 1 AS n_clusters,
                count_if(cluster = -1)::BIGINT AS n_noise FROM clustered GROUP BY ALL"""),
 )
@@ -235,21 +243,73 @@ def components(spark, sf_dir):
     return connected_components(events.selectExpr("cast(event_id AS bigint) AS node"), links)
 
 
+TRACKS = """WITH RECURSIVE inputs AS (
+        SELECT f.video_id, f.frame_index, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_index) AS step,
+               coalesce(p.pts, []) AS pts
+        FROM frames f LEFT JOIN (
+            SELECT video_id, frame_index, list({'seq': det_seq, 'x': cx, 'y': cy} ORDER BY det_seq) AS pts
+            FROM detections GROUP BY ALL) p USING (video_id, frame_index)),
+    run AS (
+        SELECT DISTINCT video_id, 0::BIGINT AS step, 0::BIGINT AS next_id,
+               CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, missed BIGINT)[]) AS objs,
+               CAST([] AS BIGINT[]) AS given FROM frames
+        UNION ALL
+        SELECT video_id, step, next_id + len(list_filter(won, lambda w: w IS NULL)),
+               list_concat(
+                   list_filter(list_transform(objs, lambda o, k: {
+                       'id': o.id,
+                       'x': CASE WHEN list_contains(won, k) THEN pts[list_position(won, k)].x ELSE o.x END,
+                       'y': CASE WHEN list_contains(won, k) THEN pts[list_position(won, k)].y ELSE o.y END,
+                       'missed': CASE WHEN list_contains(won, k) THEN 0::BIGINT ELSE o.missed + 1 END}),
+                       lambda o: o.missed <= 10),
+                   list_filter(list_transform(pts, lambda p, j: {
+                       'id': CASE WHEN won[j] IS NULL THEN next_id + len(list_filter(won[1:j], lambda w: w IS NULL)) - 1 END,
+                       'x': p.x, 'y': p.y, 'missed': 0::BIGINT}), lambda o: o.id IS NOT NULL)),
+               list_transform(won, lambda w, j: CASE WHEN w IS NULL
+                   THEN next_id + len(list_filter(won[1:j], lambda v: v IS NULL)) - 1 ELSE objs[w].id END)
+        FROM (
+            SELECT c.*, list_transform(pts, lambda p, j: list_min(list_filter(claims, lambda q: q.best = j AND q.gap <= 50)).k) AS won
+            FROM (
+                SELECT r.video_id, i.step, r.next_id, r.objs, i.pts,
+                       list_transform(r.objs, lambda o, k: {
+                           'gap': list_min(list_transform(i.pts, lambda p: sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y)))),
+                           'k': k,
+                           'best': list_position(
+                               list_transform(i.pts, lambda p: sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y))),
+                               list_min(list_transform(i.pts, lambda p: sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y)))))
+                       }) AS claims
+                FROM run r JOIN inputs i ON i.video_id = r.video_id AND i.step = r.step + 1) c)),
+    tracked AS (
+        SELECT r.video_id, i.frame_index, unnest(list_transform(i.pts, lambda p: p.seq)) AS det_seq, unnest(r.given) AS track_id
+        FROM run r JOIN inputs i ON i.video_id = r.video_id AND i.step = r.step)"""
+
+
 def tracked(spark, sf_dir):
     return tracking.track_objects(views.frames(spark, sf_dir), views.detections(spark, sf_dir))
 
 
-@query("m1_centroid_tracks")
+@query(
+    "m1_centroid_tracks",
+    with_views("frames detections", f"{TRACKS} SELECT video_id, frame_index, det_seq, track_id FROM tracked"),
+)
 def centroid_tracks(spark, sf_dir):
     return tracked(spark, sf_dir)
 
 
-@query("m2_unique_objects_per_video")
+@query(
+    "m2_unique_objects_per_video",
+    with_views("frames detections", f"{TRACKS} SELECT video_id, count(DISTINCT track_id) AS objects FROM tracked GROUP BY 1"),
+)
 def unique_per_video(spark, sf_dir):
     return zones.unique_objects(tracked(spark, sf_dir), ["video_id"])
 
 
-@query("m2_unique_objects_per_zone")
+@query(
+    "m2_unique_objects_per_zone",
+    with_views("frames detections zones", f"""{TRACKS}, {INSIDE}
+        SELECT video_id, zone, count(DISTINCT track_id) AS objects
+        FROM hits JOIN tracked USING (video_id, frame_index, det_seq) GROUP BY ALL"""),
+)
 def unique_per_zone(spark, sf_dir):
     hits = zones.detections_in_zones(views.detections(spark, sf_dir), views.zones(spark, sf_dir))
     located = hits.select(*FRAME, "det_seq", "zone").join(tracked(spark, sf_dir), [*FRAME, "det_seq"])

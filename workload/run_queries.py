@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aerospark.operators import clustering, suppression
 from aerospark.plans.analysis import Footage, run_events, run_routines
 from workload import views
+from workload.geometry_queries import BY_FRAME, INSIDE, density_sql
 from workload.registry import query
 from workload.views import with_views
 
@@ -21,7 +22,41 @@ def footage(spark, sf_dir):
     )
 
 
-@query("u5_run_routines")
+SAMPLED = """
+    sampled AS (
+        SELECT video_id, frame_index, rn FROM (
+            SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) AS rn
+            FROM frames WHERE frame_index % 3 = 0) WHERE rn <= 300)"""
+
+
+@query(
+    "u5_run_routines",
+    density_sql(BY_FRAME, 60.0, 3, f""", frames AS ({views.SQL["frames"]}), zones AS ({views.SQL["zones"]}), {SAMPLED}, {INSIDE},
+        counted AS (SELECT video_id, frame_index, zone, count(*) AS n FROM hits GROUP BY ALL),
+        zoned AS (
+            SELECT s.video_id, s.frame_index, z.zone AS name, coalesce(c.n, 0) AS value FROM sampled s CROSS JOIN zones z
+            LEFT JOIN counted c ON c.video_id = s.video_id AND c.frame_index = s.frame_index AND c.zone = z.zone),
+        groups AS (
+            SELECT video_id, frame_index, count(*) AS n_points, max(cluster) + 1 AS n_clusters, count_if(cluster = -1) AS n_noise
+            FROM clustered GROUP BY ALL),
+        grouped AS (
+            SELECT s.video_id, s.frame_index, coalesce(n_points, 0) AS n_points, coalesce(n_clusters, 0) AS n_clusters,
+                   coalesce(n_noise, 0) AS n_noise FROM sampled s LEFT JOIN groups USING (video_id, frame_index)),
+        moved AS (
+            SELECT d.video_id, d.frame_index, sqrt(vx * vx + vy * vy) AS m,
+                   CASE WHEN degrees(atan2(vy, vx)) < 0 THEN degrees(atan2(vy, vx)) + 360 ELSE degrees(atan2(vy, vx)) END AS a
+            FROM detections d JOIN sampled s USING (video_id, frame_index) WHERE s.rn > 1),
+        flow AS (
+            SELECT video_id, frame_index, avg(m) AS mean_magnitude, median(m) AS median_magnitude, max(m) AS max_magnitude,
+                   CASE WHEN sum(m) > 0 THEN sum(a * m) / sum(m) ELSE 0 END AS dominant_direction_deg FROM moved GROUP BY ALL)
+        SELECT 'zone_counting' AS routine, 'frame' AS level, video_id, frame_index, name, value::DOUBLE AS value FROM zoned
+        UNION ALL SELECT 'zone_counting', 'frame', video_id, frame_index, 'total', sum(value)::DOUBLE FROM zoned GROUP BY ALL
+        UNION ALL SELECT 'spatial_clustering', 'frame', video_id, frame_index, name, value::DOUBLE FROM (
+            UNPIVOT grouped ON n_points, n_clusters, n_noise INTO NAME name VALUE value)
+        UNION ALL SELECT 'optical_flow', 'frame_pair', video_id, frame_index, name, round(value, 6) FROM (
+            UNPIVOT flow ON mean_magnitude, median_magnitude, max_magnitude, dominant_direction_deg INTO NAME name VALUE value)
+        """),
+)
 def run_by_name(spark, sf_dir):
     names = ["zone_counting", "spatial_clustering", "optical_flow"]
     params = {"spatial_clustering": {"eps": 60.0, "min_samples": 3}}
@@ -65,7 +100,13 @@ def suppress_crowded(spark, sf_dir):
     return kept.select("video_id", "frame_index", F.col("det_seq.det_seq").alias("det_seq"))
 
 
-@query("m3_density_clusters_per_video")
+@query(
+    "m3_density_clusters_per_video",
+    density_sql("""
+        SELECT video_id AS grp, row_number() OVER (PARTITION BY video_id ORDER BY frame_index, det_seq) AS id,
+               cx AS x, cy AS y, video_id, frame_index, det_seq FROM detections""",
+        3.0, 8, "SELECT video_id, frame_index, det_seq, cluster FROM clustered"),
+)
 def clusters_per_video(spark, sf_dir):
     """All centres of a video as one crowded picture: solved by joins on a grid."""
     points = views.detections(spark, sf_dir).select(
