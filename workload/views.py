@@ -33,7 +33,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey % 10 AS video_id",
         "l_orderkey div 10 AS frame_index",
-        "(l_linenumber * 1000000000L + l_partkey) * 100000000L + l_suppkey AS det_seq",
+        "((l_linenumber * 1000000000L + l_partkey) * 10000000L + l_suppkey) * 100 "
+        "+ cast(floor(l_quantity) AS bigint) AS det_seq",
         "CASE l_returnflag WHEN 'A' THEN 'car' WHEN 'N' THEN 'person' ELSE 'truck' END AS label",
         "round(1 - l_discount, 2) AS score",
         "cast((l_partkey * 7) % 200 AS int) AS x",
@@ -149,7 +150,8 @@ SQL = {
         FROM orders""",
     "boxes": """
         SELECT l_orderkey % 10 AS video_id, l_orderkey // 10 AS frame_index,
-               (l_linenumber * 1000000000::BIGINT + l_partkey) * 100000000 + l_suppkey AS det_seq,
+               ((l_linenumber * 1000000000::BIGINT + l_partkey) * 10000000 + l_suppkey) * 100
+                   + CAST(floor(l_quantity) AS BIGINT) AS det_seq,
                CASE l_returnflag WHEN 'A' THEN 'car' WHEN 'N' THEN 'person' ELSE 'truck' END AS label,
                round(1 - l_discount, 2) AS score,
                CAST((l_partkey * 7) % 200 AS INT) AS x, CAST((l_suppkey * 13) % 200 AS INT) AS y,
