@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,19 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(
+    nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = durable
+) -> DataFrame:
     """``node, component`` for every node; the component is its least node.
 
     ``nodes`` has ``node``, ``edges`` has ``a, b``; nodes may be of any ordered
     type, structs too.  Alternates the large-star and small-star steps: each
     joins edges with one minimum per node, so a hub is split by the skew join and
     is never gathered, and the number of rounds is logarithmic in practice.  Each
-    round ends in a checkpoint, which cuts lineage and survives lost executors.
+    round ends in a checkpoint, which cuts lineage and survives lost executors;
+    ``cut`` is another way to cut it, such as a written table.
     """
-    current = durable(
+    current = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
@@ -41,7 +46,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         joined = large.join(lowest, "u")
         small = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         linked = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        current = durable(linked)
+        current = cut(linked)
         now = _fingerprint(current)
         if now == seen:
             break
