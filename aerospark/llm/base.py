@@ -41,6 +41,7 @@ class Words(NamedTuple):
     stop: np.ndarray
     row: np.ndarray
     code: np.ndarray
+    prefix: dict[int, np.ndarray]  # length in bytes -> hash of so many first bytes (of all, if shorter)
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
@@ -90,12 +91,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(20, int(n).bit_length()))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> Words:
     """The words of a slice, A-Z lowered.  ``inside`` tells which lowered bytes belong to words."""
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
-        return Words(none, none, none, none.astype(np.uint64))
+        return Words(none, none, none, none.astype(np.uint64), {k: none.astype(np.uint64) for k in prefixes})
     low = LOWER[data]
     part = inside[low]
     edge = np.zeros(n + 1, bool)
@@ -107,8 +110,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words
     up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    code = mix((total[stop] - total[start]) * down[start])
-    return Words(start, stop, np.searchsorted(offsets, start, side="right") - 1, code)
+    begun, back = total[start], down[start]
+    code = mix((total[stop] - begun) * back)
+    short = {k: mix((total[np.minimum(start + k, stop)] - begun) * back) for k in prefixes}
+    return Words(start, stop, np.searchsorted(offsets, start, side="right") - 1, code, short)
 
 
 def runs(code: np.ndarray, length: int) -> np.ndarray:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,10 +194,15 @@ def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFra
     )
     rows = spread.join(sets, "doc_id").select("family", "i", "j", "mine", "doc_id", "codes")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable")
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        ids, codes = group["doc_id"].to_numpy(), [np.asarray(c) for c in group["codes"]]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        ids, column = group["doc_id"].to_numpy(), group["codes"].combine_chunks()
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False)
+        codes = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         if i == j:
             linked = links_of_blocks(codes, codes, percent)
         else:
@@ -209,9 +213,10 @@ def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 across = links_of_blocks([codes[k] for k in here], [codes[k] for k in there], percent)
                 linked[np.ix_(here, there)] = across
                 linked |= linked.T
-        return pd.DataFrame(spanning(linked, ids), columns=["a", "b"], dtype="int64")
+        found = np.array(spanning(linked, ids), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=schema)
 
-    return rows.groupBy("family", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerospark.llm import line_dedup, minhash, quality
+from aerospark.llm import decontam, langid, line_dedup, minhash, near_vectors, packing, quality, toxicity
 from aerospark.llm.base import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,51 @@ FROM documents LEFT JOIN folded USING (doc_id)
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, length=3, threshold=0.85)
+
+
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", F.col("hits.n_words").alias("n_words"), decontam.hit_words().alias("n_hit"),
+        F.size("hits.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+    )
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+
+
+@_query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~held_out("doc_id", 5, 0))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"),
+        F.coalesce("language.lang", F.lit("und")).alias("lang_pred"), F.col("language.cosine").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out("doc_id", 3, 1))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
