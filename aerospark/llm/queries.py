@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerospark.llm import decontam, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, toxicity
+from aerospark.llm import decontam, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, toxicity, warc
 from aerospark.llm.base import held_out
+from aerospark.scale import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,38 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(docs, ~held_out("doc_id", 5, 1)).select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = work_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), archives)
+    records = warc.read_archives(spark, archives)
+    page = lambda name: F.regexp_extract(name, "<urn:page:(-?[0-9]+)>", 1).try_cast("bigint")
+    response = F.col("record_type") == "response"
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_extract("declared_digest", "sha256:(.*)", 1))
+        .alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op3_warc"] = """
+WITH rows AS (
+    SELECT page_id, coalesce(html, '') AS body FROM pages
+), sized AS (
+    SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM rows
+), firsts AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest
+), marked AS (
+    SELECT s.*, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again, first_id
+    FROM sized s LEFT JOIN firsts f USING (payload_digest)
+    WHERE payload_bytes >= 100
+    UNION ALL SELECT *, false, NULL FROM sized WHERE payload_bytes < 100
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM marked
+"""
