@@ -105,14 +105,14 @@ def _undisguised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     data = LOWER[_DISGUISE[data]]
     if len(data) < 3:
         return data, offsets
-    equal = data[1:] == data[:-1]
+    of_byte = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    equal = (data[1:] == data[:-1]) & (of_byte[1:] == of_byte[:-1])
     drop = np.zeros(len(data), bool)
     drop[1:] = equal
     run = np.zeros(len(data), bool)
     run[2:] = equal[1:] & equal[:-1]
     run[1:-1] |= equal[1:] & equal[:-1]
     drop &= run & PLAIN[data]
-    drop[offsets[:-1][offsets[:-1] < len(data)]] = False
     kept = np.concatenate([[0], np.cumsum(~drop)])
     return data[~drop], kept[offsets]
 
@@ -147,14 +147,17 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, second: np
     capital = (data >= 65) & (data <= 90)
     letter = (LOWER[data] >= 97) & (LOWER[data] <= 122)
     mark = (data == 33) | (data == 63)
+    # whether a byte and those before it lie in one row
+    of_byte = np.repeat(np.arange(rows), np.diff(offsets))
+    joined = of_byte[1:] == of_byte[:-1]
     twice = np.zeros(len(data), bool)
-    twice[1:] = mark[1:] & mark[:-1]
+    twice[1:] = mark[1:] & mark[:-1] & joined
     digit = (data >= 48) & (data <= 57)
     other = (data == 42) | (data == 64) | (data == 36)
     inner = np.zeros(len(data), bool)
-    inner[1:-1] = (digit | other)[1:-1] & letter[:-2] & letter[2:]
+    inner[1:-1] = (digit | other)[1:-1] & letter[:-2] & letter[2:] & joined[1:] & joined[:-1]
     runs = np.zeros(len(data), bool)
-    runs[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    runs[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & joined[1:] & joined[:-1]
     caps = np.concatenate([[0], np.cumsum(capital)])
     shouted = (caps[words.stop] - caps[words.start] == words.stop - words.start) & (words.stop - words.start > 1)
     plain, places_of = _undisguised(data, offsets)
