@@ -32,7 +32,7 @@ def event_field(path: str, columns: list[str]) -> Column:
     if head == "metrics":
         return F.try_element_at("metrics", F.lit(tail))
     if head in JSON_MAPS:
-        entries = F.col(head).cast("map<string,variant>")
+        entries = F.try_variant_get(F.col(head), "$", "map<string,variant>")
         return F.try_variant_get(F.try_element_at(entries, F.lit(tail)), "$", "string")
     return F.lit(None).cast("string")
 
@@ -78,8 +78,12 @@ def stable_id(width: int, *parts: Column) -> Column:
 
 
 def numeric_only(values: Column) -> Column:
-    """The numbers of a JSON object as a map; booleans, text and nulls are left out."""
-    entries = F.map_entries(values.cast("map<string,variant>"))
+    """The numbers of a JSON object as a map; booleans, text and nulls are left out.
+
+    A value that is no object has no numbers.
+    """
+    given = F.try_variant_get(values, "$", "map<string,variant>")
+    entries = F.map_entries(F.coalesce(given, F.create_map().cast("map<string,variant>")))
     kinds = F.transform(
         entries,
         lambda e: F.struct(

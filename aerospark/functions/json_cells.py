@@ -36,7 +36,10 @@ def is_empty(value: Column) -> Column:
     return (
         value.isNull()
         | (kind == "VOID")
-        | text.isin("", "[]", "{}", "false")
+        | ((kind == "STRING") & (text == ""))
+        | ((kind == "BOOLEAN") & (text == "false"))
+        | (kind.startswith("ARRAY") & (text == "[]"))
+        | (kind.startswith("OBJECT") & (text == "{}"))
         | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (number == 0))
     )
 

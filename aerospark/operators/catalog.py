@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.scale import broadcast_if_small, fits
+from aerospark.scale import broadcast_if_small
 
 # Fixed weights and the size above which a frame counts as large.
 W_CLASSES = 3.0
@@ -14,7 +14,8 @@ W_ALTITUDE = 1.0
 W_RESOLUTION = 1.0
 W_SMALL_UNTILED = 0.25
 LARGE_FRAME = 1920
-MAX_MODELS = 10_000
+#: Scored models, over all distinct requests, that may be broadcast.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def _score(model: Column) -> Column:
@@ -36,15 +37,13 @@ def _score(model: Column) -> Column:
     )
 
 
-def _ranked(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+def _ranked(requests: DataFrame, catalog: DataFrame, top: int | None = None) -> DataFrame:
     """Each request with the scored catalog as one sorted array.
 
     Requests that want the same are scored once: their distinct wants are ranked
-    and joined back.  A catalog is a small, checked table and travels as a single
-    array value.
+    and joined back, by a broadcast as long as requests times models stay few.  The
+    catalog travels as a single array value.
     """
-    if not fits(catalog, MAX_MODELS):
-        raise ValueError(f"the catalog holds more than {MAX_MODELS} models")
     models = catalog.agg(
         F.collect_list(
             F.struct(
@@ -63,19 +62,22 @@ def _ranked(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("_models"), lambda m: F.struct((-_score(m)).alias("cost"), m["id"].alias("id"))
     )
     distinct = wanting.groupBy("_key").agg(F.first("_want").alias("_want"))
+    listed = F.array_sort(scored)
     ranked = distinct.withColumn("_models", models).select(
-        "_key", F.array_sort(scored).alias("_ranked")
+        "_key", (listed if top is None else F.slice(listed, 1, top)).alias("_ranked")
     )
-    return wanting.drop("_want").join(broadcast_if_small(ranked), "_key").drop("_key")
+    entries = min(top or catalog.count(), catalog.count())
+    few = broadcast_if_small(ranked, max(1, BROADCAST_ENTRIES // max(1, entries)))
+    return wanting.drop("_want").join(few, "_key").drop("_key")
 
 
-def rank_models(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every model for every request: best score first, equal scores by id.
+def rank_models(requests: DataFrame, catalog: DataFrame, top: int | None = None) -> DataFrame:
+    """The ``top`` models, or all, for every request: best score first, equal scores by id.
 
     Requests have ``classes, task, altitude, width, height``, any of them null.
     """
     keep = requests.columns
-    listed = _ranked(requests, catalog).select(*keep, F.posexplode("_ranked").alias("rank", "_m"))
+    listed = _ranked(requests, catalog, top).select(*keep, F.posexplode("_ranked").alias("rank", "_m"))
     return listed.select(
         *keep, (F.col("rank") + 1).alias("rank"), F.col("_m.id").alias("model_id"),
         (-F.col("_m.cost")).alias("score"),
@@ -86,7 +88,7 @@ def select_model(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """The best model for each request; an empty catalog is an error."""
     best = F.get("_ranked", F.lit(0))
     empty = F.raise_error(F.lit("the catalog is empty")).cast("string")
-    return _ranked(requests, catalog).select(
+    return _ranked(requests, catalog, 1).select(
         *requests.columns,
         F.when(F.size("_ranked") > 0, best["id"]).otherwise(empty).alias("model_id"),
         (-best["cost"]).alias("score"),

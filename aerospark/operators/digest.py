@@ -11,18 +11,17 @@ from aerospark.functions.events import (
 
 # Fixed values of the summary event.
 SUMMARY_SOURCE = "agent:semantic"
-MAX_SOURCE_EVENTS = 5000
 MAX_CHILD_SPANS = 64
+#: Slices in which the events of a key are ranked first.
+SLICES = 64
 
 
-def _items(extra: list[Column]) -> Column:
+def _items() -> Column:
     """What a digest counts in an event: its source, its frame, its metrics."""
 
-    def item(kind: str, name: Column, value: Column, text: Column | None = None) -> Column:
-        note = F.lit(None).cast("string") if text is None else text
+    def item(kind: str, name: Column, value: Column) -> Column:
         return F.struct(
-            F.lit(kind).alias("kind"), name.cast("string").alias("name"),
-            value.cast("double").alias("value"), note.alias("text"),
+            F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("double").alias("value")
         )
 
     frame = F.col("frame_index")
@@ -31,22 +30,23 @@ def _items(extra: list[Column]) -> Column:
         lambda e: item("metric", e["key"], e["value"]),
     )
     own = [item("source", F.col("source"), F.lit(1)), F.when(frame.isNotNull(), item("frame", frame, frame))]
-    own += [F.when(present, item("span", name, F.lit(0), text)) for present, name, text in extra]
     return F.concat(F.array_compact(F.array(*own)), F.coalesce(metrics, F.array()))
 
 
-def _digest(events: DataFrame, keys: list[str], extra: list[tuple] = ()) -> DataFrame:
-    """Digests from one pass: items are reduced by (key, kind, name), then by key.
+def digest_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One digest per key: event count, sources, frames covered, and metric totals.
+
+    One pass: items are reduced by (key, kind, name), then by key.
 
     Both steps combine before their shuffle; the lists hold one entry per
     distinct name and the frames are only counted.
     """
     per_item = (
-        events.select(*keys, F.explode(_items(list(extra))).alias("item"))
+        events.select(*keys, F.explode(_items()).alias("item"))
         .groupBy(*keys, "item.kind", "item.name")
         .agg(
             F.count(F.lit(1)).alias("n"), F.sum("item.value").alias("total"),
-            F.min("item.value").alias("value"), F.max("item.text").alias("text"),
+            F.min("item.value").alias("value"),
         )
     )
 
@@ -55,7 +55,6 @@ def _digest(events: DataFrame, keys: list[str], extra: list[tuple] = ()) -> Data
 
     source = F.struct(F.col("name").alias("source"), "n")
     metric = F.struct(F.col("name").alias("metric"), "total")
-    span = F.struct(F.col("name").cast("long").alias("rank"), F.col("text").alias("span_id"))
     frame = only("frame", F.col("value"))
     return per_item.groupBy(*keys).agg(
         F.sum(only("source", F.col("n"))).alias("event_count"),
@@ -63,15 +62,9 @@ def _digest(events: DataFrame, keys: list[str], extra: list[tuple] = ()) -> Data
         F.min(frame).cast("long").alias("frame_min"), F.max(frame).cast("long").alias("frame_max"),
         F.array_sort(F.collect_list(only("source", source))).alias("sources"),
         F.array_sort(F.collect_list(only("metric", metric))).alias("metric_totals"),
-        F.array_sort(F.collect_list(only("span", span))).alias("spans"),
     )
 
 
-def digest_events(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest per key: event count, sources, frames covered, and metric totals."""
-    return _digest(events, keys).drop("spans")
-
-
 def digest_text(digests: DataFrame) -> Column:
     """The digest in one line, as prompt and as fallback text."""
 
@@ -99,31 +92,52 @@ def without_summaries(events: DataFrame) -> DataFrame:
     return events.filter(F.col("source") != SUMMARY_SOURCE)
 
 
+def earliest(events: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` events of each key, with their ``rank``.
+
+    Events are ranked within slices of a key first, and only those that lead their slice
+    are ranked over the key, so a key with most of the events is sorted by many tasks.
+    """
+    order = ["timestamp", "event_id"]
+    sliced = events.withColumn("_slice", F.pmod(F.xxhash64("event_id"), F.lit(SLICES)))
+    own = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    leading = sliced.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= limit)
+    return (
+        leading.drop("_slice", "_place")
+        .withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        .filter(F.col("rank") <= limit)
+    )
+
+
+def _with_spans(digests: DataFrame, events: DataFrame, keys: list[str], child: Column) -> DataFrame:
+    """Digests with the spans of the first events of their key."""
+    listed = earliest(events, keys, MAX_CHILD_SPANS).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), child.alias("span_id")))).alias("spans")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return digests.join(listed, same).drop(*[f"_{k}" for k in keys])
+
+
 def summarize_scenes(
     events: DataFrame,
     keys: list[str],
     scope: str = "video",
-    limit: int = MAX_SOURCE_EVENTS,
+    limit: int | None = None,
     complete=echo_completion,
     generated_by: str = "echo",
 ) -> DataFrame:
-    """One summary event per key from its earliest ``limit`` events.
+    """One summary event per key, from all of its events or its earliest ``limit``.
 
-    ``keys`` is ``["video_id"]`` or ``["trace_id"]``.  The rank limit is applied
-    before the shuffle as well, so a key with most of the events sends at most
-    ``limit`` rows from each task.  ``complete`` turns the digest line into text;
-    a null text falls back to the digest line itself.
+    ``keys`` is ``["video_id"]`` or ``["trace_id"]``.  Without a limit nothing is ranked
+    but the few events whose spans are listed.  ``complete`` turns the digest line into
+    text; a null text falls back to the digest line itself.
     """
-    order = Window.partitionBy(*keys).orderBy("timestamp", "event_id")
-    chosen = (
-        without_summaries(events)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-    )
+    chosen = without_summaries(events)
+    if limit is not None:
+        chosen = earliest(chosen, keys, limit).drop("rank")
     # A span travels with its trace; the widths of both ids are fixed by no rule here.
     child = F.concat_ws("|", F.col("span_id"), F.col("trace_id"))
-    span = (F.col("rank") <= MAX_CHILD_SPANS, F.col("rank"), child)
-    digests = _digest(chosen, keys, [span]).withColumns(
+    digests = _with_spans(digest_events(chosen, keys), chosen, keys, child).withColumns(
         {
             "derived_from_spans": F.transform("spans", lambda e: F.split_part(e["span_id"], F.lit("|"), F.lit(1))),
             "first_trace": F.regexp_extract(F.get("spans.span_id", F.lit(0)), r"^[^|]*\|(.*)$", 1),
@@ -169,23 +183,32 @@ def summarize_scenes(
 
 
 def child_events(events: DataFrame) -> DataFrame:
-    """Each event beside the event whose span is its parent."""
+    """Each event beside the event of its trace whose span is its parent."""
     parents = events.select(
-        F.col("span_id").alias("parent_span_id"),
+        "trace_id", F.col("span_id").alias("parent_span_id"),
         F.col("event_id").alias("parent_event_id"),
         F.col("source").alias("parent_source"),
     )
     linked = events.filter(F.col("parent_span_id").isNotNull())
-    return linked.join(parents, "parent_span_id").select(
+    return linked.join(parents, ["trace_id", "parent_span_id"]).select(
         "event_id", "source", "parent_span_id", "parent_event_id", "parent_source"
     )
 
 
 def summary_lineage(summaries: DataFrame, events: DataFrame) -> DataFrame:
-    """Each summary beside the source events whose spans it lists."""
+    """Each summary beside the source events whose spans it lists.
+
+    Spans are those of the summary's own video or, where it has none, of its trace.
+    """
     spans = F.try_variant_get("attributes", "$.derived_from_spans", "array<string>")
-    links = summaries.select(F.col("event_id").alias("summary_id"), F.explode(spans).alias("span_id"))
-    return links.join(events.select("span_id", "event_id", "source"), "span_id")
+    subject = F.coalesce(F.concat(F.lit("video:"), F.col("video_id").cast("string")), F.col("trace_id"))
+    links = summaries.select(
+        F.col("event_id").alias("summary_id"), F.explode(spans).alias("span_id"), subject.alias("_subject")
+    )
+    own = events.select("span_id", "event_id", "source", "video_id", "trace_id").withColumn(
+        "_subject", F.explode(F.array(F.concat(F.lit("video:"), F.col("video_id").cast("string")), F.col("trace_id")))
+    )
+    return links.join(own.drop("video_id", "trace_id"), ["span_id", "_subject"]).drop("_subject")
 
 
 def correlate(left: DataFrame, right: DataFrame, on: str = "correlation_key") -> DataFrame:

@@ -10,15 +10,14 @@ from aerospark.scale import previous_in_order
 # Fixed defaults of an analysis run.
 FRAME_STEP = 30
 MAX_FRAMES = 300
-# Fixed limits of the frame scan and of the fallback list.
-LAST_SCANNED_FRAME = 9998
+# Fixed length of the fallback list.
 FALLBACK_FRAMES = 20
 
 
 def sample_frames(
-    frames: DataFrame, step: int = FRAME_STEP, max_frames: int | None = MAX_FRAMES
+    frames: DataFrame, step: int = FRAME_STEP, max_frames: int | None = None
 ) -> DataFrame:
-    """Every ``step``-th frame, at most ``max_frames`` kept per video.
+    """Every ``step``-th frame; with ``max_frames`` at most so many of a video.
 
     The step is a plain filter.  The cap is a rank limit that Spark applies in
     each task before the shuffle, so a long video sends only its first frames.
@@ -73,7 +72,7 @@ def contiguous_frames(stored: DataFrame) -> DataFrame:
     )
     return starts.join(ends, "video_id", "left").select(
         "video_id",
-        F.when(F.col("has_first") == 1, F.least(F.col("run_end") + 1, F.lit(LAST_SCANNED_FRAME)))
+        F.when(F.col("has_first") == 1, F.col("run_end") + 1)
         .otherwise(F.lit(0)).cast("long").alias("frame_count"),
     )
 

@@ -27,7 +27,8 @@ VAR_THRESHOLD = 16.0
 VAR_FLOOR = 4.0
 EDGE_GRADIENT = 50
 EDGE_THRESHOLD = 0.08
-MAX_SPOTS = 10_000
+#: A colour centre that moves by less than this, squared, has settled.
+SETTLED = 1e-12
 
 
 def with_gray(pixels: DataFrame) -> DataFrame:
@@ -210,21 +211,21 @@ def spot_features(
 
     A pixel counts as an edge when its gray difference across plus down, inside
     the spot, reaches ``gradient``; no hysteresis.  A spot without pixels has
-    zeros.  Spots meet pixels in grid cells.
+    zeros.  Spots meet pixels in grid cells.  Spots with a ``video_id`` belong to that
+    video's frames alone; others to all frames.
     """
-    if not fits(spots, MAX_SPOTS):
-        raise ValueError(f"more than {MAX_SPOTS} spots")
+    scope = ["video_id"] if "video_id" in spots.columns else []
 
     def cells(low: str, extent: str):
         first = F.floor(F.col(low) / cell)
         return F.explode(F.sequence(first, F.greatest(first, F.floor((F.col(low) + F.col(extent) - 1) / cell))))
 
-    areas = spots.select("spot", *[F.col(c).alias(f"s{c}") for c in "xywh"])
+    areas = spots.select(*scope, "spot", *[F.col(c).alias(f"s{c}") for c in "xywh"])
     placed = areas.withColumn("i", cells("sx", "sw")).withColumn("j", cells("sy", "sh"))
     shaded = with_gray(pixels).select(
         *FRAME, "x", "y", "gray", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")
     )
-    inside = shaded.join(placed, ["i", "j"]).filter(
+    inside = shaded.join(placed, [*scope, "i", "j"]).filter(
         (F.col("x") >= F.col("sx")) & (F.col("x") < F.col("sx") + F.col("sw"))
         & (F.col("y") >= F.col("sy")) & (F.col("y") < F.col("sy") + F.col("sh"))
     ).select(*FRAME, "spot", "x", "y", "gray")
@@ -240,8 +241,12 @@ def spot_features(
         F.avg((F.col("dx") + F.col("dy") >= gradient).cast("double")).alias("edge_density"),
         F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("std"),
     )
-    names = spots.agg(F.collect_set("spot")).scalar()
-    every = frames.select(*FRAME).withColumn("spot", F.explode(names))
+    listed = F.collect_set("spot").alias("spots")
+    if scope:
+        every = frames.select(*FRAME).join(spots.groupBy(*scope).agg(listed), scope)
+    else:
+        every = frames.select(*FRAME).withColumn("spots", spots.agg(listed).scalar())
+    every = every.select(*FRAME, F.explode("spots").alias("spot"))
     zero = F.lit(0.0)
     return every.join(measured, [*FRAME, "spot"], "left").select(
         *FRAME, "spot", *[F.coalesce(n, zero).alias(n) for n in ("edge_density", "mean", "std")]
@@ -249,14 +254,16 @@ def spot_features(
 
 
 def dominant_colours(
-    pixels: DataFrame, k: int = 3, rounds: int = 20, keys: list[str] = FRAME
+    pixels: DataFrame, k: int = 3, keys: list[str] = FRAME
 ) -> DataFrame:
     """The ``k`` main colours of each frame with the share of pixels nearest to them.
 
     k-means per frame on its distinct colours, weighted by how often they occur:
     all pixels take part, yet a frame is reduced before its first shuffle.  Starts
     from the commonest colour and those farthest from the ones chosen, so that a
-    repeated run gives the same centres; they need not equal another library's.
+    repeated run gives the same centres; they need not equal another library's.  Rounds
+    go on until no centre moves, over the frames that have not settled; equal colours
+    always go to the same centre, so every frame settles.
     """
     colours = durable(
         pixels.groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in "bgr"])
@@ -286,7 +293,8 @@ def dominant_colours(
         )
 
     centres = durable(centres)
-    for _ in range(rounds):
+    settled = None
+    while True:
         assigned = nearest(colours.join(centres, keys))
         means = assigned.groupBy(*keys, "at").agg(
             F.struct(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "bgr"]).alias("mean")
@@ -299,10 +307,13 @@ def dominant_colours(
             F.transform("centres", lambda m, i: F.coalesce(F.try_element_at("means", i), m)).alias("centres"),
         )
         moved = durable(moved)
-        still_moving = moved.filter(F.col("old") != F.col("centres"))
-        centres = moved.drop("old")
-        if fits(still_moving, 0):
+        moves = F.zip_with("old", "centres", gap)
+        still = F.forall(moves, lambda g: g <= SETTLED)
+        done, centres = moved.filter(still).drop("old"), moved.filter(~still).drop("old")
+        settled = done if settled is None else settled.unionByName(done)
+        if fits(centres, 0):
             break
+    centres = settled
     final = nearest(colours.join(centres, keys))
     counts = final.groupBy(*keys, "at").agg(
         F.sum("n").alias("n"), F.first(F.get("centres", F.col("at"))).alias("centre")

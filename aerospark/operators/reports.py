@@ -81,10 +81,17 @@ def page(ordered: DataFrame, number: int, size: int | None = None, sizes=STANDAR
 
 def page_before(
     df: DataFrame, created: str, cursor: Column | None, size: int | None = None,
-    tiebreak: str = "event_id",
+    tiebreak: str = "event_id", after: Column | None = None,
 ) -> DataFrame:
-    """The newest rows older than the cursor: no row before the page is read twice."""
-    older = df if cursor is None else df.filter(F.col(created) < cursor)
+    """The newest rows older than the cursor: no row before the page is read twice.
+
+    The cursor is the time of the last row seen and, in ``after``, its id: rows of the same
+    time with a larger id follow.  Without ``after`` all rows of that time are skipped.
+    """
+    older = df
+    if cursor is not None:
+        tied = F.lit(False) if after is None else (F.col(created) == cursor) & (F.col(tiebreak) > after)
+        older = df.filter((F.col(created) < cursor) | tied)
     rows = min(size or KEYSET_PAGE[0], KEYSET_PAGE[1])
     return older.orderBy(F.desc(created), tiebreak).limit(rows)
 

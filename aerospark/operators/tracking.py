@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospark.functions.track_step import MAX_DISAPPEARED, MAX_DISTANCE, Tracks
-from aerospark.scale import broadcast_if_small, durable
+from aerospark.scale import broadcast_if_small, durable, work_path
 
 # Frames of one video that a task takes in at a time.
 CHUNK_FRAMES = 20_000
@@ -76,35 +76,42 @@ def track_objects(
     """``video_id, frame_index, det_seq, track_id`` for every detection.
 
     ``frames`` lists the frames in view, so that one without detections ages the
-    tracks.  Ids depend on all earlier frames of a video, so its frames go in
-    order; but a video is cut into chunks of frames, and a task holds one chunk
-    plus the live objects carried from the chunk before.  Chunks of all videos
-    with the same number run side by side, and each round is checkpointed: a lost
-    executor repeats one chunk, not a video.  A single round serves every set of
-    videos up to ``chunk_frames`` frames long.
+    tracks; a frame that only has detections counts as well.  Ids depend on all earlier
+    frames of a video, so its frames go in order; but a video is cut into chunks of
+    frames, and a task holds one chunk plus the live objects carried from the chunk
+    before.  Chunks of all videos with the same number run side by side.  They are
+    staged by round, so a round reads its own chunks alone, and each round is written
+    down: a lost executor repeats one chunk, not a video.  A single round serves every
+    set of videos up to ``chunk_frames`` frames long.
     """
     keys = ["video_id", "frame_index"]
-    rows = marked_rows(
-        frames.select(*keys).join(detections.select(*keys, "det_seq", "cx", "cy"), keys, "left")
-    ).withColumn("_part", F.floor(F.col("frame_index") / chunk_frames))
-    parts = frames.select("video_id", F.floor(F.col("frame_index") / chunk_frames).alias("_part")).distinct()
+    boxes = detections.select(*keys, "det_seq", "cx", "cy")
+    seen = frames.select(*keys).unionByName(boxes.select(*keys)).distinct()
+    rows = marked_rows(seen.join(boxes, keys, "left")).withColumn("_part", F.floor(F.col("frame_index") / chunk_frames))
+    parts = seen.select("video_id", F.floor(F.col("frame_index") / chunk_frames).alias("_part")).distinct()
     order = Window.partitionBy("video_id").orderBy("_part")
     numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
     rounds = (numbered.agg(F.max("_round")).first()[0] or 0) + 1
     work = _advance(max_distance, max_disappeared)
     spark = frames.sparkSession
     state = spark.createDataFrame([], f"video_id long, state {STATE}")
-    staged = rows.join(broadcast_if_small(numbered), ["video_id", "_part"])
-    if rounds > 1:
-        staged = durable(staged)
-    tracked: DataFrame | None = None
+    staged = rows.join(broadcast_if_small(numbered), ["video_id", "_part"]).select(
+        *keys, "det_seq", "present", "cx", "cy", "_round"
+    )
+
+    def tracked(now: DataFrame) -> DataFrame:
+        own = now.select(*keys, "det_seq", "present", "cx", "cy")
+        return own.groupBy("video_id").cogroup(state.groupBy("video_id")).applyInPandas(work, OUTPUT)
+
+    if rounds == 1:
+        return tracked(staged).filter(F.col("state").isNull()).drop("state")
+    chunks, made = work_path(spark, "chunks"), work_path(spark, "tracks")
+    staged.write.partitionBy("_round").parquet(chunks)
     for number in range(rounds):
-        now = staged.filter(F.col("_round") == number).select(*keys, "det_seq", "present", "cx", "cy")
-        made = now.groupBy("video_id").cogroup(state.groupBy("video_id")).applyInPandas(work, OUTPUT)
-        if rounds > 1:
-            made = durable(made)
-            # A video that ended keeps no state; the others pass theirs on.
-            state = made.filter(F.col("state").isNotNull()).select("video_id", "state")
-        found = made.filter(F.col("state").isNull()).drop("state")
-        tracked = found if tracked is None else tracked.unionByName(found)
-    return tracked
+        now = spark.read.schema(staged.schema).parquet(chunks).filter(F.col("_round") == number)
+        tracked(now).write.parquet(f"{made}/round={number}")
+        # A video that ended keeps no state; the others pass theirs on.
+        done = spark.read.schema(OUTPUT).parquet(f"{made}/round={number}")
+        state = done.filter(F.col("state").isNotNull()).select("video_id", "state")
+    every = spark.read.schema(OUTPUT).parquet(*[f"{made}/round={number}" for number in range(rounds)])
+    return every.filter(F.col("state").isNull()).drop("state")

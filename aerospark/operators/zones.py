@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerospark.functions import polygons
-from aerospark.scale import fits
 
 CELL = 64.0
-MAX_ZONES = 10_000
 
 
 def _cells(low: str, high: str, cell: float):
@@ -53,26 +51,30 @@ def zone_counts(
 ) -> DataFrame:
     """Per frame: the count of every zone, empty ones with 0, and the total.
 
-    Hits are counted per frame and zone before the shuffle.  The zone names are a
-    checked, small table and travel as one array value.
+    Zones with a ``video_id`` belong to that video's frames alone; others to all frames.
+    Hits are counted per frame and zone before the shuffle.  The zone names of a video,
+    or of all, come as one array.
     """
     keys = keys or ["video_id", "frame_index"]
-    if not fits(zones, MAX_ZONES):
-        raise ValueError(f"more than {MAX_ZONES} zones")
+    scope = ["video_id"] if "video_id" in zones.columns else []
     slim = detections.select(*keys, "cx", "cy")
     hits = (
-        detections_in_zones(slim, zones)
+        detections_in_zones(slim, zones, scope)
         .groupBy(*keys, "zone")
         .agg(F.count(F.lit(1)).alias("detections"))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("zone", "detections"))).alias("_hits"))
     )
-    names = zones.agg(F.array_sort(F.collect_set("zone"))).scalar()
-    filled = frames.join(hits, keys, "left").withColumn("_names", names)
+    listed = F.array_sort(F.collect_set("zone")).alias("_names")
+    filled = frames.join(hits, keys, "left")
+    if scope:
+        filled = filled.join(zones.groupBy(*scope).agg(listed), scope, "left")
+    else:
+        filled = filled.withColumn("_names", zones.agg(listed).scalar())
     counted = filled.withColumn(
         "zones",
         F.transform(
-            "_names",
+            F.coalesce("_names", F.array().cast("array<string>")),
             lambda name: F.struct(
                 name.alias("zone"),
                 F.coalesce(F.try_element_at(F.col("_hits"), name), F.lit(0).cast("long")).alias("detections"),

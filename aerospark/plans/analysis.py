@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospark.operators import clustering, homography, motion, occupancy, pixels, zones
 from aerospark.operators.commentary import describe_frames, frame_events, motion_events
-from aerospark.operators.frames import FRAME_STEP, MAX_FRAMES, sample_frames
-from aerospark.plans.registry import get_routine, register, unknown_routines
+from aerospark.operators.frames import FRAME_STEP, sample_frames
 
 FRAME = ["video_id", "frame_index"]
 SUMMARY = "routine string, level string, video_id long, frame_index long, summary map<string,double>"
@@ -46,6 +47,24 @@ class Outcome:
     motion: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class Routine:
+    name: str
+    run: Callable[..., Outcome]
+    level: str
+    description: str
+    needs: tuple[str, ...] = ()
+
+    def _given(self) -> list[inspect.Parameter]:
+        return list(inspect.signature(self.run).parameters.values())[1:]
+
+    def takes_any(self) -> bool:
+        return any(p.kind is inspect.Parameter.VAR_KEYWORD for p in self._given())
+
+    def parameters(self) -> list[str]:
+        return [p.name for p in self._given() if p.kind is not inspect.Parameter.VAR_KEYWORD]
+
+
 def _numbers(**values: Column) -> Column:
     parts = [p for name, value in values.items() for p in (F.lit(name), value.cast("double"))]
     return F.create_map(*parts).alias("summary")
@@ -58,19 +77,16 @@ def _counted(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     )
 
 
-@register("color_detection", "Objects of one colour range.", "frame")
 def color_detection(footage: Footage, **params) -> Outcome:
     boxes = pixels.detect_by_colour(footage.need("pixels"), **params)
     return Outcome(_counted(footage.frames, boxes), boxes)
 
 
-@register("threshold_detection", "Objects darker or lighter than their surroundings.", "frame")
 def threshold_detection(footage: Footage, **params) -> Outcome:
     boxes = pixels.detect_by_threshold(footage.need("pixels"), **params)
     return Outcome(_counted(footage.frames, boxes), boxes)
 
 
-@register("sliced_detection", "Colour detection tile by tile, merged.", "frame")
 def sliced_detection(footage: Footage, **params) -> Outcome:
     boxes = pixels.sliced_detection(footage.need("pixels"), **params)
     return Outcome(_counted(footage.frames, boxes), boxes)
@@ -83,7 +99,6 @@ def _boxes(footage: Footage) -> DataFrame:
     return pixels.detect_by_colour(footage.need("pixels"))
 
 
-@register("zone_counting", "Detections per polygonal zone.", "frame")
 def zone_counting(footage: Footage) -> Outcome:
     boxes = _boxes(footage)
     counted = zones.zone_counts(footage.frames.select(*FRAME), boxes, footage.need("zones"))
@@ -95,7 +110,6 @@ def zone_counting(footage: Footage) -> Outcome:
     )
 
 
-@register("spatial_clustering", "Density clusters of detection centres.", "frame")
 def spatial_clustering(footage: Footage, **params) -> Outcome:
     points = _boxes(footage).select(*FRAME, "det_seq", F.col("cx").alias("x"), F.col("cy").alias("y"))
     totals = clustering.cluster_totals(clustering.cluster_points(points, FRAME, **params), FRAME)
@@ -104,7 +118,6 @@ def spatial_clustering(footage: Footage, **params) -> Outcome:
     return Outcome(filled.select(*FRAME, _numbers(**numbers)))
 
 
-@register("color_histogram", "Channel means of each frame.", "frame")
 def color_histogram(footage: Footage, **params) -> Outcome:
     made = pixels.channel_histograms(footage.need("pixels"), **params)
     means = made.groupBy(*FRAME).agg(
@@ -115,7 +128,6 @@ def color_histogram(footage: Footage, **params) -> Outcome:
     return Outcome(means)
 
 
-@register("parking_occupancy", "Occupied spots by edge density.", "frame")
 def parking_occupancy(footage: Footage, edge_threshold: float = pixels.EDGE_THRESHOLD) -> Outcome:
     features = pixels.spot_features(footage.frames, footage.need("pixels"), footage.need("spots"))
     summary = occupancy.occupancy_summary(occupancy.classify_by_edges(features, edge_threshold), FRAME)
@@ -123,7 +135,6 @@ def parking_occupancy(footage: Footage, edge_threshold: float = pixels.EDGE_THRE
     return Outcome(summary.select(*FRAME, _numbers(**{n: F.col(n) for n in names})))
 
 
-@register("homography_map", "Homography of each video from point pairs.", "video")
 def homography_map(footage: Footage) -> Outcome:
     pairs = footage.need("pairs")
     fitted = homography.with_inliers(pairs, homography.fit_homographies(pairs))
@@ -135,14 +146,12 @@ def homography_map(footage: Footage) -> Outcome:
     )
 
 
-@register("optical_flow", "Magnitude and direction of motion between sampled frames.", "frame_pair")
 def optical_flow(footage: Footage) -> Outcome:
     summary = motion.flow_summary(footage.need("vectors"), FRAME)
     names = ("mean_magnitude", "median_magnitude", "max_magnitude", "dominant_direction_deg")
     return Outcome(summary.select(*FRAME, _numbers(**{n: F.col(n) for n in names})))
 
 
-@register("background_subtraction", "Moving objects against the running background.", "video")
 def background_subtraction(footage: Footage, **params) -> Outcome:
     per_frame, objects = pixels.background_subtraction(footage.need("pixels"), **params)
     summary = motion.motion_summary(per_frame, ["video_id"])
@@ -156,19 +165,57 @@ def background_subtraction(footage: Footage, **params) -> Outcome:
     )
 
 
+#: Every routine of a run: its work, whether it speaks of frames, pairs of frames or videos,
+#: and the tables it cannot do without.
+ROUTINES = {r.name: r for r in (
+    Routine("color_detection", color_detection, "frame", "Objects of one colour range.", ('pixels',)),
+    Routine("threshold_detection", threshold_detection, "frame", "Objects darker or lighter than their surroundings.", ('pixels',)),
+    Routine("sliced_detection", sliced_detection, "frame", "Colour detection tile by tile, merged.", ('pixels',)),
+    Routine("zone_counting", zone_counting, "frame", "Detections per polygonal zone.", ('zones',)),
+    Routine("spatial_clustering", spatial_clustering, "frame", "Density clusters of detection centres.", ()),
+    Routine("color_histogram", color_histogram, "frame", "Channel means of each frame.", ('pixels',)),
+    Routine("parking_occupancy", parking_occupancy, "frame", "Occupied spots by edge density.", ('pixels', 'spots')),
+    Routine("homography_map", homography_map, "video", "Homography of each video from point pairs.", ('pairs',)),
+    Routine("optical_flow", optical_flow, "frame_pair", "Magnitude and direction of motion between sampled frames.", ('vectors',)),
+    Routine("background_subtraction", background_subtraction, "video", "Moving objects against the running background.", ('pixels',)),
+)}
+
+
+def routine_table(spark: SparkSession) -> DataFrame:
+    """What can be run: name, level, description, tables needed and parameters, by name."""
+    rows = [
+        (r.name, r.level, r.description, list(r.needs), r.parameters()) for r in sorted(ROUTINES.values(), key=lambda r: r.name)
+    ]
+    return spark.createDataFrame(
+        rows, "name string, level string, description string, needs array<string>, parameters array<string>"
+    )
+
+
+def check_run(footage: Footage, names: list[str], params: dict[str, dict]) -> None:
+    """Everything that is wrong with a run, found before any of it starts."""
+    problems = [f"no routine is called {name}" for name in [*names, *params] if name not in ROUTINES]
+    if not names:
+        problems.append("no routine is asked for")
+    for routine in (ROUTINES[name] for name in names if name in ROUTINES):
+        problems += [f"{routine.name} reads {t}, which are not given" for t in routine.needs if getattr(footage, t) is None]
+        given = params.get(routine.name, {})
+        if not routine.takes_any():
+            problems += [f"{routine.name} has no parameter {p}" for p in given if p not in routine.parameters()]
+    if problems:
+        raise ValueError("; ".join(problems))
+
+
 def run_routines(
     footage: Footage, names: list[str], params: dict[str, dict] | None = None,
-    frame_step: int = FRAME_STEP, max_frames: int | None = MAX_FRAMES,
+    frame_step: int = FRAME_STEP, max_frames: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Run routines by name over sampled frames.
 
-    Unknown names are rejected before anything runs.  Every table with frame
+    A run that cannot work is refused before any of it starts.  Every table with frame
     numbers is cut to the sampled frames once.  Returns the summaries, the boxes
     and the motion rows of all routines, each as one table with ``routine``.
     """
-    missing = unknown_routines(names)
-    if missing or not names:
-        raise ValueError(f"unknown or no routines: {missing}")
+    check_run(footage, names, params or {})
     frames = sample_frames(footage.frames, frame_step, max_frames)
     chosen = frames.select(*FRAME)
     cut = {
@@ -179,7 +226,7 @@ def run_routines(
     sampled = replace(footage, frames=frames, **cut)
     summaries, boxes, moved = [], [], []
     for name in names:
-        routine = get_routine(name)
+        routine = ROUTINES[name]
         outcome = routine.run(sampled, **(params or {}).get(name, {}))
         tag = [F.lit(name).alias("routine"), F.lit(routine.level).alias("level")]
         summary = outcome.summary

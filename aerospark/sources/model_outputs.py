@@ -34,9 +34,10 @@ def _box_rows(df: DataFrame, keep: list[str], zipped: Column) -> DataFrame:
 
 
 def _zip(boxes: Column, scores: Column, classes: Column) -> Column:
-    shortest = F.least(F.size(boxes), F.size(scores), F.size(classes))
+    equal = (F.size(boxes) == F.size(scores)) & (F.size(boxes) == F.size(classes))
+    uneven = F.raise_error(F.lit("boxes, scores and classes must be as many")).cast("array<array<double>>")
     return F.transform(
-        F.slice(boxes, F.lit(1), shortest),
+        F.when(F.coalesce(equal, F.lit(True)), boxes.cast("array<array<double>>")).otherwise(uneven),
         lambda box, i: F.struct(
             box.alias("box"), F.get(scores, i).alias("score"), F.get(classes, i).alias("cls")
         ),

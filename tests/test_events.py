@@ -203,19 +203,19 @@ def test_phrases(spark):
 
 def test_table_sink_ignores_known_ids(spark):
     path = work_path(spark, "events")
-    sink = sinks.get_sink("db", path)
+    sink = sinks.open_sink(["table"], path)
     sink.emit_many(color_events(spark))
     sink.emit_many(color_events(spark).unionByName(events(spark, [("c", "x", 1, {})])))
     assert sorted(r.event_id for r in spark.read.parquet(f"{path}/events").collect()) == ["a", "b", "c"]
 
 
 def test_sink_names(spark):
-    assert isinstance(sinks.get_sink("off"), sinks.NullSink)
-    assert isinstance(sinks.get_sink("null,mem"), sinks.TeeSink)
-    for bad in ("nope", "db,nope"):
+    assert isinstance(sinks.open_sink(["null"]), sinks.NullSink)
+    assert isinstance(sinks.open_sink(["null", "memory"]), sinks.TeeSink)
+    for kinds, folder in ((["nope"], "/unused"), (["table", "nope"], "/unused"), ([], "/unused"), (["table"], None)):
         with pytest.raises(ValueError):
-            sinks.get_sink(bad, "/unused")
-    memory = sinks.get_sink("memory")
+            sinks.open_sink(kinds, folder)
+    memory = sinks.open_sink(["memory"], options={"memory": {"view": "kept"}})
     memory.emit_many(color_events(spark))
     memory.emit_many(events(spark, [("c", "x", 1, {})]))
     assert spark.table(memory.view).count() == 3

@@ -40,11 +40,14 @@ def test_odd_context_cells(spark):
 
 
 def test_payload_counts(spark):
-    payloads = ['{"detections":[1,2]}', '{"tracks":[1]}', '{"results":[]}', '{"summary":{"count":4}}', "{}", '{"summary":{}}',
-                '{"detections":[],"tracks":[1]}', '{"detections":"x","results":[1,2,3]}', '{"summary":{"count":2.9}}']
-    df = spark.createDataFrame([(p,) for p in payloads], "p string")
-    got = [r[0] for r in df.select(json_cells.count_detections(F.parse_json("p"))).collect()]
-    assert got == [2, 1, 0, 4, 0, 0, 0, 3, 2]
+    cases = {
+        '{"results":[{"a":[1]},null,"x"]}': 3, '{"tracks":[[],[]],"detections":[]}': 0, '{"tracks":{"id":4}}': 0,
+        '{"summary":{"count":true}}': 1, '{"summary":{"count":7.0}}': 7, '{"detections":[[1,2],[3,4],[5]]}': 3,
+        '{"summary":{"count":2.9}}': 2, '{"detections":"x","results":[1,2,3]}': 3, '{"other":[1,2]}': 0,
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    got = {r.p: r.n for r in df.select("p", json_cells.count_detections(F.parse_json("p")).alias("n")).collect()}
+    assert got == cases
 
 
 ROWS = [("1", None, '[{"id":1},{"id":2}]'), ("x", "5", '[{"id":3}]'), ("2", "6", "[]")]

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from aerospark.functions.colours import hsv
 from aerospark.operators import blobs, occupancy, pixels
-from aerospark.plans import registry
-from aerospark.plans.analysis import Footage, run_routines
+from aerospark.plans.analysis import Footage, routine_table, run_routines
 
 PIXEL = "video_id long, frame_index long, x int, y int, b int, g int, r int"
 
@@ -131,7 +130,7 @@ def test_main_colours(spark):
 def test_main_colours_settle_on_their_means(spark):
     rng = np.random.default_rng(3)
     image = rng.integers(0, 256, (12, 12, 3))
-    rows = pixels.dominant_colours(drawn(spark, [(1, 0, image)]), rounds=60).orderBy("rank").collect()
+    rows = pixels.dominant_colours(drawn(spark, [(1, 0, image)])).orderBy("rank").collect()
     flat = image.reshape(-1, 3).astype(float)
     centres = np.array([[r.b, r.g, r.r] for r in rows], dtype=float)
     nearest = ((flat[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
@@ -169,16 +168,16 @@ def test_trained_classifier_separates(spark):
 
 
 def test_routines_by_name(spark):
-    listed = [r.name for r in registry.available_routines(spark).collect()]
+    listed = [r.name for r in routine_table(spark).collect()]
     assert listed == sorted(listed) and {"color_detection", "optical_flow", "zone_counting"} <= set(listed)
-    with pytest.raises(ValueError):
-        registry.register("color_detection")(lambda footage: None)
-    with pytest.raises(KeyError):
-        registry.get_routine("nope")
     frame = drawn(spark, [(1, 0, squares([(2, 3)])), (1, 30, squares([])), (1, 31, squares([(2, 3)]))])
     footage = Footage(frames=frame.select("video_id", "frame_index").distinct(), pixels=frame)
-    with pytest.raises(ValueError, match="nope"):
-        run_routines(footage, ["color_detection", "nope"])
+    for names, params, found in (
+        (["color_detection", "nope"], {}, "nope"), ([], {}, "asked"), (["zone_counting"], {}, "zones"),
+        (["color_detection", "parking_occupancy"], {}, "spots"), (["homography_map"], {"homography_map": {"x": 1}}, "parameter x"),
+    ):
+        with pytest.raises(ValueError, match=found):
+            run_routines(footage, names, params)
     summaries, boxes, moved = run_routines(footage, ["color_detection", "color_histogram"], {"color_detection": {"min_area": 20}})
     counts = {r.frame_index: r.summary["count"] for r in summaries.filter("routine = 'color_detection'").collect()}
     assert counts == {0: 1.0, 30: 0.0} and boxes.count() == 1 and moved is None

@@ -29,6 +29,22 @@ def aggregate_by_source(spark, sf_dir):
     )
 
 
+@query(
+    "a1_aggregate_mixed_attributes",
+    with_views("commentary_events", """
+        SELECT CASE WHEN CAST(event_id AS BIGINT) % 3 = 2 THEN kind ELSE 'null' END AS group_value, count(*) AS events,
+               round(sum(value), 6) AS total
+        FROM commentary_events GROUP BY 1"""),
+)
+def aggregate_mixed(spark, sf_dir):
+    """Cells of the open map that are text or lists have no fields."""
+    number = F.col("event_id").cast("bigint") % 3
+    odd = F.when(number == 0, F.parse_json(F.lit('"some text"'))).when(number == 1, F.parse_json(F.lit("[1,2]")))
+    events = views.commentary_events(spark, sf_dir).withColumn("attributes", F.coalesce(odd, F.col("attributes")))
+    groups = aggregate_events(events, "attributes.kind", ["sum:value"])
+    return groups.select("group_value", "events", F.round("`sum:value`", 6).alias("total"))
+
+
 @query(
     "a1_aggregate_by_metadata_filtered",
     with_views("commentary_events", """
@@ -175,11 +191,51 @@ def scene_summaries(spark, sf_dir):
         FROM commentary_events c JOIN commentary_events p ON c.parent_span_id = p.span_id"""),
 )
 def parent_spans(spark, sf_dir):
+    """Seven events in a row, the first of them the parent, are a trace here."""
+    from aerospark.operators.digest import child_events
+
+    number = F.col("event_id").cast("bigint")
+    events = views.commentary_events(spark, sf_dir)
+    return child_events(events.withColumn("trace_id", F.md5((number - number % 7).cast("string"))))
+
+
+@query(
+    "j7_parent_spans_within_traces",
+    with_views("commentary_events", """
+        SELECT c.event_id, c.source, c.parent_span_id, p.event_id AS parent_event_id,
+               p.source AS parent_source
+        FROM commentary_events c JOIN commentary_events p
+          ON c.parent_span_id = p.span_id AND c.trace_id = p.trace_id"""),
+)
+def parent_spans_within_traces(spark, sf_dir):
     from aerospark.operators.digest import child_events
 
     return child_events(views.commentary_events(spark, sf_dir))
 
 
+@query(
+    "a6_limited_summaries",
+    with_views("commentary_events", """
+        WITH early AS (
+            SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, event_id) AS rn FROM commentary_events),
+        spans AS (SELECT video_id, string_agg(span_id, ',' ORDER BY rn) AS child_spans FROM early WHERE rn <= 25 GROUP BY 1)
+        SELECT video_id, count(*)::DOUBLE AS events_summarized, count(DISTINCT frame_index)::DOUBLE AS frames_covered,
+               round(sum(k), 4) AS total_k, any_value(child_spans) AS child_spans
+        FROM early JOIN spans USING (video_id) WHERE rn <= 25 GROUP BY video_id"""),
+)
+def limited_summaries(spark, sf_dir):
+    """Only the earliest 25 events of a video, of which most videos have more."""
+    from aerospark.operators.digest import summarize_scenes
+
+    made = summarize_scenes(views.commentary_events(spark, sf_dir), ["video_id"], limit=25)
+    spans = F.try_variant_get("attributes", "$.derived_from_spans", "array<string>")
+    return made.select(
+        "video_id", F.col("metrics.events_summarized").alias("events_summarized"),
+        F.col("metrics.frames_covered").alias("frames_covered"), F.round("metrics.total_k", 4).alias("total_k"),
+        F.array_join(spans, ",").alias("child_spans"),
+    )
+
+
 @query(
     "j7_summary_lineage",
     with_views("commentary_events", """
@@ -253,6 +309,33 @@ def keyset_page(spark, sf_dir):
     return page_before(events, "timestamp", cursor).select("event_id", "source")
 
 
+@query(
+    "w6_tied_keyset_pages",
+    with_views("commentary_events", """
+        SELECT event_id, CAST((row_number() OVER (ORDER BY date_trunc('week', timestamp) DESC, event_id) - 1) // 20 AS INT) AS page
+        FROM commentary_events WHERE video_id = 7"""),
+)
+def tied_pages(spark, sf_dir):
+    """All pages of a video's events, whose times are cut to weeks so that many tie."""
+    from functools import reduce
+
+    from aerospark.operators.reports import page_before
+
+    week = F.date_trunc("week", F.col("timestamp")).cast("timestamp_ntz")
+    events = views.commentary_events(spark, sf_dir).filter("video_id = 7").withColumn("week", week)
+    pages, cursor, after = [], None, None
+    while True:
+        found = page_before(events, "week", cursor, 20, after=after)
+        rows = found.select("week", "event_id").collect()  # one page
+        if not rows and pages:
+            break
+        pages.append(found.select("event_id", F.lit(len(pages)).alias("page")))
+        if len(rows) < 20:
+            break
+        cursor, after = F.lit(rows[-1]["week"]).cast("timestamp_ntz"), F.lit(rows[-1]["event_id"])
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query(
     "w7_text_search",
     with_views("commentary_events", """

@@ -133,6 +133,23 @@ def event_defaults(spark, sf_dir):
     )
 
 
+@query("p7_text_metrics", """
+    SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS metric_count,
+           CASE WHEN event_id % 3 = 2 THEN value END AS value FROM events""")
+def text_metrics(spark, sf_dir):
+    """Metrics that are text or a list are no numbers."""
+    from aerospark.operators.injection import make_events
+
+    given = views.table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id AS string) AS event_id",
+        "CASE event_id % 3 WHEN 0 THEN '\"12\"' WHEN 1 THEN '[1,2]' ELSE concat('{\"value\":', value, '}') END AS metrics",
+    )
+    return make_events(given).select(
+        F.col("event_id").cast("bigint").alias("event_id"), F.size("metrics").alias("metric_count"),
+        F.col("metrics")["value"].alias("value"),
+    )
+
+
 def twice(events):
     """Every event two times, the copy a minute later."""
     later = F.transform(F.array(F.lit(0), F.lit(1)), lambda n: n)
@@ -180,7 +197,7 @@ def memory_sink(spark, sf_dir):
 @query("s7_tee_sink", with_views("commentary_events", "SELECT event_id, source, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at FROM commentary_events"))
 def tee_sink(spark, sf_dir):
     path = work_path(spark, "tee")
-    sinks.get_sink("table,null,memory", path).emit_many(views.commentary_events(spark, sf_dir))
+    sinks.open_sink(["table", "null", "memory"], path).emit_many(views.commentary_events(spark, sf_dir))
     return stored(spark, f"{path}/events")
 
 

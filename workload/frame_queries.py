@@ -124,7 +124,7 @@ def previous_event(spark, sf_dir):
 CONTIGUOUS = """
     stored AS (SELECT DISTINCT video_id, frame_index FROM detections),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS rn FROM stored),
-    contiguous AS (SELECT video_id, CAST(least(count_if(rn = frame_index), 9998) AS BIGINT) AS frame_count
+    contiguous AS (SELECT video_id, CAST(count_if(rn = frame_index) AS BIGINT) AS frame_count
                    FROM ranked GROUP BY video_id)"""
 
 

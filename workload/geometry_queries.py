@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerospark.operators import clustering, homography, motion, suppression, tracking, zones
@@ -48,6 +49,25 @@ def zone_counts(spark, sf_dir):
     return counted.select(*FRAME, "total", zone_phrase(F.col("zones")).alias("phrase"))
 
 
+@query(
+    "a7_zone_counts_per_video",
+    with_views("frames detections zones", f"""WITH {INSIDE},
+        numbered AS (SELECT zone, CAST((row_number() OVER (ORDER BY zone) - 1) % 10 AS BIGINT) AS video_id FROM zones),
+        counted AS (SELECT video_id, frame_index, zone, count(*) AS n FROM hits GROUP BY ALL)
+        SELECT f.video_id, f.frame_index, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total, count(*) AS zones
+        FROM frames f JOIN numbered z USING (video_id) LEFT JOIN counted c
+          ON c.video_id = f.video_id AND c.frame_index = f.frame_index AND c.zone = z.zone GROUP BY ALL"""),
+)
+def zone_counts_per_video(spark, sf_dir):
+    """Every video has zones of its own."""
+    own = views.zones(spark, sf_dir).withColumn(
+        "video_id", ((F.row_number().over(Window.orderBy("zone")) - 1) % 10).cast("bigint")
+    )
+    frames = views.frames(spark, sf_dir).select(*FRAME)
+    counted = zones.zone_counts(frames, views.detections(spark, sf_dir), own)
+    return counted.select(*FRAME, "total", F.size("zones").cast("bigint").alias("zones"))
+
+
 def nms_sql(threshold: float, group: str, body: str) -> str:
     """Greedy suppression as a recursion over the rank of a box in its group."""
     overlap = (
@@ -296,6 +316,15 @@ def centroid_tracks(spark, sf_dir):
     return tracked(spark, sf_dir)
 
 
+@query(
+    "m1_tracks_in_chunks",
+    with_views("frames detections", f"{TRACKS} SELECT video_id, frame_index, det_seq, track_id FROM tracked"),
+)
+def tracks_in_chunks(spark, sf_dir):
+    """The same tracks, a few hundred frames of a video at a time."""
+    return tracking.track_objects(views.frames(spark, sf_dir), views.detections(spark, sf_dir), chunk_frames=600)
+
+
 @query(
     "m2_unique_objects_per_video",
     with_views("frames detections", f"{TRACKS} SELECT video_id, count(DISTINCT track_id) AS objects FROM tracked GROUP BY 1"),

@@ -220,6 +220,21 @@ def spot_features(spark, sf_dir):
     )
 
 
+@query(
+    "x5_spot_features_per_video",
+    with_views("pixels spots", f"""WITH {SPOTS},
+        own AS (SELECT r_name AS spot, CAST(r_regionkey AS BIGINT) AS video_id FROM region)
+        SELECT video_id, frame_index, spot, round(edge_density, 6) AS edge_density, round(mean, 6) AS mean,
+               round(std, 6) AS std FROM features JOIN own USING (video_id, spot)"""),
+)
+def spot_features_per_video(spark, sf_dir):
+    """The first videos have one spot each."""
+    own = views.table(spark, sf_dir, "region").selectExpr("r_name AS spot", "cast(r_regionkey AS bigint) AS video_id")
+    frames = views.table(spark, sf_dir, "embeddings").selectExpr("cast(label AS bigint) AS video_id", "vec_id AS frame_index")
+    found = pixels.spot_features(frames, views.pixels(spark, sf_dir), views.spots(spark, sf_dir).join(own, "spot"))
+    return found.withColumns({n: F.round(n, 6) for n in ("edge_density", "mean", "std")})
+
+
 @query(
     "m7_occupied_by_edges",
     with_views("pixels spots", f"""WITH {SPOTS}

@@ -26,7 +26,7 @@ SAMPLED = """
     sampled AS (
         SELECT video_id, frame_index, rn FROM (
             SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) AS rn
-            FROM frames WHERE frame_index % 3 = 0) WHERE rn <= 300)"""
+            FROM frames WHERE frame_index % 3 = 0))"""
 
 
 @query(
@@ -72,7 +72,7 @@ def run_by_name(spark, sf_dir):
         WITH sampled AS (
             SELECT video_id, frame_index FROM (
                 SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) AS rn
-                FROM frames WHERE frame_index % 3 = 0) WHERE rn <= 300)
+                FROM frames WHERE frame_index % 3 = 0))
         SELECT 'routine:zone_counting' AS source, s.video_id, s.frame_index,
                'video:' || s.video_id || '|frame:' || s.frame_index AS correlation_key,
                count(d.det_seq)::DOUBLE AS n, coalesce(sum(d.area), 0) AS total_area,
