@@ -13,34 +13,59 @@ from aerospark.functions.json_cells import result_row, row_to_context
 from aerospark.sources.tables import write_results
 
 
-def _infer(make_client: Callable[[], object], model: str):
-    """Work of one task: a client built once, a failing row kept as an error."""
+BATCH_SIZE = 32
+
+
+def _answer(client, context: dict, model: str) -> tuple[str, str | None]:
+    try:
+        return json.dumps(client.infer(context, model), default=str), None
+    except Exception as error:  # noqa: BLE001 - one row must not fail the run
+        return "{}", str(error)
+
+
+def _answers(client, contexts: list[dict], model: str) -> list[tuple[str, str | None]]:
+    """One call for all contexts where the client can; a batch that fails is asked row by row."""
+    many = getattr(client, "infer_batch", None)
+    if many and len(contexts) > 1:
+        try:
+            found = many(contexts, model)
+            if len(found) == len(contexts):
+                return [(json.dumps(answer, default=str), None) for answer in found]
+        except Exception:  # noqa: BLE001 - the single calls tell which row is to blame
+            pass
+    return [_answer(client, context, model) for context in contexts]
+
+
+def _infer(make_client: Callable[[], object], model: str, size: int):
+    """Work of one task: a client built once, ``size`` contexts a call, a failing row kept as an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
-            answers, errors = [], []
-            for context in batch["context"]:
-                try:
-                    answers.append(json.dumps(client.infer(json.loads(context), model), default=str))
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001 - one row must not fail the run
-                    answers.append("{}")
-                    errors.append(str(error))
-            yield batch.drop(columns=["context"]).assign(answer=answers, error=errors)
+            contexts, found = [json.loads(text) for text in batch["context"]], []
+            for at in range(0, len(contexts), size):
+                found += _answers(client, contexts[at: at + size], model)
+            yield batch.drop(columns=["context"]).assign(
+                answer=[answer for answer, _ in found], error=[error for _, error in found]
+            )
 
     return run
 
 
 def run_inference(
-    rows: DataFrame, model: str, make_client: Callable[[], object], include_frames: bool = True
+    rows: DataFrame, model: str, make_client: Callable[[], object], include_frames: bool = True,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """The result table for ``rows``: one result per row, a failure as its error.
 
     Contexts are built and answers counted in the JVM; only the context text
     crosses to Python and only the answer comes back.  Rows never leave the
-    executors.  ``make_client`` is called once per task.
+    executors.  ``make_client`` is called once per task.  A client with
+    ``infer_batch(contexts, model)`` gets up to ``batch_size`` contexts a call; if that
+    fails or gives another number of answers, each context is asked for by itself.
     """
+    if batch_size < 1:
+        raise ValueError("batch_size must be >= 1")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     ids = [
         (F.col(name) if name in kinds else F.lit(None)).cast("string").alias(name)
@@ -48,7 +73,7 @@ def run_inference(
     ]
     asked = rows.select(*ids, row_to_context(kinds, include_frames).alias("context"))
     answered = asked.mapInPandas(
-        _infer(make_client, model),
+        _infer(make_client, model, batch_size),
         "video_id string, frame_index string, answer string, error string",
     )
     parsed = answered.withColumn("result", F.try_parse_json("answer"))
@@ -61,14 +86,14 @@ def run_inference(
 def run_inference_batch(
     rows: DataFrame, model: str, make_client: Callable[[], object],
     table: str | None = None, path: str | None = None, mode: str = "append",
-    include_frames: bool = True,
+    include_frames: bool = True, batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Run the model and, given a table or path, store the results.
 
     With a destination the returned table reads what was stored, so that the
     model is not run a second time.
     """
-    results = run_inference(rows, model, make_client, include_frames)
+    results = run_inference(rows, model, make_client, include_frames, batch_size)
     if not (table or path):
         return results
     write_results(results, table, path, mode)

@@ -17,9 +17,13 @@ Transport = Callable[[str, dict, dict, float], tuple[int, str]]
 
 @dataclass
 class InClusterClient:
-    """Calls ``infer_fn(context, model)`` in the task; its answer must be a dict."""
+    """Calls ``infer_fn(context, model)`` in the task; its answer must be a dict.
+
+    ``infer_batch(contexts, model)``, if given, answers many at once, which suits an accelerator.
+    """
 
     infer_fn: Callable[[dict, str], dict] | None = None
+    infer_batch: Callable[[list[dict], str], list[dict]] | None = None
 
     def infer(self, context: dict, model: str) -> dict:
         if self.infer_fn is None:
@@ -77,4 +81,4 @@ class RemoteClient:
                 raise RuntimeError(f"inference refused: HTTP status {status}")
             else:
                 return json.loads(body)
-        raise RuntimeError(f"inference failed after {self.max_retries + 1} attempt(s): {problem}")
+        raise RuntimeError(f"the endpoint gave no answer in {self.max_retries + 1} tries; the last said: {problem}")

@@ -68,6 +68,35 @@ def test_batch_inference_keeps_failures_apart(spark):
     assert run_metrics(got, 2).first().asDict() == {"rows": 3.0, "batches": 2.0, "errors": 1.0, "detections": 3.0}
 
 
+def test_batched_calls_and_their_fall_back(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def note(text):
+        with open(log, "a") as file:
+            file.write(text + "\n")
+
+    def one(context, model):
+        note("one")
+        if context["query"] == "bad":
+            raise ValueError("bad row")
+        return {"detections": [context["query"]]}
+
+    def many(contexts, model):
+        note(f"many {len(contexts)}")
+        return [{"detections": [c["query"]]} for c in contexts if c["query"] != "short"] if all(
+            c["query"] != "bad" for c in contexts) else 1 / 0
+
+    rows = [(str(k), "0", q) for k, q in enumerate(["a", "b", "c", "bad", "d", "short", "e"])]
+    table = spark.createDataFrame(rows, "video_id string, frame_index string, query string").coalesce(1)
+    got = run_inference(table, "m", lambda: InClusterClient(one, many), batch_size=2).collect()
+    by = {r.video_id: (r.num_detections, r.error) for r in got}
+    assert by == {k: (0, "bad row") if k == 3 else (1, None) for k in range(7)}
+    with open(log) as file:
+        assert file.read().split("\n")[:-1] == ["many 2", "many 2", "one", "one", "many 2", "one", "one", "one"]
+    with pytest.raises(ValueError):
+        run_inference(table, "m", lambda: InClusterClient(one), batch_size=0)
+
+
 def test_clients_without_or_with_a_wrong_function():
     with pytest.raises(RuntimeError):
         InClusterClient().infer({}, "m")
@@ -97,7 +126,7 @@ def test_remote_client_retries_with_doubling_pauses():
 
 def test_remote_client_gives_up():
     client, calls, _ = remote([(500, "")] * 3, max_retries=2)
-    with pytest.raises(RuntimeError, match="3 attempt"):
+    with pytest.raises(RuntimeError, match="3 tries"):
         client.infer({}, "m")
     client, calls, _ = remote([(404, "")], max_retries=2)
     with pytest.raises(RuntimeError, match="404"):

@@ -57,6 +57,18 @@ def batch_inference(spark, sf_dir):
     return run_inference(rows, "echo", client)
 
 
+def echo_all(contexts: list[dict], model: str) -> list[dict]:
+    """The stand-in model for many contexts; one bad context fails the call."""
+    return [echo_tracks(context, model) for context in contexts]
+
+
+@query("u1_batched_calls", RESULTS_SQL)
+def batched_calls(spark, sf_dir):
+    """Eight contexts a call, of which some fail as a whole and are asked again one by one."""
+    rows = views.table(spark, sf_dir, "events").selectExpr(*CONTEXT)
+    return run_inference(rows, "echo", lambda: InClusterClient(echo_tracks, echo_all), batch_size=8)
+
+
 @query("a18_failure_isolation", """
     SELECT event_type, count(*) AS rows, count_if(event_type = 'error')::BIGINT AS errors FROM events GROUP BY 1""")
 def failure_isolation(spark, sf_dir):

@@ -32,6 +32,26 @@ def attribute_encoding(spark, sf_dir):
     )
 
 
+@query(
+    "p14_deep_attributes",
+    with_views("commentary_events", """
+        SELECT event_id,
+               '{"kvlistValue":{"values":[{"key":"b","value":{"arrayValue":{"values":[{"kvlistValue":{"values":'
+               || '[{"key":"c","value":{"kvlistValue":{"values":[{"key":"d","value":{"arrayValue":{"values":[{"intValue":"'
+               || CAST(k AS BIGINT) || '"},{"kvlistValue":{"values":[{"key":"e","value":{"stringValue":"' || kind
+               || '"}}]}}]}}}]}}}]}}]}}}]}}' AS value
+        FROM commentary_events"""),
+)
+def deep_attributes(spark, sf_dir):
+    """Lists and objects seven levels deep."""
+    k = F.col("metrics")["k"].cast("bigint").cast("string")
+    kind = F.regexp_replace("source", "^routine:", "")
+    text = F.concat(F.lit('{"a":{"b":[{"c":{"d":['), k, F.lit(',{"e":"'), kind, F.lit('"}]}}]}}'))
+    events = views.commentary_events(spark, sf_dir).withColumn("attributes", F.parse_json(text))
+    found = events.select("event_id", F.filter(otlp.signal_attributes(), lambda e: e["key"] == "a").alias("own"))
+    return found.select("event_id", F.to_json(F.get("own", F.lit(0))["value"]).alias("value"))
+
+
 @query(
     "p15_flat_log_records",
     with_views("commentary_events", """
