@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerospark.functions.boxes import project
-from aerospark.scale import broadcast_if_small
+from aerospark.scale import broadcast_if_small, durable
 
 # Fixed values.
 INLIER_PIXELS = 3.0
@@ -88,16 +88,42 @@ def fit_homographies(pairs: DataFrame, camera: str = "camera") -> DataFrame:
     )
 
 
+def _off(row: str = "homography") -> Column:
+    """How far a pair lands from its target."""
+    at = project(F.col(row), F.col("sx"), F.col("sy"))
+    dx, dy = at["x"] - F.col("dx"), at["y"] - F.col("dy")
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def fit_inliers(pairs: DataFrame, camera: str = "camera", pixels: float = INLIER_PIXELS) -> DataFrame:
+    """``fit_homographies`` without the pairs that are off; ``pairs`` counts all of them.
+
+    Fits, keeps the pairs that land within ``pixels`` or, as long as most do not, within
+    the nearer half, and fits again until the same pairs are kept.  A round is two passes
+    over the pairs; only a row for each camera is carried on.
+    """
+    fitted, seen = durable(fit_homographies(pairs, camera)), set()
+    everything = fitted.select(camera, "pairs")
+    while True:
+        judged = pairs.join(broadcast_if_small(fitted.select(camera, "homography")), camera).withColumn("_off", _off())
+        limits = durable(judged.groupBy(camera).agg(
+            F.greatest(F.lit(pixels), F.percentile_approx("_off", 0.5, 1000)).alias("_limit")
+        ))
+        kept = judged.join(broadcast_if_small(limits), camera).filter(F.col("_off") <= F.col("_limit"))
+        kept = kept.select(*pairs.columns)
+        mark = kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*pairs.columns))).first()
+        if tuple(mark) in seen:
+            return fitted.drop("pairs").join(everything, camera)
+        seen.add(tuple(mark))
+        fitted = durable(fit_homographies(kept, camera))
+
+
 def with_inliers(
     pairs: DataFrame, fitted: DataFrame, camera: str = "camera", pixels: float = INLIER_PIXELS
 ) -> DataFrame:
     """``fitted`` with the pairs that land within ``pixels`` of their target."""
     both = pairs.join(broadcast_if_small(fitted.select(camera, "homography")), camera)
-    at = project(F.col("homography"), F.col("sx"), F.col("sy"))
-    off = F.sqrt(
-        (at["x"] - F.col("dx")) * (at["x"] - F.col("dx")) + (at["y"] - F.col("dy")) * (at["y"] - F.col("dy"))
-    )
-    counts = both.groupBy(camera).agg(F.count_if(off <= pixels).alias("inliers"))
+    counts = both.groupBy(camera).agg(F.count_if(_off() <= pixels).alias("inliers"))
     return fitted.join(counts, camera)
 
 

@@ -137,7 +137,7 @@ def parking_occupancy(footage: Footage, edge_threshold: float = pixels.EDGE_THRE
 
 def homography_map(footage: Footage) -> Outcome:
     pairs = footage.need("pairs")
-    fitted = homography.with_inliers(pairs, homography.fit_homographies(pairs))
+    fitted = homography.with_inliers(pairs, homography.fit_inliers(pairs))
     return Outcome(
         fitted.select(
             F.col("camera").alias("video_id"), F.lit(None).cast("long").alias("frame_index"),
