@@ -21,17 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerospark.llm.base import batch, slices
+from aerospark.llm.base import batch, mix, powers, slices
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of text whose ids a worker remembers.
+#: Pieces of text whose ids a worker remembers, about 200 bytes each, and words, about 30 bytes each.
 REMEMBERED = 300_000
+REMEMBERED_WORDS = 2_000_000
 
 #: Fixed value: how the byte-level tokenizer splits a text before its merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters that any version of Unicode classes alike; a text with others goes to the tokenizer whole.
-_UNUSUAL = re.compile("[^\t\n\r -~\xa0-ɏ]")
+_UNUSUAL = re.compile("[^\t\n\r -~\xa1-ɏ]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
 
 PACKED = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _PACKED = pa.schema([
@@ -40,28 +43,114 @@ _PACKED = pa.schema([
 ])
 
 
+class Pool:
+    """Ids of words by 64-bit codes of the words: codes in order, and where the ids of each lie."""
+
+    def __init__(self):
+        self.codes = np.empty(0, np.uint64)
+        self.begin = self.size = np.empty(0, np.int64)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def unknown(self, codes: np.ndarray) -> np.ndarray:
+        """Which of the given codes, in order and distinct, are not held."""
+        if not len(self.codes):
+            return np.ones(len(codes), bool)
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.codes[place] != codes
+
+    def add(self, codes: np.ndarray, ids: list[bytes]) -> None:
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(b) // 4 for b in ids], np.int64)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used: self.used + len(flat)] = flat
+        place = np.searchsorted(self.codes, codes)
+        self.begin = np.insert(self.begin, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.codes = np.insert(self.codes, place, codes)
+        self.used += len(flat)
+
+    def join(self, codes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words ``codes[which]``, one after the other, and how many each has."""
+        place = np.searchsorted(self.codes, codes)
+        begin, size = self.begin[place][which], self.size[place][which]
+        ends = np.cumsum(size)
+        at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at], size
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; remembers the pieces it has seen."""
+    """Ids of texts as little-endian 32-bit numbers; remembers the words and pieces it has seen.
+
+    Of blanks in a row that something follows, the pattern takes all but the last as one piece,
+    and the last by itself or, if it is a space, with what follows.  So a text can be cut at
+    these places, and the words between them are encoded alone.
+    """
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words = Pool()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not _UNUSUAL.search(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [PIECES.findall(t) if usual else [] for t, usual in zip(texts, plain)]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list({p for own in pieces for p in own if p not in self.seen})
-        self.seen.update(zip(new, self._whole(new)))
-        look = self.seen.__getitem__
-        rest = iter(self._whole([t for t, usual in zip(texts, plain) if not usual]))
-        return [b"".join(map(look, own)) if usual else next(rest) for own, usual in zip(pieces, plain)]
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        pieces = [PIECES.findall(t) for t in texts]
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        new = list({p for own in pieces for p in own if p not in self.pieces})
+        self.pieces.update(zip(new, self._whole(new)))
+        look = self.pieces.__getitem__
+        return [b"".join(map(look, own)) for own in pieces]
+
+    def _by_words(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        n = len(data)
+        blank = _BLANK[data]
+        before, after = np.append(False, blank[:-1]), np.append(blank[1:], True)
+        filled = np.diff(offsets) > 0
+        begins = np.zeros(n, bool)
+        after[offsets[1:][filled] - 1] = True  # the blanks that end a text stay together
+        before[offsets[:-1][filled]] = False
+        begins |= blank & (~before | ~after)
+        begins |= ~blank & before & (np.append(np.uint8(0), data[:-1]) != 0x20)
+        begins[offsets[:-1][filled]] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], n)
+        up, down = powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        code = mix((total[stop] - total[start]) * down[start])
+        codes, first, which = np.unique(code, return_index=True, return_inverse=True)
+        if len(self.words.codes) > REMEMBERED_WORDS:
+            self.words = Pool()
+        new = np.flatnonzero(self.words.unknown(codes))
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
+            self.words.add(codes[new], self._by_pieces(texts))
+        ids, size = self.words.join(codes, which)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a: 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a slice."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        out: list[bytes] = [b""] * len(texts)
+        odd = [k for k, t in enumerate(texts) if _UNUSUAL.search(t) or any(s in t for s in self.special)]
+        for k, ids in zip(odd, self._whole([texts[k] for k in odd])):
+            out[k] = ids
+        rest = sorted(set(range(len(texts))).difference(odd))
+        if odd:
+            parts = [data[offsets[k]: offsets[k + 1]] for k in rest]
+            data, offsets = np.concatenate([data[:0], *parts]), np.cumsum([0] + [len(p) for p in parts])
+        if len(data):
+            for k, ids in zip(rest, self._by_words(data, offsets)):
+                out[k] = ids
+        return out
 
 
 def best_level(levels: np.ndarray, size: int) -> int:
@@ -179,8 +268,7 @@ def pack(
         packer = Packer(window, TaskContext.get().partitionId() << 36)
         for part in batches:
             for a, b, data, offsets in slices(part.column(1)):
-                texts = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(offsets[:-1], offsets[1:])]
-                for key, ids in zip(part.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
+                for key, ids in zip(part.column(0).slice(a, b - a).to_pylist(), encoder.encode(data, offsets)):
                     packer.add(key, ids + end)
                 if done := packer.take():
                     yield batch(_PACKED, *zip(*done))
