@@ -11,6 +11,7 @@ from aerospark.functions.events import (
 )
 
 FRAME = ["video_id", "frame_index"]
+# The wording of all phrases below is part of the event format.
 # Fixed names of the metrics every routine's commentary shares.
 DERIVED = ("count", "total_area", "mean_area", "mean_score", "max_score")
 DETECTION_ROUTINES = ("color_detection", "threshold_detection")

@@ -6,13 +6,13 @@ result cannot equal the image library's, the docstring says so.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerospark.functions.colours import gray, hsv, in_range
 from aerospark.operators.blobs import cleaned, find_blobs, frame_sizes, opened
 from aerospark.operators.suppression import AGNOSTIC_IOU, suppress
-from aerospark.operators.tiles import to_frame
+from aerospark.operators.tiles import tile_steps, to_frame
 from aerospark.scale import durable, fits
 
 FRAME = ["video_id", "frame_index"]
@@ -87,6 +87,20 @@ def detect_by_colour(
     return _as_detections(find_blobs(mask, FRAME, min_area), label)
 
 
+def _sliding(sums: dict[str, Column], order: WindowSpec, first: int, last: int) -> dict[str, Column]:
+    """Sums of whole numbers from ``first`` to ``last`` places around a row.
+
+    Each is the difference of two sums from the start, which take the same work for every
+    row however wide the range is.
+    """
+    start = Window.unboundedPreceding
+    upto, before = order.rangeBetween(start, last), order.rangeBetween(start, first - 1)
+    return {
+        name: F.coalesce(value.over(upto), F.lit(0)) - F.coalesce(value.over(before), F.lit(0))
+        for name, value in sums.items()
+    }
+
+
 def detect_by_threshold(
     pixels: DataFrame, min_area: float = MIN_AREA, block: int = 35, c: float = 5.0,
     invert: bool = True, label: str = "object",
@@ -97,13 +111,12 @@ def detect_by_threshold(
     Gaussian weights and without a blur before.
     """
     radius = (block if block % 2 else block + 1) // 2
-    shaded = with_gray(pixels)
-    across = Window.partitionBy(*FRAME, "y").orderBy("x").rangeBetween(-radius, radius)
-    rows = shaded.select(
-        *FRAME, "x", "y", "gray", F.sum("gray").over(across).alias("s"), F.count("gray").over(across).alias("n")
-    )
-    down = Window.partitionBy(*FRAME, "x").orderBy("y").rangeBetween(-radius, radius)
-    local = rows.withColumn("limit", F.sum("s").over(down) / F.sum("n").over(down) - c)
+    shaded = with_gray(pixels).select(*FRAME, "x", "y", F.col("gray").cast("long").alias("gray"))
+    across = Window.partitionBy(*FRAME, "y").orderBy("x")
+    rows = shaded.withColumns(_sliding({"s": F.sum("gray"), "n": F.count("gray")}, across, -radius, radius))
+    down = Window.partitionBy(*FRAME, "x").orderBy("y")
+    boxes = rows.withColumns(_sliding({"all_s": F.sum("s"), "all_n": F.sum("n")}, down, -radius, radius))
+    local = boxes.withColumn("limit", F.col("all_s") / F.col("all_n") - c)
     dark = F.col("gray") <= F.col("limit")
     marked = local.filter(dark if invert else ~dark).select(*FRAME, "x", "y")
     return _as_detections(find_blobs(_sized(marked, pixels, FRAME), FRAME, min_area), label)
@@ -125,12 +138,13 @@ def foreground(
         F.struct((own + 1).alias("part"), F.lit(False).alias("own")),
     )
     parted = shaded.select("*", F.explode(copies).alias("c")).select(*FRAME, "x", "y", "gray", "c.*")
-    before = (
-        Window.partitionBy("video_id", "x", "y", "part").orderBy("frame_index").rangeBetween(-span, -1)
+    order = Window.partitionBy("video_id", "x", "y", "part").orderBy("frame_index")
+    value = F.col("gray").cast("long")
+    sums = {"n": F.count("gray"), "s": F.sum(value), "ss": F.sum(value * value)}
+    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    known = parted.withColumns(_sliding(sums, order, -span, -1)).filter(F.col("own") & (n > 0)).withColumns(
+        {"mean": s / n, "var": (n * ss - s * s) / (n * n)}
     )
-    known = parted.withColumns(
-        {"mean": F.avg("gray").over(before), "var": F.var_pop("gray").over(before)}
-    ).filter("own")
     off = (F.col("gray") - F.col("mean")) * (F.col("gray") - F.col("mean"))
     return known.filter(off > threshold * F.greatest(F.col("var"), F.lit(VAR_FLOOR))).select(*FRAME, "x", "y")
 
@@ -181,9 +195,7 @@ def sliced_detection(
 
     Only pixels in the colour range are copied to the tiles that hold them.
     """
-    if not 0.0 <= overlap < 1.0:
-        raise ValueError("overlap must be in [0, 1)")
-    step_x, step_y = (max(1, int(extent * (1 - overlap))) for extent in tile)
+    step_x, step_y = tile_steps(tile, overlap)
     mask = _sized(colour_mask(pixels, lower, upper), pixels, FRAME)
     placed = (
         mask.withColumn("tile_x", F.explode(_tile_origins("x", "width", tile[0], step_x)))

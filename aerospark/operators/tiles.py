@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _steps(tile: tuple[int, int], overlap: float) -> tuple[int, int]:
-    if not 0.0 <= overlap < 1.0:
-        raise ValueError("overlap must be in [0, 1)")
+def tile_steps(tile: tuple[int, int], overlap: float) -> tuple[int, int]:
+    """How far apart tiles begin that share ``overlap`` of their width and height."""
+    if overlap < 0 or overlap >= 1:
+        raise ValueError(f"tiles share a part of them from 0 up to but not including 1, not {overlap}")
     return max(1, int(tile[0] * (1 - overlap))), max(1, int(tile[1] * (1 - overlap)))
 
 
@@ -39,7 +40,7 @@ def clamped_tiles(
         last = F.ceil(room / step).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.least(i * step, room))
 
-    step_x, step_y = _steps(tile, overlap)
+    step_x, step_y = tile_steps(tile, overlap)
     return _tiles(
         frames, origins("width", tile[0], step_x), origins("height", tile[1], step_y), tile
     )
@@ -53,7 +54,7 @@ def ragged_tiles(
     def origins(size: str, step: int) -> Column:
         return F.sequence(F.lit(0), F.greatest(F.lit(1), F.col(size) - 1) - 1, F.lit(step))
 
-    step_x, step_y = _steps(tile, overlap)
+    step_x, step_y = tile_steps(tile, overlap)
     return _tiles(frames, origins("width", step_x), origins("height", step_y), tile)
 
 
