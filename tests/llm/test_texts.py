@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 
 from aerospark.llm import decontam, line_dedup, minhash, packing
 from aerospark.llm.base import PLAIN, SPACED, words_of
-from aerospark.llm.queries import QUERIES
+from aerospark.llm.queries import ORACLES, QUERIES
+from tools.compare import connect, differences
 
 ODD = [
     None, "", " \n\t ", "one", "One two", "one  two\x0bthree", "a b c d e f g h", "A B C D E F G H",
@@ -354,3 +355,8 @@ def test_json_of_the_tokenizer_is_what_the_pattern_expects():
         model = json.load(file)
     assert model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel"
     assert packing.PIECES.pattern == public_tokenizers.PATTERN
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_with_sql_give_the_same_rows(spark, small, name):
+    assert differences(QUERIES[name](spark, small), connect(small).sql(ORACLES[name])) == []
