@@ -14,54 +14,69 @@ from aerospark.operators.tracking import marked_rows
 
 STATE = (
     "next_id long, last_frame long, ids array<long>, xs array<double>, ys array<double>, "
-    "missed array<int>"
+    "missed array<int>, held_frame long, held_seqs array<long>, held_xs array<double>, held_ys array<double>"
 )
 OUTPUT = "video_id long, frame_index long, det_seq long, track_id long, rejected boolean"
 
 
-def _advance(max_distance: float, max_disappeared: int):
+def _held(video_id: int, frame: int, seqs: list, xs: list, ys: list) -> pd.DataFrame:
+    """The rows of a held frame; one without detections is a single absent row."""
+    present = bool(len(seqs))
+    return pd.DataFrame({
+        "video_id": video_id, "frame_index": frame, "det_seq": list(seqs) if present else [-1], "present": present,
+        "cx": list(xs) if present else [np.nan], "cy": list(ys) if present else [np.nan],
+    })
+
+
+def _advance(max_distance: float, max_disappeared: int, hold_last: bool):
     """The work on one video's rows of a micro-batch, from its kept state."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks, last = Tracks(), -1
+        tracks, last, parts = Tracks(), -1, list(batches)
         if state.exists:
-            next_id, last, ids, xs, ys, missed = state.get
+            next_id, last, ids, xs, ys, missed, frame, *held = state.get
             tracks = Tracks(next_id, list(ids), list(xs), list(ys), list(missed))
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame_index", "det_seq"])
-        frames = rows["frame_index"].to_numpy()
+            if frame >= 0:
+                parts.append(_held(key[0], frame, *held))
+        rows = pd.concat(parts, ignore_index=True).sort_values(["frame_index", "det_seq"], ignore_index=True)
+        frames, present = rows["frame_index"].to_numpy(), rows["present"].to_numpy(dtype=bool)
         late = frames <= last
-        present = rows["present"].to_numpy(dtype=bool)
-        xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
+        open_frame, keep = -1, ([], [], [])
+        if hold_last and not late.all():
+            open_frame = int(frames[-1])
+            mine = rows[(frames == open_frame) & present]
+            keep = tuple(mine[name].tolist() for name in ("det_seq", "cx", "cy"))
+        done = frames != open_frame
         given = np.full(len(rows), -1, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
-        for begin, end in zip(starts, np.r_[starts[1:], len(rows)]):
-            if late[begin]:
-                continue
-            stop = end if present[begin] else begin
-            given[begin:stop] = tracks.advance(
-                xs[begin:stop], ys[begin:stop], max_distance, max_disappeared
-            )
-            last = int(frames[begin])
-        state.update((tracks.next_id, last, tracks.ids, tracks.xs, tracks.ys, tracks.missed))
-        found = rows.loc[present, ["video_id", "frame_index", "det_seq"]]
+        xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
+        for frame in np.unique(frames[done & ~late]):
+            place = np.flatnonzero((frames == frame) & present)
+            given[place] = tracks.advance(xs[place], ys[place], max_distance, max_disappeared)
+            last = int(frame)
+        state.update((tracks.next_id, last, tracks.ids, tracks.xs, tracks.ys, tracks.missed, open_frame, *keep))
+        out = present & done
+        found = rows.loc[out, ["video_id", "frame_index", "det_seq"]]
         yield found.assign(
-            track_id=pd.array(given[present], dtype="Int64"), rejected=late[present]
+            track_id=pd.array(given[out], dtype="Int64"), rejected=late[out]
         ).assign(track_id=lambda d: d["track_id"].where(~d["rejected"]))
 
     return run
 
 
 def stream_tracks(
-    rows: DataFrame, max_distance: float = MAX_DISTANCE, max_disappeared: int = MAX_DISAPPEARED
+    rows: DataFrame, max_distance: float = MAX_DISTANCE, max_disappeared: int = MAX_DISAPPEARED,
+    hold_last: bool = False,
 ) -> DataFrame:
     """Tracks for a stream of ``video_id, frame_index, det_seq, cx, cy``.
 
-    A frame without detections comes as one row with a null ``det_seq``.  All
-    rows of a frame arrive in one micro-batch; a frame that comes after a later
-    one is marked rejected.  State holds the live objects of a video only, and
+    A frame without detections comes as one row with a null ``det_seq``.  A frame that
+    comes after a later one is marked rejected.  All rows of a frame arrive in one
+    micro-batch, unless ``hold_last``: then the last frame of a batch waits in the state
+    for more rows until a later frame of its video comes, which may be an empty one that
+    marks the end.  State holds the live objects of a video only, and
     the source's cap on files per batch bounds what a task takes in.
     """
     return marked_rows(rows).groupBy("video_id").applyInPandasWithState(
-        _advance(max_distance, max_disappeared), outputStructType=OUTPUT, stateStructType=STATE,
+        _advance(max_distance, max_disappeared, hold_last), outputStructType=OUTPUT, stateStructType=STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout,
     )

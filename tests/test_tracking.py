@@ -91,6 +91,27 @@ def test_ids_stay_with_two_moving_objects(spark):
     }
 
 
+def test_a_frame_split_over_two_deliveries_is_held(spark):
+    scenes = {1: scene(6), 2: scene(7)}
+    frames, boxes = as_tables(spark, scenes)
+    rows = frames.join(boxes, ["video_id", "frame_index"], "left")
+    source, out, checkpoint = (work_path(spark, n) for n in ("frames", "tracks", "checkpoint"))
+    # the detections of frame 40 come in two parts, and an empty frame ends each video
+    early = (F.col("frame_index") < 40) | ((F.col("frame_index") == 40) & (F.coalesce("det_seq", F.lit(0)) % 2 == 0))
+    end = rows.groupBy("video_id").agg((F.max("frame_index") + 1).alias("frame_index"))
+    for part in (rows.filter(early), rows.filter(~early), end.selectExpr(
+        "video_id", "frame_index", "cast(null AS long) AS det_seq", "cast(null AS double) AS cx", "cast(null AS double) AS cy"
+    )):
+        part.select(rows.columns).write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows.schema, "parquet")
+        stream_tracks(stream, 20.0, 3, hold_last=True).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out)
+    got = {(r.video_id, r.frame_index, r.det_seq): r.track_id for r in found.collect()}
+    assert got == wanted(scenes, max_distance=20.0, max_disappeared=3) and not found.filter("rejected").count()
+
+
 def test_stream_equals_batch_and_rejects_late_frames(spark):
     scenes = {1: scene(4), 2: scene(5)}
     frames, boxes = as_tables(spark, scenes)

@@ -374,3 +374,32 @@ def streamed_tracks(spark, sf_dir):
             "checkpointLocation", checkpoint
         ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+@query(
+    "t5_split_frames",
+    with_views("frames detections", f"{TRACKS} SELECT video_id, frame_index, det_seq, track_id, false AS rejected FROM tracked"),
+)
+def tracks_of_split_frames(spark, sf_dir):
+    """Frames in three deliveries, where the rows of a frame at a border come in two of them."""
+    keys = ["video_id", "frame_index"]
+    frames = views.frames(spark, sf_dir).select(*keys)
+    boxes = views.detections(spark, sf_dir).select(*keys, "det_seq", "cx", "cy")
+    rows = frames.join(boxes, keys, "left")
+    last = frames.agg(F.max("frame_index")).first()[0]
+    end = frames.groupBy("video_id").agg((F.max("frame_index") + 1).alias("frame_index")).join(
+        boxes.limit(0), keys, "left"
+    )
+    # later detections of a frame count as half a frame later
+    place = F.col("frame_index") + F.when(F.col("det_seq") > 1, F.lit(0.5)).otherwise(0.0)
+    source, out, checkpoint = (work_path(spark, n) for n in ("frames", "tracks", "checkpoint"))
+    cuts = [-1.0, last // 3 + 0.25, 2 * (last // 3) + 0.25, last + 1.0]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        part = rows.filter((place > low) & (place <= high))
+        part = part.unionByName(end) if high > last else part
+        part.write.mode("append").parquet(source)
+        stream = file_stream(spark, source, rows.schema, "parquet")
+        stream_tracks(stream, hold_last=True).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
