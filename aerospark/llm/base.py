@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospark.scale import work_path
@@ -157,6 +157,13 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows of whole texts come to Python few at a time, so long ones fit in a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

@@ -12,7 +12,8 @@ group in the band given the context, times its share of the group:
 
 Texts are cut to blocks of bounded size, in which a word is a number into the block's
 own list of words.  The lists meet the counts of the whole corpus in a join on the
-word, so no task ever holds all words, and no document is joined word by word.
+word, so no task ever holds all words, and no document is joined word by word.  A word
+is known by a 64-bit hash of its bytes.
 
 The weights have a fixed size.  Training goes over all training tokens once, in
 rounds: each task runs gradient steps over its blocks from the shared weights, and
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import cut, mix, text_bytes
+from aerospark.llm.base import LOWER, SPACED, cut, mix, slices, words_of
 from aerospark.scale import work_path
 
 #: Text of a block, in bytes; a longer document is a block of its own.
@@ -40,18 +41,22 @@ BANDS = GROUPS = 16
 ROWS = 1 << 13
 KINDS = 4
 ROUNDS = 3
-BATCH = 8192
+BATCH = 16384
 RATE = 0.35
 #: Bytes of a word that place it in alphabetical order.
-HEAD = 6
+HEAD = 4
 #: Rows of weights that travel together when changes are averaged.
 CHUNK = 1024
 _DISPERSE = 32
+#: Tokens whose contexts are worked out at a time.
+SEGMENT = 1 << 18
 
 _BLOCK = (
     "block bigint, doc_id array<bigint>, train array<boolean>, ends array<bigint>, tokens binary, "
-    "words array<binary>, counts array<bigint>"
+    "codes array<bigint>, heads array<bigint>, counts array<bigint>"
 )
+#: The code of the end of a text; no word has it but by chance.
+_END = np.uint64(0x5851F42D4C957F2D)
 
 
 class Classes(NamedTuple):
@@ -74,46 +79,73 @@ class Weights(NamedTuple):
     group_bias: np.ndarray
 
 
+class _Words(NamedTuple):
+    """The tokens of some texts: places in a list of distinct words, and that list."""
+
+    token: np.ndarray
+    size: np.ndarray  # tokens of each text
+    code: np.ndarray
+    head: np.ndarray
+
+
+def heads_of(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first bytes of words as numbers that order like them."""
+    out = np.zeros(len(start), np.int64)
+    for k in range(HEAD):
+        byte = LOWER[data[np.minimum(start + k, len(data) - 1)]].astype(np.int64)
+        out = (out << 8) | np.where(start + k < stop, byte, 0)
+    return out
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> _Words:
+    """Lowers A-Z, cuts at ASCII white space only, and ends every text with the end token."""
+    found, rows = words_of(data, offsets, SPACED), len(offsets) - 1
+    size = np.bincount(found.row, minlength=rows)
+    ends = np.cumsum(size)
+    code, first, token = np.unique(np.insert(found.code, ends, _END), return_index=True, return_inverse=True)
+    start, stop = np.insert(found.start, ends, 0)[first], np.insert(found.stop, ends, 0)[first]
+    return _Words(token, size + 1, code, heads_of(data, start, stop) if len(data) else np.zeros(len(code), np.int64))
+
+
 def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame:
     """Blocks of documents: their tokens as numbers into the block's words, and training counts of those."""
     schema = pa.schema([
         ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())),
-        ("ends", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())),
-        ("counts", pa.list_(pa.int64())),
+        ("ends", pa.list_(pa.int64())), ("tokens", pa.binary()),
+        *[(name, pa.list_(pa.int64())) for name in ("codes", "heads", "counts")],
     ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        ids, marks, rows, seen, held = [], [], [], {}, 0
-
-        def done() -> pa.RecordBatch:
-            tokens = np.concatenate(rows)
-            marked = tokens[np.repeat(marks, [len(r) for r in rows])]
-            return pa.RecordBatch.from_arrays([
-                pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
-                pa.array([np.cumsum([len(r) for r in rows])], pa.list_(pa.int64())),
-                pa.array([tokens.astype("<u4").tobytes()], pa.binary()), pa.array([list(seen)], pa.list_(pa.binary())),
-                pa.array([np.bincount(marked, minlength=len(seen))], pa.list_(pa.int64())),
-            ], schema=schema)
+    def done(block: int, ids: list, marks: list, parts: list[_Words]) -> pa.RecordBatch:
+        code, first, place = np.unique(np.concatenate([p.code for p in parts]), return_index=True, return_inverse=True)
+        begins = np.cumsum([0] + [len(p.code) for p in parts])
+        tokens = np.concatenate([place[a: b][p.token] for p, a, b in zip(parts, begins[:-1], begins[1:])])
+        size = np.concatenate([p.size for p in parts])
+        # frequent words get small numbers, which take less room
+        order = np.argsort(-np.bincount(tokens, minlength=len(code)), kind="stable")
+        rank = np.empty(len(code), np.int64)
+        rank[order] = np.arange(len(code))
+        tokens, code, first = rank[tokens], code[order], first[order]
+        count = np.bincount(tokens[np.repeat(np.array(marks, bool), size)], minlength=len(code))
+        head = np.concatenate([p.head for p in parts])[first]
+        return pa.RecordBatch.from_arrays([
+            pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
+            pa.array([np.cumsum(size)], pa.list_(pa.int64())), pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+            *[pa.array([values], pa.list_(pa.int64())) for values in (code.view(np.int64), head, count)],
+        ], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, marks, parts, held = TaskContext.get().partitionId() << 24, [], [], [], 0
         for part in batches:
-            data, offsets = text_bytes(part.column(1))
-            raw = data.tobytes()
-            for key, mark, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), offsets[:-1], offsets[1:]):
-                if ids and held + b - a > BLOCK_BYTES:
-                    yield done()
-                    block, ids, marks, rows, seen, held = block + 1, [], [], [], {}, 0
-                # lowers A-Z and cuts at ASCII white space only; the end is the empty word
-                words = raw[a:b].lower().split()
-                words.append(b"")
-                for word in set(words).difference(seen):
-                    seen[word] = len(seen)
-                rows.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-                ids.append(key)
-                marks.append(mark)
-                held += b - a
+            for a, b, data, offsets in slices(part.column(1)):
+                if ids and held + len(data) > BLOCK_BYTES:
+                    yield done(block, ids, marks, parts)
+                    block, ids, marks, parts, held = block + 1, [], [], [], 0
+                parts.append(_words(data, offsets))
+                ids += part.column(0).slice(a, b - a).to_pylist()
+                marks += part.column(2).slice(a, b - a).to_pylist()
+                held += len(data)
         if ids:
-            yield done()
+            yield done(block, ids, marks, parts)
 
     return docs.select(
         F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")), F.coalesce(train, F.lit(False))
@@ -124,14 +156,13 @@ def _bin(count: Column) -> Column:
     return F.floor(8 * F.log2(count)).cast("int")
 
 
-def _head(word: Column) -> Column:
-    """The first bytes of a word as a number that orders like them."""
-    return F.conv(F.rpad(F.hex(F.substring(word, 1, HEAD)), 2 * HEAD, "0"), 16, 10).cast("bigint")
-
-
 def _classes(vocabulary: DataFrame) -> tuple[Classes, DataFrame]:
-    """Bands and groups from ``word, count``; the vocabulary with ``leaf``, the number of its group."""
-    bins = vocabulary.groupBy(_bin(F.col("count")).alias("bin")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
+    """Bands and groups from ``codes, head, count``; the vocabulary with ``leaf``, the number of its group.
+
+    A word that no training text holds (count 0) falls in the rarest band.
+    """
+    seen = vocabulary.filter(F.col("count") > 0)
+    bins = seen.groupBy(_bin(F.col("count")).alias("bin")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
     table = sorted((r["bin"], r["n"], r["v"]) for r in bins.collect())  # 8 bins for each doubling of a count
     tokens, types = sum(r[1] for r in table), sum(r[2] for r in table)
     least, below = [], 0
@@ -143,27 +174,21 @@ def _classes(vocabulary: DataFrame) -> tuple[Classes, DataFrame]:
                 least.append(bin_)
     least += [0] * (BANDS - 1 - len(least))
     band = sum(((_bin(F.col("count")) < at).cast("int") for at in least), F.lit(0))
-    placed = vocabulary.withColumn("band", band).withColumn("head", _head(F.col("word")))
+    placed = vocabulary.withColumn("band", F.when(F.col("count") > 0, band).otherwise(BANDS - 1))
     shares = [k / GROUPS for k in range(1, GROUPS)]
     cuts = np.zeros((BANDS, GROUPS - 1), np.int64)
-    found = placed.groupBy("band").agg(F.percentile_approx("head", shares, 5000).alias("cuts"))
+    found = placed.filter(F.col("count") > 0).groupBy("band").agg(F.percentile_approx("head", shares, 5000).alias("cuts"))
     for row in found.collect():  # a row for each band
         cuts[row["band"]] = row["cuts"]
     table = F.array(*[F.array(*[F.lit(int(c)) for c in own]) for own in cuts])
     group = F.size(F.filter(table[F.col("band")], lambda c: c <= F.col("head")))
     placed = placed.withColumn("leaf", (F.col("band") * GROUPS + group).cast("int")).drop("band", "head")
     mass, kinds = np.zeros(BANDS * GROUPS), np.zeros(BANDS * GROUPS)
-    for row in placed.groupBy("leaf").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for row in placed.groupBy("leaf").agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).collect():
         mass[row["leaf"]], kinds[row["leaf"]] = row["n"], row["v"]
     return Classes(np.array(least), cuts, mass, kinds, int(tokens), int(types)), placed
 
 
-def unknown_leaves(words: list[bytes], classes: Classes) -> np.ndarray:
-    """The group of words that no training text holds: by their heads in the rarest band."""
-    heads = np.array([int.from_bytes(w[:HEAD].ljust(HEAD, b"\0"), "big") for w in words], np.int64)
-    return (BANDS - 1) * GROUPS + np.searchsorted(classes.cuts[-1], heads, side="right")
-
-
 def start_weights(classes: Classes) -> Weights:
     mass = classes.mass.reshape(BANDS, GROUPS) + 1.0
     shape = (KINDS * ROWS, BANDS)
@@ -209,63 +234,90 @@ def probabilities(rows: np.ndarray, band: np.ndarray, weights: Weights) -> tuple
     return _softmax(over_bands), _softmax(over_groups)
 
 
-def descend(rows: np.ndarray, leaf: np.ndarray, weights: Weights, spent: list[np.ndarray]) -> None:
+def descend(
+    rows: np.ndarray, leaf: np.ndarray, weights: Weights, spent: list[np.ndarray], used: np.ndarray | None = None
+) -> None:
     """One gradient step over a batch; ``spent`` holds what each row of weights has moved so far."""
     band, group = leaf // GROUPS, leaf % GROUPS
     every = np.arange(len(leaf))
-    for table, wrong, own, place, past in zip(
-        (weights.band, weights.group), probabilities(rows, band, weights), (band, group),
-        (rows, _with_band(rows, band)), spent,
-    ):
+    for k, (table, wrong, own, place) in enumerate(zip(
+        (weights.band, weights.group), probabilities(rows, band, weights), (band, group), (rows, _with_band(rows, band)),
+    )):
         wrong[every, own] -= 1
-        for kind in place:
-            order = np.argsort(kind, kind="stable")
-            ordered = kind[order]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            slope = np.add.reduceat(wrong[order], first, axis=0)
-            at = ordered[first]
-            past[at] += (slope * slope).mean(axis=1)
-            table[at] -= np.float32(RATE) * slope / np.sqrt(past[at] + 1)[:, None]
+        outputs = np.ascontiguousarray(wrong.T, float)
+        for kind, own_rows in enumerate(place):
+            at = own_rows.astype(np.int64) - kind * ROWS
+            n = np.bincount(at, minlength=ROWS)
+            hit = np.flatnonzero(n)
+            slope = np.stack([np.bincount(at, o, ROWS)[hit] for o in outputs], axis=1)
+            row = hit + kind * ROWS
+            spent[k][row] += (slope * slope).mean(axis=1)
+            table[row] -= RATE * slope / np.sqrt(spent[k][row] + 1)[:, None]
+            if used is not None:
+                used[k, row] += n[hit]
 
 
 class Block(NamedTuple):
+    """Texts as the model sees them, and what the counts alone say of each."""
+
     doc_id: list
     train: np.ndarray
-    begins: np.ndarray
     ends: np.ndarray
-    token: np.ndarray  # place of each token's word
-    count: np.ndarray  # of each word, in all training texts
-    leaf: np.ndarray
-    code: np.ndarray
+    leaf: np.ndarray  # of each token
+    context: np.ndarray  # what each token is in the contexts of later ones
 
 
-def _read(part: pa.RecordBatch, at: int, classes: Classes) -> Block:
-    names = part.schema.names
-    column = {name: part.column(k) for k, name in enumerate(names)}
-    words, ends = column["words"][at].as_py(), np.array(column["ends"][at].as_py(), np.int64)
-    known = column["known"][at]
-    count, leaf = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
-    if known.is_valid and len(known):
-        place = known.values.field("place").to_numpy()
-        count[place] = known.values.field("count").to_numpy()
-        leaf[place] = known.values.field("leaf").to_numpy()
-    new = np.flatnonzero(leaf < 0)
-    leaf[new] = unknown_leaves([words[k] for k in new], classes)
-    # in a context, words of the rarer half of the mass stand for their class
-    own = np.fromiter((hash_word(w) for w in words), np.uint64, len(words))
-    code = np.where(leaf // GROUPS < BANDS // 2, own >> np.uint64(1), leaf.astype(np.uint64))
+def _coded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
+    """Blocks with a class and a context code for every token, and the sums that need no weights."""
+    for part in batches:
+        column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+        for at in range(part.num_rows):
+            ends = column["ends"][at].values.to_numpy()
+            known, token = column["known"][at].values, np.frombuffer(column["tokens"][at].as_buffer(), "<u4")
+            place, packed = known.field("place").to_numpy(), known.field("packed").to_numpy()
+            count, leaf, context = (np.zeros(len(place), np.int64) for _ in range(3))
+            count[place], leaf[place] = packed >> 24, packed >> 16 & 255
+            context[place] = packed & 0xFFFF
+            # in a context, words of the rarer half of the mass stand for their class
+            context = np.where(leaf // GROUPS < BANDS // 2, 256 + context % (65536 - 256), leaf)
+            base = np.log10((count + 0.5) / (classes.tokens + 0.5 * (classes.vocabulary + 1)))
+            inside = np.log((count + 0.5) / (classes.mass + 0.5 * (classes.types + 1))[leaf])
+            begins = np.append(0, ends[:-1])
+            sums = [np.add.reduceat(v[token], begins) for v in ((count > 0).astype(np.int64), base, inside)]
+            yield pa.RecordBatch.from_arrays([
+                column["round"].slice(at, 1), column["doc_id"].slice(at, 1), column["train"].slice(at, 1),
+                column["ends"].slice(at, 1), pa.array([leaf[token].astype(np.uint8).tobytes()], pa.binary()),
+                pa.array([context[token].astype("<u2").tobytes()], pa.binary()),
+                pa.array([sums[0]], pa.list_(pa.int64())), *[pa.array([v], pa.list_(pa.float64())) for v in sums[1:]],
+            ], names=["round", "doc_id", "train", "ends", "leaf", "context", "n_known", "base", "inside"])
+
+
+_CODED = (
+    "round int, doc_id array<bigint>, train array<boolean>, ends array<bigint>, leaf binary, context binary, "
+    "n_known array<bigint>, base array<double>, inside array<double>"
+)
+
+
+def _read(part: pa.RecordBatch, at: int) -> Block:
+    column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
     return Block(
-        column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), np.append(0, ends[:-1]), ends,
-        np.frombuffer(column["tokens"][at].as_py(), "<u4"), count, leaf, code,
+        column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), column["ends"][at].values.to_numpy(),
+        np.frombuffer(column["leaf"][at].as_buffer(), np.uint8).astype(np.int64),
+        np.frombuffer(column["context"][at].as_buffer(), "<u2").astype(np.int64),
     )
 
 
-def hash_word(word: bytes) -> int:
-    """A hash that is the same in every process."""
-    return int.from_bytes(word[:16].ljust(16, b"\0"), "little") * 0x9E3779B97F4A7C15 + len(word) & 0xFFFFFFFFFFFFFFFF
+def _segments(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts, first and last + 1, of about ``SEGMENT`` tokens or one text."""
+    at = 0
+    while at < len(ends):
+        begin = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + SEGMENT, side="right")))
+        yield at, to
+        at = to
 
 
-def _changes(batches: Iterator[pa.RecordBatch], weights: Weights, classes: Classes) -> Iterator[pa.RecordBatch]:
+def _changes(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     """Gradient steps over the training texts of a task's blocks; what they changed, by chunk of rows."""
     band, group = weights.band.copy(), weights.group.copy()
     own = weights._replace(band=band, group=group)
@@ -273,19 +325,18 @@ def _changes(batches: Iterator[pa.RecordBatch], weights: Weights, classes: Class
     used = np.zeros((2, KINDS * ROWS), np.float32)
     for part in batches:
         for at in range(part.num_rows):
-            block = _read(part, at, classes)
-            token = block.token[np.repeat(block.train, block.ends - block.begins)]
-            if not len(token):
-                continue
-            lengths = (block.ends - block.begins)[block.train]
-            begins = np.append(0, np.cumsum(lengths)[:-1])
-            leaf = block.leaf[token]
-            rows = context_rows(block.code[token], leaf, begins)
-            for a in range(0, len(token), BATCH):
-                b = min(a + BATCH, len(token))
-                descend(rows[:, a:b], leaf[a:b], own, spent)
-                used[0] += np.bincount(rows[:, a:b].ravel(), minlength=KINDS * ROWS)
-                used[1] += np.bincount(_with_band(rows[:, a:b], leaf[a:b] // GROUPS).ravel(), minlength=KINDS * ROWS)
+            block = _read(part, at)
+            size = np.diff(block.ends, prepend=0)
+            chosen = np.repeat(block.train, size)
+            all_leaf, all_context, ends = block.leaf[chosen], block.context[chosen], np.cumsum(size[block.train])
+            for first, last in _segments(ends):
+                lo, hi = ends[first - 1] if first else 0, ends[last - 1]
+                begins = np.append(lo, ends[first: last - 1]) - lo
+                leaf = all_leaf[lo:hi]
+                rows = context_rows(all_context[lo:hi], leaf, begins)
+                for a in range(0, hi - lo, BATCH):
+                    b = min(a + BATCH, hi - lo)
+                    descend(rows[:, a:b], leaf[a:b], own, spent, used)
     task = TaskContext.get().partitionId() % _DISPERSE
     for k, (new, old) in enumerate(((band, weights.band), (group, weights.group))):
         for a in range(0, KINDS * ROWS, CHUNK):
@@ -317,10 +368,10 @@ def _added(changes: DataFrame, keys: list[str]) -> DataFrame:
 def _trained(blocks: DataFrame, classes: Classes) -> Weights:
     spark, weights = blocks.sparkSession, start_weights(classes)
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((weights, classes))  # 2 * KINDS * ROWS * 16 numbers
+        shared = spark.sparkContext.broadcast(weights)  # 2 * KINDS * ROWS * 16 numbers
         own = blocks.filter(F.col("round") == k).select(
-            "doc_id", "train", "ends", "tokens", "words", "known"
-        ).mapInArrow(lambda batches, shared=shared: _changes(batches, *shared.value), _CHANGE)
+            "doc_id", "train", "ends", "leaf", "context"
+        ).mapInArrow(lambda batches, shared=shared: _changes(batches, shared.value), _CHANGE)
         # tasks are added in groups first, so no group grows with the number of tasks alone
         added = _added(_added(own, ["chunk", "task"]), ["chunk"])
         band, group = weights.band.copy(), weights.group.copy()
@@ -334,21 +385,22 @@ def _trained(blocks: DataFrame, classes: Classes) -> Weights:
     return weights
 
 
-def text_scores(block: Block, weights: Weights, classes: Classes) -> tuple[np.ndarray, ...]:
-    """Of each text of a block: tokens, known tokens, unigram score and model score."""
-    leaf, count = block.leaf[block.token], block.count[block.token]
-    base = np.log10((count + 0.5) / (classes.tokens + 0.5 * (classes.vocabulary + 1)))
-    inside = np.log((block.count + 0.5) / (classes.mass + 0.5 * (classes.types + 1))[block.leaf])
-    model = inside[block.token]
-    rows = context_rows(block.code[block.token], leaf, block.begins)
-    for a in range(0, len(leaf), BATCH):
-        b = min(a + BATCH, len(leaf))
-        every, own = np.arange(b - a), leaf[a:b]
-        of_band, of_group = probabilities(rows[:, a:b], own // GROUPS, weights)
-        model[a:b] += np.log(np.maximum(of_band[every, own // GROUPS], 1e-30).astype(float))
-        model[a:b] += np.log(np.maximum(of_group[every, own % GROUPS], 1e-30).astype(float))
-    total = lambda v: np.add.reduceat(v, block.begins) if len(v) else v  # noqa: E731  every text has its end
-    return block.ends - block.begins, total((count > 0).astype(np.int64)), total(base), total(model / np.log(10))
+def model_scores(block: Block, weights: Weights) -> np.ndarray:
+    """The natural logarithm of the probability of the bands and groups of each text."""
+    out = np.zeros(len(block.ends))
+    for first, last in _segments(block.ends):
+        lo, hi = block.ends[first - 1] if first else 0, block.ends[last - 1]
+        begins = np.append(lo, block.ends[first: last - 1]) - lo
+        leaf, model = block.leaf[lo:hi], np.zeros(hi - lo)
+        rows = context_rows(block.context[lo:hi], leaf, begins)
+        for a in range(0, hi - lo, BATCH):
+            b = min(a + BATCH, hi - lo)
+            every, own = np.arange(b - a), leaf[a:b]
+            of_band, of_group = probabilities(rows[:, a:b], own // GROUPS, weights)
+            model[a:b] = np.log(np.maximum(of_band[every, own // GROUPS], 1e-30).astype(float))
+            model[a:b] += np.log(np.maximum(of_group[every, own % GROUPS], 1e-30).astype(float))
+        out[first:last] = np.add.reduceat(model, begins)  # every text has its end
+    return out
 
 
 def score_texts(
@@ -363,25 +415,29 @@ def score_texts(
     of one unknown word in each group of the rarest band add up to one.  Without training
     texts every count is zero.  Repeated rows and null ids are texts like others.
     """
-    cut_blocks = cut(_blocks(docs, train, doc_id, text))
-    lists = cut_blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "own"))
-    words = lists.select("block", "place", F.col("own.words").alias("word"), F.col("own.counts").alias("n"))
-    counted = words.groupBy("word").agg(F.sum("n").alias("count")).filter(F.col("count") > 0)
-    vocabulary = cut(counted)
+    spark = docs.sparkSession
+    raw = cut(_blocks(docs, train, doc_id, text))
+    words = raw.select(
+        "block", F.posexplode(F.arrays_zip("codes", "heads", "counts")).alias("place", "own")
+    ).select("block", "place", "own.*")
+    vocabulary = cut(words.groupBy("codes").agg(F.sum("counts").alias("count"), F.max("heads").alias("head")))
     classes, placed = _classes(vocabulary)
+    # one number for the count, the group and a few bits of the code of a word
+    packed = F.shiftleft(F.col("count"), 24) + F.shiftleft(F.col("leaf").cast("bigint"), 16) + F.col("codes").bitwiseAND(65535)
     known = (
-        words.select("block", "place", "word").join(placed, "word")
-        .groupBy("block").agg(F.collect_list(F.struct("place", "count", "leaf")).alias("known"))
+        words.select("block", "place", "codes").join(placed.select("codes", packed.alias("packed")), "codes")
+        .groupBy("block").agg(F.collect_list(F.struct("place", "packed")).alias("known"))
     )
     # a row a block on either side
-    joined = cut_blocks.drop("counts").join(known, "block", "left").withColumn(
+    joined = raw.select("block", "doc_id", "train", "ends", "tokens").join(known, "block").withColumn(
         "round", F.pmod(F.xxhash64("block"), F.lit(ROUNDS)).cast("int")
-    )
-    path = work_path(docs.sparkSession, "blocks")
-    joined.write.option("compression", "zstd").partitionBy("round").parquet(path)
-    blocks = docs.sparkSession.read.schema(joined.schema).parquet(path)
+    ).drop("block")
+    path = work_path(spark, "blocks")
+    coded = joined.mapInArrow(lambda batches: _coded(batches, classes), _CODED)
+    coded.write.option("compression", "zstd").partitionBy("round").parquet(path)
+    blocks = spark.read.schema(_CODED).parquet(path)
     weights = _trained(blocks, classes)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, classes))
+    shared = spark.sparkContext.broadcast(weights)
     made = (
         "doc_id bigint, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
@@ -389,15 +445,16 @@ def score_texts(
     names = [field.split()[0] for field in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_weights, own_classes = shared.value
+        own_weights = shared.value
         for part in batches:
+            sums = {name: part.column(part.schema.names.index(name)) for name in ("n_known", "base", "inside")}
             for at in range(part.num_rows):
-                block = _read(part, at, own_classes)
-                tokens, seen, base, model = text_scores(block, own_weights, own_classes)
+                block = _read(part, at)
+                n_known, base, inside = (sums[name][at].values.to_numpy() for name in ("n_known", "base", "inside"))
+                model = (model_scores(block, own_weights) + inside) / np.log(10)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(block.doc_id, pa.int64()), pa.array(block.train), pa.array(tokens, pa.int64()),
-                    pa.array(seen, pa.int64()), pa.array(np.full(len(tokens), own_classes.tokens, np.int64)),
-                    pa.array(base), pa.array(model),
+                    pa.array(block.doc_id, pa.int64()), pa.array(block.train), pa.array(np.diff(block.ends, prepend=0)),
+                    pa.array(n_known), pa.array(np.full(len(base), classes.tokens, np.int64)), pa.array(base), pa.array(model),
                 ], names=names)
 
-    return blocks.select("doc_id", "train", "ends", "tokens", "words", "known").mapInArrow(run, made)
+    return blocks.drop("round").mapInArrow(run, made)
