@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospark.llm import decontam, line_dedup, minhash, packing, quality
-from aerospark.llm.base import cut, fresh_name, held_out
+from aerospark.llm.base import cut, fresh_name, held_out, small_batches
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; an empty text is judged like any other."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     margins = quality.fit(docs, labels, "quality", ~held_out("doc_id", 3, 1))
     score = fresh_name(docs, "_quality")
@@ -33,16 +34,19 @@ def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates (five words, 0.8)."""
+    small_batches(spark)
     return minhash.keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty lies in a passage of the benchmark."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"),
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
