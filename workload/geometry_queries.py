@@ -256,7 +256,9 @@ def components(spark, sf_dir):
     from aerospark.operators.components import connected_components
     from aerospark.operators.digest import child_events
 
-    events = views.commentary_events(spark, sf_dir)
+    number = F.col("event_id").cast("bigint")
+    # seven events in a row, the first of them the parent, are a trace here
+    events = views.commentary_events(spark, sf_dir).withColumn("trace_id", F.md5((number - number % 7).cast("string")))
     links = child_events(events).selectExpr(
         "cast(event_id AS bigint) AS a", "cast(parent_event_id AS bigint) AS b"
     )
