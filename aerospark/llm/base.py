@@ -8,7 +8,9 @@ document is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -164,6 +166,23 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; what it has freed goes back to the system at the end of a task.
+
+    Workers serve one task after the other, and would otherwise keep what their largest one took.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import LOWER, batch, slices
+from aerospark.llm.base import LOWER, batch, released, slices
 
 DIMS = 4096
 CENTROIDS = 4
@@ -146,7 +146,7 @@ def fit(
             )
 
     made = "langs array<string>, centroids binary, weights binary, limits array<double>"
-    row = sample.repartition(1).mapInArrow(train_all, made).first()
+    row = sample.repartition(1).mapInArrow(released(train_all), made).first()
     if row is None:
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     return Model(

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import LOWER, SPACED, cut, mix, slices, words_of
+from aerospark.llm.base import LOWER, SPACED, cut, mix, released, slices, words_of
 from aerospark.scale import work_path
 
 #: Text of a block, in bytes; a longer document is a block of its own.
@@ -104,7 +104,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> _Words:
     ends = np.cumsum(size)
     code, first, token = np.unique(np.insert(found.code, ends, _END), return_index=True, return_inverse=True)
     start, stop = np.insert(found.start, ends, 0)[first], np.insert(found.stop, ends, 0)[first]
-    return _Words(token, size + 1, code, heads_of(data, start, stop) if len(data) else np.zeros(len(code), np.int64))
+    return _Words(token.astype(np.uint32), size + 1, code, heads_of(data, start, stop) if len(data) else np.zeros(len(code), np.int64))
 
 
 def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame:
@@ -118,12 +118,13 @@ def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame
     def done(block: int, ids: list, marks: list, parts: list[_Words]) -> pa.RecordBatch:
         code, first, place = np.unique(np.concatenate([p.code for p in parts]), return_index=True, return_inverse=True)
         begins = np.cumsum([0] + [len(p.code) for p in parts])
+        place = place.astype(np.uint32)
         tokens = np.concatenate([place[a: b][p.token] for p, a, b in zip(parts, begins[:-1], begins[1:])])
         size = np.concatenate([p.size for p in parts])
         # frequent words get small numbers, which take less room
         order = np.argsort(-np.bincount(tokens, minlength=len(code)), kind="stable")
-        rank = np.empty(len(code), np.int64)
-        rank[order] = np.arange(len(code))
+        rank = np.empty(len(code), np.uint32)
+        rank[order] = np.arange(len(code), dtype=np.uint32)
         tokens, code, first = rank[tokens], code[order], first[order]
         count = np.bincount(tokens[np.repeat(np.array(marks, bool), size)], minlength=len(code))
         head = np.concatenate([p.head for p in parts])[first]
@@ -149,7 +150,7 @@ def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame
 
     return docs.select(
         F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")), F.coalesce(train, F.lit(False))
-    ).mapInArrow(run, _BLOCK)
+    ).mapInArrow(released(run), _BLOCK)
 
 
 def _bin(count: Column) -> Column:
@@ -280,14 +281,15 @@ def _coded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.R
             context[place] = packed & 0xFFFF
             # in a context, words of the rarer half of the mass stand for their class
             context = np.where(leaf // GROUPS < BANDS // 2, 256 + context % (65536 - 256), leaf)
+            leaf_of, context_of = leaf.astype(np.uint8), context.astype("<u2")
             base = np.log10((count + 0.5) / (classes.tokens + 0.5 * (classes.vocabulary + 1)))
             inside = np.log((count + 0.5) / (classes.mass + 0.5 * (classes.types + 1))[leaf])
             begins = np.append(0, ends[:-1])
             sums = [np.add.reduceat(v[token], begins) for v in ((count > 0).astype(np.int64), base, inside)]
             yield pa.RecordBatch.from_arrays([
                 column["round"].slice(at, 1), column["doc_id"].slice(at, 1), column["train"].slice(at, 1),
-                column["ends"].slice(at, 1), pa.array([leaf[token].astype(np.uint8).tobytes()], pa.binary()),
-                pa.array([context[token].astype("<u2").tobytes()], pa.binary()),
+                column["ends"].slice(at, 1), pa.array([leaf_of[token].tobytes()], pa.binary()),
+                pa.array([context_of[token].tobytes()], pa.binary()),
                 pa.array([sums[0]], pa.list_(pa.int64())), *[pa.array([v], pa.list_(pa.float64())) for v in sums[1:]],
             ], names=["round", "doc_id", "train", "ends", "leaf", "context", "n_known", "base", "inside"])
 
@@ -302,8 +304,7 @@ def _read(part: pa.RecordBatch, at: int) -> Block:
     column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
     return Block(
         column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), column["ends"][at].values.to_numpy(),
-        np.frombuffer(column["leaf"][at].as_buffer(), np.uint8).astype(np.int64),
-        np.frombuffer(column["context"][at].as_buffer(), "<u2").astype(np.int64),
+        np.frombuffer(column["leaf"][at].as_buffer(), np.uint8), np.frombuffer(column["context"][at].as_buffer(), "<u2"),
     )
 
 
@@ -332,7 +333,7 @@ def _changes(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa
             for first, last in _segments(ends):
                 lo, hi = ends[first - 1] if first else 0, ends[last - 1]
                 begins = np.append(lo, ends[first: last - 1]) - lo
-                leaf = all_leaf[lo:hi]
+                leaf = all_leaf[lo:hi].astype(np.int64)
                 rows = context_rows(all_context[lo:hi], leaf, begins)
                 for a in range(0, hi - lo, BATCH):
                     b = min(a + BATCH, hi - lo)
@@ -391,7 +392,7 @@ def model_scores(block: Block, weights: Weights) -> np.ndarray:
     for first, last in _segments(block.ends):
         lo, hi = block.ends[first - 1] if first else 0, block.ends[last - 1]
         begins = np.append(lo, block.ends[first: last - 1]) - lo
-        leaf, model = block.leaf[lo:hi], np.zeros(hi - lo)
+        leaf, model = block.leaf[lo:hi].astype(np.int64), np.zeros(hi - lo)
         rows = context_rows(block.context[lo:hi], leaf, begins)
         for a in range(0, hi - lo, BATCH):
             b = min(a + BATCH, hi - lo)

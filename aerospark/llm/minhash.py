@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import BASE, SPACED, batch, cut, lists, mix, shingles, slices, words_of
+from aerospark.llm.base import BASE, SPACED, batch, cut, lists, mix, released, shingles, slices, words_of
 from aerospark.operators.components import connected_components
 from aerospark.scale import broadcast_if_small
 
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, *, doc_id: str, text: str, length: int, threshold:
                     schema, part.column(0).slice(a, b - a), sizes, first, second, short, lists(keys, pa.int64())
                 )
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, _SKETCH)
+    return docs.select(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(released(run), _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, *, length: int) -> DataFrame:
@@ -112,7 +112,7 @@ def shingle_sets(docs: DataFrame, *, length: int) -> DataFrame:
                 sets = [c.view(np.int64) for c in shingles(words_of(data, offsets, SPACED), b - a, length)]
                 yield batch(schema, part.column(0).slice(a, b - a), lists(sets, pa.int64()))
 
-    return docs.mapInArrow(run, "doc_id bigint, codes array<bigint>")
+    return docs.mapInArrow(released(run), "doc_id bigint, codes array<bigint>")
 
 
 def _similar(shared: Column, left: Column, right: Column, percent: int) -> Column:

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerospark.llm.base import batch, mix, powers, slices
+from aerospark.llm.base import batch, mix, powers, released, slices
 
 WINDOW = 2048
 SEPARATOR = 1
 #: Pieces of text whose ids a worker remembers, about 200 bytes each, and words, about 30 bytes each.
-REMEMBERED = 300_000
-REMEMBERED_WORDS = 2_000_000
+REMEMBERED = 150_000
+REMEMBERED_WORDS = 1_500_000
 
 #: Fixed value: how the byte-level tokenizer splits a text before its merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -276,4 +276,4 @@ def pack(
         if done := packer.take():
             yield batch(_PACKED, *zip(*done))
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, PACKED)
+    return docs.select(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(released(run), PACKED)

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import SPACED, batch, mix, slices, words_of
+from aerospark.llm.base import SPACED, batch, mix, released, slices, words_of
 
 #: Bound of the training sample: rows of each label.
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 800
 BITS = 17
 DIM = 12
 EPOCHS = 4
@@ -152,7 +152,7 @@ def fit(
             margins[-1] = 4.0 if marks[0] else -4.0
         yield batch(_FITTED, pa.array([margins], pa.list_(pa.float32())))
 
-    row = sample.select("_id", "_text", "_label").repartition(1).mapInArrow(train_all, FITTED).first()
+    row = sample.select("_id", "_text", "_label").repartition(1).mapInArrow(released(train_all), FITTED).first()
     return row["margins"] if row else [0.0] * ((1 << BITS) + 1)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import LOWER, PLAIN, Words, slices, words_of
+from aerospark.llm.base import LOWER, PLAIN, Words, released, slices, words_of
 from aerospark.llm.quality import training_rows
 
 #: Bound of the training sample: rows of each label.
@@ -320,7 +320,7 @@ def fit(
             *[(k, pa.list_(pa.float64())) for k in ("steps", "scores")],
         ]))
 
-    row = sample.select("_id", "_text", "_label", "_part").repartition(1).mapInArrow(train_all, _MADE).first()
+    row = sample.select("_id", "_text", "_label", "_part").repartition(1).mapInArrow(released(train_all), _MADE).first()
     if row is None:
         return None
     codes = lambda c: np.array(c, np.int64).view(np.uint64)
