@@ -14,18 +14,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerospark.llm.base import LOWER, batch, released, slices
+from aerospark.llm.base import LOWER, cut, released, slices
+from aerospark.scale import broadcast_if_small
 
 DIMS = 4096
 CENTROIDS = 4
 ROUNDS = 12
 #: About so many training texts of each language are fitted on.
 TRAIN_ROWS = 500
-#: Languages that a model may hold; the most frequent ones.
-LANGUAGES = 200
+#: Languages whose centroids are held at a time.
+BLOCK = 64
 #: The share of a centroid's training texts that lie within its limit.
 WITHIN = 0.999
 
@@ -35,13 +37,17 @@ _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 PREDICTED = "lang string, cosine double, rejected boolean"
 
 
-class Model(NamedTuple):
+class Centroids(NamedTuple):
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    weights: np.ndarray  # inverse document frequencies
     limits: np.ndarray  # least cosine that is not rejected, of each centroid
 
 
+class Model(NamedTuple):
+    weights: np.ndarray  # inverse document frequencies
+    blocks: list[Broadcast]  # of ``Centroids``, in the order of the languages
+
+
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of a slice by hashed n-gram: how often each occurs."""
     rows = len(offsets) - 1
@@ -91,23 +97,61 @@ def cluster(points: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarra
     return centres, (points @ centres.T).argmax(axis=1)
 
 
-def fit_model(texts: list[bytes], langs: list[str]) -> Model:
-    found = np.concatenate([counts(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]).astype(np.float32)
-    df = (found > 0).sum(axis=0)
-    weights = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
-    points, names = vectors(found, weights), np.array(langs)
-    usable = (points != 0).any(axis=1)
-    owners, centroids, limits = [], [], []
-    for lang in sorted(set(langs)):
-        own = points[usable & (names == lang)]
-        if len(own):
-            centres, place = cluster(own, CENTROIDS)
-            for j, centre in enumerate(centres):
-                if (place == j).any():
-                    owners.append(lang)
-                    centroids.append(centre)
-                    limits.append(float(np.quantile(own[place == j] @ centre, 1 - WITHIN)))
-    return Model(owners, np.array(centroids, np.float32).reshape(-1, DIMS), weights, np.array(limits))
+def fit_language(points: np.ndarray) -> Centroids:
+    """The centroids of one language, of the vectors of its texts."""
+    centroids, limits = [], []
+    points = points[(points != 0).any(axis=1)]
+    if len(points):
+        centres, place = cluster(points, CENTROIDS)
+        for j, centre in enumerate(centres):
+            if (place == j).any():
+                centroids.append(centre)
+                limits.append(float(np.quantile(points[place == j] @ centre, 1 - WITHIN)))
+    return Centroids([], np.array(centroids, np.float32).reshape(-1, DIMS), np.array(limits))
+
+
+def _counted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, last row + 1 and counts, a few rows at a time."""
+    for a, b, data, offsets in slices(column, 1 << 19):
+        for at in range(0, b - a, 256):
+            to = min(at + 256, b - a)
+            yield a + at, a + to, counts(data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at])
+
+
+def _weights(usable: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all rows of ``usable``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(DIMS + 1, np.int64)  # rows with each n-gram, and all rows
+        for part in batches:
+            for a, b, found in _counted(part.column(0)):
+                held[:DIMS] += (found > 0).sum(axis=0)
+                held[DIMS] += b - a
+        if held[DIMS]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(held)], names=["gram", "n"])
+
+    df = np.zeros(DIMS + 1, np.int64)
+    found = usable.select("_text").mapInArrow(released(run), "gram bigint, n bigint")
+    for row in found.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
+        df[row["gram"]] = row["n"]
+    return (np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1).astype(np.float32)
+
+
+def _sample(usable: DataFrame, rows: int) -> DataFrame:
+    """``_lang, _key, _found``: the counts of about ``rows`` texts of each language."""
+    keyed = usable.withColumn("_key", F.xxhash64("_text"))
+    langs = cut(keyed.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")))
+    share = F.pmod(F.col("_key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = keyed.join(broadcast_if_small(langs), "_lang").filter(share * F.col("_n") < rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for a, b, found in _counted(part.column(2)):
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).slice(a, b - a), part.column(1).slice(a, b - a),
+                    pa.array([row.tobytes() for row in found.astype(np.float32)], pa.binary()),
+                ], names=["_lang", "_key", "_found"])
+
+    return chosen.select("_lang", "_key", "_text").mapInArrow(released(run), "_lang string, _key bigint, _found binary")
 
 
 def fit(
@@ -116,43 +160,41 @@ def fit(
     """Fit on about ``rows`` whole texts of each language, chosen by a hash of the text.
 
     ``train`` is a condition over ``docs``; rows with a null language, or a text that is null
-    or has no letter, are left out.  One task sees the bounded sample; of more than
-    ``LANGUAGES`` languages the most frequent are learned.
+    or has no letter, are left out.  The frequencies of n-grams are those of all other rows.
+    Each language is fitted in a task of its own, and none is left out.
     """
     usable = docs.filter(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")
     )
-    langs = usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES)
-    share = F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = (
-        usable.join(F.broadcast(langs), "_lang")
-        .filter(share * F.col("_n") < rows).select("_text", "_lang").limit(2 * rows * LANGUAGES)
-    )
-
-    def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
-        for part in batches:
-            texts = part.column(0).cast(pa.large_binary())
-            seen += [(value.as_py(), name) for value, name in zip(texts, part.column(1).to_pylist())]
-        if seen:
-            seen.sort()
-            model = fit_model([t for t, _ in seen], [name for _, name in seen])
-            schema = pa.schema([
-                ("langs", pa.list_(pa.string())), ("centroids", pa.binary()), ("weights", pa.binary()),
-                ("limits", pa.list_(pa.float64())),
-            ])
-            yield batch(
-                schema, [model.langs], [model.centroids.tobytes()], [model.weights.tobytes()], [model.limits.tolist()]
-            )
-
-    made = "langs array<string>, centroids binary, weights binary, limits array<double>"
-    row = sample.repartition(1).mapInArrow(released(train_all), made).first()
-    if row is None:
-        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    return Model(
-        row["langs"], np.frombuffer(row["centroids"], np.float32).reshape(-1, DIMS),
-        np.frombuffer(row["weights"], np.float32), np.array(row["limits"]),
-    )
+    weights = _weights(usable)
+
+    def train_one(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_key")
+        found = np.stack([np.frombuffer(value.as_buffer(), np.float32) for value in group["_found"]])
+        own = fit_language(vectors(found, weights))
+        return pa.table({
+            "lang": group["_lang"][:1], "centroids": pa.array([own.centroids.tobytes()], pa.binary()),
+            "limits": pa.array([own.limits], pa.list_(pa.float64())),
+        })
+
+    made = "lang string, centroids binary, limits array<double>"
+    fitted = cut(_sample(usable, rows).groupBy("_lang").applyInArrow(train_one, made))
+    blocks, held, context = [], [], docs.sparkSession.sparkContext
+
+    def done() -> None:
+        own = [np.frombuffer(row["centroids"], np.float32).reshape(-1, DIMS) for row in held]
+        langs = [row["lang"] for row, part in zip(held, own) for _ in part]
+        if langs:
+            limits = np.concatenate([np.array(row["limits"], float) for row in held])
+            blocks.append(context.broadcast(Centroids(langs, np.concatenate(own), limits)))
+        held.clear()
+
+    for row in fitted.orderBy("lang").toLocalIterator():  # a block of languages is held at a time
+        held.append(row)
+        if len(held) == BLOCK:
+            done()
+    done()
+    return Model(weights, blocks)
 
 
 def predict(docs: DataFrame, model: Model, out: str = "language", *, text: str = "text") -> DataFrame:
@@ -162,25 +204,28 @@ def predict(docs: DataFrame, model: Model, out: str = "language", *, text: str =
     nothing was learned.  Equally near centroids go to the first language in order.  A rejected
     text still carries its nearest language.  Columns of any name pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * CENTROIDS * LANGUAGES numbers at most
+    weights, blocks = model
 
     @F.arrow_udf(PREDICTED)
     def nearest(column: pa.Array) -> pa.Array:
-        own = shared.value
         langs, cosines, rejected = [], [], []
-        for a, b, data, offsets in slices(column, 1 << 19):
-            if not own.langs:
-                langs, cosines, rejected = langs + [None] * (b - a), cosines + [0.0] * (b - a), rejected + [True] * (b - a)
-                continue
-            for at in range(0, b - a, 256):
-                to = min(at + 256, b - a)
-                found = counts(data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at])
-                cosine = vectors(found, own.weights) @ own.centroids.T
+        for a, b, found in _counted(column):
+            points = vectors(found, weights)
+            best, limit, name = np.full(b - a, -np.inf, np.float32), np.full(b - a, np.inf), np.full(b - a, None, object)
+            for shared in blocks:
+                own = shared.value
+                cosine = points @ own.centroids.T
                 place = cosine.argmax(axis=1)
-                best = np.clip(cosine[np.arange(to - at), place], 0, 1).astype(np.float64)
-                langs += [own.langs[p] for p in place]
-                cosines += best.tolist()
-                rejected += (best < own.limits[place]).tolist()
+                highest = cosine[np.arange(b - a), place]
+                nearer = np.flatnonzero(highest > best)
+                best[nearer], limit[nearer] = highest[nearer], own.limits[place[nearer]]
+                name[nearer] = [own.langs[p] for p in place[nearer]]
+                if len(blocks) > 1 and getattr(shared, "_path", None):
+                    vars(shared).pop("_value", None)  # a worker holds one block, and reads it again from its disk
+            best = np.clip(best, 0, 1).astype(np.float64)
+            langs += name.tolist()
+            cosines += best.tolist()
+            rejected += (best < limit).tolist()
         kind = pa.struct([("lang", pa.string()), ("cosine", pa.float64()), ("rejected", pa.bool_())])
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(cosines, pa.float64()), pa.array(rejected, pa.bool_())],

@@ -166,6 +166,16 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 50, raising=False)
+    rng = np.random.default_rng(8)
+    own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 30)) for _ in range(203)]
+    rows = [(k * 3 + j, f"{own[k]} {own[k][j:]}", f"l{k:03d}") for k in range(203) for j in range(3 if k < 200 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs, every())).collect()
+    assert len(got) == len(rows) and all(r["language"]["lang"] == r["lang"] for r in got)
+
+
 def test_language_counts_against_a_plain_loop():
     texts = [b"Ab 12 cd", b"", b"..", b"a", "é é".encode()]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
