@@ -24,7 +24,7 @@ from aerospark.scale import broadcast_if_small
 DIMS = 4096
 CENTROIDS = 4
 ROUNDS = 12
-#: About so many training texts of each language are fitted on.
+#: About so many distinct training texts of each language are fitted on.
 TRAIN_ROWS = 500
 #: Languages whose centroids are held at a time.
 BLOCK = 64
@@ -137,27 +137,35 @@ def _weights(usable: DataFrame) -> np.ndarray:
 
 
 def _sample(usable: DataFrame, rows: int) -> DataFrame:
-    """``_lang, _key, _found``: the counts of about ``rows`` texts of each language."""
+    """``_lang, _key, _found``: the counts of about ``rows`` distinct texts of each language."""
     keyed = usable.withColumn("_key", F.xxhash64("_text"))
-    langs = cut(keyed.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")))
+    langs = cut(keyed.select("_lang", "_key").distinct().groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")))
     share = F.pmod(F.col("_key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = keyed.join(broadcast_if_small(langs), "_lang").filter(share * F.col("_n") < rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in batches:
-            for a, b, found in _counted(part.column(2)):
+            own = [*zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            fresh = []
+            for k, key in enumerate(own):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(k)
+            for a, b, found in _counted(part.column(2).take(pa.array(fresh, pa.int64()))):
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).slice(a, b - a), part.column(1).slice(a, b - a),
+                    pa.array([own[k][0] for k in fresh[a:b]], pa.string()), pa.array([own[k][1] for k in fresh[a:b]], pa.int64()),
                     pa.array([row.tobytes() for row in found.astype(np.float32)], pa.binary()),
                 ], names=["_lang", "_key", "_found"])
 
-    return chosen.select("_lang", "_key", "_text").mapInArrow(released(run), "_lang string, _key bigint, _found binary")
+    found = chosen.select("_lang", "_key", "_text").mapInArrow(released(run), "_lang string, _key bigint, _found binary")
+    return found.dropDuplicates(["_lang", "_key"])
 
 
 def fit(
     docs: DataFrame, train: Column, *, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS,
 ) -> Model:
-    """Fit on about ``rows`` whole texts of each language, chosen by a hash of the text.
+    """Fit on about ``rows`` distinct whole texts of each language, chosen by a hash of the text.
 
     ``train`` is a condition over ``docs``; rows with a null language, or a text that is null
     or has no letter, are left out.  The frequencies of n-grams are those of all other rows.

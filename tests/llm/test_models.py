@@ -176,6 +176,16 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert len(got) == len(rows) and all(r["language"]["lang"] == r["lang"] for r in got)
 
 
+def test_language_frequencies_and_copies(spark):
+    texts = ["abc abd"] * 60 + [f"abc {chr(97 + k)}zz" for k in range(20)]
+    docs = spark.createDataFrame([(k, t, "aa") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, every(), rows=5)
+    found = np.concatenate([langid.counts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts])
+    assert np.allclose(model.weights, np.log(81 / (1 + (found > 0).sum(axis=0))) + 1)
+    usable = docs.repartition(4).select(F.col("lang").alias("_lang"), F.col("text").alias("_text"))
+    assert langid._sample(usable, 100).count() == 21
+
+
 def test_language_counts_against_a_plain_loop():
     texts = [b"Ab 12 cd", b"", b"..", b"a", "é é".encode()]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
