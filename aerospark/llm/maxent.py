@@ -6,16 +6,16 @@ group in the band given the context, times its share of the group:
 * A band holds words of about equal frequency; all bands have about equal mass.
 * A group is an alphabetical range of a band.
 * Band and group are softmax outputs over hashed features of the context: the word
-  before, the word before that (a skip), the classes of both, and the class of the
-  word before with that of the third word back (a skip).  Rare words stand in the
-  context for their class.
+  before, the word before that (a skip), the class of either, the classes of both, and
+  the class of the word before with that of the third word back (a skip).  Every word of
+  a context counts as itself; its class says what its own row has not learned yet.
 
 Texts are cut to blocks of bounded size, in which a word is a number into the block's
 own list of words.  The lists meet the counts of the whole corpus in a join on the
 word, so no task ever holds all words, and no document is joined word by word.  A word
 is known by a 64-bit hash of its bytes.
 
-The weights have a fixed size.  Training goes over all training tokens once, in
+The rows of weights grow with the root of the counted vocabulary.  Training goes over all training tokens once, in
 rounds: each task runs gradient steps over its blocks from the shared weights, and
 the changes are averaged by how often a row of weights was used.
 """
@@ -37,9 +37,10 @@ from aerospark.scale import work_path
 #: Text of a block, in bytes; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
 BANDS = GROUPS = 16
-#: Rows of weights of each of the four kinds of features.
+#: Least rows of weights of each kind of features, and rows for each root of a distinct word.
 ROWS = 1 << 13
-KINDS = 4
+ROWS_A_ROOT = 8
+KINDS = 6
 ROUNDS = 3
 BATCH = 16384
 RATE = 0.35
@@ -47,7 +48,7 @@ RATE = 0.35
 HEAD = 4
 #: Rows of weights that travel together when changes are averaged.
 CHUNK = 1024
-_DISPERSE = 32
+_DISPERSE = 8
 #: Tokens whose contexts are worked out at a time.
 SEGMENT = 1 << 18
 
@@ -190,19 +191,27 @@ def _classes(vocabulary: DataFrame) -> tuple[Classes, DataFrame]:
     return Classes(np.array(least), cuts, mass, kinds, int(tokens), int(types)), placed
 
 
+def rows_for(vocabulary: int) -> int:
+    """A power of two."""
+    return max(ROWS, 1 << int(np.ceil(np.log2(max(1.0, ROWS_A_ROOT * vocabulary ** 0.5)))))
+
+
 def start_weights(classes: Classes) -> Weights:
     mass = classes.mass.reshape(BANDS, GROUPS) + 1.0
-    shape = (KINDS * ROWS, BANDS)
+    size = KINDS * rows_for(classes.vocabulary)
     return Weights(
-        np.zeros(shape, np.float32), np.zeros((KINDS * ROWS, GROUPS), np.float32),
+        np.zeros((size, BANDS), np.float32), np.zeros((size, GROUPS), np.float32),
         np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32),
         np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32),
     )
 
 
-def context_rows(code: np.ndarray, leaf: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """``KINDS`` by tokens: the hashed features of every token's context; a text begins with blanks."""
-    n = len(code)
+def context_rows(code: np.ndarray, leaf: np.ndarray, begins: np.ndarray, size: int | None = None) -> np.ndarray:
+    """``KINDS`` by tokens: the hashed features of every token's context; a text begins with blanks.
+
+    ``size`` is the number of rows of a kind.
+    """
+    n, size = len(code), size or ROWS
     place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
     shifted = []
     for values, k in ((code, 1), (code, 2), (leaf, 1), (leaf, 2), (leaf, 3)):
@@ -211,16 +220,16 @@ def context_rows(code: np.ndarray, leaf: np.ndarray, begins: np.ndarray) -> np.n
         own[place < k] = 0
         shifted.append(own)
     first, skip, near, second, third = shifted
-    each = (first, skip, second * np.uint64(1024) + near, third * np.uint64(1024) + near)
-    top = np.uint64(64 - (ROWS.bit_length() - 1))
+    each = (first, skip, second * np.uint64(1024) + near, third * np.uint64(1024) + near, near, second)
+    top = np.uint64(64 - (size.bit_length() - 1))
     return np.stack([
-        (mix(value * np.uint64(KINDS) + np.uint64(k)) >> top).astype(np.int32) + k * ROWS for k, value in enumerate(each)
+        (mix(value * np.uint64(KINDS) + np.uint64(k)) >> top).astype(np.int32) + k * size for k, value in enumerate(each)
     ])
 
 
-def _with_band(rows: np.ndarray, band: np.ndarray) -> np.ndarray:
+def _with_band(rows: np.ndarray, band: np.ndarray, size: int) -> np.ndarray:
     """The rows of the group weights: the feature together with the band."""
-    return (rows & ~(ROWS - 1)) | ((rows * 31 + band * 1297) & (ROWS - 1))
+    return (rows & ~(size - 1)) | ((rows * 31 + band * 1297) & (size - 1))
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
@@ -231,7 +240,7 @@ def _softmax(score: np.ndarray) -> np.ndarray:
 def probabilities(rows: np.ndarray, band: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Softmax over bands, and over the groups of the given band, of each token."""
     over_bands = weights.band[rows].sum(axis=0) + weights.band_bias
-    over_groups = weights.group[_with_band(rows, band)].sum(axis=0) + weights.group_bias[band]
+    over_groups = weights.group[_with_band(rows, band, len(weights.group) // KINDS)].sum(axis=0) + weights.group_bias[band]
     return _softmax(over_bands), _softmax(over_groups)
 
 
@@ -239,19 +248,21 @@ def descend(
     rows: np.ndarray, leaf: np.ndarray, weights: Weights, spent: list[np.ndarray], used: np.ndarray | None = None
 ) -> None:
     """One gradient step over a batch; ``spent`` holds what each row of weights has moved so far."""
-    band, group = leaf // GROUPS, leaf % GROUPS
-    every = np.arange(len(leaf))
+    band, group, size = leaf // GROUPS, leaf % GROUPS, len(weights.band) // KINDS
+    every, rank = np.arange(len(leaf)), np.zeros(size, np.int64)
     for k, (table, wrong, own, place) in enumerate(zip(
-        (weights.band, weights.group), probabilities(rows, band, weights), (band, group), (rows, _with_band(rows, band)),
+        (weights.band, weights.group), probabilities(rows, band, weights), (band, group), (rows, _with_band(rows, band, size)),
     )):
         wrong[every, own] -= 1
         outputs = np.ascontiguousarray(wrong.T, float)
         for kind, own_rows in enumerate(place):
-            at = own_rows.astype(np.int64) - kind * ROWS
-            n = np.bincount(at, minlength=ROWS)
+            at = own_rows.astype(np.int64) - kind * size
+            n = np.bincount(at, minlength=size)
             hit = np.flatnonzero(n)
-            slope = np.stack([np.bincount(at, o, ROWS)[hit] for o in outputs], axis=1)
-            row = hit + kind * ROWS
+            rank[hit] = np.arange(len(hit))
+            at = rank[at]
+            slope = np.stack([np.bincount(at, o, len(hit)) for o in outputs], axis=1)
+            row = hit + kind * size
             spent[k][row] += (slope * slope).mean(axis=1)
             table[row] -= RATE * slope / np.sqrt(spent[k][row] + 1)[:, None]
             if used is not None:
@@ -264,12 +275,13 @@ class Block(NamedTuple):
     doc_id: list
     train: np.ndarray
     ends: np.ndarray
-    leaf: np.ndarray  # of each token
-    context: np.ndarray  # what each token is in the contexts of later ones
+    token: np.ndarray  # places in the block's words
+    leaf: np.ndarray  # of each word
+    context: np.ndarray  # what each word is in the contexts of later ones
 
 
 def _coded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
-    """Blocks with a class and a context code for every token, and the sums that need no weights."""
+    """Blocks with a class and a context code for every word, and the sums that need no weights."""
     for part in batches:
         column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
         for at in range(part.num_rows):
@@ -277,26 +289,22 @@ def _coded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.R
             known, token = column["known"][at].values, np.frombuffer(column["tokens"][at].as_buffer(), "<u4")
             place, packed = known.field("place").to_numpy(), known.field("packed").to_numpy()
             count, leaf, context = (np.zeros(len(place), np.int64) for _ in range(3))
-            count[place], leaf[place] = packed >> 24, packed >> 16 & 255
-            context[place] = packed & 0xFFFF
-            # in a context, words of the rarer half of the mass stand for their class
-            context = np.where(leaf // GROUPS < BANDS // 2, 256 + context % (65536 - 256), leaf)
-            leaf_of, context_of = leaf.astype(np.uint8), context.astype("<u2")
+            count[place], leaf[place], context[place] = packed >> 8, packed & 255, known.field("context").to_numpy()
             base = np.log10((count + 0.5) / (classes.tokens + 0.5 * (classes.vocabulary + 1)))
             inside = np.log((count + 0.5) / (classes.mass + 0.5 * (classes.types + 1))[leaf])
             begins = np.append(0, ends[:-1])
             sums = [np.add.reduceat(v[token], begins) for v in ((count > 0).astype(np.int64), base, inside)]
             yield pa.RecordBatch.from_arrays([
                 column["round"].slice(at, 1), column["doc_id"].slice(at, 1), column["train"].slice(at, 1),
-                column["ends"].slice(at, 1), pa.array([leaf_of[token].tobytes()], pa.binary()),
-                pa.array([context_of[token].tobytes()], pa.binary()),
+                column["ends"].slice(at, 1), column["tokens"].slice(at, 1),
+                pa.array([leaf.astype(np.uint8).tobytes()], pa.binary()), pa.array([context.astype("<u4").tobytes()], pa.binary()),
                 pa.array([sums[0]], pa.list_(pa.int64())), *[pa.array([v], pa.list_(pa.float64())) for v in sums[1:]],
-            ], names=["round", "doc_id", "train", "ends", "leaf", "context", "n_known", "base", "inside"])
+            ], names=["round", "doc_id", "train", "ends", "tokens", "leaf", "context", "n_known", "base", "inside"])
 
 
 _CODED = (
-    "round int, doc_id array<bigint>, train array<boolean>, ends array<bigint>, leaf binary, context binary, "
-    "n_known array<bigint>, base array<double>, inside array<double>"
+    "round int, doc_id array<bigint>, train array<boolean>, ends array<bigint>, tokens binary, leaf binary, "
+    "context binary, n_known array<bigint>, base array<double>, inside array<double>"
 )
 
 
@@ -304,7 +312,8 @@ def _read(part: pa.RecordBatch, at: int) -> Block:
     column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
     return Block(
         column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), column["ends"][at].values.to_numpy(),
-        np.frombuffer(column["leaf"][at].as_buffer(), np.uint8), np.frombuffer(column["context"][at].as_buffer(), "<u2"),
+        np.frombuffer(column["tokens"][at].as_buffer(), "<u4"),
+        np.frombuffer(column["leaf"][at].as_buffer(), np.uint8), np.frombuffer(column["context"][at].as_buffer(), "<u4"),
     )
 
 
@@ -322,29 +331,29 @@ def _changes(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa
     """Gradient steps over the training texts of a task's blocks; what they changed, by chunk of rows."""
     band, group = weights.band.copy(), weights.group.copy()
     own = weights._replace(band=band, group=group)
-    spent = [np.zeros(KINDS * ROWS, np.float32) for _ in range(2)]
-    used = np.zeros((2, KINDS * ROWS), np.float32)
+    size = len(band)
+    spent = [np.zeros(size, np.float32) for _ in range(2)]
+    used = np.zeros((2, size), np.float32)
     for part in batches:
         for at in range(part.num_rows):
             block = _read(part, at)
-            size = np.diff(block.ends, prepend=0)
-            chosen = np.repeat(block.train, size)
-            all_leaf, all_context, ends = block.leaf[chosen], block.context[chosen], np.cumsum(size[block.train])
+            length = np.diff(block.ends, prepend=0)
+            token, ends = block.token[np.repeat(block.train, length)], np.cumsum(length[block.train])
             for first, last in _segments(ends):
                 lo, hi = ends[first - 1] if first else 0, ends[last - 1]
                 begins = np.append(lo, ends[first: last - 1]) - lo
-                leaf = all_leaf[lo:hi].astype(np.int64)
-                rows = context_rows(all_context[lo:hi], leaf, begins)
+                leaf = block.leaf[token[lo:hi]].astype(np.int64)
+                rows = context_rows(block.context[token[lo:hi]], leaf, begins, size // KINDS)
                 for a in range(0, hi - lo, BATCH):
                     b = min(a + BATCH, hi - lo)
                     descend(rows[:, a:b], leaf[a:b], own, spent, used)
     task = TaskContext.get().partitionId() % _DISPERSE
     for k, (new, old) in enumerate(((band, weights.band), (group, weights.group))):
-        for a in range(0, KINDS * ROWS, CHUNK):
+        for a in range(0, size, CHUNK):
             part_used = used[k, a: a + CHUNK]
             if part_used.any():
                 change = (new[a: a + CHUNK] - old[a: a + CHUNK]) * part_used[:, None]
-                yield _chunk(k * KINDS * ROWS + a, task, part_used, change)
+                yield _chunk(k * size + a, task, part_used, change)
 
 
 _CHANGE = "chunk bigint, task int, used binary, change binary"
@@ -368,16 +377,17 @@ def _added(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def _trained(blocks: DataFrame, classes: Classes) -> Weights:
     spark, weights = blocks.sparkSession, start_weights(classes)
+    size = len(weights.band)
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(weights)  # 2 * KINDS * ROWS * 16 numbers
+        shared = spark.sparkContext.broadcast(weights)  # 2 * KINDS * rows * 16 numbers
         own = blocks.filter(F.col("round") == k).select(
-            "doc_id", "train", "ends", "leaf", "context"
+            "doc_id", "train", "ends", "tokens", "leaf", "context"
         ).mapInArrow(lambda batches, shared=shared: _changes(batches, shared.value), _CHANGE)
         # tasks are added in groups first, so no group grows with the number of tasks alone
         added = _added(_added(own, ["chunk", "task"]), ["chunk"])
         band, group = weights.band.copy(), weights.group.copy()
         for row in added.collect():  # as large as the weights
-            table, at = (band, row["chunk"]) if row["chunk"] < KINDS * ROWS else (group, row["chunk"] - KINDS * ROWS)
+            table, at = (band, row["chunk"]) if row["chunk"] < size else (group, row["chunk"] - size)
             used = np.frombuffer(row["used"], np.float32)
             change = np.frombuffer(row["change"], np.float32).reshape(CHUNK, -1)
             table[at: at + CHUNK] += change / np.maximum(used, 1)[:, None]
@@ -392,8 +402,9 @@ def model_scores(block: Block, weights: Weights) -> np.ndarray:
     for first, last in _segments(block.ends):
         lo, hi = block.ends[first - 1] if first else 0, block.ends[last - 1]
         begins = np.append(lo, block.ends[first: last - 1]) - lo
-        leaf, model = block.leaf[lo:hi].astype(np.int64), np.zeros(hi - lo)
-        rows = context_rows(block.context[lo:hi], leaf, begins)
+        token = block.token[lo:hi]
+        leaf, model = block.leaf[token].astype(np.int64), np.zeros(hi - lo)
+        rows = context_rows(block.context[token], leaf, begins, len(weights.band) // KINDS)
         for a in range(0, hi - lo, BATCH):
             b = min(a + BATCH, hi - lo)
             every, own = np.arange(b - a), leaf[a:b]
@@ -423,11 +434,12 @@ def score_texts(
     ).select("block", "place", "own.*")
     vocabulary = cut(words.groupBy("codes").agg(F.sum("counts").alias("count"), F.max("heads").alias("head")))
     classes, placed = _classes(vocabulary)
-    # one number for the count, the group and a few bits of the code of a word
-    packed = F.shiftleft(F.col("count"), 24) + F.shiftleft(F.col("leaf").cast("bigint"), 16) + F.col("codes").bitwiseAND(65535)
+    # one number for the count and the group of a word
+    packed = F.shiftleft(F.col("count"), 8) + F.col("leaf")
+    context = F.shiftrightunsigned("codes", 32).cast("bigint").bitwiseAND(0x7FFFFFFF).cast("int").alias("context")
     known = (
         words.select("block", "place", "codes").join(placed.select("codes", packed.alias("packed")), "codes")
-        .groupBy("block").agg(F.collect_list(F.struct("place", "packed")).alias("known"))
+        .groupBy("block").agg(F.collect_list(F.struct("place", "packed", context)).alias("known"))
     )
     # a row a block on either side
     joined = raw.select("block", "doc_id", "train", "ends", "tokens").join(known, "block").withColumn(

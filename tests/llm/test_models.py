@@ -247,6 +247,29 @@ def test_language_model_query(spark, small):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
+def test_rare_words_tell_the_next(spark):
+    rng = np.random.default_rng(10)
+    # sixty rare words, each followed by a word of its own out of two; frequent ones around them
+    after = {f"r{k}": ("left", "right")[int(rng.integers(2))] for k in range(60)}
+    def text(own):
+        return " ".join(" ".join(["a"] * 12 + [w, after[w]]) for w in own)
+    train = [text(rng.permutation(list(after))[:20]) for _ in range(600)]
+    words = [*after][:40]
+    right, wrong = ([f"{w} {after[w] if k else {'left': 'right', 'right': 'left'}[after[w]]}" for w in words] for k in (1, 0))
+    rows = [(k, t) for k, t in enumerate([*right, *wrong, *train])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    score = {r["doc_id"]: r["score"] for r in maxent.score_texts(docs, F.col("doc_id") >= 80).collect()}
+    assert sum(score[k] > score[40 + k] for k in range(40)) >= 36
+
+
+def test_weights_grow_with_the_vocabulary():
+    classes = maxent.Classes(np.zeros(15, int), np.zeros((16, 15), np.int64), np.ones(256), np.ones(256), 1 << 30, 1 << 26)
+    weights = maxent.start_weights(classes)
+    assert len(weights.band) == len(weights.group) == maxent.KINDS * (1 << 16)
+    rows = maxent.context_rows(np.arange(1 << 16, dtype=np.uint64), np.arange(1 << 16) % 256, np.array([0]), 1 << 16)
+    assert len(np.unique(rows[0])) > 0.6 * (1 << 16)
+
+
 def test_model_probabilities_add_up_to_one():
     rng = np.random.default_rng(8)
     n = maxent.BANDS * maxent.GROUPS
