@@ -42,10 +42,10 @@ ROWS = 1 << 13
 ROWS_A_ROOT = 8
 KINDS = 6
 ROUNDS = 3
-BATCH = 16384
+BATCH = 8192
 RATE = 0.35
 #: Bytes of a word that place it in alphabetical order.
-HEAD = 4
+HEAD = 6
 #: Rows of weights that travel together when changes are averaged.
 CHUNK = 1024
 _DISPERSE = 8

@@ -270,6 +270,12 @@ def test_weights_grow_with_the_vocabulary():
     assert len(np.unique(rows[0])) > 0.6 * (1 << 16)
 
 
+def test_words_that_share_four_bytes_are_told_apart():
+    data = np.frombuffer(b"interest internal inte", np.uint8)
+    heads = maxent.heads_of(data, np.array([0, 9, 18]), np.array([8, 17, 22]))
+    assert heads[2] < heads[0] < heads[1] and maxent.BATCH == 8192
+
+
 def test_model_probabilities_add_up_to_one():
     rng = np.random.default_rng(8)
     n = maxent.BANDS * maxent.GROUPS
