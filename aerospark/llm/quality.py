@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from aerospark.llm.base import SPACED, batch, mix, released, slices, words_of
 
 #: Bound of the training sample: rows of each label.
-TRAIN_ROWS = 800
+TRAIN_ROWS = 1000
 BITS = 17
 DIM = 12
 EPOCHS = 4
@@ -123,6 +123,12 @@ def training_rows(labels: DataFrame, label: str, train: Column, doc_id: str, row
     ).drop("_other")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``_id, _label, _text`` of the wanted ids, one row each; of repeated ids the least text."""
+    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return own.join(F.broadcast(wanted), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, *,
     doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS,
@@ -132,22 +138,19 @@ def fit(
     ``train`` is a condition over ``labels``.  Null labels and other values are left out.
     Without two labels the margins are zero but for the bias of the one there is.
     """
-    wanted = F.broadcast(training_rows(labels, label, train, doc_id, rows))  # at most 2 * rows ids
-    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(
-        wanted, "_id"
-    )
+    sample = texts_of(docs, training_rows(labels, label, train, doc_id, rows), doc_id, text)  # at most 2 * rows
 
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for part in batches:
             binary = part.column(1).cast(pa.large_binary())
             for key, value, mark in zip(part.column(0).to_pylist(), binary, part.column(2).to_pylist()):
-                seen.append((key, value.as_py(), mark))
-        seen.sort()
+                seen.append((key, bag_of(value.as_py()), mark))  # arrays in place of the text
+        seen.sort(key=lambda own: own[0])
         marks = np.array([mark for _, _, mark in seen], np.int64)
         margins = np.zeros((1 << BITS) + 1, np.float32)
         if len(set(marks.tolist())) == 2:
-            margins = fit_margins([bag_of(value) for _, value, _ in seen], marks)
+            margins = fit_margins([bag for _, bag, _ in seen], marks)
         elif len(marks):
             margins[-1] = 4.0 if marks[0] else -4.0
         yield batch(_FITTED, pa.array([margins], pa.list_(pa.float32())))

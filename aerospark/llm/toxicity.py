@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerospark.llm.base import LOWER, PLAIN, Words, released, slices, words_of
-from aerospark.llm.quality import training_rows
+from aerospark.llm.quality import texts_of, training_rows
 
 #: Bound of the training sample: rows of each label.
 TRAIN_ROWS = 4000
@@ -293,10 +293,8 @@ def fit(
 
     ``train`` is a condition over ``labels``.  None if a part of the sample lacks a label.
     """
-    wanted = F.broadcast(training_rows(labels, label, train, doc_id, rows))  # at most 2 * rows ids
-    sample = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(
-        wanted, "_id"
-    ).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(3)))
+    wanted = training_rows(labels, label, train, doc_id, rows)  # at most 2 * rows ids
+    sample = texts_of(docs, wanted, doc_id, text).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(3)))
 
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []

@@ -53,6 +53,14 @@ def test_quality_with_one_label_or_none(spark, labelled):
     assert {r["s"] for r in quality.score(docs, none, "s").collect()} == {0.5}
 
 
+def test_repeated_ids_are_one_training_row(spark):
+    rows = [(k, f"{('good', 'bad')[k % 2]} word{k}") for k in range(40)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    some, more = (spark.createDataFrame(own, "doc_id bigint, text string") for own in (rows, rows + [(3, f"z{j}") for j in range(30)]))
+    assert quality.fit(some, marks, "quality", every()) == quality.fit(more, marks, "quality", every())
+    assert quality.TRAIN_ROWS == 1000
+
+
 def test_folded_margins_equal_the_mean_of_the_bag():
     rng = np.random.default_rng(1)
     texts = [b"ab cd ab", b"", b"x", "é ü é".encode(), b"a" * 50, b"a a a b"]
