@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerospark.llm import decontam, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, toxicity, warc
+from aerospark.llm import (
+    decontam, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, token_files, toxicity, warc,
+)
 from aerospark.llm.base import held_out, small_batches
 from aerospark.scale import work_path
 
@@ -162,3 +164,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        CASE WHEN again THEN first_id END AS refers_to
 FROM marked
 """
+
+
+@_query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = work_path(spark, "tokens")
+    docs = _table(spark, sf_dir, "documents")
+    token_files.write_tokens(docs, files, public_tokenizers.path("word_bpe_49k.json"), 2, apart=True)
+    return token_files.read_tokens(spark, files).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
