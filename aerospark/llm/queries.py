@@ -170,7 +170,7 @@ FROM marked
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = work_path(spark, "tokens")
     docs = _table(spark, sf_dir, "documents")
-    token_files.write_tokens(docs, files, public_tokenizers.path("word_bpe_49k.json"), 2, apart=True)
+    token_files.write_tokens(docs, files, public_tokenizers.path("word_bpe_49k.json"), 2)
     return token_files.read_tokens(spark, files).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),

@@ -18,6 +18,9 @@ in files that are ranges of that order.
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -25,6 +28,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -45,10 +49,22 @@ _CHECKED = 0x80
 FRAME_IDS = 1 << 15
 #: Bytes of text that go to one file at most.
 FILE_BYTES = 128 << 20
-#: Words whose ids a worker remembers, and the longest one in bytes.
-REMEMBERED, LONGEST = 250_000, 64
+#: Words and pieces of words whose ids a worker remembers, twice, and the longest one in bytes.
+REMEMBERED, LONGEST = 400_000, 64
 LEVEL = 3
 
+#: Fixed value: how the lower-case tokenizer divides a text.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters that any version of Unicode classes alike; a word with others is not cut into pieces.
+_UNUSUAL = re.compile("[^!-~\xa1-\u012f\u0131-ɏ]")
+#: Blanks and control characters at which Python cuts words and a tokenizer may not; such a text goes whole.
+_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: The printable character that stands for each byte in a byte-level vocabulary: printable bytes
+#: for themselves, the others in order from 256 on.
+_PRINTABLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+
 _DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ids", "<i8")])
 _RANGE = np.dtype([
     ("first_known", "u1"), ("first", "<i8"), ("last_known", "u1"), ("last", "<i8"), ("docs", "<i8"), ("ids", "<i8"),
@@ -58,46 +74,98 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.bin
 
 
 class Encoder:
-    """Ids of texts; words between ASCII blanks are encoded alone and remembered if ``apart``.
+    """Ids of texts by the tokenizers library.
 
-    ``apart`` is right for tokenizers that drop white space and never join what it divides.
-    A text that names a special token goes to the tokenizer whole.
+    If the tokenizer lowers case, drops white space and divides the rest by ``PIECES``, no id
+    reaches across an ASCII blank, so words and their pieces are encoded alone and remembered.
+     Every other tokenizer, and a text that names a special token, goes whole.
     """
 
-    def __init__(self, model: str, apart: bool):
-        self.tokenizer, self.apart = Tokenizer.from_str(model), apart
+    def __init__(self, model: str):
+        self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.apart = _divides(json.loads(model))
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def _learn_pieces(self, pieces: Iterable[str]) -> None:
+        """Ids of words, lowered and usual, that are one piece; they reach the model byte by byte."""
+        held, flat, ends, one = [], [], [0], self.tokenizer.model.tokenize
+        for piece in pieces:
+            held.append(piece)
+            if not piece.isascii():
+                piece = piece.lower().encode().decode("latin-1").translate(_BYTES)
+            flat += [t.id for t in one(piece)]
+            ends.append(len(flat))
+        raw, size = np.array(flat, self.kind).tobytes(), self.kind.itemsize
+        self.words.update((p, raw[size * a: size * b]) for p, a, b in zip(held, ends, ends[1:]))
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words; those of their pieces are remembered too."""
+        if again := new & self.older.keys():
+            self.words.update((w, self.older[w]) for w in again)
+            new = new - again
+        whole, single, divided = [], set(), []
+        for word in new:
+            if _UNUSUAL.search(word):
+                whole.append(word)
+            elif word.isalpha():
+                single.add(word)
+            else:
+                own = PIECES.findall(word)
+                divided.append((word, own))
+                single.update(own)
+        self._learn_pieces(single.difference(self.words))
+        self.words.update(zip(whole, self._whole(whole)))
+        look = self.words.__getitem__
+        self.words.update((word, b"".join(map(look, own))) for word, own in divided)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        odd = [not self.apart or any(s in t for s in self.special) for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        self.known.update(zip(new, self.whole(new)))
-        out = [b"".join(map(self.known.__getitem__, row)) for row in words]
+        read = [t.lower().decode("utf-8", "replace") for t in texts]
+        odd = [
+            not self.apart or any(s in t for s in self.special) or (not r.isascii() and _BLANK.search(r) is not None)
+            or _CONTROL.search(r) is not None for t, r in zip(texts, read)
+        ]
+        words = [[] if o else r.split() for r, o in zip(read, odd)]
+        if len(self.words) > REMEMBERED:
+            self.words, self.older = {}, self.words
+        new = set(chain.from_iterable(words)).difference(self.words)
+        self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, row)) for row in words]
         for word in new:
             if len(word) > LONGEST:
-                del self.known[word]
-        for k, found in zip(np.flatnonzero(odd), self.whole([t for t, o in zip(texts, odd) if o])):
+                self.words.pop(word, None)
+        left = [t.decode("utf-8", "replace") for t, o in zip(texts, odd) if o]
+        for k, found in zip(np.flatnonzero(odd), self._whole(left)):
             out[k] = found
         return out
 
 
-_ENCODERS: dict[tuple[int, bool], Encoder] = {}
+def _divides(model: dict) -> bool:
+    """Whether a tokenizer lowers case, drops white space and divides the rest by ``PIECES``."""
+    parts = lambda name, inner: [dict(x) for x in (model.get(name) or {}).get(inner, [])]
+    normal, divided = parts("normalizer", "normalizers"), parts("pre_tokenizer", "pretokenizers")
+    return (
+        [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in divided] == ["Split", "ByteLevel"]
+        and divided[0]["pattern"].get("Regex") == PIECES.pattern and divided[0]["invert"]
+        and not divided[1]["add_prefix_space"] and not divided[1]["use_regex"]
+    )
+
+
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(model: str, apart: bool) -> Encoder:
-    key = hash(model), apart
+def _encoder(model: str) -> Encoder:
+    key = hash(model)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model, apart)
+        _ENCODERS[key] = Encoder(model)
     return _ENCODERS[key]
 
 
@@ -236,7 +304,7 @@ def _directory(head: bytes) -> tuple[int, int, np.ndarray]:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end: int, *, doc_id: str = "doc_id", text: str = "text",
-    apart: bool = False, frame_ids: int = FRAME_IDS, file_bytes: int = FILE_BYTES,
+    frame_ids: int = FRAME_IDS, file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write the ids of all ``docs``, each followed by ``end``, to files in folder ``path``.
 
@@ -259,9 +327,10 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("value", pa.binary())])
-        encoder = _encoder(shared.value, apart)
+        encoder = _encoder(shared.value)
         last = np.array([end], encoder.kind).tobytes()
         writer = Writer(TaskContext.get().partitionId(), encoder.kind, frame_ids)
+        gc.disable()  # many small objects and no cycles; ``released`` collects at the end
         for part in batches:
             for a, b, data, offsets in slices(part.column(1)):
                 raw = data.tobytes()
@@ -269,6 +338,7 @@ def write_tokens(
                 for key, ids in zip(part.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
                     for row in writer.add(key, ids + last):
                         yield batch(schema, [row])
+        gc.enable()
         for row in writer.close():
             yield batch(schema, [row])
 

@@ -21,7 +21,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     None, "", " \n\t ", "one", "One  TWO\x0bthree\x0c", "don't we'll 's 1234 5-6", "naïve Straße ΣΑΣ 東京 東京",
     "á éx ́z", "x\x1cy\x85z\xa0w　v", "<|endoftext|> mid <|startoftext|>", "🙂🙂 🙂", "\x00 nul",
-    "word " * 70_000, "y" * 200_000, "İstanbul ﬁne",
+    "word " * 70_000, "y" * 200_000, "İstanbul ﬁne", "a=\u0338b —,— ²x½ µm ǅ <|endof text|>", "''s're 'S it'S O'Reilly'll",
 ]
 
 
@@ -43,10 +43,10 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, hash string, place int, value binary")
 
 
-@pytest.mark.parametrize("model, apart", [(WORDS, True), (WORDS, False), (BYTES, False)])
-def test_files_hold_what_the_library_gives(spark, odd, model, apart):
+@pytest.mark.parametrize("model", [WORDS, BYTES])
+def test_files_hold_what_the_library_gives(spark, odd, model):
     path = work_path(spark, "tokens")
-    token_files.write_tokens(odd, path, model, 2, apart=apart, frame_ids=50)
+    token_files.write_tokens(odd, path, model, 2, frame_ids=50)
     got = [tuple(r) for r in token_files.read_tokens(spark, path).collect()]
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
     # rows that share an id lie in the order of a hash
@@ -59,7 +59,7 @@ def test_files_hold_what_the_library_gives(spark, odd, model, apart):
 def test_a_file_is_a_zstandard_stream_with_a_public_seek_table(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"))
     path = work_path(spark, "tokens")
-    token_files.write_tokens(docs, path, WORDS, 2, apart=True, frame_ids=300)
+    token_files.write_tokens(docs, path, WORDS, 2, frame_ids=300)
     name, = glob.glob(f"{path}/part-*")
     raw = open(name, "rb").read()
     reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True)
@@ -81,7 +81,7 @@ def test_a_file_is_a_zstandard_stream_with_a_public_seek_table(spark):
 def test_requested_documents_only(spark, monkeypatch):
     docs = spark.range(5000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"))
     path = work_path(spark, "tokens")
-    token_files.write_tokens(docs, path, WORDS, 2, apart=True, frame_ids=200, file_bytes=8000)
+    token_files.write_tokens(docs, path, WORDS, 2, frame_ids=200, file_bytes=8000)
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
     want = {key: (at, ids) for key, at, ids in expected(rows, WORDS, 2)}
     asked = [0, 2, 4000, 4001, 9998, 10_000]
@@ -137,7 +137,7 @@ def test_a_damaged_frame_is_an_error():
 def test_a_file_without_its_directory_is_an_error(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
     path = work_path(spark, "tokens")
-    token_files.write_tokens(docs, path, WORDS, 2, apart=True, frame_ids=10)
+    token_files.write_tokens(docs, path, WORDS, 2, frame_ids=10)
     lost = work_path(spark, "tokens")
     mark = token_files.MARK.decode("ascii")
     rows = spark.read.option("lineSep", mark).text(path).coalesce(1)
@@ -149,7 +149,7 @@ def test_a_file_without_its_directory_is_an_error(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     path = work_path(spark, "tokens")
-    token_files.write_tokens(docs, path, WORDS, 2, apart=True)
+    token_files.write_tokens(docs, path, WORDS, 2)
     assert token_files.read_tokens(spark, path).count() == 0
 
 
