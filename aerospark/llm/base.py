@@ -11,7 +11,6 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +23,9 @@ from aerospark.scale import work_path
 
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+SECOND = 0xD6E8FEB86659FD93
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -79,18 +80,57 @@ def mix(code: np.ndarray) -> np.ndarray:
     return code ^ (code >> np.uint64(33))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, BASE_INVERSE):
-        power = np.full(1 << bits, base, np.uint64)
-        power[0] = 1
-        out.append(np.cumprod(power, dtype=np.uint64))
-    return out[0], out[1]
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``data`` on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(20, int(n).bit_length()))
+def _rest(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words of over 8 bytes: which they are, and the word, number and bytes of each further chunk."""
+    long = np.flatnonzero(size > 8)
+    n = (size[long] - 1) >> 3
+    first = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(long)), n)
+    place = np.arange(len(word)) - first[word] + 1
+    return long, first, word, place
+
+
+def codes_of(eight: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each run of bytes, from the ``chunks`` of all.
+
+    Every chunk is spread with its place, in two ways that are summed apart and folded, so no
+    pattern of letters makes codes meet; two runs with one code have to be searched for.
+    """
+    size = stop - start
+    value = eight[start] & _LOW[np.minimum(size, 8)]
+    one, two = mix(value ^ np.uint64(BASE)), mix(value * np.uint64(SECOND) + np.uint64(BASE))
+    if len(size) and size.max() > 8:
+        long, first, word, place = _rest(size)
+        left = size[long][word] - 8 * place
+        value = eight[start[long][word] + 8 * place] & _LOW[np.minimum(left, 8)]
+        key = mix(place.astype(np.uint64) * np.uint64(BASE))
+        one[long] += np.add.reduceat(mix(value ^ key), first)
+        two[long] += np.add.reduceat(mix(value * np.uint64(SECOND) + key), first)
+    return mix(one + mix(two ^ size.astype(np.uint64)))
+
+
+def same_bytes(
+    eight: np.ndarray, start: np.ndarray, stop: np.ndarray,
+    eight_b: np.ndarray, start_b: np.ndarray, stop_b: np.ndarray,
+) -> np.ndarray:
+    """Which runs of bytes equal those on the other side."""
+    size = stop - start
+    low = _LOW[np.minimum(size, 8)]
+    same = (size == stop_b - start_b) & ((eight[start] ^ eight_b[start_b]) & low == 0)
+    long, _, word, place = _rest(np.where(same, size, 0))
+    if len(long):
+        left = size[long][word] - 8 * place
+        a, b = eight[start[long][word] + 8 * place], eight_b[start_b[long][word] + 8 * place]
+        differ = (a ^ b) & _LOW[np.minimum(left, 8)] != 0
+        same[long[word[differ]]] = False
+    return same
 
 
 def words_of(
@@ -109,12 +149,9 @@ def words_of(
     begins[1:] &= ~part[:-1] | edge[1:n]
     ends[:-1] &= ~part[1:] | edge[1:n]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    begun, back = total[start], down[start]
-    code = mix((total[stop] - begun) * back)
-    short = {k: mix((total[np.minimum(start + k, stop)] - begun) * back) for k in prefixes}
+    eight = chunks(low)
+    code = codes_of(eight, start, stop)
+    short = {k: codes_of(eight, start, np.minimum(start + k, stop)) for k in prefixes}
     return Words(start, stop, np.searchsorted(offsets, start, side="right") - 1, code, short)
 
 

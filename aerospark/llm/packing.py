@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aerospark.llm.base import batch, mix, powers, released, slices
+from aerospark.llm.base import batch, released, slices
+from aerospark.llm.word_ids import WordIds, per_row
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of text whose ids a worker remembers, about 200 bytes each, and words, about 30 bytes each.
+#: Pieces of text whose ids a worker remembers, about 200 bytes each, and words, about 50 bytes each.
 REMEMBERED = 150_000
 REMEMBERED_WORDS = 1_500_000
 
@@ -43,41 +44,6 @@ _PACKED = pa.schema([
 ])
 
 
-class Pool:
-    """Ids of words by 64-bit codes of the words: codes in order, and where the ids of each lie."""
-
-    def __init__(self):
-        self.codes = np.empty(0, np.uint64)
-        self.begin = self.size = np.empty(0, np.int64)
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-
-    def unknown(self, codes: np.ndarray) -> np.ndarray:
-        """Which of the given codes, in order and distinct, are not held."""
-        if not len(self.codes):
-            return np.ones(len(codes), bool)
-        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return self.codes[place] != codes
-
-    def add(self, codes: np.ndarray, ids: list[bytes]) -> None:
-        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(b) // 4 for b in ids], np.int64)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used: self.used + len(flat)] = flat
-        place = np.searchsorted(self.codes, codes)
-        self.begin = np.insert(self.begin, place, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, place, size)
-        self.codes = np.insert(self.codes, place, codes)
-        self.used += len(flat)
-
-    def join(self, codes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words ``codes[which]``, one after the other, and how many each has."""
-        place = np.searchsorted(self.codes, codes)
-        begin, size = self.begin[place][which], self.size[place][which]
-        ends = np.cumsum(size)
-        at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[at], size
-
-
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers; remembers the words and pieces it has seen.
 
@@ -90,7 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-        self.words = Pool()
+        self.words = WordIds(REMEMBERED_WORDS)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -118,22 +84,12 @@ class Encoder:
         begins[offsets[:-1][filled]] = True
         start = np.flatnonzero(begins)
         stop = np.append(start[1:], n)
-        up, down = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        code = mix((total[stop] - total[start]) * down[start])
-        codes, first, which = np.unique(code, return_index=True, return_inverse=True)
-        if len(self.words.codes) > REMEMBERED_WORDS:
-            self.words = Pool()
-        new = np.flatnonzero(self.words.unknown(codes))
-        if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
-            self.words.add(codes[new], self._by_pieces(texts))
-        ids, size = self.words.join(codes, which)
-        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
-        raw = ids.astype("<u4").tobytes()
-        return [raw[4 * a: 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+        def learn(words: list[bytes]) -> list[bytes]:
+            return self._by_pieces([w.decode() for w in words])
+
+        ids, count = self.words.ids_of(data, start, stop, learn)
+        return per_row(ids, count, start, offsets, np.dtype("<u4"))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of each text of a slice."""

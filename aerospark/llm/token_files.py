@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from tokenizers import Tokenizer
 
-from aerospark.llm.base import batch, cut, released, slices
+from aerospark.llm.base import LOWER, SPACED, batch, cut, released, slices, words_of
+from aerospark.llm.word_ids import WordIds, per_row
 from aerospark.scale import broadcast_if_small
 
 #: The magic numbers of skippable frames and of the public seek table.
@@ -49,17 +50,14 @@ _CHECKED = 0x80
 FRAME_IDS = 1 << 15
 #: Bytes of text that go to one file at most.
 FILE_BYTES = 128 << 20
-#: Words and pieces of words whose ids a worker remembers, twice, and the longest one in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words whose ids a worker remembers, about 50 bytes each, and pieces of words, about 250 bytes each.
+REMEMBERED_WORDS, REMEMBERED_PIECES = 1_500_000, 150_000
 LEVEL = 3
 
 #: Fixed value: how the lower-case tokenizer divides a text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters that any version of Unicode classes alike; a word with others is not cut into pieces.
 _UNUSUAL = re.compile("[^!-~\xa1-\u012f\u0131-ɏ]")
-#: Blanks and control characters at which Python cuts words and a tokenizer may not; such a text goes whole.
-_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CONTROL = re.compile("[\x1c-\x1f]")
 #: The printable character that stands for each byte in a byte-level vocabulary: printable bytes
 #: for themselves, the others in order from 256 on.
 _PRINTABLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
@@ -78,7 +76,7 @@ class Encoder:
 
     If the tokenizer lowers case, drops white space and divides the rest by ``PIECES``, no id
     reaches across an ASCII blank, so words and their pieces are encoded alone and remembered.
-     Every other tokenizer, and a text that names a special token, goes whole.
+    Every other tokenizer, and a text that names a special token, goes whole.
     """
 
     def __init__(self, model: str):
@@ -86,12 +84,12 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.apart = _divides(json.loads(model))
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = WordIds(REMEMBERED_WORDS)
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn_pieces(self, pieces: Iterable[str]) -> None:
         """Ids of words, lowered and usual, that are one piece; they reach the model byte by byte."""
@@ -102,47 +100,44 @@ class Encoder:
                 piece = piece.lower().encode().decode("latin-1").translate(_BYTES)
             flat += [t.id for t in one(piece)]
             ends.append(len(flat))
-        raw, size = np.array(flat, self.kind).tobytes(), self.kind.itemsize
-        self.words.update((p, raw[size * a: size * b]) for p, a, b in zip(held, ends, ends[1:]))
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of words; those of their pieces are remembered too."""
-        if again := new & self.older.keys():
-            self.words.update((w, self.older[w]) for w in again)
-            new = new - again
-        whole, single, divided = [], set(), []
-        for word in new:
+        raw = np.array(flat, "<u4").tobytes()
+        self.pieces.update((p, raw[4 * a: 4 * b]) for p, a, b in zip(held, ends, ends[1:]))
+
+    def _learn(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of lowered words without blanks."""
+        words = [w.decode("utf-8", "replace") for w in raw]
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces.clear()
+        whole, single, divided = [], [], {}
+        for word in words:
             if _UNUSUAL.search(word):
                 whole.append(word)
             elif word.isalpha():
-                single.add(word)
+                single.append(word)
             else:
-                own = PIECES.findall(word)
-                divided.append((word, own))
-                single.update(own)
-        self._learn_pieces(single.difference(self.words))
-        self.words.update(zip(whole, self._whole(whole)))
-        look = self.words.__getitem__
-        self.words.update((word, b"".join(map(look, own))) for word, own in divided)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        read = [t.lower().decode("utf-8", "replace") for t in texts]
-        odd = [
-            not self.apart or any(s in t for s in self.special) or (not r.isascii() and _BLANK.search(r) is not None)
-            or _CONTROL.search(r) is not None for t, r in zip(texts, read)
-        ]
-        words = [[] if o else r.split() for r, o in zip(read, odd)]
-        if len(self.words) > REMEMBERED:
-            self.words, self.older = {}, self.words
-        new = set(chain.from_iterable(words)).difference(self.words)
-        self._learn(new)
-        out = [b"".join(map(self.words.__getitem__, row)) for row in words]
-        for word in new:
-            if len(word) > LONGEST:
-                self.words.pop(word, None)
-        left = [t.decode("utf-8", "replace") for t, o in zip(texts, odd) if o]
-        for k, found in zip(np.flatnonzero(odd), self._whole(left)):
-            out[k] = found
+                divided[word] = PIECES.findall(word)
+        self._learn_pieces(set(chain(single, *divided.values())).difference(self.pieces))
+        out = dict(zip(whole, self._whole(whole)))
+        look = self.pieces.__getitem__
+        out.update((word, b"".join(map(look, own))) for word, own in divided.items())
+        return [out[w] if w in out else look(w) for w in words]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a slice."""
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        out: list[bytes] = [b""] * len(texts)
+        odd = [k for k, t in enumerate(texts) if not self.apart or any(s in t for s in self.special)]
+        for k, ids in zip(odd, self._whole([texts[k].decode("utf-8", "replace") for k in odd])):
+            out[k] = np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+        rest = sorted(set(range(len(texts))).difference(odd))
+        if odd:
+            parts = [texts[k] for k in rest]
+            data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts])
+        words = words_of(data, offsets, SPACED)
+        ids, count = self.words.ids_of(LOWER[data], words.start, words.stop, self._learn, words.code)
+        for k, own in zip(rest, per_row(ids, count, words.start, offsets, self.kind)):
+            out[k] = own
         return out
 
 
@@ -333,9 +328,8 @@ def write_tokens(
         gc.disable()  # many small objects and no cycles; ``released`` collects at the end
         for part in batches:
             for a, b, data, offsets in slices(part.column(1)):
-                raw = data.tobytes()
-                texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                for key, ids in zip(part.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
+                keys = part.column(0).slice(a, b - a).to_pylist()
+                for key, ids in zip(keys, encoder.encode(data, offsets)):
                     for row in writer.add(key, ids + last):
                         yield batch(schema, [row])
         gc.enable()
