@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospark.llm import (
-    decontam, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, token_files, toxicity, warc,
+    decontam, divergence, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, token_files, toxicity, warc,
 )
 from aerospark.llm.base import held_out, small_batches
 from aerospark.scale import work_path
@@ -175,3 +175,54 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+    FROM documents
+), occurring AS (
+    SELECT doc, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (
+    SELECT g.lang, g.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM groups g
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source) USING (lang, source)
+    LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+), shares AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v)::HUGEINT AS p
+    FROM sizes JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every_pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), language AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(whole) + any_value(v))::HUGEINT AS q
+    FROM counts JOIN (SELECT lang, sum(total) AS whole, max(v) AS v FROM sizes GROUP BY lang) USING (lang)
+    GROUP BY lang, term
+), terms AS (
+    SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+    FROM shares JOIN language USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value,
+           row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS place FROM every_pair
+    UNION ALL
+    SELECT lang, source, 'term', item, value,
+           row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+    QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INT) AS rank FROM ranked
+"""
