@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerospark.llm import (
-    decontam, divergence, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, token_files, toxicity, warc,
+    decontam, divergence, langid, line_dedup, maxent, minhash, near_vectors, packing, quality, spelling, token_files, toxicity,
+    warc,
 )
 from aerospark.llm.base import held_out, small_batches
 from aerospark.scale import work_path
@@ -226,3 +227,8 @@ sizes AS (
 )
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INT) AS rank FROM ranked
 """
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
