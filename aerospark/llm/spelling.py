@@ -37,7 +37,6 @@ RUNS = "[A-Za-z\\u00C0-\\u00FF]+"
 ALPHABET = 90
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_KEYS = "word string, size int, pivot boolean, last int, key bigint"
 
 
 def words_of_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", damage: int | None = DAMAGE) -> DataFrame:
@@ -71,6 +70,14 @@ def gram_counts(words: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in counted.collect()}
 
 
+def letters_of(word: str) -> int:
+    """A bit for each of 63 classes of letters that occurs an odd number of times."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 63
+    return bits
+
+
 def prefix_of(ranks: np.ndarray) -> np.ndarray:
     """Places of the three bigrams of least rank and of those that tie with the third."""
     return np.flatnonzero(ranks <= np.partition(ranks, 2)[2])
@@ -94,7 +101,7 @@ def pivots_of(places: np.ndarray, cost: np.ndarray) -> tuple[int, int]:
 
 
 def _keys(words: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """``word, size, pivot, last, key``: where a word's pivots and prefix may meet others.
+    """``word, pivot, last, letters, key``: where a word's pivots and prefix may meet others.
 
     ``last`` is the rank at which the prefix ends; a key stands for the letters from a bigram
     to the word's beginning or end, and for the length of one of the two words.
@@ -102,7 +109,8 @@ def _keys(words: DataFrame, counts: dict[str, int]) -> DataFrame:
     order = sorted(counts, key=lambda g: (counts[g], g))
     shared = words.sparkSession.sparkContext.broadcast(({g: k for k, g in enumerate(order)}, counts))
     schema = pa.schema([
-        ("word", pa.string()), ("size", pa.int32()), ("pivot", pa.bool_()), ("last", pa.int32()), ("side", pa.string()),
+        ("word", pa.string()), ("size", pa.int32()), ("pivot", pa.bool_()), ("last", pa.int32()), ("letters", pa.int64()),
+        ("side", pa.string()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,31 +123,34 @@ def _keys(words: DataFrame, counts: dict[str, int]) -> DataFrame:
                 places = prefix_of(ranks)
                 last = int(ranks[places].max())
                 chosen = pivots_of(places, np.array([many[grams[k]] for k in places.tolist()]))
+                letters = letters_of(word)
                 for k in places.tolist():
                     sides = (f"<{word[: k + 2]}", f">{word[k:]}")
-                    out += [(word, len(word), False, last, side) for side in sides]
+                    out += [(word, len(word), False, last, letters, side) for side in sides]
                     if k in chosen:
-                        out += [(word, len(word), True, last, side) for side in sides]
+                        out += [(word, len(word), True, last, letters, side) for side in sides]
             if out:
                 yield batch(schema, *zip(*out))
 
     found = words.select("word").mapInArrow(
-        released(run), "word string, size int, pivot boolean, last int, side string"
+        released(run), "word string, size int, pivot boolean, last int, letters bigint, side string"
     )
     # a pivot looks for words of its own length and one more or less
     sizes = F.when(F.col("pivot"), F.sequence(F.col("size") - 1, F.col("size") + 1)).otherwise(F.array("size"))
     return found.withColumn("of", F.explode(sizes)).select(
-        "word", "size", "pivot", "last", F.xxhash64("side", "of").alias("key")
+        "word", "pivot", "last", "letters", F.xxhash64("side", "of").alias("key")
     )
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``a, b``: all pairs of distinct words that one inserted, deleted or replaced letter tells apart, both ways."""
     keys = cut(_keys(words, gram_counts(words)))
-    pivots = keys.filter("pivot").select(F.col("word").alias("a"), F.col("last").alias("last_a"), "key")
-    others = keys.filter("NOT pivot").select(F.col("word").alias("b"), F.col("last").alias("last_b"), "key")
+    pivots = keys.filter("pivot").select(F.col("word").alias("a"), F.col("last").alias("last_a"), F.col("letters").alias("letters_a"), "key")
+    others = keys.filter("NOT pivot").select(F.col("word").alias("b"), F.col("last").alias("last_b"), F.col("letters").alias("letters_b"), "key")
+    # one edit changes which letters occur an odd number of times by two at most
+    changed = F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b")))
     met = pivots.join(others, "key").filter(
-        (F.col("last_a") <= F.col("last_b")) & (F.col("a") != F.col("b"))
+        (F.col("last_a") <= F.col("last_b")) & (changed <= 2) & (F.col("a") != F.col("b"))
         & (F.levenshtein("a", "b", 1) == 1)
     )
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
