@@ -6,7 +6,7 @@ length, and a prefix that too few documents hold is dropped with all that begins
 each level the terms that end there are complete, and those that enough documents hold are kept.
 
 Texts are read once.  A task counts, for bounded runs of documents, in how many of them each
-prefix of each level occurs, and how often each term occurs for each source; a document's terms
+prefix of each level occurs, and how often each term occurs in each source; a document's terms
 lie in order, so equal prefixes are neighbours.  These partial counts lie in runs of one level, so a
 level reads its own pages, joins them with the prefixes that the level before kept, and sums them.
 No document crosses a shuffle, and a frequent term or a large source is one number a run.
@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +33,22 @@ from aerospark.scale import broadcast_if_small
 LEAST = 3
 #: Bytes of the prefixes of the first level; each level doubles them.
 FIRST = 2
-#: Terms of a document counted together with others before a run of documents ends.
-RUN = 1 << 20
+#: Terms and distinct terms of documents that are counted together, at most, but for the last document.
+RUN, DISTINCT = 1 << 22, 400_000
 BILLION = 1_000_000_000
 TOP = 200
 
 #: Fixed value: the bytes that make up terms, of lowered texts.
 TERMS = re.compile(rb"[a-z\x80-\xff]+")
 
-#: What a row of the partial counts is of.
-OPEN, COMPLETE, COUNT = 0, 1, 2
-_PARTIAL = "kind int, level int, lang string, source string, parent binary, item binary, n bigint"
+_PARTIAL = (
+    "level int, open boolean, lang string, parent binary, item binary, n bigint, "
+    "by_source array<struct<source:string,n:bigint>>"
+)
+_BY_SOURCE = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
 _SCHEMA = pa.schema([
-    ("kind", pa.int32()), ("level", pa.int32()), ("lang", pa.string()), ("source", pa.string()),
-    ("parent", pa.binary()), ("item", pa.binary()), ("n", pa.int64()),
+    ("level", pa.int32()), ("open", pa.bool_()), ("lang", pa.string()), ("parent", pa.binary()), ("item", pa.binary()),
+    ("n", pa.int64()), ("by_source", _BY_SOURCE),
 ])
 
 
@@ -55,86 +57,89 @@ def _level_of(size: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(size, FIRST) / FIRST)).astype(np.int64)
 
 
-def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sum of their numbers, or how many they are."""
-    if n is None:
-        return np.unique(key, return_counts=True)
-    found, which = np.unique(key, return_inverse=True)
-    return found, np.bincount(which, n, len(found)).astype(np.int64)
-
-
 class Run:
-    """Documents that are counted together."""
+    """Documents that are counted together, as numbers of their terms."""
 
     def __init__(self):
         self.rows: list[tuple[str, str]] = []
-        self.terms: list[list[bytes]] = []
+        self.place: dict[bytes, int] = {}
+        self.terms: list[np.ndarray] = []
         self.held = 0
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
+        put, place = self.place.setdefault, self.place
         self.rows.append((lang, source))
-        self.terms.append(terms)
+        self.terms.append(np.array([put(t, len(place)) for t in terms], np.int32))
         self.held += len(terms)
 
+    def full(self) -> bool:
+        return self.held > RUN or len(self.place) > DISTINCT
+
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """Partial counts of the run: documents of each prefix by level, and occurrences by source."""
-        names = sorted(set(chain.from_iterable(self.terms)))
-        place = {t: k for k, t in enumerate(names)}
-        langs = sorted({lang for lang, _ in self.rows})
-        groups = sorted(set(self.rows))
-        group_at = {g: k for k, g in enumerate(groups)}
-        lang_at = {x: k for k, x in enumerate(langs)}
-        size = np.array([len(t) for t in names], np.int64)
-        # one number for a row and a term; terms lie in the order of their bytes
+        """Documents of each prefix by level; complete terms also with their occurrences by source."""
+        names = pa.array(list(self.place), pa.binary())
+        order = pc.array_sort_indices(names)
+        names, width = names.take(order), max(1, len(names))
+        rank = np.empty(width, np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        langs, lang = np.unique(np.array([r[0] for r in self.rows], object), return_inverse=True)
+        sources, source = np.unique(np.array([r[1] for r in self.rows], object), return_inverse=True)
         row = np.repeat(np.arange(len(self.rows)), [len(t) for t in self.terms])
-        term = np.fromiter((place[t] for t in chain.from_iterable(self.terms)), np.int64, self.held)
-        width = max(1, len(names))
-        pair, times = np.unique(row * width + term, return_counts=True)
+        # a document's terms lie in the order of their bytes
+        pair, times = np.unique(row * width + rank[np.concatenate(self.terms)], return_counts=True)
         row, term = pair // width, pair % width
-        group = np.array([group_at[r] for r in self.rows], np.int64)
-        lang = np.array([lang_at[x] for x, _ in self.rows], np.int64)
-
-        key, n = _summed(group[row] * width + term, times)
-        yield self._batch(
-            COUNT, -1, [groups[k] for k in (key // width).tolist()], None, [names[k] for k in (key % width).tolist()], n,
-        )
-        ends, level = _level_of(size), 0
-        while len(row):
-            length = FIRST << level
-            alive = np.flatnonzero(ends >= level)
-            heads = [names[k][:length] for k in alive.tolist()]
-            done = ends[alive] == level
-            # open terms with a common beginning lie side by side; a complete one stands alone
+        if not len(row):
+            return
+        ends = _level_of(pc.binary_length(names).to_numpy(zero_copy_only=False))
+        yield from self._complete(names, ends, langs, sources, lang[row] * width + term, source[row], times)
+        level = 0
+        while (here := ends[term] > level).any():
+            row, term, length = row[here], term[here], FIRST << level
+            alive = np.flatnonzero(ends > level)
+            heads = pc.binary_slice(names.take(pa.array(alive)), 0, length)
             fresh = np.ones(len(alive), bool)
-            fresh[1:] = np.fromiter(map(bytes.__ne__, heads, heads[1:]), bool, len(heads) - 1)
-            fresh[1:] |= done[1:] | done[:-1]
+            fresh[1:] = pc.not_equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)
             head = np.zeros(width, np.int64)
             head[alive] = np.cumsum(fresh) - 1
             at = head[term]
             once = np.ones(len(at), bool)
             once[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-            key, n = _summed(lang[row[once]] * width + at[once])
-            first = np.flatnonzero(fresh)[key % width]
-            for kind, some in ((OPEN, ~done[first]), (COMPLETE, done[first])):
-                items = [heads[k] for k in first[some].tolist()]
-                yield self._batch(
-                    kind, level, [(langs[k], None) for k in (key[some] // width).tolist()],
-                    [x[: length // 2] if level else b"" for x in items], items, n[some],
-                )
-            here = ends[term] > level
-            row, term, level = row[here], term[here], level + 1
+            key, n = np.unique(lang[row[once]] * width + at[once], return_counts=True)
+            items = heads.take(pa.array(np.flatnonzero(fresh)[key % width]))
+            yield self._batch(level, True, langs[key // width], items, n, None)
+            level += 1
+
+    def _complete(self, names, ends, langs, sources, key, source, times) -> Iterator[pa.RecordBatch]:
+        width, kinds = max(1, len(names)), len(sources)
+        documents, n = np.unique(key, return_counts=True)
+        by_source, which = np.unique(key * kinds + source, return_inverse=True)
+        occurrences = np.bincount(which, times, len(by_source)).astype(np.int64)
+        first = np.searchsorted(by_source // kinds, documents)
+        count = np.append(first[1:], len(by_source)) - first
+        levels = ends[documents % width]
+        for level in np.unique(levels).tolist():
+            some = np.flatnonzero(levels == level)
+            stop = np.cumsum(count[some])
+            flat = np.repeat(first[some] - (stop - count[some]), count[some]) + np.arange(stop[-1])
+            own = pa.StructArray.from_arrays(
+                [pa.array(sources[by_source[flat] % kinds], pa.string()), pa.array(occurrences[flat])], ["source", "n"]
+            )
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), own)
+            items = names.take(pa.array(documents[some] % width))
+            yield self._batch(level, False, langs[documents[some] // width], items, n[some], lists)
 
     @staticmethod
-    def _batch(kind: int, level: int, groups: list[tuple], parents: list | None, items: list, n: np.ndarray) -> pa.RecordBatch:
+    def _batch(level: int, is_open: bool, langs, items: pa.Array, n: np.ndarray, by_source) -> pa.RecordBatch:
         size = len(items)
+        parents = pc.binary_slice(items, 0, (FIRST << level) // 2 if level else 0)
         return batch(
-            _SCHEMA, np.full(size, kind), np.full(size, level), [g[0] for g in groups], [g[1] for g in groups],
-            parents or [None] * size, items, n,
+            _SCHEMA, np.full(size, level, np.int32), np.full(size, is_open), pa.array(langs, pa.string()), parents, items,
+            n, pa.nulls(size, _BY_SOURCE) if by_source is None else by_source,
         )
 
 
 def partial_counts(docs: DataFrame, *, text: str, lang: str, source: str) -> DataFrame:
-    """``kind, level, lang, source, parent, item, n``: what each run of documents holds."""
+    """``level, open, lang, parent, item, n, by_source``: what each run of documents holds."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +150,7 @@ def partial_counts(docs: DataFrame, *, text: str, lang: str, source: str) -> Dat
                 langs, sources = (part.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
                 for x, y, begin, end in zip(langs, sources, offsets[:-1].tolist(), offsets[1:].tolist()):
                     held.add(x, y, TERMS.findall(raw, begin, end))
-                    if held.held > RUN:
+                    if held.full():
                         yield from held.counts()
                         held = Run()
         if held.rows:
@@ -163,17 +168,15 @@ def kept_terms(partials: DataFrame, least: int = LEAST) -> DataFrame:
     parts, level = [], 0
     survivors: DataFrame | None = None
     while True:
-        here = partials.filter(F.col("level") == level).select(
-            "kind", "lang", "parent", "item", "n"
-        )
+        here = partials.filter(F.col("level") == level).select("open", "lang", "parent", "item", "n")
         if survivors is not None:
-            prefixes = survivors.filter(F.col("kind") == OPEN).select("lang", F.col("item").alias("parent"))
+            prefixes = survivors.filter("open").select("lang", F.col("item").alias("parent"))
             if not prefixes.head(1):
                 break
             here = here.join(broadcast_if_small(prefixes), ["lang", "parent"], "left_semi")
-        summed = here.groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
-        survivors = cut(summed.filter(F.col("n") >= least).select("kind", "lang", "item"))
-        parts.append(survivors.filter(F.col("kind") == COMPLETE).select("lang", F.col("item").alias("term")))
+        summed = here.groupBy("open", "lang", "item").agg(F.sum("n").alias("n"))
+        survivors = cut(summed.filter(F.col("n") >= least).select("open", "lang", "item"))
+        parts.append(survivors.filter("NOT open").select("lang", F.col("item").alias("term")))
         level += 1
     out = parts[0]
     for part in parts[1:]:
@@ -216,9 +219,10 @@ def divergence(
     partials = cut(partial_counts(docs, text=text, lang=lang, source=source))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
     kept = cut(kept_terms(partials, least))
-    occurring = partials.filter(F.col("kind") == COUNT).select("lang", "source", F.col("item").alias("term"), "n")
+    occurring = partials.filter("NOT open").select("lang", F.col("item").alias("term"), "by_source")
     counts = cut(
         occurring.join(broadcast_if_small(kept), ["lang", "term"], "left_semi")
+        .select("lang", "term", F.inline("by_source"))
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     )
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
