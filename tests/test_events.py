@@ -235,3 +235,34 @@ def test_export_reports_failures_and_never_raises(spark):
     assert sink.export(color_events(spark).filter("false")) == {}
     with pytest.raises(ValueError):
         sinks.OtlpSink("/unused", ["profiles"])
+
+
+def read_back(shaped):
+    """The value that a wire form stands for; it has exactly one field."""
+    (field, inner), = shaped.items()
+    if field == "arrayValue":
+        return list(map(read_back, inner["values"]))
+    if field == "kvlistValue":
+        return {entry["key"]: read_back(entry["value"]) for entry in inner["values"]}
+    assert field == {bool: "boolValue", float: "doubleValue"}.get(type(inner), field) and field.endswith("Value")
+    return int(inner) if field == "intValue" else inner
+
+
+def test_nested_values_of_any_depth(spark):
+    deep = "end"
+    for k in range(60):
+        deep = [deep, k] if k % 2 else {"inner": deep, "k,\"x\":[": None}
+    values = [
+        [], {}, [[]], [{}], {"a": {}}, {"a": []}, [[], [], {}], deep, ["", "a,b", "a\":{[", "back\\slash\\", "\"", "\n\té東🙂"],
+        {"": 1, ":": ",", ",": ":", "{": "}", "a\"b": "c"}, [1, -2, 10**20, 1.5, -0.25, 1e30, 2.5e-7, True, False, None],
+        {"x": [1, {"y": [{"z": True}, "s"]}, None], "w": "v"}, ["x" * 50_000, "\\\"" * 20_000], [str(k) for k in range(3000)],
+    ]
+    rows = [(k, json.dumps(v)) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("v", F.parse_json("t"))
+    entry = otlp.typed(F.lit(""), F.col("v"))
+    shaped = df.select("id", F.to_json(otlp.any_value(entry)).alias("wire"))
+    for row in shaped.collect():
+        want = json.dumps(values[row["id"]], sort_keys=True).replace("null", '"None"')
+        assert json.dumps(read_back(json.loads(row["wire"])), sort_keys=True) == want
+    plan = shaped._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
