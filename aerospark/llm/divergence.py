@@ -57,19 +57,26 @@ def _level_of(size: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(size, FIRST) / FIRST)).astype(np.int64)
 
 
+class _Numbers(dict):
+    """Numbers of terms in the order in which they are first met."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
 class Run:
     """Documents that are counted together, as numbers of their terms."""
 
     def __init__(self):
         self.rows: list[tuple[str, str]] = []
-        self.place: dict[bytes, int] = {}
+        self.place = _Numbers()
         self.terms: list[np.ndarray] = []
         self.held = 0
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
-        put, place = self.place.setdefault, self.place
         self.rows.append((lang, source))
-        self.terms.append(np.array([put(t, len(place)) for t in terms], np.int32))
+        self.terms.append(np.fromiter(map(self.place.__getitem__, terms), np.int32, len(terms)))
         self.held += len(terms)
 
     def full(self) -> bool:
@@ -242,6 +249,18 @@ def divergence(
     return ranked.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 
+def _exact_sum(name: str) -> list[Column]:
+    """Sums of the halves of whole numbers, which stay small where the sum of the numbers may not."""
+    return [
+        F.sum(F.shiftright(name, 32)).alias(f"{name}_high"),
+        F.sum(F.col(name).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}_low"),
+    ]
+
+
+def _joined(name: str) -> Column:
+    return (_whole(F.col(f"{name}_high")) * _whole(F.lit(1 << 32)) + _whole(F.col(f"{name}_low"))).cast("decimal(38,0)")
+
+
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     """Part ``pair``: the sum over all kept terms, from terms that both have, one has, and neither has."""
     mine = groups.select("lang", "source", F.col("none").alias("p0"), "terms")
@@ -258,15 +277,22 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     of_theirs = pairs.join(by_share.toDF("lang", "item", "q", "k"), ["lang", "item"]).select(
         "lang", "source", "item", (_whole(_surprise(F.col("p0"), F.col("q")) - both_none) * F.col("k")).cast("decimal(38,0)").alias("d")
     )
-    # and what changes once more where both have the term
+    # and what changes once more where both have the term; each two sources meet once
     left = shares.select("lang", "term", "source", "p", F.col("none").alias("p0"))
     right = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none").alias("q0"))
-    change = (
-        _surprise(F.col("p"), F.col("q")) - _surprise(F.col("p"), F.col("q0"))
-        - _surprise(F.col("p0"), F.col("q")) + both_none
+
+    def change(p: Column, p0: Column, q: Column, q0: Column) -> Column:
+        return _surprise(p, q) - _surprise(p, q0) - _surprise(p0, q) + _surprise(p0, q0)
+
+    forth = change(F.col("p"), F.col("p0"), F.col("q"), F.col("q0"))
+    back = change(F.col("q"), F.col("q0"), F.col("p"), F.col("p0"))
+    half = (
+        left.join(right, ["lang", "term"]).filter(F.col("source") < F.col("item"))
+        .select("lang", "source", "item", forth.alias("forth"), back.alias("back"))
+        .groupBy("lang", "source", "item").agg(*_exact_sum("forth"), *_exact_sum("back"))
     )
-    of_both = left.join(right, ["lang", "term"]).filter(F.col("source") != F.col("item")).select(
-        "lang", "source", "item", _whole(change).alias("d")
+    of_both = half.select("lang", "source", "item", _joined("forth").alias("d")).unionByName(
+        half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), _joined("back").alias("d"))
     )
     summed = (
         base.unionByName(of_mine).unionByName(of_theirs).unionByName(of_both)
