@@ -86,8 +86,9 @@ def sketches(docs: DataFrame, *, doc_id: str, text: str, length: int, threshold:
                 sizes, first, second, short, keys = [], [], [], [], []
                 for codes in shingles(words_of(data, offsets, SPACED), b - a, length):
                     sizes.append(len(codes))
-                    first.append(int(codes.sum().view(np.int64)))
-                    second.append(int(mix(codes ^ np.uint64(BASE)).sum().view(np.int64)))
+                    own_a, own_b = _identity(codes)
+                    first.append(own_a)
+                    second.append(own_b)
                     if len(codes):
                         own = signature(codes)
                         short.append((own & 255).astype(np.uint8).tobytes())
@@ -102,17 +103,33 @@ def sketches(docs: DataFrame, *, doc_id: str, text: str, length: int, threshold:
     return docs.select(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))).mapInArrow(released(run), _SKETCH)
 
 
+def _identity(codes: np.ndarray) -> tuple[int, int]:
+    """Two sums over spread codes, which stand for a set."""
+    return int(codes.sum().view(np.int64)), int(mix(codes ^ np.uint64(BASE)).sum().view(np.int64))
+
+
+def _class() -> Column:
+    """The name of a class of equal sets, from its size and its identity alone."""
+    return F.xxhash64("n_shingles", "set_a", "set_b").alias("class")
+
+
 def shingle_sets(docs: DataFrame, *, length: int) -> DataFrame:
-    """``doc_id, codes`` from ``doc_id, text``: the full set of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("codes", pa.list_(pa.int64()))])
+    """``class, codes`` from a column of texts: the class of every document and its full set."""
+    schema = pa.schema([
+        ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("codes", pa.list_(pa.int64())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for a, b, data, offsets in slices(part.column(1)):
-                sets = [c.view(np.int64) for c in shingles(words_of(data, offsets, SPACED), b - a, length)]
-                yield batch(schema, part.column(0).slice(a, b - a), lists(sets, pa.int64()))
+            for a, b, data, offsets in slices(part.column(0)):
+                sets = list(shingles(words_of(data, offsets, SPACED), b - a, length))
+                first, second = zip(*map(_identity, sets))
+                yield batch(
+                    schema, [len(s) for s in sets], first, second, lists([s.view(np.int64) for s in sets], pa.int64())
+                )
 
-    return docs.mapInArrow(released(run), "doc_id bigint, codes array<bigint>")
+    found = docs.mapInArrow(released(run), "n_shingles bigint, set_a bigint, set_b bigint, codes array<bigint>")
+    return found.select(_class(), "codes")
 
 
 def _similar(shared: Column, left: Column, right: Column, percent: int) -> Column:
@@ -121,12 +138,12 @@ def _similar(shared: Column, left: Column, right: Column, percent: int) -> Colum
 
 def _small_pairs(members: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     """``a, b``: pairs of small buckets whose signatures agree enough."""
-    buckets = members.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    buckets = members.groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("ids"))
     pairs = (
         buckets.select(F.posexplode("ids").alias("at", "a"), "ids")
         .select("a", F.explode(F.slice("ids", F.col("at") + 2, PAIRED)).alias("b")).distinct()
     )
-    short = keyed.select("doc_id", "signature")
+    short = keyed.select("class", "signature")
 
     @F.arrow_udf("double")
     def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -181,25 +198,25 @@ def spanning(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links that span the similar pairs of every family (``doc_id, family``).
+    """``a, b``: links that span the similar pairs of every family (``class, family``).
 
     A family is cut into blocks by hash; each pair of blocks is one group of at most
     about two blocks of rows.  A member goes to as many groups as its family has blocks.
     """
     sized = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = families.join(sized, "family").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = families.join(sized, "family").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-        "doc_id", "family", "mine",
+        "class", "family", "mine",
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
     )
-    rows = spread.join(sets, "doc_id").select("family", "i", "j", "mine", "doc_id", "codes")
+    rows = spread.join(sets, "class").select("family", "i", "j", "mine", "class", "codes")
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
+        group = group.sort_by("class")
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        ids, column = group["doc_id"].to_numpy(), group["codes"].combine_chunks()
+        ids, column = group["class"].to_numpy(), group["codes"].combine_chunks()
         ends = column.offsets.to_numpy()
         flat = column.values.to_numpy(zero_copy_only=False)
         codes = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
@@ -231,40 +248,41 @@ def near_duplicates(
     whether it is the document's own.  A document without words or with a null text has
     an empty set and is linked with nothing.  A null id is linked with nothing, has a
     null component and is kept.  Rows with an equal id are one document if their texts
-    have equal sets, else linked through their id.
+    have equal sets, else linked through their id.  Every row of ``docs`` gives one row.
     """
     percent = round(threshold * 100)
-    sketched = cut(sketches(docs, doc_id=doc_id, text=text, length=length, threshold=threshold))
+    sketched = cut(
+        sketches(docs, doc_id=doc_id, text=text, length=length, threshold=threshold).select("*", _class())
+    )
     usable = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    identity = ["n_shingles", "set_a", "set_b"]
-    # one row a class of equal sets, named by its least id
+    # one row a class of equal sets; ids may repeat, so a class is not named by one
     classes = cut(
-        usable.groupBy(*identity)
-        .agg(F.min("doc_id").alias("class"), F.min_by("signature", "doc_id").alias("signature"),
+        usable.groupBy("class")
+        .agg(F.min("doc_id").alias("least"), F.min_by("signature", "doc_id").alias("signature"),
              F.min_by("bands", "doc_id").alias("bands"))
     )
-    keyed = classes.select(F.col("class").alias("doc_id"), "signature")
-    rows = classes.select(F.explode("bands").alias("key"), F.col("class").alias("doc_id"))
+    rows = classes.select(F.explode("bands").alias("key"), "class")
     sized = cut(
-        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+        rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).filter("n > 1")
     )
     members = cut(rows.join(sized, "key"))
-    pairs = cut(_small_pairs(members.filter(F.col("n") <= PAIRED), keyed, percent / 100))
+    pairs = cut(_small_pairs(members.filter(F.col("n") <= PAIRED), classes, percent / 100))
     large = members.filter(F.col("n") > PAIRED)
-    inside = large.select(F.col("doc_id").alias("node")).distinct()
+    inside = large.select(F.col("class").alias("node")).distinct()
     families = cut(
-        connected_components(inside, large.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), cut)
-        .select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        connected_components(inside, large.select(F.col("first").alias("a"), F.col("class").alias("b")), cut)
+        .select(F.col("node").alias("class"), F.col("component").alias("family"))
     )
-    needed = (
-        pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-        .unionByName(families.select("doc_id")).distinct()
+    compared = (
+        pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+        .unionByName(families.select("class")).distinct()
     )
-    needed = broadcast_if_small(cut(needed))
-    wanted = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).join(needed, "doc_id", "left_semi")
-    sets = cut(shingle_sets(wanted, length=length).dropDuplicates(["doc_id"]))
+    needed = cut(classes.select("class", "least").join(compared, "class", "left_semi"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("least"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    wanted = texts.join(broadcast_if_small(needed.select("least").distinct()), "least", "left_semi").select("text")
+    # another row of a needed id may belong to a class that is not needed, or bring its class twice
+    found_sets = shingle_sets(wanted, length=length).join(broadcast_if_small(needed.select("class")), "class", "left_semi")
+    sets = cut(found_sets.dropDuplicates(["class"]))
     shared = F.size(F.array_intersect("codes_a", "codes_b"))
     confirmed = (
         pairs.join(sets.toDF("a", "codes_a"), "a").join(sets.toDF("b", "codes_b"), "b")
@@ -272,20 +290,19 @@ def near_duplicates(
     )
     links = confirmed.unionByName(_family_links(families, sets, percent))
     # rows of one id with different sets hang together through the id
-    twice = usable.select("doc_id", *identity).distinct().join(classes.select("class", *identity), identity).filter(
-        F.col("class") != F.col("doc_id")
-    )
-    again = usable.groupBy("doc_id").agg(F.countDistinct("set_a", "set_b").alias("n")).filter("n > 1")
-    links = links.unionByName(
-        twice.join(again, "doc_id", "left_semi").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+    of_id = usable.select("doc_id", "class").distinct()
+    several = of_id.groupBy("doc_id").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    links = links.unionByName(of_id.join(several, "doc_id").select("a", F.col("class").alias("b")))
+    grouped = cut(
+        connected_components(classes.select(F.col("class").alias("node")), links, cut)
+        .select(F.col("node").alias("class"), "component").join(classes.select("class", "least"), "class")
     )
-    grouped = connected_components(classes.select(F.col("class").alias("node")), links, cut)
-    found = classes.select("class", *identity).join(
-        grouped.select(F.col("node").alias("class"), "component"), "class"
-    ).select(*identity, "component")
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = grouped.join(named, "component").select("class", "component_id")
     # equal sets can be a third of all rows: joined to one row of each class
-    out = sketched.select("doc_id", *identity).join(found, identity, "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+    out = sketched.select("doc_id", "n_shingles", "class").join(found, "class", "left")
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(known, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )

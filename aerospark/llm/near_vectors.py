@@ -51,15 +51,13 @@ def _classes(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, Dat
     rows = rows.withColumn(
         "vector", F.when(bad | zero | F.col("vec_id").isNull(), F.lit(None)).otherwise(F.col("vector"))
     )
-    # two hashes stand for the vector from here on
-    rows = rows.withColumn("same_a", F.xxhash64("vector")).withColumn(
-        "same_b", F.xxhash64(F.reverse("vector"), F.size("vector"))
-    )
+    # a hash stands for the vector from here on; ids may repeat, so a class is not named by one
+    rows = rows.withColumn("class", F.xxhash64("vector", F.size("vector")))
     usable = rows.filter(F.col("vector").isNotNull())
-    classes = usable.groupBy("same_a", "same_b").agg(
-        F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")
+    classes = usable.groupBy("class").agg(
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")
     )
-    return rows.withColumn("usable", F.col("vector").isNotNull()).drop("vector"), classes
+    return rows.select("vec_id", "class", F.col("vector").isNotNull().alias("usable")), classes
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
@@ -142,7 +140,8 @@ def near_vectors(
     the least id reachable, and ``kept`` tells whether it is the row's own.  A vector that is
     null, empty, zero, or holds a null or non-finite component links with nothing, and so does
     a row with a null id, whose component is null and which is kept.  Vectors of different
-    lengths are not compared.  Rows that repeat an id are rows of their own.
+    lengths are not compared.  Rows that repeat an id are rows of their own, each with the links
+    of its own vector, so every row of ``table`` gives one row.
     """
     rows, classes = _classes(table, vec_id, vector)
     classes = cut(classes)
@@ -152,15 +151,17 @@ def near_vectors(
     counted = found.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     edges = found.filter(F.col("other").isNotNull()).select(F.col("other").alias("a"), F.col("class").alias("b"))
     grouped = connected_components(classes.select(F.col("class").alias("node")), edges, cut)
-    about = (
-        classes.select("same_a", "same_b", "class", "copies").join(counted, "class", "left")
-        .join(grouped.select(F.col("node").alias("class"), "component"), "class")
-        .select("same_a", "same_b", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    named = cut(grouped.select(F.col("node").alias("class"), "component").join(classes, "class").select(
+        "class", "component", "least", "copies"
+    ))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    about = named.join(counted, "class", "left").join(least, "component").select(
+        "class", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     # a vector that a third of the rows share meets one row of its class here
-    out = rows.join(about, ["same_a", "same_b"], "left")
+    out = rows.join(about, "class", "left")
     n_links = F.when(F.col("usable"), F.col("n_links")).otherwise(F.lit(0)).cast("bigint")
-    component = F.when(F.col("usable"), F.col("component")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
     )

@@ -363,6 +363,18 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_whose_ids_repeat(spark):
+    one, near, other, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, one), (1, other), (2, other), (3, far), (4, near), (1, one), (5, None), (5, far), (None, one)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = near_vectors.near_vectors(table).collect()
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=key) == [
+        (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 2, 1, False),
+        (5, 0, 5, True), (5, 1, 3, False), (None, 0, None, True),
+    ]
+
+
 def test_vector_query(spark, small):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     wanted = {k: (n, c) for k, n, c in vector_links(rows, 0.95)}

@@ -320,8 +320,25 @@ def test_near_duplicates(spark, odd):
 def test_repeated_ids_hang_together(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z"), (5, "a b c d e f"), (9, "")],
                                  "doc_id bigint, text string")
-    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, length=3).collect()}
-    assert got == {(5, 5), (7, 5), (9, 9)}
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, length=3).collect())
+    assert got == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 9)]
+    kept = minhash.keep_one_of_each(docs, length=3).collect()
+    assert sorted(r["doc_id"] for r in kept) == [5, 5, 5, 9]
+
+
+@pytest.mark.parametrize("paired", [minhash.PAIRED, 1])
+def test_one_row_a_row_where_ids_repeat(spark, paired, monkeypatch):
+    """Two classes may have one least id; the links of both count, each checked on its own set."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    a, b, c = ("a b c d e f g h i j k l m n o p q r s t", "u v w x y z aa bb cc dd ee ff gg hh ii jj kk ll mm nn", "lone words only here")
+    rows = [(1, a), (1, b), (2, b), (3, c), (4, a + " u"), (5, b + " a"), (1, a), (6, ""), (6, c + " too"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash.near_duplicates(docs, length=3, threshold=0.85).collect()
+    key = lambda r: (r[0] is None, r)
+    assert sorted(((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in got), key=key) == [
+        (1, 1, 18, True), (1, 1, 18, True), (1, 1, 18, True), (2, 1, 18, False), (3, 3, 2, True), (4, 1, 19, False),
+        (5, 1, 19, False), (6, 6, 0, True), (6, 6, 3, True), (None, None, 18, True),
+    ]
 
 
 def test_near_duplicates_query(spark, small):
