@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from aerospark.scale import broadcast_if_small, durable
 # Fixed values.
 INLIER_PIXELS = 3.0
 MIN_PAIRS = 4
+#: Slots of a camera's sample, fours that are drawn from it, and matrices that are scored on all pairs.
+SAMPLE, DRAWS, SCORED = 512, 500, 8
 TERMS = ("u", "v", "c", "xu", "xv", "yu", "yv", "x", "y")
 
 
@@ -51,14 +55,16 @@ def fit_homographies(pairs: DataFrame, camera: str = "camera") -> DataFrame:
     )
     few = F.raise_error(F.lit(f"a homography needs at least {MIN_PAIRS} pairs")).cast("bigint")
     norms = norms.withColumn("pairs", F.when(F.col("pairs") >= MIN_PAIRS, F.col("pairs")).otherwise(few))
-    near = pairs.join(broadcast_if_small(norms), camera).select(
-        camera,
-        ((F.col("sx") - F.col("sx_0")) * F.col("sx_s")).alias("u"),
-        ((F.col("sy") - F.col("sy_0")) * F.col("sx_s")).alias("v"),
-        ((F.col("dx") - F.col("dx_0")) * F.col("dx_s")).alias("x"),
-        ((F.col("dy") - F.col("dy_0")) * F.col("dx_s")).alias("y"),
-    )
-    u, v, x, y = (F.col(n) for n in "uvxy")
+    products = _products(pairs.join(broadcast_if_small(norms), camera), camera)
+    return _solved(products.join(norms, camera)).select(camera, "pairs", "homography")
+
+
+def _products(pairs: DataFrame, camera: str, *more: Column) -> DataFrame:
+    """The 45 sums of the normal equations of each camera, from pairs beside their centres and scales."""
+    u = (F.col("sx") - F.col("sx_0")) * F.col("sx_s")
+    v = (F.col("sy") - F.col("sy_0")) * F.col("sx_s")
+    x = (F.col("dx") - F.col("dx_0")) * F.col("dx_s")
+    y = (F.col("dy") - F.col("dy_0")) * F.col("dx_s")
     one, zero = F.lit(1.0), F.lit(0.0)
     first = [u, v, one, zero, zero, zero, -x * u, -x * v, -x]
     second = [zero, zero, zero, u, v, one, -y * u, -y * v, -y]
@@ -66,10 +72,14 @@ def fit_homographies(pairs: DataFrame, camera: str = "camera") -> DataFrame:
         F.sum(first[i] * first[j] + second[i] * second[j]).alias(f"p{i}_{j}")
         for i in range(9) for j in range(i, 9)
     ]
-    products = near.groupBy(camera).agg(*sums)
+    return pairs.groupBy(camera).agg(*sums, *more)
+
+
+def _solved(products: DataFrame) -> DataFrame:
+    """``homography`` from the sums, beside the centres and scales."""
     matrix = F.array(*[F.col(f"p{min(i, j)}_{max(i, j)}") for i in range(9) for j in range(9)])
     solve = F.pandas_udf(_solve, "array<double>")
-    solved = products.select(camera, solve(matrix).alias("h")).join(norms, camera)
+    solved = products.withColumn("h", solve(matrix))
     degenerate = F.raise_error(F.lit("degenerate correspondences")).cast("array<double>")
     h = [F.col("h")[i] for i in range(9)]
     # Source side: H * T_source, as columns; target side: T_target^-1 * that.
@@ -83,14 +93,12 @@ def fit_homographies(pairs: DataFrame, camera: str = "camera") -> DataFrame:
     mid = [right[1][k] / scale + right[2][k] * dy for k in range(3)]
     full = F.array(*top, *mid, *right[2])
     unit = F.transform(full, lambda value: value / full[8])
-    return solved.select(
-        camera, "pairs", F.when(F.col("h").isNotNull(), unit).otherwise(degenerate).alias("homography")
-    )
+    return solved.withColumn("homography", F.when(F.col("h").isNotNull(), unit).otherwise(degenerate))
 
 
-def _off(row: str = "homography") -> Column:
+def _off(matrix: Column | None = None) -> Column:
     """How far a pair lands from its target."""
-    at = project(F.col(row), F.col("sx"), F.col("sy"))
+    at = project(F.col("homography") if matrix is None else matrix, F.col("sx"), F.col("sy"))
     dx, dy = at["x"] - F.col("dx"), at["y"] - F.col("dy")
     return F.sqrt(dx * dx + dy * dy)
 
@@ -118,6 +126,92 @@ def fit_inliers(pairs: DataFrame, camera: str = "camera", pixels: float = INLIER
         fitted = durable(fit_homographies(kept, camera))
 
 
+def _exact_fits(points: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The matrix through each four pairs ``sx, sy, dx, dy``; NaN where they do not determine one."""
+    u, v, x, y = np.moveaxis(points[chosen], 2, 0)
+    one, zero = np.ones_like(u), np.zeros_like(u)
+    rows = np.concatenate([
+        np.stack([u, v, one, zero, zero, zero, -x * u, -x * v, -x], axis=2),
+        np.stack([zero, zero, zero, u, v, one, -y * u, -y * v, -y], axis=2),
+    ], axis=1)
+    values, vectors = np.linalg.eigh(np.swapaxes(rows, 1, 2) @ rows)
+    found = vectors[:, :, 0].copy()
+    found[values[:, 1] <= 1e-9 * values[:, -1]] = np.nan
+    return found.reshape(-1, 3, 3)
+
+
+def _hypotheses(camera: str, pixels: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The work on one camera's sample: draw fours, fit each, keep those that most of the sample agree with."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        points = sample.sort_values("slot")[["sx", "sy", "dx", "dy"]].to_numpy(float)
+        centre = points.mean(axis=0)
+        spread = [np.sqrt(points[:, k: k + 2].var(axis=0).sum()) for k in (0, 2)]
+        scale = [np.sqrt(2) / s if s > 0 else 1.0 for s in spread]
+        near = (points - centre) * np.repeat(scale, 2)
+        best: list[list[float]] = []
+        if len(points) >= MIN_PAIRS:
+            draws = np.random.default_rng(len(points)).random((DRAWS, len(points)))
+            fits = _exact_fits(near, np.argsort(draws, axis=1)[:, :MIN_PAIRS])
+            there = np.einsum("kij,nj->kni", fits, np.column_stack([near[:, :2], np.ones(len(near))]))
+            with np.errstate(all="ignore"):
+                gaps = np.hypot(*np.moveaxis(there[:, :, :2] / there[:, :, 2:] - near[None, :, 2:], 2, 0))
+            agree = (gaps <= pixels * scale[1]).sum(axis=1)
+            to_source = np.array([[scale[0], 0, -scale[0] * centre[0]], [0, scale[0], -scale[0] * centre[1]], [0, 0, 1]])
+            to_target = np.array([[1 / scale[1], 0, centre[2]], [0, 1 / scale[1], centre[3]], [0, 0, 1]])
+            for k in np.argsort(-agree, kind="stable")[:SCORED]:
+                whole = to_target @ fits[k] @ to_source
+                if np.isfinite(whole).all() and whole[2, 2]:
+                    best.append((whole / whole[2, 2]).ravel().tolist())
+        return pd.DataFrame({
+            camera: sample[camera].iloc[:1].to_numpy(), "hypotheses": [best], "sx_0": centre[0], "sy_0": centre[1],
+            "sx_s": scale[0], "dx_0": centre[2], "dy_0": centre[3], "dx_s": scale[1],
+        })
+
+    return run
+
+
+def consensus_homographies(pairs: DataFrame, camera: str = "camera", pixels: float = INLIER_PIXELS) -> DataFrame:
+    """``camera, pairs, inliers, homography`` where most pairs may be off.
+
+    Three passes over the pairs, each with partial sums, so a camera with most of the pairs
+    costs a bounded number of rows a task.  The first keeps one pair for each of ``SAMPLE``
+    slots that pairs fall into by their hash, so a pair that is repeated counts once; of each
+    camera's sample ``DRAWS`` fours are drawn and fitted.  The second counts the pairs that
+    agree, within ``pixels``, with each of the ``SCORED`` best.  The third fits the pairs that
+    agree with the one of most; ``inliers`` counts these.  With four pairs in ten right, all
+    draws miss with a chance of 2e-6.  Fewer than four distinct pairs, or none that determine a
+    matrix, end the job with an error.
+    """
+    code = F.xxhash64("sx", "sy", "dx", "dy")
+    slots = pairs.groupBy(camera, F.pmod(code, F.lit(SAMPLE)).cast("int").alias("slot")).agg(
+        F.min_by(F.struct("sx", "sy", "dx", "dy"), F.xxhash64(code, F.lit(1))).alias("pair")
+    )
+    kind = dict(pairs.dtypes)[camera]
+    sample = slots.select(camera, "slot", *[F.col(f"pair.{n}").cast("double").alias(n) for n in ("sx", "sy", "dx", "dy")])
+    drawn = durable(sample.groupBy(camera).applyInPandas(
+        _hypotheses(camera, pixels),
+        f"`{camera}` {kind}, hypotheses array<array<double>>, sx_0 double, sy_0 double, sx_s double, "
+        "dx_0 double, dy_0 double, dx_s double",
+    ))
+    agreeing = [
+        F.count_if(_off(F.get("hypotheses", F.lit(k))) <= pixels).alias(f"agree_{k}") for k in range(SCORED)
+    ]
+    scored = pairs.join(broadcast_if_small(drawn.select(camera, "hypotheses")), camera).groupBy(camera).agg(
+        F.count(F.lit(1)).alias("pairs"), *agreeing
+    )
+    counts = F.array(*[F.col(f"agree_{k}") for k in range(SCORED)])
+    none = F.raise_error(F.lit("degenerate correspondences")).cast("array<double>")
+    place = (F.array_position(counts, F.array_max(counts)) - 1).cast("int")
+    chosen = durable(scored.join(drawn, camera).select(
+        camera, "pairs", F.coalesce(F.get("hypotheses", place), none).alias("homography"),
+        "sx_0", "sy_0", "sx_s", "dx_0", "dy_0", "dx_s",
+    ))
+    agree = pairs.join(broadcast_if_small(chosen), camera).filter(_off() <= pixels)
+    products = _products(agree, camera, F.count(F.lit(1)).alias("inliers"))
+    return _solved(products.join(chosen.drop("homography"), camera)).select(camera, "pairs", "inliers", "homography")
+
+
 def with_inliers(
     pairs: DataFrame, fitted: DataFrame, camera: str = "camera", pixels: float = INLIER_PIXELS
 ) -> DataFrame:

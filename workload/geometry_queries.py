@@ -402,6 +402,31 @@ def fit_homographies(spark, sf_dir):
     )
 
 
+WRONG = "(frame_index + det_seq) % 5 > 1"
+
+
+@query(
+    "m8_consensus_homographies",
+    with_views("detections", f"""
+        SELECT video_id AS camera, count(*) AS pairs, count_if(NOT ({WRONG}))::BIGINT AS inliers,
+               2.0::DOUBLE AS h0, 0.5::DOUBLE AS h1, video_id::DOUBLE AS h2, 0.25::DOUBLE AS h3, 1.5::DOUBLE AS h4,
+               -3.0::DOUBLE AS h5, 0.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, 1.0::DOUBLE AS h8
+        FROM detections GROUP BY ALL"""),
+)
+def consensus_homographies(spark, sf_dir):
+    """Three pairs in five are off, each by another distance."""
+    off = f"CASE WHEN {WRONG} THEN 60 + det_seq % 907 ELSE 0 END"
+    down = f"CASE WHEN {WRONG} THEN det_seq % 701 ELSE 0 END"
+    pairs = views.detections(spark, sf_dir).selectExpr(
+        "video_id AS camera", "cast(x AS double) AS sx", "cast(y AS double) AS sy",
+        f"2.0D * x + 0.5D * y + video_id + {off} AS dx", f"0.25D * x + 1.5D * y - 3.0D - {down} AS dy",
+    )
+    fitted = homography.consensus_homographies(pairs)
+    return fitted.select(
+        "camera", "pairs", "inliers", *[(F.round(F.col("homography")[i], 4) + 0.0).alias(f"h{i}") for i in range(9)]
+    )
+
+
 @query(
     "m8_exact_homographies",
     with_views("detections", """
