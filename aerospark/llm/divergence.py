@@ -286,7 +286,7 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
 
     forth = change(F.col("p"), F.col("p0"), F.col("q"), F.col("q0"))
     back = change(F.col("q"), F.col("q0"), F.col("p"), F.col("p0"))
-    half = (
+    half = cut(
         left.join(right, ["lang", "term"]).filter(F.col("source") < F.col("item"))
         .select("lang", "source", "item", forth.alias("forth"), back.alias("back"))
         .groupBy("lang", "source", "item").agg(*_exact_sum("forth"), *_exact_sum("back"))
