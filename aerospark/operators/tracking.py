@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 from aerospark.functions.track_step import MAX_DISAPPEARED, MAX_DISTANCE, Tracks
 from aerospark.scale import broadcast_if_small, durable, work_path
 
-# Frames of one video that a task takes in at a time.
+# Frames of one video that a task takes in at a time, and rows where frames are crowded.
 CHUNK_FRAMES = 20_000
+CHUNK_ROWS = 400_000
+# Frames between two cuts of the work that finds the stretches.
+SPAN = 4096
 
 STATE = "struct<next_id: long, ids: array<long>, xs: array<double>, ys: array<double>, missed: array<int>>"
-OUTPUT = f"video_id long, frame_index long, det_seq long, track_id long, state {STATE}"
+OUTPUT = f"video_id long, frame_index long, det_seq long, track_id long, start long, state {STATE}"
+COLUMNS = ["video_id", "frame_index", "det_seq", "track_id", "start", "state"]
 
 
 def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The work on one chunk of one video: its frames in order, from the carried state."""
+    """The work on one chunk of one stretch: its frames in order, from the carried state."""
 
     def run(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame(columns=["video_id", "frame_index", "det_seq", "track_id", "state"])
+            return pd.DataFrame(columns=COLUMNS)
         tracks = Tracks()
         if len(carried):
             kept = carried["state"].iloc[0]
@@ -47,11 +51,12 @@ def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFram
                 ids[begin:end] = given
         found = rows.loc[present, ["video_id", "frame_index", "det_seq"]].copy()
         found["track_id"] = ids[present]
+        found["start"] = rows["start"].iloc[0]
         found["state"] = None
         last = pd.DataFrame(
             {
                 "video_id": [rows["video_id"].iloc[0]], "frame_index": [None], "det_seq": [None],
-                "track_id": [None],
+                "track_id": [None], "start": [rows["start"].iloc[0]],
                 "state": [{"next_id": tracks.next_id, "ids": tracks.ids, "xs": tracks.xs,
                            "ys": tracks.ys, "missed": tracks.missed}],
             }
@@ -61,57 +66,129 @@ def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFram
     return run
 
 
-def marked_rows(rows: DataFrame) -> DataFrame:
+def marked_rows(rows: DataFrame, *more: str) -> DataFrame:
     """Rows without nulls in ``det_seq``: pandas would turn such a column to floats."""
     return rows.select(
-        "video_id", "frame_index", F.coalesce("det_seq", F.lit(-1)).alias("det_seq"),
+        "video_id", "frame_index", *more, F.coalesce("det_seq", F.lit(-1)).alias("det_seq"),
         F.col("det_seq").isNotNull().alias("present"), "cx", "cy",
     )
 
 
+def in_stretches(
+    frames: DataFrame, boxes: DataFrame, max_disappeared: int, chunk_frames: int, chunk_rows: int
+) -> DataFrame:
+    """``video_id, frame_index, start, part`` for every frame: its stretch and chunk of that.
+
+    After more than ``max_disappeared`` frames without detections no object lives, so the next
+    detection may begin a stretch that needs nothing from before.  ``start`` names a stretch
+    by its first frame.  Of the possible cuts only the first in each half chunk is used, so
+    there are few stretches and most fit in a chunk.  A frame weighs one, or more if it is
+    crowded, and ``part`` counts the chunks by that weight.  A long video is cut into spans,
+    so no task orders more than a span of frames, or one row per span or half chunk.
+    """
+    keys = ["video_id", "frame_index"]
+    weight = F.greatest(F.lit(1), F.ceil(F.sum("n") * chunk_frames / chunk_rows))
+    seen = frames.select(*keys, F.lit(0).alias("n")).unionByName(boxes.select(*keys, F.lit(1).alias("n"))).groupBy(
+        *keys
+    ).agg(F.sum("n").alias("n"), weight.cast("bigint").alias("weight")).withColumn("span", F.floor(F.col("frame_index") / SPAN))
+    inside = Window.partitionBy("video_id", "span").orderBy("frame_index")
+    placed = durable(seen.withColumn("place", F.row_number().over(inside)).withColumn(
+        "before", F.sum("weight").over(inside) - F.col("weight")
+    ).withColumn(
+        "last", F.max(F.when(F.col("n") > 0, F.col("place"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    ))
+    earlier = Window.partitionBy("video_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy("video_id", "span").agg(
+        F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("places"),
+        F.max(F.when(F.col("n") > 0, F.col("place"))).alias("last"),
+    ).withColumn("places_before", F.coalesce(F.sum("places").over(earlier), F.lit(0))).select(
+        "video_id", "span", "places_before",
+        F.coalesce(F.sum("weight").over(earlier), F.lit(0)).alias("weight_before"),
+        F.max(F.col("places_before") + F.col("last")).over(earlier).alias("last_before"),
+    )
+    gap = F.col("place") + F.col("places_before") - F.coalesce(
+        F.col("last") + F.col("places_before"), F.col("last_before"), F.lit(0)
+    ) - 1
+    weighed = placed.join(broadcast_if_small(spans), ["video_id", "span"]).select(
+        *keys, (F.col("before") + F.col("weight_before")).alias("before"),
+        ((F.col("n") > 0) & (gap > max_disappeared)).alias("cut"),
+    ).withColumn("bucket", F.floor(F.col("before") / max(1, chunk_frames // 2)))
+    # a bucket's own cut, or the last one before it, or the video's first frame
+    to_here = Window.partitionBy("video_id").orderBy("bucket")
+    first = F.struct(F.col("frame_index").alias("start"), F.col("before").alias("base"))
+    buckets = weighed.groupBy("video_id", "bucket").agg(
+        F.min(F.when(F.col("cut"), first)).alias("own"), F.min(first).alias("head")
+    ).select(
+        "video_id", "bucket", "own",
+        F.coalesce(
+            F.last("own", ignorenulls=True).over(to_here.rowsBetween(Window.unboundedPreceding, -1)),
+            F.first("head").over(to_here),
+        ).alias("kept"),
+    )
+    chosen = F.when(F.col("frame_index") >= F.col("own.start"), F.col("own")).otherwise(F.col("kept"))
+    return weighed.join(broadcast_if_small(buckets), ["video_id", "bucket"]).withColumn("chosen", chosen).select(
+        *keys, F.col("chosen.start").alias("start"),
+        F.floor((F.col("before") - F.col("chosen.base")) / chunk_frames).alias("part"),
+    )
+
+
 def track_objects(
     frames: DataFrame, detections: DataFrame, max_distance: float = MAX_DISTANCE,
-    max_disappeared: int = MAX_DISAPPEARED, chunk_frames: int = CHUNK_FRAMES,
+    max_disappeared: int = MAX_DISAPPEARED, chunk_frames: int = CHUNK_FRAMES, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``video_id, frame_index, det_seq, track_id`` for every detection.
 
     ``frames`` lists the frames in view, so that one without detections ages the
-    tracks; a frame that only has detections counts as well.  Ids depend on all earlier
-    frames of a video, so its frames go in order; but a video is cut into chunks of
-    frames, and a task holds one chunk plus the live objects carried from the chunk
-    before.  Chunks of all videos with the same number run side by side.  They are
-    staged by round, so a round reads its own chunks alone, and each round is written
-    down: a lost executor repeats one chunk, not a video.  A single round serves every
-    set of videos up to ``chunk_frames`` frames long.
+    tracks; a frame that only has detections counts as well.  A video falls apart where no
+    object lives (``in_stretches``).  Its stretches run side by side, each numbering its own
+    objects; the objects born in the stretches before, added up, make the ids whole.  Within
+    a stretch ids depend on all earlier frames, so its frames go in order; but it is cut into
+    chunks of frames, fewer where they are crowded, and a task holds one chunk plus the live
+    objects carried from the chunk before.  Chunks with the same number run side by side.
+    They are staged by round, so a round reads its own chunks alone, and each round is written
+    down: a lost executor repeats one chunk, not a video.
     """
     keys = ["video_id", "frame_index"]
     boxes = detections.select(*keys, "det_seq", "cx", "cy")
-    seen = frames.select(*keys).unionByName(boxes.select(*keys)).distinct()
-    rows = marked_rows(seen.join(boxes, keys, "left")).withColumn("_part", F.floor(F.col("frame_index") / chunk_frames))
-    parts = seen.select("video_id", F.floor(F.col("frame_index") / chunk_frames).alias("_part")).distinct()
-    order = Window.partitionBy("video_id").orderBy("_part")
+    seen = durable(in_stretches(frames, boxes, max_disappeared, chunk_frames, chunk_rows))
+    rows = marked_rows(seen.join(boxes, keys, "left"), "start", "part")
+    parts = seen.select("video_id", "start", "part").distinct()
+    order = Window.partitionBy("video_id", "start").orderBy("part")
     numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
-    rounds = (numbered.agg(F.max("_round")).first()[0] or 0) + 1
+    last, stretches, videos = numbered.agg(
+        F.max("_round"), F.count_distinct("video_id", "start"), F.count_distinct("video_id")
+    ).first()
+    rounds = (last or 0) + 1
     work = _advance(max_distance, max_disappeared)
     spark = frames.sparkSession
-    state = spark.createDataFrame([], f"video_id long, state {STATE}")
-    staged = rows.join(broadcast_if_small(numbered), ["video_id", "_part"]).select(
-        *keys, "det_seq", "present", "cx", "cy", "_round"
-    )
+    state = spark.createDataFrame([], f"video_id long, start long, state {STATE}")
+    wanted = [*keys, "start", "det_seq", "present", "cx", "cy"]
+    staged = rows.join(broadcast_if_small(numbered), ["video_id", "start", "part"]).select(*wanted, "_round")
+    one = ["video_id", "start"]
 
     def tracked(now: DataFrame) -> DataFrame:
-        own = now.select(*keys, "det_seq", "present", "cx", "cy")
-        return own.groupBy("video_id").cogroup(state.groupBy("video_id")).applyInPandas(work, OUTPUT)
+        return now.select(*wanted).groupBy(*one).cogroup(state.groupBy(*one)).applyInPandas(work, OUTPUT)
 
+    made = work_path(spark, "tracks")
     if rounds == 1:
-        return tracked(staged).filter(F.col("state").isNull()).drop("state")
-    chunks, made = work_path(spark, "chunks"), work_path(spark, "tracks")
-    staged.write.partitionBy("_round").parquet(chunks)
-    for number in range(rounds):
-        now = spark.read.schema(staged.schema).parquet(chunks).filter(F.col("_round") == number)
-        tracked(now).write.parquet(f"{made}/round={number}")
-        # A video that ended keeps no state; the others pass theirs on.
-        done = spark.read.schema(OUTPUT).parquet(f"{made}/round={number}")
-        state = done.filter(F.col("state").isNotNull()).select("video_id", "state")
+        if stretches == videos:
+            return tracked(staged).filter(F.col("state").isNull()).select(*keys, "det_seq", "track_id")
+        tracked(staged).write.parquet(f"{made}/round=0")
+    else:
+        chunks = work_path(spark, "chunks")
+        staged.write.partitionBy("_round").parquet(chunks)
+        for number in range(rounds):
+            now = spark.read.schema(staged.schema).parquet(chunks).filter(F.col("_round") == number)
+            tracked(now).write.parquet(f"{made}/round={number}")
+            # A stretch that ended keeps no state; the others pass theirs on.
+            done = spark.read.schema(OUTPUT).parquet(f"{made}/round={number}")
+            state = done.filter(F.col("state").isNotNull()).select(*one, "state")
     every = spark.read.schema(OUTPUT).parquet(*[f"{made}/round={number}" for number in range(rounds)])
-    return every.filter(F.col("state").isNull()).drop("state")
+    found = every.filter(F.col("state").isNull())
+    earlier = Window.partitionBy("video_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    born = found.groupBy(*one).agg((F.max("track_id") + 1).alias("n")).select(
+        *one, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
+    )
+    return found.join(broadcast_if_small(born), one).select(
+        *keys, "det_seq", (F.col("track_id") + F.col("_before")).alias("track_id")
+    )

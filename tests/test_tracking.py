@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from aerospark.operators.tracking import track_objects
+from aerospark.operators.tracking import in_stretches, track_objects
 from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
 from aerospark.streaming.tracking import stream_tracks
@@ -82,6 +82,55 @@ def test_whole_and_chunked_tracks_equal_the_loop(spark):
         assert got == wanted(scenes, **rules)
 
 
+def sparse(seed, frames=400):
+    """Bursts of detections with empty frames between them, up to just past the limit of 3."""
+    rng = random.Random(seed)
+    out, left, quiet = [], 0, 0
+    for frame in range(seed, seed + frames):
+        if not left and not quiet:
+            left, quiet = rng.randint(1, 9), rng.randint(0, 6)
+        points = []
+        if left:
+            left -= 1
+            points = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(rng.randint(1, 4))]
+        else:
+            quiet -= 1
+        out.append((frame, points))
+    return out
+
+
+def test_stretches_equal_the_loop(spark):
+    scenes = {1: sparse(1), 2: sparse(2), 3: [(f, []) for f in range(9)] + sparse(9, 40), 4: [(5, [])]}
+    frames, boxes = as_tables(spark, scenes)
+    for chunk, rows in ((1000, 4000), (30, 400_000), (30, 20), (2, 400_000)):
+        found = track_objects(frames, boxes, 20.0, 3, chunk_frames=chunk, chunk_rows=rows)
+        got = [((r.video_id, r.frame_index, r.det_seq), r.track_id) for r in found.collect()]
+        assert len(got) == boxes.count()
+        assert dict(got) == wanted(scenes, max_distance=20.0, max_disappeared=3)
+
+
+def test_stretches_need_no_second_round(spark):
+    """A long video with gaps is many stretches, each whole in the first round."""
+    scenes = {1: sparse(1, 6000), 2: sparse(5000, 3000)}
+    frames, boxes = as_tables(spark, scenes)
+    # a gap of four empty frames comes often, so half a chunk of 200 frames always has one
+    found = in_stretches(frames, boxes, 3, 200, 400_000).cache()
+    assert found.count() == frames.count()
+    tasks = found.groupBy("video_id", "start").agg(F.count("*").alias("n"), F.max("part").alias("part")).collect()
+    assert len(tasks) > 80 and {t.part for t in tasks} == {0} and max(t.n for t in tasks) <= 200
+    assert found.filter("start > frame_index").isEmpty()
+    # a crowded video is cut by its rows
+    crowd = spark.createDataFrame([(1, f, i, 0.0, 0.0) for f in range(40) for i in range(10)], BOX)
+    parts = in_stretches(crowd.select("video_id", "frame_index").distinct(), crowd, 3, 100, 100).groupBy("part").count()
+    assert {r["count"] for r in parts.collect()} == {10}
+    found.unpersist()
+
+
+def test_tracks_of_nothing(spark):
+    frames, boxes = spark.createDataFrame([], "video_id long, frame_index long"), spark.createDataFrame([], BOX)
+    assert track_objects(frames, boxes).isEmpty()
+
+
 def test_ids_stay_with_two_moving_objects(spark):
     scenes = {1: [(0, [(0, 10.0, 10.0), (1, 100.0, 100.0)]), (1, [(0, 12.0, 11.0), (1, 98.0, 102.0)])]}
     frames, boxes = as_tables(spark, scenes)

@@ -327,6 +327,23 @@ def tracks_in_chunks(spark, sf_dir):
     return tracking.track_objects(views.frames(spark, sf_dir), views.detections(spark, sf_dir), chunk_frames=600)
 
 
+SURE_CARS = "label = 'car' AND score >= 0.99"
+
+
+@query(
+    "m1_tracks_in_stretches",
+    with_views(
+        "frames detections",
+        TRACKS.replace("FROM detections", f"FROM detections WHERE {SURE_CARS}")
+        + " SELECT video_id, frame_index, det_seq, track_id FROM tracked",
+    ),
+)
+def tracks_in_stretches(spark, sf_dir):
+    """Tracks of cars that the model is sure of: rare ones, so the videos fall apart between them."""
+    cars = views.detections(spark, sf_dir).filter(SURE_CARS)
+    return tracking.track_objects(views.frames(spark, sf_dir), cars, chunk_frames=200)
+
+
 @query(
     "m2_unique_objects_per_video",
     with_views("frames detections", f"{TRACKS} SELECT video_id, count(DISTINCT track_id) AS objects FROM tracked GROUP BY 1"),
