@@ -74,25 +74,31 @@ def marked_rows(rows: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def in_stretches(
-    frames: DataFrame, boxes: DataFrame, max_disappeared: int, chunk_frames: int, chunk_rows: int
-) -> DataFrame:
-    """``video_id, frame_index, start, part`` for every frame: its stretch and chunk of that.
+def weighed_frames(frames: DataFrame, boxes: DataFrame, chunk_frames: int, chunk_rows: int) -> DataFrame:
+    """``video_id, frame_index, n, weight``: detections and share of a chunk of every frame.
+
+    A frame weighs one, or more if it is crowded: ``chunk_rows`` detections weigh a chunk.
+    """
+    keys = ["video_id", "frame_index"]
+    weight = F.greatest(F.lit(1), F.ceil(F.sum("n") * chunk_frames / chunk_rows))
+    every = frames.select(*keys, F.lit(0).alias("n")).unionByName(boxes.select(*keys, F.lit(1).alias("n")))
+    return every.groupBy(*keys).agg(F.sum("n").alias("n"), weight.cast("bigint").alias("weight"))
+
+
+def in_stretches(weighed: DataFrame, max_disappeared: int, chunk_frames: int) -> DataFrame:
+    """``video_id, frame_index, start, part`` for every weighed frame: its stretch and chunk of that.
 
     After more than ``max_disappeared`` frames without detections no object lives, so the next
     detection may begin a stretch that needs nothing from before.  ``start`` names a stretch
     by its first frame.  Of the possible cuts only the first in each half chunk is used, so
-    there are few stretches and most fit in a chunk.  A frame weighs one, or more if it is
-    crowded, and ``part`` counts the chunks by that weight.  A long video is cut into spans,
-    so no task orders more than a span of frames, or one row per span or half chunk.
+    there are few stretches and most fit in a chunk; ``part`` counts the chunks by weight.
+    A long video is cut into spans, so no task orders more than a span of frames, or one row
+    per span or half chunk.
     """
     keys = ["video_id", "frame_index"]
-    weight = F.greatest(F.lit(1), F.ceil(F.sum("n") * chunk_frames / chunk_rows))
-    seen = frames.select(*keys, F.lit(0).alias("n")).unionByName(boxes.select(*keys, F.lit(1).alias("n"))).groupBy(
-        *keys
-    ).agg(F.sum("n").alias("n"), weight.cast("bigint").alias("weight")).withColumn("span", F.floor(F.col("frame_index") / SPAN))
     inside = Window.partitionBy("video_id", "span").orderBy("frame_index")
-    placed = durable(seen.withColumn("place", F.row_number().over(inside)).withColumn(
+    ranged = weighed.withColumn("span", F.floor(F.col("frame_index") / SPAN))
+    placed = durable(ranged.withColumn("place", F.row_number().over(inside)).withColumn(
         "before", F.sum("weight").over(inside) - F.col("weight")
     ).withColumn(
         "last", F.max(F.when(F.col("n") > 0, F.col("place"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
@@ -109,14 +115,14 @@ def in_stretches(
     gap = F.col("place") + F.col("places_before") - F.coalesce(
         F.col("last") + F.col("places_before"), F.col("last_before"), F.lit(0)
     ) - 1
-    weighed = placed.join(broadcast_if_small(spans), ["video_id", "span"]).select(
+    flat = placed.join(broadcast_if_small(spans), ["video_id", "span"]).select(
         *keys, (F.col("before") + F.col("weight_before")).alias("before"),
         ((F.col("n") > 0) & (gap > max_disappeared)).alias("cut"),
     ).withColumn("bucket", F.floor(F.col("before") / max(1, chunk_frames // 2)))
     # a bucket's own cut, or the last one before it, or the video's first frame
     to_here = Window.partitionBy("video_id").orderBy("bucket")
     first = F.struct(F.col("frame_index").alias("start"), F.col("before").alias("base"))
-    buckets = weighed.groupBy("video_id", "bucket").agg(
+    buckets = flat.groupBy("video_id", "bucket").agg(
         F.min(F.when(F.col("cut"), first)).alias("own"), F.min(first).alias("head")
     ).select(
         "video_id", "bucket", "own",
@@ -126,7 +132,7 @@ def in_stretches(
         ).alias("kept"),
     )
     chosen = F.when(F.col("frame_index") >= F.col("own.start"), F.col("own")).otherwise(F.col("kept"))
-    return weighed.join(broadcast_if_small(buckets), ["video_id", "bucket"]).withColumn("chosen", chosen).select(
+    return flat.join(broadcast_if_small(buckets), ["video_id", "bucket"]).withColumn("chosen", chosen).select(
         *keys, F.col("chosen.start").alias("start"),
         F.floor((F.col("before") - F.col("chosen.base")) / chunk_frames).alias("part"),
     )
@@ -150,29 +156,30 @@ def track_objects(
     """
     keys = ["video_id", "frame_index"]
     boxes = detections.select(*keys, "det_seq", "cx", "cy")
-    seen = durable(in_stretches(frames, boxes, max_disappeared, chunk_frames, chunk_rows))
-    rows = marked_rows(seen.join(boxes, keys, "left"), "start", "part")
-    parts = seen.select("video_id", "start", "part").distinct()
-    order = Window.partitionBy("video_id", "start").orderBy("part")
-    numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
-    last, stretches, videos = numbered.agg(
-        F.max("_round"), F.count_distinct("video_id", "start"), F.count_distinct("video_id")
-    ).first()
-    rounds = (last or 0) + 1
+    weighed = durable(weighed_frames(frames, boxes, chunk_frames, chunk_rows))
     work = _advance(max_distance, max_disappeared)
     spark = frames.sparkSession
     state = spark.createDataFrame([], f"video_id long, start long, state {STATE}")
     wanted = [*keys, "start", "det_seq", "present", "cx", "cy"]
-    staged = rows.join(broadcast_if_small(numbered), ["video_id", "start", "part"]).select(*wanted, "_round")
     one = ["video_id", "start"]
 
     def tracked(now: DataFrame) -> DataFrame:
         return now.select(*wanted).groupBy(*one).cogroup(state.groupBy(*one)).applyInPandas(work, OUTPUT)
 
+    longest = weighed.groupBy("video_id").agg(F.sum("weight").alias("weight")).agg(F.max("weight")).first()[0]
+    if (longest or 0) <= chunk_frames:
+        # every video is one chunk
+        whole = marked_rows(weighed.select(*keys, F.lit(0).cast("bigint").alias("start")).join(boxes, keys, "left"), "start")
+        return tracked(whole).filter(F.col("state").isNull()).select(*keys, "det_seq", "track_id")
+    seen = in_stretches(weighed, max_disappeared, chunk_frames)
+    rows = marked_rows(seen.join(boxes, keys, "left"), "start", "part")
+    parts = seen.select("video_id", "start", "part").distinct()
+    order = Window.partitionBy("video_id", "start").orderBy("part")
+    numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
+    rounds = numbered.agg(F.max("_round")).first()[0] + 1
+    staged = rows.join(broadcast_if_small(numbered), ["video_id", "start", "part"]).select(*wanted, "_round")
     made = work_path(spark, "tracks")
     if rounds == 1:
-        if stretches == videos:
-            return tracked(staged).filter(F.col("state").isNull()).select(*keys, "det_seq", "track_id")
         tracked(staged).write.parquet(f"{made}/round=0")
     else:
         chunks = work_path(spark, "chunks")

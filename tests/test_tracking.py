@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from aerospark.operators.tracking import in_stretches, track_objects
+from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
 from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
 from aerospark.streaming.tracking import stream_tracks
@@ -114,14 +114,14 @@ def test_stretches_need_no_second_round(spark):
     scenes = {1: sparse(1, 6000), 2: sparse(5000, 3000)}
     frames, boxes = as_tables(spark, scenes)
     # a gap of four empty frames comes often, so half a chunk of 200 frames always has one
-    found = in_stretches(frames, boxes, 3, 200, 400_000).cache()
+    found = in_stretches(weighed_frames(frames, boxes, 200, 400_000), 3, 200).cache()
     assert found.count() == frames.count()
     tasks = found.groupBy("video_id", "start").agg(F.count("*").alias("n"), F.max("part").alias("part")).collect()
     assert len(tasks) > 80 and {t.part for t in tasks} == {0} and max(t.n for t in tasks) <= 200
     assert found.filter("start > frame_index").isEmpty()
     # a crowded video is cut by its rows
     crowd = spark.createDataFrame([(1, f, i, 0.0, 0.0) for f in range(40) for i in range(10)], BOX)
-    parts = in_stretches(crowd.select("video_id", "frame_index").distinct(), crowd, 3, 100, 100).groupBy("part").count()
+    parts = in_stretches(weighed_frames(crowd.select("video_id", "frame_index"), crowd, 100, 100), 3, 100).groupBy("part").count()
     assert {r["count"] for r in parts.collect()} == {10}
     found.unpersist()
 

@@ -341,7 +341,7 @@ SURE_CARS = "label = 'car' AND score >= 0.99"
 def tracks_in_stretches(spark, sf_dir):
     """Tracks of cars that the model is sure of: rare ones, so the videos fall apart between them."""
     cars = views.detections(spark, sf_dir).filter(SURE_CARS)
-    return tracking.track_objects(views.frames(spark, sf_dir), cars, chunk_frames=200)
+    return tracking.track_objects(views.frames(spark, sf_dir), cars, chunk_frames=600)
 
 
 @query(
