@@ -16,6 +16,23 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
 
+def normed(rows: DataFrame, *keys: str, name: str) -> DataFrame:
+    """``keys``, the vector as ``name`` and its norm."""
+    vector = F.col("vector")
+    return rows.select(*keys, vector.alias(name), F.sqrt(_dot(vector, vector)).alias(f"{name}_norm"))
+
+
+def best_of(pairs: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` nearest of the documents beside each query."""
+    norm = F.col("_doc_norm") * F.col("_query_norm")
+    scored = pairs.select(
+        "query_id", "id",
+        F.when(norm > 0, _dot(F.col("_doc"), F.col("_query")) / norm).otherwise(0.0).alias("score"),
+    )
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def search_frames(
     documents: DataFrame, queries: DataFrame, k: int = TOP_K, scope: str = "account_id"
 ) -> DataFrame:
@@ -26,21 +43,5 @@ def search_frames(
     is joined on the scope, where Spark splits a hot account.  Either way each
     task keeps its own best ``k`` per query before anything is shuffled.
     """
-    near = documents.select(
-        F.col("id"), F.col(scope), F.col("vector").alias("_doc"),
-        F.sqrt(_dot(F.col("vector"), F.col("vector"))).alias("_doc_norm"),
-    )
-    asked = broadcast_if_small(
-        queries.select(
-            "query_id", scope, F.col("vector").alias("_query"),
-            F.sqrt(_dot(F.col("vector"), F.col("vector"))).alias("_query_norm"),
-        ),
-        MAX_BROADCAST_QUERIES,
-    )
-    norm = F.col("_doc_norm") * F.col("_query_norm")
-    scored = near.join(asked, scope).select(
-        "query_id", "id",
-        F.when(norm > 0, _dot(F.col("_doc"), F.col("_query")) / norm).otherwise(0.0).alias("score"),
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    asked = broadcast_if_small(normed(queries, "query_id", scope, name="_query"), MAX_BROADCAST_QUERIES)
+    return best_of(normed(documents, "id", scope, name="_doc").join(asked, scope), k)

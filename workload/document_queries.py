@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerospark.functions import text
-from aerospark.operators import documents, search
+from aerospark.operators import documents, search, vector_index
 from aerospark.scale import work_path
 from workload import views
 from workload.registry import query
@@ -179,6 +179,37 @@ def nearest_frames(spark, sf_dir):
     return search.search_frames(docs, asked).withColumn("score", F.round("score", 6))
 
 
+def fiftieth_frames(docs):
+    return docs.filter(F.col("frame_number") % 50 == 0).selectExpr("frame_number AS query_id", "account_id", "vector")
+
+
+@query("j12_indexed_frames")
+def indexed_frames(spark, sf_dir):
+    """The frames nearest to every fiftieth one, from the nearest cells of an index over all."""
+    docs = views.embeddings(spark, sf_dir)
+    index = vector_index.build_index(docs, work_path(spark, "index"))
+    return vector_index.search_index(index, fiftieth_frames(docs)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "j12_index_recall",
+    with_views("docs", """
+        WITH sizes AS (SELECT account_id, count(*) AS n FROM docs GROUP BY 1)
+        SELECT CAST(count(*) AS BIGINT) AS queries, CAST(sum(least(n, 3)) AS BIGINT) AS results, true AS recalled_enough
+        FROM docs JOIN sizes USING (account_id) WHERE frame_number % 50 = 0"""),
+)
+def index_recall(spark, sf_dir):
+    """The answers of the index beside those of the exact search: at least nine in ten are the same."""
+    docs = views.embeddings(spark, sf_dir)
+    exact = search.search_frames(docs, fiftieth_frames(docs)).select("query_id", "id", F.lit(1).alias("exact"))
+    found = indexed_frames(spark, sf_dir).select("query_id", "id", F.lit(1).alias("found"))
+    both = F.sum(F.col("exact") * F.col("found"))
+    return exact.join(found, ["query_id", "id"], "full").agg(
+        F.count_distinct("query_id").alias("queries"), F.count("found").alias("results"),
+        F.coalesce(both >= 0.9 * F.sum("exact"), F.lit(True)).alias("recalled_enough"),
+    )
+
+
 @query(
     "p25_description_json",
     """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang FROM documents""",
