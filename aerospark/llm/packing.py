@@ -11,6 +11,7 @@ packed again as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,19 @@ from aerospark.llm.word_ids import WordIds, per_row
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Pieces of text whose ids a worker remembers, about 200 bytes each, and words, about 50 bytes each.
-REMEMBERED = 150_000
+#: Fixed value: how the byte-level tokenizer splits a text before its merges; ``Encoder`` rests on it.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words whose ids a worker remembers, about 50 bytes each.
 REMEMBERED_WORDS = 1_500_000
+#: New words that are encoded as one text.
+JOINED = 256
 
-#: Fixed value: how the byte-level tokenizer splits a text before its merges.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters that any version of Unicode classes alike; a text with others goes to the tokenizer whole.
 _UNUSUAL = re.compile("[^\t\n\r -~\xa1-ɏ]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
+#: How byte-level vocabularies write the space and the line end.
+_SPACE, _LINE_END = "\u0120", "\u010a"
 
 PACKED = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _PACKED = pa.schema([
@@ -45,31 +49,51 @@ _PACKED = pa.schema([
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; remembers the words and pieces it has seen.
+    """Ids of texts as little-endian 32-bit numbers; remembers the words it has seen.
 
-    Of blanks in a row that something follows, the pattern takes all but the last as one piece,
-    and the last by itself or, if it is a space, with what follows.  So a text can be cut at
-    these places, and the words between them are encoded alone.
+    For a byte-level tokenizer that splits texts by ``PIECES``.  Of blanks
+    in a row that something follows, that pattern takes all but the last as one piece, and the
+    last by itself or, if it is a space, with what follows.  So a text can be cut at these places,
+    and the words between them are encoded apart; new words are put behind one another, where
+    the token that holds a word's space tells where its ids begin.
     """
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
         self.words = WordIds(REMEMBERED_WORDS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.line_end = vocabulary.get(_LINE_END)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        if self.line_end is not None:
+            self.begins[self.line_end] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        pieces = [PIECES.findall(t) for t in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        new = list({p for own in pieces for p in own if p not in self.pieces})
-        self.pieces.update(zip(new, self._whole(new)))
-        look = self.pieces.__getitem__
-        return [b"".join(map(look, own)) for own in pieces]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words: a space and what follows, or that alone, or only blanks."""
+        spaced = [w[:1] == b" " for w in words]
+        apart = [w[-1] in b"\t\n\r " or (self.line_end is None and not s) for w, s in zip(words, spaced)]
+        told = [k for k, alone in enumerate(apart) if not alone]
+        runs = [told[k: k + JOINED] for k in range(0, len(told), JOINED)]
+        texts = [b"".join([words[k] if spaced[k] else b"\n" + words[k] for k in run]).decode() for run in runs]
+        out: list[bytes] = [b""] * len(words)
+        alone = [k for k, own in enumerate(apart) if own]
+        for run, text, found in zip(runs, texts, self._whole(texts)):
+            ids = np.frombuffer(found, "<u4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(run) or any(s in text for s in self.special):
+                alone += run
+                continue
+            stop = (4 * np.append(first[1:], len(ids))).tolist()
+            for k, a, b in zip(run, (4 * first).tolist(), stop):
+                out[k] = found[a if spaced[k] else a + 4: b]
+        for k, ids in zip(alone, self._whole([words[k].decode() for k in alone])):
+            out[k] = ids
+        return out
 
     def _by_words(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         n = len(data)
@@ -85,10 +109,7 @@ class Encoder:
         start = np.flatnonzero(begins)
         stop = np.append(start[1:], n)
 
-        def learn(words: list[bytes]) -> list[bytes]:
-            return self._by_pieces([w.decode() for w in words])
-
-        ids, count = self.words.ids_of(data, start, stop, learn)
+        ids, count = self.words.ids_of(data, start, stop, self._of_words)
         return per_row(ids, count, start, offsets, np.dtype("<u4"))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -88,3 +88,28 @@ def test_known_words_items_and_shingles_tell_such_words_apart(spark):
     near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, length=1, threshold=0.85).collect()}
     assert near == {2: 2, 4: 4, 9: 2}
     assert set(words_of(*sliced([ONE]), PLAIN).code.tolist()) != set(words_of(*sliced([OTHER]), PLAIN).code.tolist())
+
+
+def test_words_put_behind_one_another_keep_their_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(open(path, encoding="utf-8").read())
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "it's", "'s", "''ll", "é", "ÿz", "12", "a1!", "<|endoftext|", "Ġ", "Ċ", "-- "]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(parts, size)) for size in rng.integers(0, 40, 1500)] + ["", " ", "\n", "a", " a", "\na "]
+    for lot in (texts[:700], texts[700:]):
+        got = encoder.encode(*sliced(lot))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+            e.ids for e in plain.encode_batch(lot, add_special_tokens=False)
+        ]
+
+
+def test_words_that_hold_a_special_token_together_are_encoded_alone():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.add_tokens(["b c"])
+    encoder = packing.Encoder(plain.to_str())
+    texts = ["a b", " c d", "x b", "b c", "\nb e"]
+    got = encoder.encode(*sliced(texts))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        e.ids for e in plain.encode_batch(texts, add_special_tokens=False)
+    ]
