@@ -81,14 +81,13 @@ def cleaned(mask: DataFrame, keys: list[str], kernel: int) -> DataFrame:
     return _across(_down(grown, keys, -radius), keys, -radius)
 
 
-def find_blobs(mask: DataFrame, keys: list[str], min_area: float) -> DataFrame:
-    """Connected (8-neighbour) blobs of at least ``min_area`` pixels.
+def label_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``runs`` with the ``component`` (8 neighbours) that each belongs to.
 
-    ``mask`` has the keys, ``x, y, width, height``.  Pixels are reduced to runs
-    first; runs of neighbouring lines meet in buckets of a few columns, so no run
-    is compared with a whole line.  The area is the number of pixels.
+    ``runs`` has the keys and the unbroken pixels ``a..b`` of lines ``y``; it is read several
+    times.  Runs of neighbouring lines meet in buckets of a few columns, so no run is compared
+    with a whole line.
     """
-    runs = durable(_runs(mask, keys, "y", "x").select(*keys, "y", "a", "b"))
     node = F.struct(*keys, "y", "a")
 
     def spread(first: Column, last: Column) -> Column:
@@ -107,7 +106,16 @@ def find_blobs(mask: DataFrame, keys: list[str], min_area: float) -> DataFrame:
         node.alias("b"),
     )
     joined = connected_components(runs.select(node.alias("node")), links)
-    sized = runs.withColumn("node", node).join(joined, "node")
+    return runs.withColumn("node", node).join(joined, "node")
+
+
+def find_blobs(mask: DataFrame, keys: list[str], min_area: float) -> DataFrame:
+    """Connected (8-neighbour) blobs of at least ``min_area`` pixels.
+
+    ``mask`` has the keys, ``x, y, width, height``.  Pixels are reduced to runs
+    first, and runs are connected.  The area is the number of pixels.
+    """
+    sized = label_runs(durable(_runs(mask, keys, "y", "x").select(*keys, "y", "a", "b")), keys)
     n = F.col("b") - F.col("a") + 1
     blobs = sized.groupBy(*keys, "component").agg(
         F.sum(n).cast("double").alias("area"),

@@ -215,16 +215,11 @@ def sliced_detection(
     return suppress(to_frame(found), iou_threshold).drop("det_seq", "tile_x", "tile_y")
 
 
-def spot_features(
-    frames: DataFrame, pixels: DataFrame, spots: DataFrame, gradient: int = EDGE_GRADIENT,
-    cell: int = 32,
-) -> DataFrame:
-    """``edge_density, mean, std`` of the gray values inside each spot of each frame.
+def spot_pixels(pixels: DataFrame, spots: DataFrame, cell: int = 32) -> DataFrame:
+    """``video_id, frame_index, spot, x, y, gray`` of the pixels inside each spot.
 
-    A pixel counts as an edge when its gray difference across plus down, inside
-    the spot, reaches ``gradient``; no hysteresis.  A spot without pixels has
-    zeros.  Spots meet pixels in grid cells.  Spots with a ``video_id`` belong to that
-    video's frames alone; others to all frames.
+    Spots meet pixels in grid cells.  Spots with a ``video_id`` belong to that video's frames
+    alone; others to all frames.
     """
     scope = ["video_id"] if "video_id" in spots.columns else []
 
@@ -237,22 +232,15 @@ def spot_features(
     shaded = with_gray(pixels).select(
         *FRAME, "x", "y", "gray", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")
     )
-    inside = shaded.join(placed, [*scope, "i", "j"]).filter(
+    return shaded.join(placed, [*scope, "i", "j"]).filter(
         (F.col("x") >= F.col("sx")) & (F.col("x") < F.col("sx") + F.col("sw"))
         & (F.col("y") >= F.col("sy")) & (F.col("y") < F.col("sy") + F.col("sh"))
     ).select(*FRAME, "spot", "x", "y", "gray")
-    across = Window.partitionBy(*FRAME, "spot", "y").orderBy("x")
-    down = Window.partitionBy(*FRAME, "spot", "x").orderBy("y")
 
-    def change(order) -> F.Column:
-        here = F.col("gray")
-        return F.abs(F.coalesce(F.lead("gray").over(order), here) - F.coalesce(F.lag("gray").over(order), here))
 
-    sharp = inside.withColumn("dx", change(across)).withColumn("dy", change(down))
-    measured = sharp.groupBy(*FRAME, "spot").agg(
-        F.avg((F.col("dx") + F.col("dy") >= gradient).cast("double")).alias("edge_density"),
-        F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("std"),
-    )
+def for_every_spot(frames: DataFrame, spots: DataFrame, measured: DataFrame) -> DataFrame:
+    """``edge_density, mean, std`` for each spot of each frame; zeros where nothing was measured."""
+    scope = ["video_id"] if "video_id" in spots.columns else []
     listed = F.collect_set("spot").alias("spots")
     if scope:
         every = frames.select(*FRAME).join(spots.groupBy(*scope).agg(listed), scope)
@@ -265,6 +253,32 @@ def spot_features(
     )
 
 
+def spot_features(
+    frames: DataFrame, pixels: DataFrame, spots: DataFrame, gradient: int = EDGE_GRADIENT,
+    cell: int = 32,
+) -> DataFrame:
+    """``edge_density, mean, std`` of the gray values inside each spot of each frame.
+
+    A pixel counts as an edge when its gray difference across plus down, inside
+    the spot, reaches ``gradient``; ``edges.hysteresis_features`` thins and follows
+    edges instead.  A spot without pixels has zeros.
+    """
+    inside = spot_pixels(pixels, spots, cell)
+    across = Window.partitionBy(*FRAME, "spot", "y").orderBy("x")
+    down = Window.partitionBy(*FRAME, "spot", "x").orderBy("y")
+
+    def change(order) -> F.Column:
+        here = F.col("gray")
+        return F.abs(F.coalesce(F.lead("gray").over(order), here) - F.coalesce(F.lag("gray").over(order), here))
+
+    sharp = inside.withColumn("dx", change(across)).withColumn("dy", change(down))
+    measured = sharp.groupBy(*FRAME, "spot").agg(
+        F.avg((F.col("dx") + F.col("dy") >= gradient).cast("double")).alias("edge_density"),
+        F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("std"),
+    )
+    return for_every_spot(frames, spots, measured)
+
+
 def dominant_colours(
     pixels: DataFrame, k: int = 3, keys: list[str] = FRAME
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerospark.functions.colours import hsv
-from aerospark.operators import motion, occupancy, pixels
+from aerospark.operators import edges, motion, occupancy, pixels
 from workload import views
 from workload.registry import query
 from workload.views import with_views
@@ -235,6 +235,68 @@ def spot_features_per_video(spark, sf_dir):
     return found.withColumns({n: F.round(n, 6) for n in ("edge_density", "mean", "std")})
 
 
+# Spots of 6 by 6 pixels, since an edge of 3 by 3 has no room for neighbours.
+EDGE_LOW, EDGE_HIGH = 80, 160
+WIDE = ["r_name AS spot", "r_regionkey % 3 AS x", "r_regionkey % 2 AS y", "6 AS w", "6 AS h"]
+NEIGHBOUR = "coalesce(max(CASE WHEN n.x = t.x + {} AND n.y = t.y + {} THEN n.m END), 0) AS {}"
+NEIGHBOURS = ", ".join(
+    NEIGHBOUR.format(i, j, name) for i, j, name in (
+        (-1, 0, "w"), (1, 0, "e"), (0, -1, "n"), (0, 1, "s"), (-1, -1, "nw"), (1, 1, "se"), (1, -1, "ne"), (-1, 1, "sw"))
+)
+EDGES = f"""
+    wide AS (SELECT {', '.join(WIDE)} FROM region),
+    inside AS (
+        SELECT p.video_id, p.frame_index, s.spot, p.x, p.y, CAST({GRAY} AS INT) AS g,
+               greatest(s.x, 0) AS x0, least(s.x + s.w, 8) - 1 AS x1, greatest(s.y, 0) AS y0, least(s.y + s.h, 8) - 1 AS y1
+        FROM pixels p JOIN wide s ON p.x >= s.x AND p.x < s.x + s.w AND p.y >= s.y AND p.y < s.y + s.h),
+    offsets AS (SELECT i, j FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
+    sloped AS (
+        SELECT t.video_id, t.frame_index, t.spot, t.x, t.y,
+               CAST(sum(o.i * (2 - abs(o.j)) * n.g) AS INT) AS dx, CAST(sum(o.j * (2 - abs(o.i)) * n.g) AS INT) AS dy
+        FROM inside t CROSS JOIN offsets o JOIN inside n
+          ON n.video_id = t.video_id AND n.frame_index = t.frame_index AND n.spot = t.spot
+         AND n.x = least(greatest(t.x + o.i, t.x0), t.x1) AND n.y = least(greatest(t.y + o.j, t.y0), t.y1)
+        GROUP BY ALL),
+    sized AS (SELECT *, abs(dx) + abs(dy) AS m FROM sloped),
+    around AS (
+        SELECT t.video_id, t.frame_index, t.spot, t.x, t.y, t.dx, t.dy, t.m, {NEIGHBOURS}
+        FROM sized t JOIN sized n ON n.video_id = t.video_id AND n.frame_index = t.frame_index AND n.spot = t.spot
+         AND abs(n.x - t.x) <= 1 AND abs(n.y - t.y) <= 1
+        GROUP BY ALL),
+    thin AS (
+        SELECT video_id, frame_index, spot, x, y, m FROM around
+        WHERE m > {EDGE_LOW} AND CASE
+            WHEN abs(dy) < abs(dx) * (sqrt(2) - 1) THEN m > w AND m >= e
+            WHEN abs(dx) < abs(dy) * (sqrt(2) - 1) THEN m > n AND m >= s
+            WHEN (dx < 0) = (dy < 0) THEN m > nw AND m > se
+            ELSE m > ne AND m > sw END),
+    followed AS (
+        SELECT video_id, frame_index, spot, x, y FROM thin WHERE m > {EDGE_HIGH}
+        UNION
+        SELECT t.video_id, t.frame_index, t.spot, t.x, t.y FROM followed f JOIN thin t
+          ON t.video_id = f.video_id AND t.frame_index = f.frame_index AND t.spot = f.spot
+         AND abs(t.x - f.x) <= 1 AND abs(t.y - f.y) <= 1),
+    followed_count AS (SELECT video_id, frame_index, spot, count(*) AS edges FROM followed GROUP BY ALL),
+    shades AS (
+        SELECT video_id, frame_index, spot, count(*) AS pixels, avg(g) AS mean, stddev_pop(g) AS std
+        FROM inside GROUP BY ALL)"""
+
+
+@query(
+    "x5_hysteresis_edges",
+    with_views("pixels", f"""WITH RECURSIVE {EDGES}
+        SELECT video_id, frame_index, spot, round(coalesce(edges, 0) / pixels, 6) AS edge_density,
+               round(mean, 6) AS mean, round(std, 6) AS std
+        FROM shades LEFT JOIN followed_count USING (video_id, frame_index, spot)"""),
+)
+def hysteresis_edges(spark, sf_dir):
+    """Edges that are thinned, and followed from strong pixels through weaker ones."""
+    frames = views.table(spark, sf_dir, "embeddings").selectExpr("cast(label AS bigint) AS video_id", "vec_id AS frame_index")
+    wide = views.table(spark, sf_dir, "region").selectExpr(*WIDE)
+    found = edges.hysteresis_features(frames, views.pixels(spark, sf_dir), wide, EDGE_LOW, EDGE_HIGH)
+    return found.withColumns({n: F.round(n, 6) for n in ("edge_density", "mean", "std")})
+
+
 @query(
     "m7_occupied_by_edges",
     with_views("pixels spots", f"""WITH {SPOTS}
