@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerospark.scale import previous_in_order
+
 
 def motion_summary(per_frame: DataFrame, keys: list[str]) -> DataFrame:
     """Frames processed, mean and largest motion ratio; 0.0 where there is none."""
@@ -72,6 +74,25 @@ def flow_summary(vectors: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def track_displacement(tracks: DataFrame, detections: DataFrame) -> DataFrame:
+    """``video_id, frame_index, track_id, vx, vy``: how far each object moved a frame since it was last seen.
+
+    ``tracks`` is what the tracker gives, at most one box an object and frame.  Motion over
+    frames in which an object was out of sight is spread evenly over them and counts in the
+    frame of its return.  The first sight of an object, or one without a centre, gives no row.
+    A long track is not sorted by one task.
+    """
+    box = ["video_id", "frame_index", "det_seq"]
+    centres = tracks.join(detections.select(*box, F.col("cx").cast("double"), F.col("cy").cast("double")), box)
+    seen = centres.filter(F.col("cx").isNotNull() & F.col("cy").isNotNull()).drop("det_seq")
+    moved = previous_in_order(seen, ["video_id", "track_id"], "frame_index", ["cx", "cy"])
+    frames = F.col("frame_index") - F.col("prev_frame_index")
+    return moved.filter("prev_frame_index IS NOT NULL").select(
+        "video_id", "frame_index", "track_id",
+        *[((F.col(c) - F.col(f"prev_{c}")) / frames).alias(v) for c, v in (("cx", "vx"), ("cy", "vy"))],
+    )
+
+
 def circular_direction(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """The direction of the summed motion, an alternative without the jump at 0 degrees."""
     angle = F.degrees(F.atan2(F.sum("vy"), F.sum("vx")))

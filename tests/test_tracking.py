@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from aerospark.operators.motion import track_displacement
 from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
 from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
@@ -185,3 +186,18 @@ def test_stream_equals_batch_and_rejects_late_frames(spark):
     late = found.filter("rejected").collect()
     assert [(r.det_seq, r.track_id) for r in late] == [(77, None)]
     assert found.filter(F.col("rejected")).count() == 1
+
+
+def test_displacement_a_frame(spark):
+    tracks = spark.createDataFrame(
+        [(1, 0, 7, 0), (1, 1, 7, 0), (1, 4, 9, 0), (1, 4, 8, 1), (1, 9000, 1, 0), (2, 5, 1, 0), (1, 2, 3, 2), (1, 3, 3, 2)],
+        "video_id long, frame_index long, det_seq long, track_id long",
+    )
+    boxes = spark.createDataFrame(
+        [(1, 0, 7, 1.0, 1.0), (1, 1, 7, 4.0, 0.0), (1, 4, 9, 10.0, 6.0), (1, 4, 8, 50.0, 50.0), (1, 9000, 1, 10.0, 6.0),
+         (2, 5, 1, 3.0, 3.0), (1, 2, 3, None, 4.0), (1, 3, 3, 5.0, 5.0), (1, 3, 4, 9.0, 9.0)],
+        "video_id long, frame_index long, det_seq long, cx double, cy double",
+    )
+    got = sorted(map(tuple, track_displacement(tracks, boxes).collect()))
+    assert got == [(1, 1, 0, 3.0, -1.0), (1, 4, 0, 2.0, 2.0), (1, 9000, 0, 0.0, 0.0)]
+    assert track_displacement(tracks.limit(0), boxes).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerospark.operators import clustering, homography, motion, suppression, tracking, zones
+from aerospark.scale import durable
 from workload import views
 from workload.registry import query
 from workload.views import with_views
@@ -364,21 +365,44 @@ def unique_per_zone(spark, sf_dir):
     return zones.unique_objects(located, ["video_id", "zone"])
 
 
-@query(
-    "a12_flow_summary",
-    with_views("detections", """WITH moved AS (
+def flow_sql(vectors):
+    return f"""moved AS (
             SELECT video_id, frame_index, sqrt(vx * vx + vy * vy) AS m,
                    CASE WHEN degrees(atan2(vy, vx)) < 0 THEN degrees(atan2(vy, vx)) + 360 ELSE degrees(atan2(vy, vx)) END AS a
-            FROM detections)
+            FROM {vectors})
         SELECT video_id, frame_index, round(avg(m), 6) AS mean_magnitude, round(max(m), 6) AS max_magnitude,
                round(median(m), 6) AS median_magnitude,
                round(CASE WHEN sum(m) > 0 THEN sum(a * m) / sum(m) ELSE 0 END, 6) AS dominant_direction_deg
-        FROM moved GROUP BY ALL"""),
-)
-def flow_summary(spark, sf_dir):
-    made = motion.flow_summary(views.detections(spark, sf_dir), FRAME)
+        FROM moved GROUP BY ALL"""
+
+
+def rounded_flow(vectors):
     names = ("mean_magnitude", "max_magnitude", "median_magnitude", "dominant_direction_deg")
-    return made.select(*FRAME, *[F.round(n, 6).alias(n) for n in names])
+    return motion.flow_summary(vectors, FRAME).select(*FRAME, *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("a12_flow_summary", with_views("detections", f"WITH {flow_sql('detections')}"))
+def flow_summary(spark, sf_dir):
+    return rounded_flow(views.detections(spark, sf_dir))
+
+
+DISPLACED = """
+    ordered AS (
+        SELECT d.video_id, frame_index, track_id, cx, cy, lag(frame_index) OVER w AS f0, lag(cx) OVER w AS x0, lag(cy) OVER w AS y0
+        FROM tracked t JOIN detections d USING (video_id, frame_index, det_seq)
+        WINDOW w AS (PARTITION BY d.video_id, track_id ORDER BY frame_index)),
+    displaced AS (
+        SELECT video_id, frame_index, (cx - x0) / (frame_index - f0) AS vx, (cy - y0) / (frame_index - f0) AS vy
+        FROM ordered WHERE f0 IS NOT NULL)"""
+
+
+@query(
+    "a12_displacement_flow",
+    with_views("frames detections", f"{TRACKS}, {DISPLACED}, {flow_sql('displaced')}"),
+)
+def displacement_flow(spark, sf_dir):
+    """Flow from how far the tracked objects moved since they were last seen."""
+    return rounded_flow(durable(motion.track_displacement(tracked(spark, sf_dir), views.detections(spark, sf_dir))))
 
 
 @query(
