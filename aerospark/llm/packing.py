@@ -29,7 +29,7 @@ WINDOW = 2048
 SEPARATOR = 1
 #: Fixed value: how the byte-level tokenizer splits a text before its merges; ``Encoder`` rests on it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words whose ids a worker remembers, about 50 bytes each.
+#: Words whose ids a task remembers, about 50 bytes each.
 REMEMBERED_WORDS = 1_500_000
 #: New words that are encoded as one text.
 JOINED = 256
@@ -49,7 +49,7 @@ _PACKED = pa.schema([
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; remembers the words it has seen.
+    """Ids of texts as little-endian 32-bit numbers; remembers the words of a task.
 
     For a byte-level tokenizer that splits texts by ``PIECES``.  Of blanks
     in a row that something follows, that pattern takes all but the last as one piece, and the
@@ -61,7 +61,7 @@ class Encoder:
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordIds(REMEMBERED_WORDS)
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.line_end = vocabulary.get(_LINE_END)
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -69,6 +69,10 @@ class Encoder:
         if self.line_end is not None:
             self.begins[self.line_end] = True
 
+    def forget(self) -> None:
+        """Give back the memory of the words; a worker outlives its tasks and serves other stages."""
+        self.words = WordIds(REMEMBERED_WORDS)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -249,6 +253,7 @@ def pack(
                     packer.add(key, ids + end)
                 if done := packer.take():
                     yield batch(_PACKED, *zip(*done))
+        encoder.forget()
         packer.close()
         if done := packer.take():
             yield batch(_PACKED, *zip(*done))
