@@ -2,66 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerospark.functions.track_step import MAX_DISAPPEARED, MAX_DISTANCE, Tracks
-from aerospark.scale import broadcast_if_small, durable, work_path
+from aerospark.scale import broadcast_if_small, durable, fits, work_path
 
-# Frames of one video that a task takes in at a time, and rows where frames are crowded.
+# Frames of a chunk, the unit in which a video is cut, and rows where frames are crowded.
 CHUNK_FRAMES = 20_000
 CHUNK_ROWS = 400_000
 # Frames between two cuts of the work that finds the stretches.
 SPAN = 4096
 
-STATE = "struct<next_id: long, ids: array<long>, xs: array<double>, ys: array<double>, missed: array<int>>"
-OUTPUT = f"video_id long, frame_index long, det_seq long, track_id long, start long, state {STATE}"
-COLUMNS = ["video_id", "frame_index", "det_seq", "track_id", "start", "state"]
+# Frames of a stretch that a task goes through between two writes, a batch of rows at a time.
+LEG_FRAMES = 240_000
+# Up to this many stretches each get a task of their own.
+LANES = 256
 
+# Rows of a written leg: ids of detections, and, where ``missed`` is not null, the live objects at
+# its end (the id as ``det_seq``) with the next free id behind them, without a place.  They are flat,
+# since Spark measures list columns from the start for every row it hands to Python.
+OUTPUT = (
+    "video_id long, start long, frame_index long, det_seq long, track_id long, cx double, cy double, missed int"
+)
+ARROW_OUTPUT = pa.schema([
+    *[(name, pa.int64()) for name in ("video_id", "start", "frame_index", "det_seq", "track_id")],
+    ("cx", pa.float64()), ("cy", pa.float64()), ("missed", pa.int32()),
+])
 
-def _advance(max_distance: float, max_disappeared: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The work on one chunk of one stretch: its frames in order, from the carried state."""
 
-    def run(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=COLUMNS)
-        tracks = Tracks()
-        if len(carried):
-            kept = carried["state"].iloc[0]
-            tracks = Tracks(
-                int(kept["next_id"]), *[list(kept[name]) for name in ("ids", "xs", "ys", "missed")]
-            )
-        rows = rows.sort_values(["frame_index", "det_seq"])
-        frames = rows["frame_index"].to_numpy()
-        present = rows["present"].to_numpy(dtype=bool)
-        xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
-        ids = np.full(len(rows), -1, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
-        for begin, end in zip(starts, np.r_[starts[1:], len(rows)]):
-            some = bool(present[begin])
-            given = tracks.advance(
-                xs[begin:end] if some else xs[:0], ys[begin:end] if some else ys[:0],
-                max_distance, max_disappeared,
+def _advance(max_distance: float, max_disappeared: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of one task: its stretches one after another, each from the objects carried to it.
+
+    Rows come by stretch and in it in order, carried ones first.  A task holds a batch, the rows of
+    one frame and the live objects of one stretch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracks, stretch, frame = Tracks(), None, None
+        seqs: list[int] = []
+        xs: list[float] = []
+        ys: list[float] = []
+        made: list[list] = [[] for _ in ARROW_OUTPUT.names]
+
+        def add(frame, seqs, ids, xs, ys, missed) -> None:
+            """Rows of the stretch; what is given once stands for all of them."""
+            for values, some in zip(made, (*stretch, frame, seqs, ids, xs, ys, missed)):
+                values += some if isinstance(some, list) else [some] * len(seqs)
+
+        def end_frame() -> None:
+            nonlocal frame
+            if frame is not None:
+                add(frame, seqs, tracks.advance(xs, ys, max_distance, max_disappeared), None, None, None)
+                frame = None
+                for values in (seqs, xs, ys):
+                    values.clear()
+
+        def end_stretch() -> None:
+            end_frame()
+            if stretch is not None:
+                add(None, tracks.ids, None, tracks.xs, tracks.ys, tracks.missed)
+                add(None, [tracks.next_id], None, None, None, 0)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(values, field.type) for values, field in zip(made, ARROW_OUTPUT)], schema=ARROW_OUTPUT
             )
-            if some:
-                ids[begin:end] = given
-        found = rows.loc[present, ["video_id", "frame_index", "det_seq"]].copy()
-        found["track_id"] = ids[present]
-        found["start"] = rows["start"].iloc[0]
-        found["state"] = None
-        last = pd.DataFrame(
-            {
-                "video_id": [rows["video_id"].iloc[0]], "frame_index": [None], "det_seq": [None],
-                "track_id": [None], "start": [rows["start"].iloc[0]],
-                "state": [{"next_id": tracks.next_id, "ids": tracks.ids, "xs": tracks.xs,
-                           "ys": tracks.ys, "missed": tracks.missed}],
-            }
-        )
-        return pd.concat([found.astype(object), last.astype(object)], ignore_index=True)
+            for values in made:
+                values.clear()
+            return batch
+
+        for batch in batches:
+            columns = [
+                batch.column(name).to_numpy(zero_copy_only=False).tolist()
+                for name in ("video_id", "start", "carried", "frame_index", "det_seq", "present", "cx", "cy", "missed")
+            ]
+            for video, start, carried, index, seq, present, x, y, missed in zip(*columns):
+                if stretch != (video, start):
+                    end_stretch()
+                    stretch, tracks = (video, start), Tracks()
+                if carried:
+                    if present:
+                        for values, value in zip((tracks.ids, tracks.xs, tracks.ys, tracks.missed), (seq, x, y, missed)):
+                            values.append(value)
+                    else:
+                        tracks.next_id = seq
+                    continue
+                if index != frame:
+                    end_frame()
+                    frame = index
+                if present:
+                    seqs.append(seq)
+                    xs.append(x)
+                    ys.append(y)
+            yield flush()
+        end_stretch()
+        yield flush()
 
     return run
 
@@ -77,10 +116,11 @@ def marked_rows(rows: DataFrame, *more: str) -> DataFrame:
 def weighed_frames(frames: DataFrame, boxes: DataFrame, chunk_frames: int, chunk_rows: int) -> DataFrame:
     """``video_id, frame_index, n, weight``: detections and share of a chunk of every frame.
 
-    A frame weighs one, or more if it is crowded: ``chunk_rows`` detections weigh a chunk.
+    A frame weighs one, or more if it is crowded: ``chunk_rows`` detections weigh a chunk, and so
+    do more of them in one frame, which no cut can part.
     """
     keys = ["video_id", "frame_index"]
-    weight = F.greatest(F.lit(1), F.ceil(F.sum("n") * chunk_frames / chunk_rows))
+    weight = F.least(F.lit(chunk_frames), F.greatest(F.lit(1), F.ceil(F.sum("n") * chunk_frames / chunk_rows)))
     every = frames.select(*keys, F.lit(0).alias("n")).unionByName(boxes.select(*keys, F.lit(1).alias("n")))
     return every.groupBy(*keys).agg(F.sum("n").alias("n"), weight.cast("bigint").alias("weight"))
 
@@ -141,6 +181,7 @@ def in_stretches(weighed: DataFrame, max_disappeared: int, chunk_frames: int) ->
 def track_objects(
     frames: DataFrame, detections: DataFrame, max_distance: float = MAX_DISTANCE,
     max_disappeared: int = MAX_DISAPPEARED, chunk_frames: int = CHUNK_FRAMES, chunk_rows: int = CHUNK_ROWS,
+    leg_frames: int = LEG_FRAMES,
 ) -> DataFrame:
     """``video_id, frame_index, det_seq, track_id`` for every detection.
 
@@ -149,49 +190,60 @@ def track_objects(
     object lives (``in_stretches``).  Its stretches run side by side, each numbering its own
     objects; the objects born in the stretches before, added up, make the ids whole.  Within
     a stretch ids depend on all earlier frames, so its frames go in order; but it is cut into
-    chunks of frames, fewer where they are crowded, and a task holds one chunk plus the live
-    objects carried from the chunk before.  Chunks with the same number run side by side.
-    They are staged by round, so a round reads its own chunks alone, and each round is written
-    down: a lost executor repeats one chunk, not a video.
+    legs, whole chunks of about ``leg_frames`` frames, fewer where they are crowded.  A task goes
+    through a leg from the live objects carried from the leg before, a batch of rows at a time, so
+    the number of jobs hangs on the legs and not on the chunks.  Legs with the same number run side
+    by side.  They are staged by round, so a round reads its own legs alone, and each round is
+    written down: a lost executor repeats one leg, not a video.
     """
     keys = ["video_id", "frame_index"]
+    one = ["video_id", "start"]
     boxes = detections.select(*keys, "det_seq", "cx", "cy")
     weighed = durable(weighed_frames(frames, boxes, chunk_frames, chunk_rows))
     work = _advance(max_distance, max_disappeared)
     spark = frames.sparkSession
-    state = spark.createDataFrame([], f"video_id long, start long, state {STATE}")
     wanted = [*keys, "start", "det_seq", "present", "cx", "cy"]
-    one = ["video_id", "start"]
 
-    def tracked(now: DataFrame) -> DataFrame:
-        return now.select(*wanted).groupBy(*one).cogroup(state.groupBy(*one)).applyInPandas(work, OUTPUT)
+    def tracked(now: DataFrame, streams: DataFrame, state: DataFrame | None = None) -> DataFrame:
+        rows = now.select(*wanted, F.lit(0).alias("missed"), F.lit(False).alias("carried"))
+        if state is not None:
+            rows = rows.unionByName(state.select(
+                *one, F.lit(0).alias("frame_index"), "det_seq", F.col("cx").isNotNull().alias("present"),
+                "cx", "cy", "missed", F.lit(True).alias("carried"),
+            ))
+        if fits(streams, LANES):
+            # hashes of a few stretches meet, and then one task goes through two of them
+            lanes = streams.withColumn("lane", F.row_number().over(Window.orderBy(*one)) - 1)
+            dealt = rows.join(F.broadcast(lanes), one).repartitionById(max(1, streams.count()), F.col("lane")).drop("lane")
+        else:
+            dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *one)
+        return dealt.sortWithinPartitions(*one, F.desc("carried"), "frame_index", "det_seq").mapInArrow(work, OUTPUT)
 
     longest = weighed.groupBy("video_id").agg(F.sum("weight").alias("weight")).agg(F.max("weight")).first()[0]
     if (longest or 0) <= chunk_frames:
         # every video is one chunk
         whole = marked_rows(weighed.select(*keys, F.lit(0).cast("bigint").alias("start")).join(boxes, keys, "left"), "start")
-        return tracked(whole).filter(F.col("state").isNull()).select(*keys, "det_seq", "track_id")
+        streams = weighed.select("video_id", F.lit(0).cast("bigint").alias("start")).distinct()
+        return tracked(whole, streams).filter(F.col("missed").isNull()).select(*keys, "det_seq", "track_id")
     seen = in_stretches(weighed, max_disappeared, chunk_frames)
-    rows = marked_rows(seen.join(boxes, keys, "left"), "start", "part")
-    parts = seen.select("video_id", "start", "part").distinct()
-    order = Window.partitionBy("video_id", "start").orderBy("part")
-    numbered = durable(parts.withColumn("_round", F.row_number().over(order) - 1))
-    rounds = numbered.agg(F.max("_round")).first()[0] + 1
-    staged = rows.join(broadcast_if_small(numbered), ["video_id", "start", "part"]).select(*wanted, "_round")
-    made = work_path(spark, "tracks")
-    if rounds == 1:
-        tracked(staged).write.parquet(f"{made}/round=0")
-    else:
-        chunks = work_path(spark, "chunks")
-        staged.write.partitionBy("_round").parquet(chunks)
-        for number in range(rounds):
-            now = spark.read.schema(staged.schema).parquet(chunks).filter(F.col("_round") == number)
-            tracked(now).write.parquet(f"{made}/round={number}")
-            # A stretch that ended keeps no state; the others pass theirs on.
-            done = spark.read.schema(OUTPUT).parquet(f"{made}/round={number}")
-            state = done.filter(F.col("state").isNotNull()).select(*one, "state")
+    leg = F.floor(F.col("part") / max(1, leg_frames // chunk_frames)).cast("int")
+    rows = marked_rows(seen.withColumn("_round", leg).join(boxes, keys, "left"), "start", "_round")
+    staged, made = work_path(spark, "legs"), work_path(spark, "tracks")
+    rows.write.partitionBy("_round").parquet(staged)
+    legs = spark.read.schema(rows.schema).parquet(staged)
+    streams = durable(legs.groupBy(*one).agg(F.max("_round").alias("last")))
+    rounds = streams.agg(F.max("last")).first()[0] + 1
+    state = None
+    for number in range(rounds):
+        live = streams.filter(F.col("last") >= number).select(*one)
+        tracked(legs.filter(F.col("_round") == number), live, state).write.parquet(f"{made}/round={number}")
+        # A stretch that ended passes no state on.
+        done = spark.read.schema(OUTPUT).parquet(f"{made}/round={number}")
+        state = done.filter(F.col("missed").isNotNull()).join(
+            streams.filter(F.col("last") > number).select(*one), one, "left_semi"
+        )
     every = spark.read.schema(OUTPUT).parquet(*[f"{made}/round={number}" for number in range(rounds)])
-    found = every.filter(F.col("state").isNull())
+    found = every.filter(F.col("missed").isNull())
     earlier = Window.partitionBy("video_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     born = found.groupBy(*one).agg((F.max("track_id") + 1).alias("n")).select(
         *one, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")

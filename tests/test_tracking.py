@@ -1,10 +1,13 @@
 """The tracker against a plain loop, in batch, in chunks and as a stream."""
 
+import glob
 import math
 import random
 
 from pyspark.sql import functions as F
 
+from aerospark.functions import track_step
+from aerospark.operators import tracking
 from aerospark.operators.motion import track_displacement
 from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
 from aerospark.scale import work_path
@@ -127,6 +130,44 @@ def test_stretches_need_no_second_round(spark):
     found.unpersist()
 
 
+def test_rounds_hang_on_legs_and_not_on_chunks(spark, monkeypatch):
+    """A video without a gap is gone through in a few jobs, however small its chunks are."""
+    scenes = {v: [(f, [(BIG + f, float(f % 7), 1.0)] * (f % 50 != 0)) for f in range(900)] for v in (1, 2, 3)}
+    frames, boxes = as_tables(spark, scenes)
+    made = []
+    monkeypatch.setattr(tracking, "work_path", lambda spark, name: made.append(work_path(spark, name)) or made[-1])
+    for legs, rounds in (({}, 1), ({"leg_frames": 300}, 3)):
+        made.clear()
+        found = track_objects(frames, boxes, 20.0, 3, chunk_frames=10, **legs)
+        assert [len(glob.glob(f"{path}/round=*")) for path in made if "/tracks-" in path] == [rounds]
+        got = {(r.video_id, r.frame_index, r.det_seq): r.track_id for r in found.collect()}
+        assert got == wanted(scenes, max_distance=20.0, max_disappeared=3)
+
+
+def test_legs_equal_the_loop(spark):
+    scenes = {1: scene(1), 2: sparse(2), 3: scene(3)[:20], 4: [(5, [])]}
+    frames, boxes = as_tables(spark, scenes)
+    for chunk, leg in ((2, 4), (15, 15), (10, 40)):
+        found = track_objects(frames, boxes, 20.0, 3, chunk_frames=chunk, leg_frames=leg)
+        got = [((r.video_id, r.frame_index, r.det_seq), r.track_id) for r in found.collect()]
+        assert len(got) == boxes.count() and dict(got) == wanted(scenes, max_distance=20.0, max_disappeared=3)
+
+
+def test_steps_by_loops_and_by_arrays_agree(monkeypatch):
+    rng, nan = random.Random(5), float("nan")
+    frames = [
+        rng.choice([[], [(rng.randrange(40) / 2, rng.randrange(40) / 2) for _ in range(rng.randint(1, 9))], [(nan, 1.0), (3.0, 4.0)]])
+        for _ in range(300)
+    ]
+    given = []
+    for few in (10**9, 0):
+        monkeypatch.setattr(track_step, "FEW_PAIRS", few)
+        tracks = track_step.Tracks()
+        given.append([tracks.advance([x for x, _ in points], [y for _, y in points], 6.0, 4) for points in frames])
+        given[-1].append((tracks.ids, tracks.missed))
+    assert given[0] == given[1]
+
+
 def test_tracks_of_nothing(spark):
     frames, boxes = spark.createDataFrame([], "video_id long, frame_index long"), spark.createDataFrame([], BOX)
     assert track_objects(frames, boxes).isEmpty()
