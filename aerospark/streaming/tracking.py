@@ -38,27 +38,35 @@ def _advance(max_distance: float, max_disappeared: int, hold_last: bool):
             tracks = Tracks(next_id, list(ids), list(xs), list(ys), list(missed))
             if frame >= 0:
                 parts.append(_held(key[0], frame, *held))
-        rows = pd.concat(parts, ignore_index=True).sort_values(["frame_index", "det_seq"], ignore_index=True)
-        frames, present = rows["frame_index"].to_numpy(), rows["present"].to_numpy(dtype=bool)
+        rows = pd.concat(parts, ignore_index=True)
+        parts.clear()
+        frames, seqs = rows["frame_index"].to_numpy(), rows["det_seq"].to_numpy()
+        order = np.lexsort((seqs, frames))
+        frames, seqs = frames[order], seqs[order]
+        present = rows["present"].to_numpy(dtype=bool)[order]
+        xs, ys = (rows[name].to_numpy(dtype=float)[order] for name in ("cx", "cy"))
+        del rows, order
         late = frames <= last
         open_frame, keep = -1, ([], [], [])
         if hold_last and not late.all():
             open_frame = int(frames[-1])
-            mine = rows[(frames == open_frame) & present]
-            keep = tuple(mine[name].tolist() for name in ("det_seq", "cx", "cy"))
-        done = frames != open_frame
-        given = np.full(len(rows), -1, dtype=np.int64)
-        xs, ys = rows["cx"].to_numpy(dtype=float), rows["cy"].to_numpy(dtype=float)
-        for frame in np.unique(frames[done & ~late]):
-            place = np.flatnonzero((frames == frame) & present)
-            given[place] = tracks.advance(xs[place], ys[place], max_distance, max_disappeared)
-            last = int(frame)
+            mine = (frames == open_frame) & present
+            keep = tuple(values[mine].tolist() for values in (seqs, xs, ys))
+        given = np.full(len(frames), -1, dtype=np.int64)
+        begins = np.flatnonzero(np.r_[True, frames[1:] != frames[:-1]])
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(frames)]):
+            frame = int(frames[begin])
+            if late[begin] or frame == open_frame:
+                continue
+            place = begin + np.flatnonzero(present[begin:end])
+            given[place] = tracks.advance(xs[place].tolist(), ys[place].tolist(), max_distance, max_disappeared)
+            last = frame
         state.update((tracks.next_id, last, tracks.ids, tracks.xs, tracks.ys, tracks.missed, open_frame, *keep))
-        out = present & done
-        found = rows.loc[out, ["video_id", "frame_index", "det_seq"]]
-        yield found.assign(
-            track_id=pd.array(given[out], dtype="Int64"), rejected=late[out]
-        ).assign(track_id=lambda d: d["track_id"].where(~d["rejected"]))
+        out = present & (frames != open_frame)
+        yield pd.DataFrame({
+            "video_id": np.full(int(out.sum()), key[0]), "frame_index": frames[out], "det_seq": seqs[out],
+            "track_id": pd.array(given[out], dtype="Int64"), "rejected": late[out],
+        }).assign(track_id=lambda d: d["track_id"].where(~d["rejected"]))
 
     return run
 

@@ -4,6 +4,8 @@ import glob
 import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from aerospark.functions import track_step
@@ -12,6 +14,7 @@ from aerospark.operators.motion import track_displacement
 from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
 from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
+from aerospark.streaming.tracking import _advance as stream_step
 from aerospark.streaming.tracking import stream_tracks
 
 # Ids beyond the whole numbers a float can hold.
@@ -229,6 +232,31 @@ def test_stream_equals_batch_and_rejects_late_frames(spark):
     assert found.filter(F.col("rejected")).count() == 1
 
 
+class OneState:
+    """A group's state, kept in the test."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_delivery_costs_its_rows(monkeypatch):
+    """A video's rows are gone through once, not once a frame."""
+    n = 40_000
+    rows = pd.DataFrame({
+        "video_id": 1, "frame_index": np.arange(n) // 2, "det_seq": np.arange(n) % 2, "present": True,
+        "cx": 1.0, "cy": 100.0 * (np.arange(n) % 2),
+    }).sample(frac=1.0, random_state=3)
+    seen, flatnonzero = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda values: seen.append(len(values)) or flatnonzero(values))
+    state = OneState()
+    (found,) = stream_step(50.0, 10, True)((1,), iter([rows]), state)
+    assert sum(seen) <= 3 * n
+    assert len(found) == n - 2 and state.get[6] == n // 2 - 1 and state.get[7] == [0, 1]
+    assert (found["track_id"] == found["det_seq"]).all() and not found["rejected"].any()
+
+
 def test_displacement_a_frame(spark):
     tracks = spark.createDataFrame(
         [(1, 0, 7, 0), (1, 1, 7, 0), (1, 4, 9, 0), (1, 4, 8, 1), (1, 9000, 1, 0), (2, 5, 1, 0), (1, 2, 3, 2), (1, 3, 3, 2)],
