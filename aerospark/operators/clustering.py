@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,13 +38,43 @@ def _around(points: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def neighbour_counts(
-    points: DataFrame, keys: list[str], eps: float, of: DataFrame | None = None
+    points: DataFrame, keys: list[str], eps: float, of: DataFrame | None = None, fold_points: int = FOLD_POINTS,
 ) -> DataFrame:
-    """How many points lie within ``eps`` of each place in ``of``, itself included.
+    """How many points lie within ``eps`` of each place in ``of``, or of all, itself included.
 
-    ``points`` has ``i, j`` cells, ``x, y`` and ``weight``.  The result is one row
-    per place: pairs exist only between the join and its partial aggregate.
+    ``points`` has ``i, j`` cells, ``x, y`` and ``weight``, one row a place.  The result is one
+    row per place.  Where all places are asked for, groups of ordinary size are counted in one
+    bounded array.  Larger ones are joined on the grid: pairs exist only between the join and
+    its partial aggregate.
     """
+    if of is None:
+        crowded = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        crowded = crowded.filter(F.col("n") > fold_points).select(*keys)
+        if fits(crowded, 0):
+            return _folded_counts(points, keys, eps)
+        marked = broadcast_if_small(crowded)
+        return _folded_counts(points.join(marked, keys, "left_anti"), keys, eps).unionByName(
+            _grid_counts(points.join(marked, keys, "left_semi"), keys, eps)
+        )
+    return _grid_counts(points, keys, eps, of)
+
+
+def _folded_counts(points: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """Neighbour counts of groups that fit in an array.  Places that are no numbers have none and no row."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "x", "y")])
+    gathered = points.filter(known).groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "weight")).alias("all"))
+
+    def near(p: Column) -> Column:
+        return F.aggregate(
+            "all", F.lit(0).cast("long"),
+            lambda n, q: n + F.when(_close(p["x"], p["y"], q["x"], q["y"], eps), q["weight"]).otherwise(0),
+        )
+
+    counted = F.transform("all", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), near(p).alias("neighbours")))
+    return gathered.select(*keys, F.inline(counted)).filter(F.col("neighbours") > 0)
+
+
+def _grid_counts(points: DataFrame, keys: list[str], eps: float, of: DataFrame | None = None) -> DataFrame:
     places = points if of is None else of
     near = _around(places.select(*keys, "i", "j", "x", "y"), [*keys, "i", "j", "x", "y"])
     other = points.select(

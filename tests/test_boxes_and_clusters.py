@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aerospark.operators import clustering
 from aerospark.operators.clustering import cluster_points
 from aerospark.operators.components import connected_components
 from aerospark.operators.homography import fit_homographies, map_points, with_inliers
@@ -257,3 +258,27 @@ def test_too_few_or_degenerate_pairs_are_errors(spark):
     line = spark.createDataFrame([(1, float(i), float(i), 2.0 * i, 2.0 * i) for i in range(6)], shape)
     with pytest.raises(Exception, match="degenerate"):
         fit_homographies(line).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_ordinary_groups_need_no_grid(spark):
+    rng = random.Random(11)
+    rows = [(g, float(rng.randrange(60)), float(rng.randrange(60)), rng.randint(1, 3)) for g in (1, 2, 3) for _ in range(9 * g * g)]
+    rows += [(4, None, 1.0, 1), (4, float("nan"), 1.0, 1), (4, 5.0, 5.0, 2), (None, 5.0, 5.0, 2)]
+    places = {(g, x, y): w for g, x, y, w in rows if x == x}
+    rows = [(*k, w) for k, w in places.items()] + [(4, float("nan"), 1.0, 1)]
+    points = spark.createDataFrame(rows, "g int, x double, y double, weight long").selectExpr(
+        "*", "floor(x / 5) AS i", "floor(y / 5) AS j"
+    )
+    want = {
+        (g, x, y): sum(w for (h, a, b), w in places.items() if h == g and a is not None and (a - x) ** 2 + (b - y) ** 2 <= 100)
+        for g, x, y in places if g is not None and x is not None
+    }
+    for fold in (256, 20, 0):
+        found = clustering.neighbour_counts(points, ["g"], 10.0, fold_points=fold)
+        got = [((r.g, r.x, r.y), r.neighbours) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert ("Join" in plan_of(found)) == (fold < 256)
