@@ -13,6 +13,18 @@ METRIC_PREFIX = "commentary."
 SERVICE_NAME = "aerospark"
 SCOPE_NAME = "aerospark.events"
 CHUNK_EVENTS = 200
+#: Holds the attributes that all signals share, where they were built before.
+SHARED = "_signal_attributes"
+
+
+def with_shared_attributes(events: DataFrame) -> DataFrame:
+    """Events with the list every signal needs instead of what only the list is made of, so that
+    several signals build it once."""
+    return events.withColumn(SHARED, otlp.signal_attributes()).drop("attributes", "metadata", "correlation_key")
+
+
+def _shared(events: DataFrame) -> Column:
+    return F.col(SHARED) if SHARED in events.columns else otlp.signal_attributes()
 
 
 def flat_log_records(events: DataFrame) -> DataFrame:
@@ -20,11 +32,11 @@ def flat_log_records(events: DataFrame) -> DataFrame:
 
 
 def log_records(events: DataFrame) -> DataFrame:
-    return events.select("event_id", otlp.log_record().alias("record"))
+    return events.select("event_id", otlp.log_record(_shared(events)).alias("record"))
 
 
 def spans(events: DataFrame) -> DataFrame:
-    return events.select("event_id", otlp.span().alias("record"))
+    return events.select("event_id", otlp.span(_shared(events)).alias("record"))
 
 
 def gauge_points(events: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
@@ -34,7 +46,7 @@ def gauge_points(events: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
     """
     shared = events.select(
         "event_id", "metrics", otlp.unix_nanos().alias("nanos"),
-        otlp.signal_attributes().alias("shared"),
+        _shared(events).alias("shared"),
     )
     points = shared.select("*", F.explode("metrics").alias("metric", "value"))
     return points.filter(F.col("value").isNotNull()).select(

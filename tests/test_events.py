@@ -266,3 +266,18 @@ def test_nested_values_of_any_depth(spark):
         assert json.dumps(read_back(json.loads(row["wire"])), sort_keys=True) == want
     plan = shaped._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_signals_share_their_attributes(spark, monkeypatch):
+    """A sink of several signals builds the attribute list once, and sends what each alone would."""
+    from workload import views
+
+    built, build = [], otlp.signal_attributes
+    monkeypatch.setattr(otlp, "signal_attributes", lambda: built.append(1) or build())
+    events = views.commentary_events(spark, "/root/testdata/sf0.001").limit(50)
+    together, alone = work_path(spark, "otlp"), work_path(spark, "otlp")
+    assert set(sinks.OtlpSink(together).export(events).values()) == {"ok"} and len(built) == 1
+    for signal in telemetry.SIGNALS:
+        sinks.OtlpSink(alone, [signal]).export(events)
+        sent = [sorted(r.value for r in spark.read.text(f"{path}/{signal}").collect()) for path in (together, alone)]
+        assert sent[0] and [sorted(v) for v in sent[0]] == [sorted(v) for v in sent[1]]
