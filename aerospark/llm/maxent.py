@@ -108,6 +108,18 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> _Words:
     return _Words(token.astype(np.uint32), size + 1, code, heads_of(data, start, stop) if len(data) else np.zeros(len(code), np.int64))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, the lowest first, compressed: the higher planes are nearly empty."""
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``packed`` took."""
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame:
     """Blocks of documents: their tokens as numbers into the block's words, and training counts of those."""
     schema = pa.schema([
@@ -131,7 +143,7 @@ def _blocks(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame
         head = np.concatenate([p.head for p in parts])[first]
         return pa.RecordBatch.from_arrays([
             pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
-            pa.array([np.cumsum(size)], pa.list_(pa.int64())), pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+            pa.array([np.cumsum(size)], pa.list_(pa.int64())), pa.array([packed(tokens)], pa.binary()),
             *[pa.array([values], pa.list_(pa.int64())) for values in (code.view(np.int64), head, count)],
         ], schema=schema)
 
@@ -232,15 +244,26 @@ def _with_band(rows: np.ndarray, band: np.ndarray, size: int) -> np.ndarray:
     return (rows & ~(size - 1)) | ((rows * 31 + band * 1297) & (size - 1))
 
 
+def _scores(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    score = table.take(rows[0], axis=0)
+    for own in rows[1:]:
+        score += table.take(own, axis=0)
+    return score
+
+
 def _softmax(score: np.ndarray) -> np.ndarray:
-    score = np.exp(score - score.max(axis=1, keepdims=True))
-    return score / score.sum(axis=1, keepdims=True)
+    """Worked out with an output a line, since there are few outputs and many tokens."""
+    score = np.ascontiguousarray(score.T)
+    score -= score.max(axis=0)
+    np.exp(score, out=score)
+    score /= score.sum(axis=0)
+    return score.T
 
 
 def probabilities(rows: np.ndarray, band: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Softmax over bands, and over the groups of the given band, of each token."""
-    over_bands = weights.band[rows].sum(axis=0) + weights.band_bias
-    over_groups = weights.group[_with_band(rows, band, len(weights.group) // KINDS)].sum(axis=0) + weights.group_bias[band]
+    over_bands = _scores(weights.band, rows) + weights.band_bias
+    over_groups = _scores(weights.group, _with_band(rows, band, len(weights.group) // KINDS)) + weights.group_bias[band]
     return _softmax(over_bands), _softmax(over_groups)
 
 
@@ -261,10 +284,13 @@ def descend(
             hit = np.flatnonzero(n)
             rank[hit] = np.arange(len(hit))
             at = rank[at]
-            slope = np.stack([np.bincount(at, o, len(hit)) for o in outputs], axis=1)
+            slope = np.empty((len(outputs), len(hit)), np.float32)
+            for o, sums in zip(outputs, slope):
+                sums[:] = np.bincount(at, o, len(hit))
             row = hit + kind * size
-            spent[k][row] += (slope * slope).mean(axis=1)
-            table[row] -= RATE * slope / np.sqrt(spent[k][row] + 1)[:, None]
+            spent[k][row] += (slope * slope).mean(axis=0)
+            slope *= RATE / np.sqrt(spent[k][row] + 1)
+            table[row] -= slope.T
             if used is not None:
                 used[k, row] += n[hit]
 
@@ -286,7 +312,7 @@ def _coded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.R
         column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
         for at in range(part.num_rows):
             ends = column["ends"][at].values.to_numpy()
-            known, token = column["known"][at].values, np.frombuffer(column["tokens"][at].as_buffer(), "<u4")
+            known, token = column["known"][at].values, unpacked(column["tokens"][at].as_buffer(), int(ends[-1]))
             place, packed = known.field("place").to_numpy(), known.field("packed").to_numpy()
             count, leaf, context = (np.zeros(len(place), np.int64) for _ in range(3))
             count[place], leaf[place], context[place] = packed >> 8, packed & 255, known.field("context").to_numpy()
@@ -310,9 +336,10 @@ _CODED = (
 
 def _read(part: pa.RecordBatch, at: int) -> Block:
     column = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+    ends = column["ends"][at].values.to_numpy()
     return Block(
-        column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), column["ends"][at].values.to_numpy(),
-        np.frombuffer(column["tokens"][at].as_buffer(), "<u4"),
+        column["doc_id"][at].as_py(), np.array(column["train"][at].as_py(), bool), ends,
+        unpacked(column["tokens"][at].as_buffer(), int(ends[-1])),
         np.frombuffer(column["leaf"][at].as_buffer(), np.uint8), np.frombuffer(column["context"][at].as_buffer(), "<u4"),
     )
 

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +285,13 @@ def test_words_that_share_four_bytes_are_told_apart():
     assert heads[2] < heads[0] < heads[1] and maxent.BATCH == 8192
 
 
+def test_packed_tokens_come_back_and_take_half_the_room():
+    tokens = np.minimum(np.random.default_rng(5).zipf(1.3, 50_000), 1 << 20).astype(np.uint32)
+    data = maxent.packed(tokens)
+    assert len(data) < 2 * len(tokens)
+    assert (maxent.unpacked(pa.py_buffer(data), len(tokens)) == tokens).all()
+
+
 def test_model_probabilities_add_up_to_one():
     rng = np.random.default_rng(8)
     n = maxent.BANDS * maxent.GROUPS
