@@ -6,6 +6,10 @@ result cannot equal the image library's, the docstring says so.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from aerospark.functions.colours import gray, hsv, in_range
 from aerospark.operators.blobs import cleaned, find_blobs, frame_sizes, opened
 from aerospark.operators.suppression import AGNOSTIC_IOU, suppress
 from aerospark.operators.tiles import tile_steps, to_frame
-from aerospark.scale import durable, fits
+from aerospark.scale import broadcast_if_small, durable, fits
 
 FRAME = ["video_id", "frame_index"]
 # Fixed defaults of the routines.
@@ -29,6 +33,8 @@ EDGE_GRADIENT = 50
 EDGE_THRESHOLD = 0.08
 #: A colour centre that moves by less than this, squared, has settled.
 SETTLED = 1e-12
+#: Distinct colours of a frame that one task takes at once.
+FRAME_COLOURS = 65_536
 
 
 def with_gray(pixels: DataFrame) -> DataFrame:
@@ -279,6 +285,84 @@ def spot_features(
     return for_every_spot(frames, spots, measured)
 
 
+def _settled(colours: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The centres of one frame and the centre of each of its colours, which come in order."""
+
+    def gaps(centres: np.ndarray) -> np.ndarray:
+        apart = colours[:, None, :] - centres
+        apart *= apart
+        return apart[..., 0] + apart[..., 1] + apart[..., 2]
+
+    centres = colours[np.flatnonzero(n == n.max())[-1:]]
+    for _ in range(k - 1):
+        far = gaps(centres).min(axis=1) * n
+        centres = np.concatenate([centres, colours[np.flatnonzero(far == far.max())[-1:]]])
+    while True:
+        at = gaps(centres).argmin(axis=1)
+        held = np.bincount(at, n, k)
+        moved = centres.copy()
+        for c in range(3):
+            moved[held > 0, c] = (np.bincount(at, colours[:, c] * n, k) / np.maximum(held, 1))[held > 0]
+        off = moved - centres
+        off *= off
+        centres = moved
+        if (off[:, 0] + off[:, 1] + off[:, 2] <= SETTLED).all():
+            return centres, gaps(centres).argmin(axis=1)
+
+
+def _frame_colours(colours: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """``dominant_colours`` of frames that each fit in an array, a frame after another, after one shuffle."""
+    types = dict(colours.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", rank int, b int, g int, r int, fraction double"
+    names = [*keys, "rank", "b", "g", "r", "fraction"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
+            whole = np.stack([table[c].to_numpy() for c in "bgr"], axis=1)
+            n = table["n"].to_numpy().astype(float)
+            first, parts = [], []
+            for a, b in zip(starts[:-1], starts[1:]):
+                centres, at = _settled(whole[a:b], n[a:b], k)
+                held = np.bincount(at, n[a:b], k)
+                order = np.argsort(-held, kind="stable")
+                order = order[held[order] > 0]
+                first += [a] * len(order)
+                parts.append(np.column_stack([np.arange(1, len(order) + 1), np.rint(centres[order]), held[order] / n[a:b].sum()]))
+            made = np.concatenate(parts)
+            own = table.select(keys).take(pa.array(first, pa.int64())).combine_chunks()
+            return pa.RecordBatch.from_arrays([
+                *[own[c].combine_chunks() if own[c].num_chunks != 1 else own[c].chunk(0) for c in keys],
+                *[pa.array(made[:, c].astype(np.int32)) for c in range(4)], pa.array(made[:, 4]),
+            ], names=names)
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            starts = _starts(held, keys)
+            if len(starts) > 1:  # the last frame may go on
+                yield solved(held.slice(0, starts[-1]), starts)
+                held = pa.concat_tables([held.slice(starts[-1])]).combine_chunks()
+        if held is not None:
+            yield solved(held, [0, held.num_rows])
+
+    dealt = colours.repartition(*keys).sortWithinPartitions(*keys, "b", "g", "r")
+    return dealt.select(*keys, "b", "g", "r", "n").mapInArrow(run, schema)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> list[int]:
+    """The first row of every run of equal keys."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in keys:
+        code = table[c].combine_chunks().dictionary_encode("encode")
+        code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def dominant_colours(
     pixels: DataFrame, k: int = 3, keys: list[str] = FRAME
 ) -> DataFrame:
@@ -290,11 +374,28 @@ def dominant_colours(
     repeated run gives the same centres; they need not equal another library's.  Rounds
     go on until no centre moves, over the frames that have not settled; equal colours
     always go to the same centre, so every frame settles.
+
+    A frame of at most ``FRAME_COLOURS`` distinct colours is settled in one bounded array;
+    larger ones, and those with a missing colour, in rounds of joins.
     """
     colours = durable(
         pixels.groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in "bgr"])
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    gone = F.col("b").isNull() | F.col("g").isNull() | F.col("r").isNull()
+    odd = durable(
+        colours.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(gone).alias("gone"))
+        .filter((F.col("n") > FRAME_COLOURS) | F.col("gone")).select(*keys)
+    )
+    if fits(odd, 0):
+        return _frame_colours(colours, k, keys)
+    odd = broadcast_if_small(odd)
+    ordinary = _frame_colours(colours.join(odd, keys, "left_anti"), k, keys)
+    return ordinary.unionByName(_joined_colours(durable(colours.join(odd, keys, "left_semi")), k, keys))
+
+
+def _joined_colours(colours: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """``dominant_colours`` of frames of any size, in rounds of joins."""
     colour = F.struct("b", "g", "r")
 
     def gap(a, b):

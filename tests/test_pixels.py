@@ -127,6 +127,25 @@ def test_main_colours(spark):
     assert [(r.b, r.g, r.r, r.fraction) for r in got] == [(0, 0, 0, 0.6), (250, 10, 10, 0.3), (10, 240, 10, 0.1)]
 
 
+def test_main_colours_of_ordinary_frames_need_no_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    images = [(v, f, rng.integers(0, 4 + 60 * f, (5, 6, 3))) for v in range(2) for f in range(4)]
+    images.append((2, 0, np.full((2, 2, 3), 7)))
+    rows = drawn(spark, images)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # frames go on in the next batch
+    try:
+        with monkeypatch.context() as patch:
+            patch.setattr(pixels, "_joined_colours", None)
+            got = sorted(pixels.dominant_colours(rows).collect())
+        # the crowded frames in joins, the others at once
+        monkeypatch.setattr(pixels, "FRAME_COLOURS", 28)
+        mixed = sorted(pixels.dominant_colours(rows).collect())
+        monkeypatch.setattr(pixels, "FRAME_COLOURS", 0)
+        assert got == mixed == sorted(pixels.dominant_colours(rows).collect()) and len(got) == 25
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_main_colours_settle_on_their_means(spark):
     rng = np.random.default_rng(3)
     image = rng.integers(0, 256, (12, 12, 3))
