@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerospark.scale import previous_in_order
+from aerospark.scale import broadcast_if_small, durable, fits, previous_in_order
+
+# Rows of a key that one task puts in order.
+KEY_ROWS = 10_000
 
 
 def motion_summary(per_frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +59,8 @@ def flow_summary(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Magnitude and direction of motion from ``vx, vy`` rows per key.
 
     The dominant direction is the mean angle weighted by magnitude, in degrees
-    from 0 to 360, averaged linearly; it is 0 when nothing moves.
+    from 0 to 360, averaged linearly; it is 0 when nothing moves.  A key of at most
+    ``KEY_ROWS`` rows is put in order after a single shuffle; larger ones keep to ``exact_median``.
     """
     vx, vy = F.col("vx").cast("double"), F.col("vy").cast("double")
     angle = F.degrees(F.atan2(vy, vx))
@@ -64,14 +68,35 @@ def flow_summary(vectors: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.sqrt(vx * vx + vy * vy).alias("m"),
         F.when(angle < 0, angle + 360.0).otherwise(angle).alias("a"),
     )
+    many = durable(
+        moved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > KEY_ROWS).select(*keys)
+    )
+    if fits(many, 0):
+        return _ordered_flow(moved, keys)
+    many = broadcast_if_small(many)
+    crowded = moved.join(many, keys, "left_semi")
+    median = exact_median(crowded.filter("m IS NOT NULL"), keys, "m").withColumnRenamed("median", "median_magnitude")
+    summary = crowded.groupBy(*keys).agg(*_flow_numbers()).join(median, keys, "left")
+    return _ordered_flow(moved.join(many, keys, "left_anti"), keys).unionByName(summary)
+
+
+def _flow_numbers() -> list[Column]:
     whole = F.sum("m")
-    summary = moved.groupBy(*keys).agg(
+    return [
         F.avg("m").alias("mean_magnitude"), F.max("m").alias("max_magnitude"),
         F.when(whole > 0, F.sum(F.col("a") * F.col("m")) / whole).otherwise(0.0).alias("dominant_direction_deg"),
+    ]
+
+
+def _ordered_flow(moved: DataFrame, keys: list[str]) -> DataFrame:
+    """``flow_summary`` of ``m, a`` rows whose keys are each put in order by one task."""
+    inside = Window.partitionBy(*keys)
+    n = F.col("_n")
+    placed = moved.withColumn("_place", F.row_number().over(inside.orderBy(F.col("m").asc_nulls_last()))).withColumn(
+        "_n", F.count("m").over(inside)
     )
-    return summary.join(
-        exact_median(moved, keys, "m").withColumnRenamed("median", "median_magnitude"), keys
-    )
+    low, high = (F.max(F.when(F.col("_place") == at, F.col("m"))) for at in (F.floor((n + 1) / 2), F.floor(n / 2) + 1))
+    return placed.groupBy(*keys).agg(*_flow_numbers(), ((low + high) / 2).alias("median_magnitude"))
 
 
 def track_displacement(tracks: DataFrame, detections: DataFrame) -> DataFrame:

@@ -65,11 +65,14 @@ def previous_in_order(
     ``order`` is an integer column, unique per key.  It is cut into ranges of
     ``span``; lag runs inside a range, and the first row of a range takes the
     last row of the nearest earlier non-empty one from a table that holds one
-    row per range.  Adds ``prev_<order>`` and ``prev_<value>``.
+    row per range.  Adds ``prev_<order>`` and ``prev_<value>``.  Without further columns the
+    ranges are dealt out once for both.
     """
     wanted = [order, *values]
     cut = F.floor(F.col(order) / span)
     ranged = df.withColumn("_range", cut)
+    if set(df.columns) == {*keys, *wanted}:
+        ranged = ranged.repartition(*keys, "_range")
     within = Window.partitionBy(*keys, "_range").orderBy(order)
     lagged = ranged.withColumn("_inside", F.lag(F.struct(*wanted)).over(within))
     tails = ranged.groupBy(*keys, "_range").agg(F.max(F.struct(*wanted)).alias("_tail"))

@@ -11,6 +11,7 @@ from aerospark.operators import clustering
 from aerospark.operators.clustering import cluster_points
 from aerospark.operators.components import connected_components
 from aerospark.operators.homography import fit_homographies, map_points, with_inliers
+from aerospark.operators import motion
 from aerospark.operators.motion import exact_median, flow_summary
 from aerospark.operators.suppression import suppress, suppressors
 from aerospark.operators.tiles import clamped_tiles, ragged_tiles
@@ -188,6 +189,26 @@ def test_flow_of_still_frames_is_zero(spark):
     assert (row.mean_magnitude, row.dominant_direction_deg) == (0.0, 0.0)
 
 
+def test_flow_of_ordinary_keys_needs_no_buckets(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randrange(5) if i % 2 else 7, rng.randrange(-4, 5), rng.randrange(-4, 5)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (8, 1, None), (8, 3, 4), (9, None, None)], "k long, vx int, vy int")
+
+    def flow():
+        return {r.k: [None if v is None else round(v, 9) for v in r[1:4]] + [r.median_magnitude] for r in flow_summary(df, ["k"]).collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(motion, "exact_median", None)
+        got = flow()
+    for k in {r[0] for r in rows}:
+        assert got[k][3] == np.median([np.sqrt(float(x * x + y * y)) for key, x, y in rows if key == k])
+    assert got[8][3] == 5.0 and got[9] == [None, None, 0.0, None]
+    monkeypatch.setattr(motion, "KEY_ROWS", 100)
+    assert flow() == got
+    monkeypatch.setattr(motion, "KEY_ROWS", 0)
+    assert flow() == got
+
+
 def test_previous_row_across_ranges(spark):
     rng = random.Random(6)
     rows = sorted({(rng.randrange(2), rng.randrange(5000)) for _ in range(300)})
