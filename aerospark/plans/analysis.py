@@ -15,6 +15,9 @@ from aerospark.operators.commentary import describe_frames, frame_events, motion
 from aerospark.operators.frames import FRAME_STEP, sample_frames
 
 FRAME = ["video_id", "frame_index"]
+# Rows of frames, boxes and vectors for a task: the joins and groups of a run all follow the frame,
+# so one task holds the sorted rows of several of them at once.
+TASK_ROWS = 1_000_000
 SUMMARY = "routine string, level string, video_id long, frame_index long, summary map<string,double>"
 BOX_COLUMNS = ["label", "score", "x", "y", "w", "h", "cx", "cy", "area"]
 
@@ -205,6 +208,19 @@ def check_run(footage: Footage, names: list[str], params: dict[str, dict]) -> No
         raise ValueError("; ".join(problems))
 
 
+def dealt_by_frame(footage: Footage) -> Callable[[DataFrame], DataFrame]:
+    """Deals a table out by frame, to as many tasks as the rows of the footage ask for.
+
+    Left to itself Spark puts partitions together by their compressed size, whatever they take
+    in memory.  Footage of few rows is left to it.
+    """
+    tables = [t for t in (footage.frames, footage.detections, footage.vectors) if t is not None]
+    tasks = -(-sum(t.count() for t in tables) // TASK_ROWS)
+    if tasks <= footage.frames.sparkSession.sparkContext.defaultParallelism:
+        return lambda table: table
+    return lambda table: table.repartition(tasks, *FRAME)
+
+
 def run_routines(
     footage: Footage, names: list[str], params: dict[str, dict] | None = None,
     frame_step: int = FRAME_STEP, max_frames: int | None = None,
@@ -216,14 +232,15 @@ def run_routines(
     and the motion rows of all routines, each as one table with ``routine``.
     """
     check_run(footage, names, params or {})
+    dealt = dealt_by_frame(footage)
     frames = sample_frames(footage.frames, frame_step, max_frames)
     chosen = frames.select(*FRAME)
     cut = {
-        name: getattr(footage, name).join(chosen, FRAME, "left_semi")
+        name: dealt(getattr(footage, name).join(chosen, FRAME, "left_semi"))
         for name in ("pixels", "detections", "vectors")
         if getattr(footage, name) is not None
     }
-    sampled = replace(footage, frames=frames, **cut)
+    sampled = replace(footage, frames=dealt(frames), **cut)
     summaries, boxes, moved = [], [], []
     for name in names:
         routine = ROUTINES[name]

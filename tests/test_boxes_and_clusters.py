@@ -320,3 +320,19 @@ def test_suppressors_of_ordinary_frames_need_no_grid(spark):
     ]
     assert found[0] and found[0] == found[1] == found[2]
     assert "explode" not in plan_of(suppressors(boxes, kept, 0.2))
+
+
+def test_runs_deal_out_footage_of_many_rows(spark, small, monkeypatch):
+    from aerospark.plans import analysis
+    from workload.run_queries import footage
+
+    def run():
+        names = ["zone_counting", "spatial_clustering", "optical_flow"]
+        summaries, boxes, _ = analysis.run_routines(footage(spark, small), names, {}, frame_step=3)
+        rows = [(r.routine, r.video_id, r.frame_index, sorted((k, round(v, 9)) for k, v in r.summary.items())) for r in summaries.collect()]
+        return sorted(rows), boxes.count(), boxes.rdd.getNumPartitions()
+
+    plain, boxes, _ = run()
+    monkeypatch.setattr(analysis, "TASK_ROWS", 600)
+    dealt, again, tasks = run()
+    assert (dealt, again) == (plain, boxes) and tasks == 23
