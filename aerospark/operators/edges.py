@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from aerospark.operators.blobs import label_runs
-from aerospark.operators.pixels import FRAME, for_every_spot, spot_pixels
-from aerospark.scale import durable
+from aerospark.operators.pixels import FRAME, _starts, for_every_spot, spot_pixels
+from aerospark.scale import broadcast_if_small, durable, fits
 
 #: Fixed thresholds of the routine: a followed edge, and one that starts an edge.
 LOW, HIGH = 50, 150
 #: Gradients closer than 22.5 degrees to an axis are compared along it, the others along a diagonal.
 NEAR_AXIS = math.sqrt(2) - 1
+#: Pixels of an image that one task takes at once, and how much larger their frame may be.
+IMAGE_PIXELS = 65_536
+SPREAD = 16
+#: Pixels that a task gets in all.
+TASK_PIXELS = 1_000_000
 
 
 def _beside(value: str, order: WindowSpec, place: str) -> tuple[Column, Column]:
@@ -99,6 +107,101 @@ def followed_runs(thin: DataFrame, keys: list[str]) -> DataFrame:
     return labelled.join(kept, "component", "left_semi").select(*keys, "y", "a", "b")
 
 
+def _count_edges(image: np.ndarray, x: np.ndarray, y: np.ndarray, gray: np.ndarray, known: np.ndarray, low: float, high: float) -> np.ndarray:
+    """How many pixels of each image ``thin_edges`` and ``followed_runs`` leave.
+
+    ``image`` numbers the images from 0 and rises.  All lie behind one another in one flat array, each
+    with a border of a cell; ``across`` and ``down`` lead from a pixel's cell to its neighbours'.
+    """
+    first = np.flatnonzero(np.diff(image, prepend=-1))
+    x, y = x - np.minimum.reduceat(x, first)[image], y - np.minimum.reduceat(y, first)[image]
+    width, height = np.maximum.reduceat(x, first) + 3, np.maximum.reduceat(y, first) + 3
+    ends = np.cumsum(width * height)
+    across, down = 1, width[image]
+    at = (ends - width * height)[image] + (y + 1) * down + x + 1
+    there = np.zeros(ends[-1], bool)
+    there[at] = True
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        cells = np.zeros(len(there), values.dtype)
+        cells[at] = values
+        return cells
+
+    def beside(values: np.ndarray, step: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``values`` of the neighbours before and after; the own one where there is no pixel."""
+        cells = spread(values)
+        return tuple(np.where(there[n], cells[n], values) for n in (at - step, at + step))
+
+    before, after = beside(gray, across)
+    sure = known & np.logical_and(*beside(known, across))
+    change, level = after - before, before + 2 * gray + after
+    (up, under), (over, below) = beside(change, down), beside(level, down)
+    dx, dy = up + 2 * change + under, below - over
+    m = np.where(sure & np.logical_and(*beside(sure, down)), np.abs(dx) + np.abs(dy), 0)
+
+    cells = spread(m)
+    above, below = cells[at - down], cells[at + down]
+    uppers, lowers = spread(above), spread(below)
+    flat = np.abs(dy) < np.abs(dx) * NEAR_AXIS
+    steep = np.abs(dx) < np.abs(dy) * NEAR_AXIS
+    falling = (dx < 0) == (dy < 0)
+    crest = np.select(
+        [flat, steep, falling],
+        [
+            (m > cells[at - 1]) & (m >= cells[at + 1]), (m > above) & (m >= below),
+            (m > uppers[at - 1]) & (m > lowers[at + 1]),
+        ],
+        (m > uppers[at + 1]) & (m > lowers[at - 1]),
+    )
+    thin = crest & (m > low) & (m > 0)
+
+    # from the strong ones to thin neighbours that were not seen, until there are none
+    left, owner = spread(thin), spread(image)
+    reached = at[thin & (m > high)]
+    counts = np.zeros(len(first), np.int64)
+    left[reached] = False
+    while len(reached):
+        held = owner[reached]
+        counts += np.bincount(held, minlength=len(first))
+        line = width[held]
+        near = np.concatenate([reached + i + j * line for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        reached = np.unique(near[left[near]])
+        left[reached] = False
+    return counts
+
+
+def _image_edges(shaded: DataFrame, keys: list[str], low: float, high: float, tasks: int) -> DataFrame:
+    """``keys, edges``: pixels of followed edges of images that each fit in an array, after one shuffle."""
+    types = dict(shaded.dtypes)
+    names = [*keys, "edges"]
+
+    def solved(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        image = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        gray = table["gray"]
+        columns = [c.to_numpy().astype(np.int64) for c in (table["x"], table["y"], gray.fill_null(0))]
+        counts = _count_edges(image, *columns, gray.is_valid().to_numpy(), low, high)
+        own = table.select(keys).take(pa.array(starts[:-1], pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[own[c].chunk(0) for c in keys], pa.array(counts)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            starts = _starts(held, keys)
+            if len(starts) > 1:  # the last image may go on
+                yield solved(held.slice(0, starts[-1]), starts)
+                held = pa.concat_tables([held.slice(starts[-1])]).combine_chunks()
+        if held is not None:
+            yield solved(held, [0, held.num_rows])
+
+    dealt = shaded.select(*keys, "x", "y", F.col("gray").cast("int").alias("gray"))
+    dealt = dealt.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", edges long")
+
+
 def hysteresis_features(
     frames: DataFrame, pixels: DataFrame, spots: DataFrame, low: float = LOW, high: float = HIGH, cell: int = 32,
 ) -> DataFrame:
@@ -106,14 +209,28 @@ def hysteresis_features(
 
     Like ``pixels.spot_features``, but edges are thinned and followed with hysteresis inside the
     spot, which is cut off at the frame's border.  A spot without pixels has zeros.
+
+    Spots of a frame of at most ``IMAGE_PIXELS`` pixels are followed in one bounded array, about
+    ``TASK_PIXELS`` pixels a task; larger ones, and those that are mostly gaps, by runs that are connected.
     """
     keys = [*FRAME, "spot"]
     inside = spot_pixels(pixels, spots, cell)
-    runs = followed_runs(thin_edges(inside, keys, low, high), keys)
-    edges = runs.groupBy(*keys).agg(F.sum(F.col("b") - F.col("a") + 1).alias("edges"))
-    shades = inside.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("std")
-    )
+    area = (F.max("x") - F.min("x") + F.lit(3).cast("long")) * (F.max("y") - F.min("y") + F.lit(3).cast("long"))
+    shades = durable(inside.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("gray").alias("mean"), F.stddev_pop("gray").alias("std"), area.alias("area")
+    ))
+    total = shades.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(inside.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_PIXELS))
+    odd = shades.filter((F.col("n") > IMAGE_PIXELS) | (F.col("area") > SPREAD * F.col("n"))).select(*keys)
+    # images without a key meet no frame
+    ordinary = inside.dropna(subset=keys)
+    if fits(odd, 0):
+        edges = _image_edges(ordinary, keys, low, high, tasks)
+    else:
+        odd = broadcast_if_small(odd)
+        edges = _image_edges(ordinary.join(odd, keys, "left_anti"), keys, low, high, tasks)
+        runs = followed_runs(thin_edges(inside.join(odd, keys, "left_semi"), keys, low, high), keys)
+        edges = edges.unionByName(runs.groupBy(*keys).agg(F.sum(F.col("b") - F.col("a") + 1).alias("edges")))
     measured = shades.join(edges, keys, "left").select(
         *keys, (F.coalesce("edges", F.lit(0)) / F.col("n")).alias("edge_density"), "mean", "std"
     )

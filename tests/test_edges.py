@@ -104,3 +104,44 @@ def test_spots(spark):
         assert got[name].mean == pytest.approx(part.mean()) and got[name].std == pytest.approx(part.std())
     assert got["busy"].edge_density > 0 == got["calm"].edge_density
     assert (got["away"].edge_density, got["away"].mean, got["away"].std) == (0, 0, 0)
+
+
+def test_ordinary_spots_settle_in_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 256, (12, 17)) * (rng.random((12, 17)) < 0.4) for _ in range(40)]
+    images += [rng.integers(90, 140, (12, 17)) for _ in range(5)] + [np.full((12, 17), 8)]
+    frame = shaded(spark, images).filter("image <> 3 OR x <> 5 AND y <> 2").selectExpr(
+        "image % 3 AS video_id", "image AS frame_index", "x", "y",
+        *[f"CASE WHEN image <> 7 OR x <> 4 THEN gray END AS {c}" for c in "bgr"],
+    ).localCheckpoint()
+    spots = spark.createDataFrame(
+        [("whole", 0, 0, 17, 12), ("part", 2, 3, 6, 5), ("cut", 14, -2, 9, 9), ("line", 0, 4, 17, 1), ("dot", 3, 3, 1, 1)],
+        "spot string, x int, y int, w int, h int",
+    )
+    frames = frame.select("video_id", "frame_index").distinct()
+
+    def found():
+        made = edges.hysteresis_features(frames, frame, spots, 50, 400, cell=4)
+        return {(r.frame_index, r.spot): (r.edge_density, round(r.mean, 9), round(r.std, 9)) for r in made.collect()}
+
+    monkeypatch.setattr(edges, "IMAGE_PIXELS", 0)
+    joined = found()
+    monkeypatch.setattr(edges, "IMAGE_PIXELS", 50)
+    mixed = found()
+    monkeypatch.setattr(edges, "IMAGE_PIXELS", 65_536)
+    monkeypatch.setattr(edges, "label_runs", None)  # not needed for ordinary spots
+    assert found() == mixed == joined and len(joined) == 46 * 5
+    assert joined[0, "whole"][0] == pytest.approx(len(plain(images[0], 50, 400)[1]) / images[0].size) != 0
+
+
+def test_tasks_of_edges_follow_the_pixels(spark, monkeypatch):
+    seen = []
+    inner = edges._image_edges
+    monkeypatch.setattr(edges, "_image_edges", lambda *given: seen.append(given[-1]) or inner(*given))
+    monkeypatch.setattr(edges, "TASK_PIXELS", 10)
+    image = np.full((20, 20), 90)
+    frame = shaded(spark, [image]).selectExpr("7L AS video_id", "image AS frame_index", "x", "y", "gray AS b", "gray AS g", "gray AS r")
+    spots = spark.createDataFrame([("all", 0, 0, 20, 20)], "spot string, x int, y int, w int, h int")
+    frames = frame.select("video_id", "frame_index").distinct()
+    assert edges.hysteresis_features(frames, frame, spots).first().edge_density == 0
+    assert seen == [40]
