@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from aerospark.functions import track_step
+from aerospark.functions import track_lanes, track_step
 from aerospark.operators import tracking
 from aerospark.operators.motion import track_displacement
 from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
@@ -270,3 +270,80 @@ def test_displacement_a_frame(spark):
     got = sorted(map(tuple, track_displacement(tracks, boxes).collect()))
     assert got == [(1, 1, 0, 3.0, -1.0), (1, 4, 0, 2.0, 2.0), (1, 9000, 0, 0.0, 0.0)]
     assert track_displacement(tracks.limit(0), boxes).count() == 0
+
+
+def lane_rounds(monkeypatch):
+    """The folders of the rounds of lanes, and of the legs, that calls from now on write."""
+    made = []
+    monkeypatch.setattr(tracking, "work_path", lambda spark, name: made.append(work_path(spark, name)) or made[-1])
+    return lambda name: [len(glob.glob(f"{path}/round=*")) for path in made if f"/{name}-" in path]
+
+
+def test_lanes_equal_the_loop(spark, monkeypatch):
+    rng = random.Random(4)
+    crowd = [(f, [(BIG + i, rng.randrange(60) / 2, rng.randrange(60) / 2) for i in range(3)]) for f in range(0, 1200, 3)]
+    # a hole in the frame numbers, longer than a lane
+    hole = [(f, [(0, 100.0, 100.0), (1, 10.0, 10.0)][: 1 + (f > 7)]) for f in [*range(300), *range(5000, 5300)]]
+    scenes = {1: scene(1), 2: sparse(2, 900), 3: scene(3)[:20], 4: [(5, [])], 5: crowd, 6: hole}
+    frames, boxes = as_tables(spark, scenes)
+    rounds = lane_rounds(monkeypatch)
+    for limit, repeats, warm in ((10**6, 6, 40), (900, 6, 0), (10**6, 0, 0)):
+        monkeypatch.setattr(tracking, "TASK_LIMIT", limit)
+        monkeypatch.setattr(tracking, "REPEATS", repeats)
+        found = track_objects(frames, boxes, 20.0, 3, chunk_frames=20, lanes_from=10, lane_frames=40, warm_frames=warm)
+        got = [((r.video_id, r.frame_index, r.det_seq), r.track_id) for r in found.collect()]
+        assert len(got) == boxes.count() and dict(got) == wanted(scenes, max_distance=20.0, max_disappeared=3)
+    # the hole is mended by repeating lanes; the videos of lanes that are given up go through the legs
+    first, given_up, unmended = rounds("lanes")
+    assert 1 < first <= 7 and unmended == 1 and given_up >= 1 and len(rounds("tracks")) >= 1
+
+
+def test_a_long_video_is_one_round(spark, monkeypatch):
+    """Objects come and go in a video without a gap, and still no lane waits for another."""
+    rng = random.Random(8)
+    scenes = {v: [(f, [(i, rng.uniform(0, 200), rng.uniform(0, 200)) for i in range(rng.randint(1, 5))]) for f in range(2500)] for v in (1, 2)}
+    frames, boxes = as_tables(spark, scenes)
+    rounds = lane_rounds(monkeypatch)
+    found = track_objects(frames, boxes, 50.0, 10, lanes_from=2000, lane_frames=600)
+    got = {(r.video_id, r.frame_index, r.det_seq): r.track_id for r in found.collect()}
+    assert got == wanted(scenes, max_distance=50.0, max_disappeared=10)
+    assert rounds("lanes") == [1] and rounds("tracks") == []
+
+
+def test_a_tie_between_first_objects_goes_by_their_age(spark, monkeypatch):
+    """A lane sees the younger object first; a centre midway between both belongs to the older one."""
+    shown = [(0, 10.0, 10.0), (1, 40.0, 10.0)]
+    both = [(f, shown[1:] if f < 5 else shown) for f in range(400)]
+    scenes = {1: both[:250] + [(250, [(0, 25.0, 10.0)])] + both[251:], 2: both}
+    frames, boxes = as_tables(spark, scenes)
+    rounds = lane_rounds(monkeypatch)
+    found = track_objects(frames, boxes, 20.0, 3, lanes_from=10, lane_frames=60, warm_frames=40)
+    got = {(r.video_id, r.frame_index, r.det_seq): r.track_id for r in found.collect()}
+    assert got == wanted(scenes, max_distance=20.0, max_disappeared=3) and got[1, 250, 0] == 0
+    assert rounds("lanes")[0] > 1 and rounds("tracks") == []
+
+
+def test_lanes_and_single_steps_agree():
+    rng = np.random.default_rng(3)
+    for mean, grid, reach, limit in ((4, 400, 50.0, 10), (2, 40, 6.0, 3), (20, 200, 10.0, 4), (0, 10, 5.0, 2)):
+        lengths = rng.integers(1, 120, 12)
+        warm = np.array([min(int(rng.integers(0, 50)), n - 1) for n in lengths])
+        lane_begins, counts = np.r_[0, np.cumsum(lengths)], rng.poisson(mean, lengths.sum())
+        begins = np.cumsum(counts) - counts
+        xs, ys = (rng.integers(0, grid, counts.sum()) / 2.0 for _ in range(2))
+        if mean == 2:
+            xs[::50], ys[::77] = math.nan, math.inf
+        with np.errstate(all="ignore"):
+            given, lanes = track_lanes.advance_lanes(lane_begins, warm, begins, counts, xs, ys, reach, limit)
+        for i, lane in enumerate(lanes):
+            tracks, first = track_step.Tracks(), 0
+            for at in range(lane_begins[i], lane_begins[i + 1]):
+                if at - lane_begins[i] == warm[i]:
+                    first = tracks.next_id = len(tracks.ids)
+                    tracks.ids = list(range(first))
+                mine = slice(begins[at], begins[at] + counts[at])
+                ids = tracks.advance(xs[mine].tolist(), ys[mine].tolist(), reach, limit)
+                if at - lane_begins[i] >= warm[i]:
+                    assert given[mine].tolist() == [n - first if n >= first else -1 - n for n in ids]
+            assert lane.last.ids.tolist() == tracks.ids and lane.last.missed.tolist() == tracks.missed
+            assert np.array_equal(lane.last.xs, tracks.xs, equal_nan=True) and lane.born == tracks.next_id - first
