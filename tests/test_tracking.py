@@ -3,19 +3,21 @@
 import glob
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from aerospark.functions import track_lanes, track_step
+from aerospark.functions import ordered_rows, track_lanes, track_step
 from aerospark.operators import tracking
 from aerospark.operators.motion import track_displacement
 from aerospark.operators.tracking import in_stretches, track_objects, weighed_frames
 from aerospark.scale import work_path
 from aerospark.streaming.inference import file_stream
+from aerospark.streaming.tracking import ROW, _pack, _records, stream_tracks
 from aerospark.streaming.tracking import _advance as stream_step
-from aerospark.streaming.tracking import stream_tracks
 
 # Ids beyond the whole numbers a float can hold.
 BIG = 10**17
@@ -257,6 +259,110 @@ def test_a_delivery_costs_its_rows(monkeypatch):
     assert (found["track_id"] == found["det_seq"]).all() and not found["rejected"].any()
 
 
+def test_rows_beyond_those_held_go_through_the_disk(monkeypatch):
+    """Records come in order in blocks, a first key never in two of them, whatever the runs hold."""
+    kind = np.dtype([("a", "i8"), ("b", "i8")])
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ordered_rows, "LEAST_READ", 3)
+    for n, keys, held in ((0, 5, 10), (7, 5, 10), (10, 5, 10), (1000, 400, 64), (1000, 3, 64), (1000, 1, 10), (5000, 2500, 16)):
+        rows = np.empty(n, dtype=kind)
+        rows["a"], rows["b"] = rng.integers(0, keys, n), rng.permutation(n)
+        given = iter([rows[i : i + 9] for i in range(0, n, 9)])
+        blocks = list(ordered_rows.in_order(given, ("a", "b"), held))
+        assert all(len(block) for block in blocks)
+        whole = np.concatenate([*blocks, rows[:0]])
+        assert np.array_equal(whole, rows[np.lexsort((rows["b"], rows["a"]))])
+        assert all(left["a"][-1] < right["a"][0] for left, right in zip(blocks[:-1], blocks[1:]))
+        assert keys < 400 or n <= held or max(map(len, blocks)) <= max(4 * held, n // 2)
+
+
+def test_a_delivery_is_not_held_whole(monkeypatch):
+    """However many rows a video has in a delivery, a task holds a bounded number of them."""
+    monkeypatch.setattr(ordered_rows, "HELD_ROWS", 10_000)
+    monkeypatch.setattr(ordered_rows, "LEAST_READ", 64)
+    n = 400_000
+    places = np.random.default_rng(2).permutation(n)
+    batches = (
+        pd.DataFrame({
+            "video_id": 1, "frame_index": part // 2, "det_seq": part % 2, "present": True, "cx": 1.0, "cy": 100.0 * (part % 2),
+        })
+        for part in np.split(places, 80)
+    )
+    state, count, last = OneState(), 0, -1
+    tracemalloc.start()
+    for found in stream_step(50.0, 10, False)((1,), batches, state):
+        assert found["frame_index"].iloc[0] > last and found["frame_index"].is_monotonic_increasing
+        assert (found["track_id"] == found["det_seq"]).all() and not found["rejected"].any()
+        count, last = count + len(found), found["frame_index"].iloc[-1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == n and state.get[1] == n // 2 - 1
+    assert most < n * 33 // 2
+
+
+def test_deliveries_in_blocks_equal_the_loop(monkeypatch):
+    """Late, split and empty frames, where every delivery goes through many blocks."""
+    monkeypatch.setattr(ordered_rows, "LEAST_READ", 4)
+    monkeypatch.setattr(ordered_rows, "HELD_ROWS", 24)
+    frames = scene(9)
+    rows = pd.DataFrame(
+        [(1, f, seq, True, x, y) for f, points in frames for seq, x, y in points]
+        + [(1, f, -1, False, np.nan, np.nan) for f, points in frames if not points],
+        columns=["video_id", "frame_index", "det_seq", "present", "cx", "cy"],
+    )
+    end = frames[-1][0]
+    step, state, parts = stream_step(20.0, 3, True), OneState(), []
+    # frame 40 comes in two deliveries, and the second has a row of a frame that is done
+    early = (rows["frame_index"] < 40) | ((rows["frame_index"] == 40) & (rows["det_seq"] % 2 == 0))
+    late = pd.DataFrame([(1, 10, 77, True, 1.0, 1.0)], columns=rows.columns)
+    closing = pd.DataFrame([(1, end + 1, -1, False, np.nan, np.nan)], columns=rows.columns)
+    for part in (rows[early], pd.concat([rows[~early], late]), closing):
+        shuffled = part.sample(frac=1.0, random_state=5)
+        parts += list(step((1,), iter([shuffled[i : i + 7] for i in range(0, len(shuffled), 7)]), state))
+    assert len(parts) > 6
+    found = pd.concat(parts)
+    rejected = found["rejected"]
+    assert found[rejected][["frame_index", "det_seq"]].values.tolist() == [[10, 77]] and found[rejected]["track_id"].isna().all()
+    got = {(r.frame_index, r.det_seq): r.track_id for r in found[~rejected].itertuples()}
+    assert got == plain_tracker(frames, 20.0, 3)
+    assert state.get[6] == end + 1 and list(state.get[7]) == []
+
+
+def test_packets_hold_their_rows():
+    """Rows of several videos and of none, big ids, places that are no numbers, and packets of one row."""
+    rng = np.random.default_rng(8)
+    for n in (1, 700, 5000):
+        video = pa.array(rng.integers(0, 3, n), mask=rng.random(n) < 0.1)
+        present = rng.random(n) < 0.9
+        rows = {
+            "frame_index": rng.integers(-5, BIG, n), "det_seq": np.where(present, rng.integers(0, BIG, n), -1), "present": present,
+            "cx": np.where(present, rng.random(n), np.nan), "cy": np.where(present, rng.choice([0.5, -0.0, np.inf], n), np.nan),
+        }
+        whole = pa.RecordBatch.from_pydict({"video_id": video, **{k: pa.array(v, from_pandas=k in ("cx", "cy")) for k, v in rows.items()}})
+        packets = pa.Table.from_batches(list(_pack(iter([whole[:300], whole[300:]])))).to_pandas()
+        assert packets["n"].between(1, 256).all() and packets["n"].sum() == n
+        for key in (0.0, 1.0, 2.0, None):
+            mine = packets[packets["video_id"].isna() if key is None else packets["video_id"] == key]
+            want = np.array([v is None if key is None else v == key for v in video.to_pylist()])
+            got = np.concatenate([np.empty(0, dtype=ROW), *_records(iter([mine]))])
+            got = got[np.lexsort((got["det_seq"], got["frame_index"]))]
+            order = np.lexsort((rows["det_seq"][want], rows["frame_index"][want]))
+            assert all(np.array_equal(got[k], v[want][order], equal_nan=k in ("cx", "cy")) for k, v in rows.items())
+
+
+def test_packets_are_small():
+    """Spark gathers all rows of a video and delivery; packed they take less than half of what they take as columns."""
+    n = 100_000
+    rng = np.random.default_rng(3)
+    frames = np.arange(n) // 4
+    whole = pa.RecordBatch.from_pydict({
+        "video_id": np.full(n, 7), "frame_index": frames, "det_seq": frames * 10 + np.arange(n) % 4, "present": np.ones(n, dtype=bool),
+        "cx": rng.integers(0, 4000, n) / 2.0, "cy": rng.integers(0, 4000, n) / 2.0,
+    })
+    packed = sum(len(p) for batch in _pack(iter([whole])) for p in batch.column("packet").to_pylist())
+    assert packed < whole.nbytes / 2
+
+
 def test_displacement_a_frame(spark):
     tracks = spark.createDataFrame(
         [(1, 0, 7, 0), (1, 1, 7, 0), (1, 4, 9, 0), (1, 4, 8, 1), (1, 9000, 1, 0), (2, 5, 1, 0), (1, 2, 3, 2), (1, 3, 3, 2)],
