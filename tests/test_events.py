@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,78 @@ def test_signals_share_their_attributes(spark, monkeypatch):
         sinks.OtlpSink(alone, [signal]).export(events)
         sent = [sorted(r.value for r in spark.read.text(f"{path}/{signal}").collect()) for path in (together, alone)]
         assert sent[0] and [sorted(v) for v in sent[0]] == [sorted(v) for v in sent[1]]
+
+
+def odd_events(spark):
+    """Events with nulls, quotes and what stands for the attributes in their texts, and a column without a type."""
+    from workload import views
+
+    number = F.col("event_id").cast("int")
+    text = '"attributes":"@"'
+    open_map = json.dumps({"x": text, "attributes": "@", "y": [1, {"z": None}], "meta.routine": 3})
+    return views.commentary_events(spark, "/root/testdata/sf0.001").filter(number < 500).withColumns({
+        "commentary": F.when(number % 5 == 0, F.lit(text + "\\ \n\té}")).when(number % 7 != 0, F.col("commentary")),
+        "attributes": F.when(number % 4 == 1, F.parse_json(F.lit(open_map))).when(number % 4 != 0, F.col("attributes")),
+        "metadata": F.when(number % 6 != 0, F.col("metadata")),
+        "metrics": F.when(number % 9 == 1, F.create_map(F.lit('q"'), F.lit(-0.0), F.lit("n"), F.lit(float("nan")), F.lit("i"), F.lit(None).cast("double")))
+        .when(number % 9 != 0, F.col("metrics")),
+        "correlation_key": F.when(number % 8 == 1, F.lit("")).when(number % 8 != 0, F.col("correlation_key")),
+        "parent_span_id": F.lit(None),
+    })
+
+
+def test_requests_hold_the_json_of_whole_records(spark):
+    """Attributes that are put into the text of a record give the text of the record with them."""
+    events = odd_events(spark)
+    path = work_path(spark, "otlp")
+    assert set(sinks.OtlpSink(path, chunk=60).export(events).values()) == {"ok"}
+    made = {"logs": telemetry.log_records(events), "traces": telemetry.spans(events), "metrics": telemetry.gauge_points(events)}
+    names = {
+        "logs": ("resourceLogs", "scopeLogs", "logRecords"), "traces": ("resourceSpans", "scopeSpans", "spans"),
+        "metrics": ("resourceMetrics", "scopeMetrics", "metrics"),
+    }
+    for signal, (outer, scoped, inner) in names.items():
+        got = []
+        requests = [json.loads(r.value) for r in spark.read.text(f"{path}/{signal}").collect()]
+        assert len(requests) > 5
+        for request in requests:
+            (resource,) = request[outer]
+            (scope,) = resource[scoped]
+            assert resource["resource"]["attributes"][0]["value"] == {"stringValue": "aerospark"}
+            assert scope["scope"] == {"name": "aerospark.events"}
+            if signal == "metrics":
+                got += [(m["name"], json.dumps(p)) for m in scope[inner] for p in m["gauge"]["dataPoints"]]
+                assert all(m["unit"] == "1" for m in scope[inner])
+            else:
+                got += [json.dumps(record) for record in scope[inner]]
+        name = ["name"] if signal == "metrics" else []
+        want = [(*r[:-1], json.dumps(json.loads(r[-1]))) for r in made[signal].select(*name, F.to_json("record")).collect()]
+        assert sorted(got) == sorted(want if name else [text for (text,) in want])
+
+
+def test_an_export_takes_a_fraction_of_its_text(spark):
+    """What an export leaves, with all it staged, is far less than the requests' text."""
+    from aerospark.scale import shared_dir
+    from workload import views
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, name)) for d, _, names in os.walk(shared_dir(spark)) for name in names)
+
+    given_back = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    events, path = views.commentary_events(spark, "/root/testdata/sf0.01"), work_path(spark, "otlp")
+    before, setting = held(), spark.conf.get(given_back)
+    assert sinks.OtlpSink(path, ["logs", "traces"]).export(events) == {"logs": "ok", "traces": "ok"}
+    grown = held() - before
+    text = sum(spark.read.text(f"{path}/{s}").agg(F.sum(F.length("value"))).first()[0] for s in ("logs", "traces"))
+    assert grown < text / 3
+    assert spark.conf.get(given_back) == setting
+
+
+def test_events_are_dealt_out_before_they_are_gathered(spark):
+    """A task gathers only what the shuffle gave it; before the shuffle it would sort its events on its disk."""
+    from workload import views
+
+    events = views.commentary_events(spark, "/root/testdata/sf0.001")
+    for signal in telemetry.SIGNALS:
+        plan = telemetry.request_payloads(events, signal, 1000)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "collect_list" not in plan[plan.index("Exchange ") :]
